@@ -1,11 +1,372 @@
-"""The queries of the k-mer engine, and the same in SQL."""
+"""The queries of the k-mer engine over the driver's tables, and the same in SQL.
+
+The tables hold no DNA, so documents and benchmark passages are projected onto the four letters. Sources stand for files,
+documents for sequences, and the benchmark passages are the references of the index.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kmerlake.functions import alphabet as A
+from kmerlake.operators import index as X
+from kmerlake.operators import kmers as K
+from kmerlake.operators import routing, search
+from kmerlake.sources import fastx
+
+LENGTH = 31
+PREFIX = 12
+STREAM_LIMIT = 200_000
+
+# ---------------------------------------------------------------- inputs
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("source").alias("file"), F.col("doc_id").alias("seq_no"), A.project_text(F.col("text")).alias("sequence"))
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.lit("benchmark").alias("file"), F.col("item_id").alias("seq_no"), A.project_text(F.col("text")).alias("sequence"))
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.build(references(spark, sf_dir), LENGTH)
+
+
+def fastq_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, value: a mixed FASTA and FASTQ text for each source, of its documents in order, in lines of 60 letters.
+
+    Even documents have quality lines, of which the first begins with @; odd ones have a > header and an empty line.
+    """
+    rows = sequences(spark, sf_dir)
+    wrapped = F.regexp_replace("sequence", "(.{60})", "$1\n")
+    body = F.when(
+        F.col("seq_no") % 2 == 0, F.concat(F.lit("@doc"), F.col("seq_no").cast("string"), F.lit("\n"), wrapped, F.lit("\n+\n@!!\n!+\n"))
+    ).otherwise(F.concat(F.lit(">doc"), F.col("seq_no").cast("string"), F.lit("\n"), wrapped, F.lit("N\n\n")))
+    parts = F.array_sort(F.collect_list(F.struct("seq_no", body.alias("body"))))
+    return rows.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "").alias("value"))
+
+
+def strict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, value: strict FASTQ for each source; every 40th document has a letter X, every third an N."""
+    rows = sequences(spark, sf_dir)
+    end = F.when(F.col("seq_no") % 40 == 39, "X").when(F.col("seq_no") % 3 == 0, "N").otherwise("")
+    body = F.concat(F.lit("@doc"), F.col("seq_no").cast("string"), F.lit("\n"), "sequence", end, F.lit("\n+\n!\n"))
+    parts = F.array_sort(F.collect_list(F.struct("seq_no", body.alias("body"))))
+    return rows.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "").alias("value"))
+
+
+# ---------------------------------------------------------------- SQL parts
+
+_PROJECT = f"translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{A.A_TO_Z}', '{A.CYCLE}')"
+_SEQ = f"seq AS (SELECT source AS file, doc_id AS seq_no, {_PROJECT} AS sequence FROM documents)"
+_REF = f"ref AS (SELECT {_PROJECT} AS s FROM benchmark)"
+_KMERS = f"km AS (SELECT file, seq_no, i - 1 AS \"offset\", substr(sequence, i, {LENGTH}) AS kmer FROM (SELECT *, unnest(range(1, length(sequence) - {LENGTH - 2})) AS i FROM seq WHERE length(sequence) >= {LENGTH}))"
+_INDEX = f"""{_REF},
+rk AS (SELECT DISTINCT substr(s, i, {LENGTH}) AS x FROM (SELECT s, unnest(range(1, length(s) - {LENGTH - 2})) AS i FROM ref WHERE length(s) >= {LENGTH})),
+sr AS (SELECT x FROM rk WHERE left(x, {LENGTH - 1}) NOT IN (SELECT right(x, {LENGTH - 1}) FROM rk)),
+dm AS (SELECT repeat('$', {LENGTH}) AS x UNION SELECT lpad(left(x, CAST(i AS INTEGER)), {LENGTH}, '$') FROM (SELECT x, unnest(range(0, {LENGTH})) AS i FROM sr)),
+al AS (SELECT x, false AS d FROM rk UNION ALL SELECT x, true FROM dm),
+ps AS (SELECT x, d, row_number() OVER (ORDER BY reverse(x)) - 1 AS pos FROM al),
+gr AS (SELECT *, row_number() OVER (PARTITION BY right(x, {LENGTH - 1}) ORDER BY pos) = 1 AS fst, lag(x) OVER (ORDER BY pos) AS px FROM ps),
+ed AS (SELECT left(x, {LENGTH - 1}) AS pre, bool_or(right(x, 1) = 'A') AS ea, bool_or(right(x, 1) = 'C') AS ec, bool_or(right(x, 1) = 'G') AS eg, bool_or(right(x, 1) = 'T') AS et
+       FROM al WHERE x <> repeat('$', {LENGTH}) GROUP BY 1),
+ix AS (SELECT pos, x AS kmer, d AS is_dummy, fst AND coalesce(ea, false) AS a, fst AND coalesce(ec, false) AS c, fst AND coalesce(eg, false) AS g, fst AND coalesce(et, false) AS t,
+       CASE WHEN px IS NULL THEN 0 ELSE len(list_filter(range(1, {LENGTH}), lambda n: right(px, CAST(n AS INTEGER)) = right(x, CAST(n AS INTEGER)) AND instr(right(x, CAST(n AS INTEGER)), '$') = 0)) END AS lcs
+       FROM gr LEFT JOIN ed ON right(x, {LENGTH - 1}) = pre)"""
+_PACK = lambda s, n: f"(SELECT coalesce(bit_or((instr('ACGT', substr({s}, CAST(i AS INTEGER), 1)) - 1)::BIGINT << CAST(2 * (i - 1) AS INTEGER)), 0) FROM unnest(range(1, {n + 1})) AS u(i))"
+_FASTQ = f"""{_SEQ},
+raw AS (SELECT file, string_agg(CASE WHEN seq_no % 2 = 0
+  THEN concat('@doc', seq_no, chr(10), regexp_replace(sequence, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10), '+', chr(10), '@!!', chr(10), '!+', chr(10))
+  ELSE concat('>doc', seq_no, chr(10), regexp_replace(sequence, '(.{{60}})', '\\1' || chr(10), 'g'), 'N', chr(10), chr(10)) END, '' ORDER BY seq_no) AS value FROM seq GROUP BY file),
+l0 AS (SELECT file, unnest(string_split(value, chr(10))) AS line, generate_subscripts(string_split(value, chr(10)), 1) AS ln FROM raw),
+l AS (SELECT *, CASE WHEN left(line, 1) IN ('@', '>') THEN 'H' WHEN left(line, 1) = '+' THEN 'P' ELSE 'O' END AS c FROM l0 WHERE line <> ''),
+n AS (SELECT *, sum(CASE WHEN c <> 'P' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ln) AS grp FROM l),
+p AS (SELECT *, CASE WHEN c = 'P' THEN row_number() OVER (PARTITION BY file, grp, c ORDER BY ln) ELSE 0 END AS pr FROM n),
+q AS (SELECT *, coalesce(lag(pr) OVER (PARTITION BY file ORDER BY ln), 0) % 2 = 1 AS qual FROM p),
+e AS (SELECT *, last_value(CASE WHEN NOT qual AND c <> 'O' THEN c END IGNORE NULLS) OVER (PARTITION BY file ORDER BY ln) AS ev,
+      sum(CASE WHEN c = 'H' AND NOT qual THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ln) AS no FROM q),
+rec AS (SELECT file, CAST(no AS BIGINT) AS seq_no, regexp_replace(string_agg(line, '' ORDER BY ln), '[^ACGT]', 'A', 'g') AS sequence FROM e WHERE c = 'O' AND NOT qual AND ev = 'H' GROUP BY file, no)"""
+_SEG = f"""{_SEQ},
+s0 AS (SELECT file, seq_no, sequence, CAST(length(sequence) AS BIGINT) AS n, greatest(0, length(sequence) // {K.SEGMENT} - 1) AS c FROM seq WHERE length(sequence) >= {LENGTH}),
+s1 AS (SELECT *, n - {K.SEGMENT} * c AS rest FROM s0),
+s2 AS (SELECT *, list_concat(list_transform(range(1, c + 1), lambda i: i * {K.SEGMENT}), CASE WHEN rest > {K.SEGMENT} THEN [{K.SEGMENT} * c + rest // 2, n] ELSE [n] END) AS ends FROM s1),
+sg AS (SELECT file, seq_no, n, CAST(unnest(range(0, len(ends))) AS INTEGER) AS seg_no, ends FROM s2),
+segs AS (SELECT file, seq_no, seg_no, CAST(CASE WHEN seg_no = 0 THEN 0 ELSE ends[seg_no] END AS BIGINT) AS seg_start, CAST(ends[seg_no + 1] AS BIGINT) AS seg_end, ends[seg_no + 1] = n AS is_true_sep FROM sg)"""
+
+# ---------------------------------------------------------------- queries
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+@query(f"""WITH {_SEQ} SELECT seq_no, translate(regexp_replace(sequence, '[^ACGT]', 'A', 'g'), 'ACGT', '0123') AS codes, sequence AS letters,
+CAST(greatest(instr('ACGT', left(sequence, 1)) - 1, 0) AS INTEGER) AS first_code FROM seq""")
+def nucleotide_encode(spark, sf_dir):
+    codes = A.codes(F.col("sequence"))
+    rows = sequences(spark, sf_dir).select("seq_no", codes.alias("codes"), A.letters(codes).alias("letters"), A.code_of(F.left("sequence", F.lit(1))).alias("first_code"))
+    return rows
+
+
+@query(f"""WITH {_SEQ}, w AS (SELECT seq_no, left(sequence, 31) AS s, {_PACK('left(sequence, 31)', 31)} AS word FROM seq WHERE length(sequence) >= 31)
+SELECT seq_no, word, s AS unpacked, CAST(bit_count(word) AS INTEGER) AS ones, CAST((word >> 7) & 1 AS INTEGER) AS bit_7, word | (1::BIGINT << 40) AS with_bit_40,
+CAST((word >> 10) & 31 AS BIGINT) AS lane_2 FROM w""")
+def pack_2bit(spark, sf_dir):
+    rows = sequences(spark, sf_dir).where("length(sequence) >= 31").select("seq_no", A.pack(F.left("sequence", F.lit(31))).alias("word"))
+    word = F.col("word")
+    return rows.select(
+        "seq_no", "word", A.unpack(word, 31).alias("unpacked"), A.popcount(word).alias("ones"), A.get_bit(word, F.lit(7)).cast("int").alias("bit_7"),
+        A.set_bit(word, F.lit(40), F.lit(True)).alias("with_bit_40"), A.lane5(word, F.lit(2)).alias("lane_2"),
+    )
+
+
+@query(f"WITH {_SEQ} SELECT seq_no, CAST(ceil(length(sequence) / 32.0) AS INTEGER) AS words, sequence FROM seq")
+def pack_round_trip(spark, sf_dir):
+    rows = sequences(spark, sf_dir).select("seq_no", A.pack_words(F.col("sequence")).alias("words"), F.length("sequence").alias("n"))
+    return rows.select("seq_no", F.size("words").alias("words"), A.unpack_words(F.col("words"), F.col("n")).alias("sequence"))
+
+
+@query(f"""WITH {_SEQ}, n AS (SELECT seq_no, length(sequence)::BIGINT AS n, sequence FROM seq)
+SELECT seq_no, CASE WHEN n % 80 >= 64 THEN 0 WHEN n % 80 = 63 THEN -9223372036854775808 WHEN n % 80 = 62 THEN 4611686018427387904 WHEN n % 80 = 61 THEN -6917529027641081856 ELSE (5::HUGEINT << CAST(n % 80 AS INTEGER))::BIGINT END AS shifted,
+CASE WHEN n % 80 >= 64 THEN -1 ELSE ((1::HUGEINT << CAST(n % 80 AS INTEGER)) - 1)::BIGINT END AS mask,
+((-n % 7) + 7) % 7 AS modulo, (n + 127) // 128 AS blocks, (n + 127) // 128 * 128 AS rounded,
+concat(left(sequence, 5), substr(sequence, 11, 4), substr(sequence, 10)) AS copied FROM n WHERE n >= 20""")
+def bit_arithmetic(spark, sf_dir):
+    n, s = F.length("sequence").cast("bigint"), F.col("sequence")
+    rows = sequences(spark, sf_dir).where("length(sequence) >= 20")
+    return rows.select(
+        "seq_no", A.shift_left(F.lit(5).cast("bigint"), n % 80).alias("shifted"), A.low_bits(n % 80).alias("mask"), A.mod(-n, F.lit(7)).alias("modulo"),
+        A.ceil_div(n, F.lit(128)).alias("blocks"), A.ceil_multiple(n, F.lit(128)).alias("rounded"), A.copy_range(s, s, F.lit(10), F.lit(4), F.lit(5)).alias("copied"),
+    )
+
+
+@query("""SELECT doc_id, CASE WHEN b < 1024 THEN concat(b, ' B') WHEN b < 1048576 THEN concat(printf('%.3f', b / 1024.0), ' KB')
+WHEN b < 1073741824 THEN concat(printf('%.3f', b / 1048576.0), ' MB') ELSE concat(printf('%.3f', b / 1073741824.0), ' GB') END AS size,
+((b >> 5) & 127) << CAST(b & 7 AS INTEGER) AS skip FROM (SELECT doc_id, n_chars::BIGINT AS b FROM documents)""")
+def human_sizes(spark, sf_dir):
+    b = F.col("n_chars").cast("bigint")
+    low = b.bitwiseAND(F.lit(7)).bitwiseOR(b.bitwiseAND(F.lit(0xFE0)))
+    return table(spark, sf_dir, "documents").select("doc_id", A.human_bytes(b).alias("size"), A.skip_value(low).alias("skip"))
+
+
+@query("""WITH r AS (SELECT doc_id, regexp_extract_all(text, '[^ACGT]+') AS runs FROM documents)
+SELECT doc_id, CAST(len(runs) AS INTEGER) AS runs, CAST(coalesce(list_sum(list_transform(runs, lambda x: length(x))), 0) AS BIGINT) AS letters FROM r""")
+def invalid_runs(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", A.invalid_runs(F.col("text")).alias("r"))
+    rows = rows.select("doc_id", F.explode_outer("r").alias("x"))
+    return rows.groupBy("doc_id").agg(F.count("x").cast("int").alias("runs"), F.coalesce(F.sum(F.col("x.length").cast("bigint")), F.lit(0)).alias("letters"))
+
+
+@query(f"WITH {_FASTQ} SELECT file, seq_no, sequence FROM rec WHERE length(sequence) >= {LENGTH}")
+def fastx_parse(spark, sf_dir):
+    return fastx.records(fastq_texts(spark, sf_dir), LENGTH)
+
+
+@query(f"""WITH {_SEQ}, raw AS (SELECT file, string_agg(concat('@doc', seq_no, chr(10), sequence, CASE WHEN seq_no % 40 = 39 THEN 'X' WHEN seq_no % 3 = 0 THEN 'N' ELSE '' END, chr(10), '+', chr(10), '!', chr(10)), '' ORDER BY seq_no) AS value FROM seq GROUP BY file),
+l AS (SELECT file, unnest(string_split(value, chr(10))) AS line, generate_subscripts(string_split(value, chr(10)), 1) - 1 AS ln FROM raw),
+s AS (SELECT file, ln // 4 + 1 AS seq_no, replace(line, 'N', 'A') AS sequence FROM l WHERE ln % 4 = 1),
+b AS (SELECT *, sum(CASE WHEN regexp_matches(trim(sequence), '[^ACGT]') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY seq_no) AS bad FROM s)
+SELECT file, CAST(seq_no AS BIGINT) AS seq_no, sequence FROM b WHERE bad = 0""")
+def strict_fastq(spark, sf_dir):
+    return fastx.strict_records(strict_texts(spark, sf_dir))
+
+
+@query(f"WITH {_SEQ} SELECT file, seq_no, length(sequence)::INTEGER AS n FROM seq WHERE length(sequence) >= 500")
+def seq_filter(spark, sf_dir):
+    return K.long_enough(sequences(spark, sf_dir), 500).select("file", "seq_no", F.length("sequence").alias("n"))
+
+
+@query(f"WITH {_SEQ} SELECT file, count(*) AS sequences, CAST(sum(length(sequence) - {LENGTH - 1}) AS BIGINT) AS kmers FROM seq WHERE length(sequence) >= {LENGTH} GROUP BY file")
+def kmer_totals(spark, sf_dir):
+    return K.kmer_totals(sequences(spark, sf_dir), LENGTH)
+
+
+@query(f"WITH {_SEG} SELECT * FROM segs")
+def segment(spark, sf_dir):
+    return K.segments(sequences(spark, sf_dir), LENGTH)
+
+
+@query(f"""WITH {_SEG}, r AS (SELECT *, coalesce(sum(seg_end - seg_start) OVER w, 0) AS begin_, coalesce(sum(CASE WHEN is_true_sep THEN 1 ELSE 0 END) OVER w, 0) AS t FROM segs
+WINDOW w AS (PARTITION BY file ORDER BY seq_no, seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT file, seq_no, seg_no, CAST(begin_ AS BIGINT) AS begin, CAST(t AS BIGINT) AS true_before, CAST(begin_ - t * {LENGTH - 1} AS BIGINT) AS out_start FROM r""")
+def sep_offsets(spark, sf_dir):
+    return K.separators(K.segments(sequences(spark, sf_dir), LENGTH), LENGTH).select("file", "seq_no", "seg_no", "begin", "true_before", "out_start")
+
+
+@query(f"""WITH {_SEQ}, {_KMERS} SELECT file, seq_no, count(*) AS kmers, count(DISTINCT kmer) AS distinct_kmers, min(kmer) AS least, max(kmer) AS greatest, CAST(sum("offset") AS BIGINT) AS offsets FROM km GROUP BY file, seq_no""")
+def kmer_extract(spark, sf_dir):
+    rows = K.kmers(sequences(spark, sf_dir), LENGTH)
+    return rows.groupBy("file", "seq_no").agg(
+        F.count("*").alias("kmers"), F.countDistinct("kmer").alias("distinct_kmers"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"), F.sum("offset").alias("offsets")
+    )
+
+
+@query(f"WITH {_SEG} SELECT seq.file, string_agg(sequence, chr(10) ORDER BY seq_no) || chr(10) AS body FROM seq WHERE length(sequence) >= {LENGTH} GROUP BY file")
+def clean_text_out(spark, sf_dir):
+    rows = sequences(spark, sf_dir)
+    return K.rejoined(rows, K.segments(rows, LENGTH))
+
+
+@query(f"WITH {_INDEX} SELECT pos, kmer, is_dummy, a, c, g, t, CAST(lcs AS INTEGER) AS lcs FROM ix")
+def index_build(spark, sf_dir):
+    return index(spark, sf_dir)
+
+
+@query(f"""WITH {_INDEX} SELECT letter, "offset" FROM (
+SELECT 'A' AS letter, 1::BIGINT AS "offset" UNION ALL SELECT 'C', 1 + count(*) FILTER (WHERE a) FROM ix UNION ALL SELECT 'G', 1 + count(*) FILTER (WHERE a) + count(*) FILTER (WHERE c) FROM ix
+UNION ALL SELECT 'T', 1 + count(*) FILTER (WHERE a) + count(*) FILTER (WHERE c) + count(*) FILTER (WHERE g) FROM ix UNION ALL SELECT 'end', count(*) FROM ix)""")
+def c_map(spark, sf_dir):
+    return X.offset_map(index(spark, sf_dir))
+
+
+@query(f"WITH {_INDEX} SELECT CAST(lcs AS INTEGER) AS lcs, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos FROM ix GROUP BY lcs")
+def lcs_array(spark, sf_dir):
+    return index(spark, sf_dir).groupBy("lcs").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+
+
+@query(f"WITH {_INDEX} SELECT right(kmer, {PREFIX}) AS suffix, min(pos) AS l, max(pos) AS r FROM ix WHERE instr(right(kmer, {PREFIX}), '$') = 0 GROUP BY 1")
+def prefix_intervals(spark, sf_dir):
+    return X.suffix_intervals(index(spark, sf_dir), PREFIX)
+
+
+@query(f"WITH {_INDEX} SELECT pos, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN {x} THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS rank_{x}" for x in "acgt") + " FROM ix")
+def rank_query(spark, sf_dir):
+    return X.ranks(index(spark, sf_dir)).select("pos", "rank_a", "rank_c", "rank_g", "rank_t")
+
+
+def _blocks_sql(letter: str) -> str:
+    return f"""SELECT '{letter}' AS letter, pos // 1024 AS block, count(*) FILTER (WHERE {letter}) AS ones, count(*) FILTER (WHERE {letter} AND pos % 1024 < 256) AS q0,
+count(*) FILTER (WHERE {letter} AND pos % 1024 >= 256 AND pos % 1024 < 512) AS q1, count(*) FILTER (WHERE {letter} AND pos % 1024 >= 512 AND pos % 1024 < 768) AS q2 FROM ix GROUP BY pos // 1024"""
+
+
+@query(f"""WITH {_INDEX}, b AS ({' UNION ALL '.join(map(_blocks_sql, 'acgt'))}),
+r AS (SELECT *, CAST(coalesce(sum(ones) OVER (PARTITION BY letter ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS layer_1 FROM b)
+SELECT letter, block, 0::BIGINT AS layer_0, layer_1, (layer_1 << 32) | (q0 << 20) | (q1 << 10) | q2 AS layer_1_2, ones FROM r""")
+def rank_blocks(spark, sf_dir):
+    rows = index(spark, sf_dir)
+    parts = [X.rank_blocks(rows, x, wide=x in "ac").select(F.lit(x).alias("letter"), "*") for x in X.LETTERS]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@query(f"""WITH {_INDEX}, n AS (SELECT count(*) AS size FROM ix), v AS MATERIALIZED (SELECT pos, lcs FROM ix),
+up AS (SELECT x.pos, max(y.pos) AS psv FROM v x JOIN v y ON y.pos < x.pos AND y.lcs < x.lcs GROUP BY x.pos),
+down AS (SELECT x.pos, min(y.pos) AS nsv FROM v x JOIN v y ON y.pos > x.pos AND y.lcs < x.lcs GROUP BY x.pos)
+SELECT v.pos, CAST(lcs AS INTEGER) AS lcs, coalesce(psv, 0) AS psv, coalesce(nsv, (SELECT size FROM n)) AS nsv FROM v LEFT JOIN up ON up.pos = v.pos LEFT JOIN down ON down.pos = v.pos""")
+def psv_nsv(spark, sf_dir):
+    return X.smaller_values(index(spark, sf_dir).select("pos", "lcs"), LENGTH, block=1024)
+
+
+@query(f"""WITH {_INDEX}, o AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE c) AS nc, count(*) FILTER (WHERE g) AS ng, count(*) FILTER (WHERE t) AS nt FROM ix)
+SELECT n AS num_bits, {LENGTH} AS k, concat_ws(' ', 1, 1 + na, 1 + na + nc, 1 + na + nc + ng, 1 + na + nc + ng + nt) AS c_map, 1::BIGINT AS layer_0_len, (n + 1023) // 1024 AS layer_1_2_len FROM o""")
+def index_info(spark, sf_dir):
+    return X.info(index(spark, sf_dir), LENGTH)
+
+
+_FOUND = f"WITH {_INDEX}, {_SEQ}, {_KMERS}, fd AS (SELECT km.*, coalesce(ix.pos, -1) AS pos FROM km LEFT JOIN ix ON ix.kmer = km.kmer AND NOT ix.is_dummy)"
+_PER_DOCUMENT = _FOUND + """ SELECT file, seq_no, count(*) AS kmers, count(*) FILTER (WHERE pos >= 0) AS hits, CAST(sum(pos) AS BIGINT) AS sum_pos, max(pos) AS max_pos FROM fd GROUP BY file, seq_no"""
+
+
+def _per_document(found: DataFrame) -> DataFrame:
+    hit = F.when(F.col("pos") >= 0, 1)
+    return found.groupBy("file", "seq_no").agg(F.count("*").alias("kmers"), F.count(hit).alias("hits"), F.sum("pos").alias("sum_pos"), F.max("pos").alias("max_pos"))
+
+
+@query(_PER_DOCUMENT)
+def hits_per_document(spark, sf_dir):
+    return _per_document(search.search(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH))
+
+
+@query(_FOUND + ' SELECT file, seq_no, "offset", pos FROM fd WHERE pos >= 0')
+def kmer_search(spark, sf_dir):
+    return search.search(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH).where("pos >= 0")
+
+
+@query(_PER_DOCUMENT)
+def streaming_search(spark, sf_dir):
+    return _per_document(search.streaming_search(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH))
+
+
+@query(_FOUND + " SELECT file, count(*) AS present, count(DISTINCT kmer) AS distinct_kmers FROM fd WHERE pos >= 0 GROUP BY file")
+def kmer_semi(spark, sf_dir):
+    rows = search.present(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH)
+    return rows.groupBy("file").agg(F.count("*").alias("present"), F.countDistinct("kmer").alias("distinct_kmers"))
+
+
+@query(_FOUND + " SELECT file, count(*) AS absent, min(kmer) AS least, max(kmer) AS greatest FROM fd WHERE pos < 0 GROUP BY file")
+def kmer_anti(spark, sf_dir):
+    rows = search.absent(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH)
+    return rows.groupBy("file").agg(F.count("*").alias("absent"), F.min("kmer").alias("least"), F.max("kmer").alias("greatest"))
+
+
+@query(f"""WITH {_INDEX}, {_SEQ}, w AS (SELECT file, seq_no, substr(sequence, i, {PREFIX}) AS suffix FROM (SELECT *, unnest(range(1, length(sequence) - {PREFIX - 2})) AS i FROM seq WHERE length(sequence) >= {PREFIX})),
+iv AS (SELECT right(kmer, {PREFIX}) AS suffix, min(pos) AS l, max(pos) AS r FROM ix WHERE instr(right(kmer, {PREFIX}), '$') = 0 GROUP BY 1)
+SELECT file, seq_no, count(*) AS windows, count(l) AS found, CAST(sum(coalesce(l, -1)) AS BIGINT) AS sum_l, CAST(sum(coalesce(r, -1)) AS BIGINT) AS sum_r FROM w LEFT JOIN iv USING (suffix) GROUP BY file, seq_no""")
+def suffix_interval(spark, sf_dir):
+    rows = search.intervals(sequences(spark, sf_dir), index(spark, sf_dir), PREFIX)
+    return rows.groupBy("file", "seq_no").agg(
+        F.count("*").alias("windows"), F.count(F.when(F.col("l") >= 0, 1)).alias("found"), F.sum("l").alias("sum_l"), F.sum("r").alias("sum_r")
+    )
+
+
+@query(f"""WITH RECURSIVE {_INDEX}, b AS MATERIALIZED (SELECT pos, a, c, g, t, {', '.join(f"coalesce(sum(CASE WHEN {x} THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r{x}" for x in "acgt")} FROM ix),
+o AS MATERIALIZED (SELECT count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE c) AS nc, count(*) FILTER (WHERE g) AS ng FROM ix),
+st AS MATERIALIZED (SELECT pos, CAST(CASE WHEN a THEN 1 + ra WHEN c THEN 1 + na + rc WHEN g THEN 1 + na + nc + rg WHEN t THEN 1 + na + nc + ng + rt END AS BIGINT) AS nxt FROM b, o),
+wk AS (SELECT pos, pos AS at, 0 AS n FROM st UNION ALL SELECT wk.pos, st.nxt, n + 1 FROM wk JOIN st ON st.pos = wk.at WHERE wk.at % 16 <> 0 AND st.nxt IS NOT NULL AND n < 2000)
+SELECT st.pos, coalesce(max(wk.at) FILTER (WHERE wk.at % 16 = 0), -1) AS key FROM st JOIN wk ON wk.pos = st.pos GROUP BY st.pos""")
+def move_to_key(spark, sf_dir):
+    rows = index(spark, sf_dir)
+    return search.walk_to_keys(rows, rows.where("pos % 16 = 0").select("pos"))
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT CAST(doc_id AS VARCHAR) AS file, n_chars::BIGINT AS size, row_number() OVER (ORDER BY n_chars, CAST(doc_id AS VARCHAR)) AS i FROM documents),
+w AS (SELECT file, size, i, 0 AS bin, size AS total FROM f WHERE i = 1 UNION ALL
+SELECT f.file, f.size, f.i, CASE WHEN w.total > {STREAM_LIMIT} THEN w.bin + 1 ELSE w.bin END, CASE WHEN w.total > {STREAM_LIMIT} THEN f.size ELSE w.total + f.size END FROM w JOIN f ON f.i = w.i + 1),
+t AS (SELECT bin, CAST(sum(size) AS BIGINT) AS stream_total FROM w GROUP BY bin), o AS (SELECT *, CAST(row_number() OVER (ORDER BY stream_total DESC, bin) - 1 AS INTEGER) AS stream FROM t)
+SELECT file, size, stream, stream_total FROM w JOIN o USING (bin)""")
+def balance_files(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("n_chars").cast("bigint").alias("size"))
+    return routing.balance(files, STREAM_LIMIT)
+
+
+@query("SELECT url AS path, count(*) AS n FROM (SELECT url FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0) GROUP BY url HAVING count(*) > 1")
+def dup_paths(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return routing.repeated_paths(pages.select(F.col("url").alias("path")).union(pages.where("page_id % 3 = 0").select("url")))
+
+
+@query(f"WITH {_FASTQ} SELECT file, count(*) AS sequences, CAST(sum(length(sequence) - {LENGTH - 1}) AS BIGINT) AS kmers FROM rec WHERE length(sequence) >= {LENGTH} GROUP BY file")
+def clean_files(spark, sf_dir):
+    return K.kmer_totals(fastx.records(fastq_texts(spark, sf_dir), LENGTH), LENGTH)
+
+
+@query(f"WITH {_SEQ} SELECT file, seq_no, CAST(row_number() OVER (ORDER BY file, seq_no) - 1 AS BIGINT) AS pos FROM seq")
+def output_order(spark, sf_dir):
+    from kmerlake.operators.order import ranked
+
+    rows = sequences(spark, sf_dir).select("file", "seq_no")
+    return ranked(rows, F.col("file"), F.struct("file", "seq_no"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
