@@ -6,8 +6,9 @@ of COVER (both places are counted from the start of their documents). The steps
 
 1. Screening. Of every window of length - GRAM + 1 grams the least gram (by hash, leftmost of equals) is its mark. Equal
    strings have their marks at the same distance, so a string whose mark's gram is nowhere else a mark cannot start twice.
-   This drops no repeated string, and leaves only the starts whose marks occur twice or more. Texts that are equal as a
-   whole are one text here.
+   This drops no repeated string, and leaves only the starts whose marks occur twice or more. The starts that share a
+   mark are settled together where the whole stretch that their strings cover is also found elsewhere; one stretch then
+   stands for its copies. Stretches that differ around equal marks go on. Texts that are equal as a whole are one text.
 2. Sampled triples. There, each sampled suffix gets the names of the three blocks of PERIOD bytes that begin it (a name is
    a hash; its numeric order is the order of the blocks), and each triple of names is named in turn. Three blocks and the
    longest distance fit in `length`, so this one level of recursion decides and no deeper one is needed. Triples are
@@ -15,7 +16,8 @@ of COVER (both places are counted from the start of their documents). The steps
 3. Remaining suffixes. Starts from which no sampled suffix with an equal triple is within reach are dropped. The others
    are merged by the name of their first `length` bytes: sorted, and compared with their neighbours.
 
-Names have 64 bits in steps 1 and 2, where they only keep too much if two of them collide, and 128 bits in step 3. Rows
+Names have 64 bits in step 2, where they only keep too much if two of them collide; 128 bits tell stretches apart (the
+mark's gram, and the stretch) and strings in step 3. Rows
 of steps 2 and 3 are packed: a task sends one row of bytes for each range of names. Of equal names that a task meets
 itself it sends one, so that a string which a third of all documents share costs each task one name. The ranges' number
 follows the number of starts.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 LENGTH = 400
 GRAM = 128
@@ -104,8 +106,17 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def marks_of(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first starts, last starts): the marks of text, and the starts of strings whose mark each is."""
+def stretch_names(name: np.ndarray, gram: int, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
+    """A name for each stretch from low to high + length, from the names of the grams that tile it."""
+    last = high + length - gram
+    out = mix(name[low], name[last]) ^ (last - low).astype(np.uint64)
+    for step in range(gram, int((last - low).max(initial=0)), gram):
+        out = np.where(low + step < last, mix(out, name[np.minimum(low + step, last)]), out)
+    return out
+
+
+def marks_of(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(names, first starts, last starts, stretches): the marks of text, and the starts of strings whose mark each is."""
     found, at = [], 0
     n = len(text) - length + 1
     while at < n:
@@ -113,15 +124,16 @@ def marks_of(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.n
         name = names(part, gram)
         place = leftmost_minima(name, length - gram + 1)[: min(SLICE, n - at)]
         change = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        found.append((name[place[change]], at + change, at + np.r_[change[1:], len(place)] - 1))
+        last = np.r_[change[1:], len(place)] - 1
+        found.append((name[place[change]], at + change, at + last, stretch_names(name, gram, change, last, length)))
         at += SLICE
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """name, k1, k2, low, high of the marks of every text; texts of a batch that are equal are read once.
+    """name, k1, k2, low, high, stretch of the marks of every text; texts of a batch that are equal are read once.
 
     Short texts of a batch are hashed side by side in slices, which costs little per text.
     """
@@ -141,18 +153,21 @@ def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     group, size = [], 0
             out += side_by_side(group, length, gram)
             if out:
-                name, a, b, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(a), pa.array(b), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["name", "k1", "k2", "low", "high"])
+                name, a, b, low, high, stretch = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(name.view(np.int64)), pa.array(a), pa.array(b), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(stretch.view(np.int64))],
+                    ["name", "k1", "k2", "low", "high", "stretch"],
+                )
 
-    return rows.select("k1", "k2", "body").mapInArrow(run, "name bigint, k1 bigint, k2 bigint, low int, high int")
+    return rows.select("k1", "k2", "body").mapInArrow(run, "name bigint, k1 bigint, k2 bigint, low int, high int, stretch bigint")
 
 
 def side_by_side(group: list, length: int, gram: int) -> list[tuple]:
     out = []
     small = [x for x in group if len(x[1]) <= SLICE]
     for key, text in (x for x in group if len(x[1]) > SLICE):
-        name, low, high = marks_of(text, length, gram)
-        out.append((name, np.full(len(name), key[0]), np.full(len(name), key[1]), low, high))
+        name, low, high, stretch = marks_of(text, length, gram)
+        out.append((name, np.full(len(name), key[0]), np.full(len(name), key[1]), low, high, stretch))
     if not small:
         return out
     sizes = np.array([len(x[1]) for x in small])
@@ -168,7 +183,8 @@ def side_by_side(group: list, length: int, gram: int) -> list[tuple]:
     last = np.r_[change[1:], len(starts)] - 1
     who = owner[change]
     keys = np.array([x[0] for x in small], np.int64)
-    out.append((name[place[change]], keys[who, 0], keys[who, 1], starts[change] - begins[who], starts[last] - begins[who]))
+    stretch = stretch_names(name, gram, starts[change], starts[last], length)
+    out.append((name[place[change]], keys[who, 0], keys[who, 1], starts[change] - begins[who], starts[last] - begins[who], stretch))
     return out
 
 
@@ -247,9 +263,13 @@ def repeated(rows: DataFrame, make, ranges: int) -> DataFrame:
         out = list(answers(places_of(records[twin]), ranges))
         return pa.table({"home": pa.array([x[0] for x in out], pa.int64()), "places": pa.array([x[1] for x in out], pa.binary())})
 
-    sent = stored(rows.mapInArrow(send, "kind int, range bigint, body binary"), "suffixes")
-    far = sent.where("kind = 1").select("range", "body").groupBy("range").applyInArrow(settle, "home bigint, places binary")
-    return sent.where("kind = 0").select(F.col("range").alias("home"), F.col("body").alias("places")).union(far)
+    def meet(table: pa.Table) -> pa.Table:
+        if table.column("kind")[0].as_py():
+            return settle(table)
+        return pa.table({"home": table.column("range"), "places": table.column("body")})
+
+    sent = rows.mapInArrow(send, "kind int, range bigint, body binary")
+    return sent.groupBy("kind", "range").applyInArrow(meet, "home bigint, places binary")
 
 
 def places_of(records: np.ndarray) -> np.ndarray:
@@ -273,12 +293,16 @@ def by_text(found: DataFrame) -> DataFrame:
 
 
 def possible_starts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(sid, bytes, possible starts) of each row of a batch."""
-    for sid, body, low, high in zip(batch.column("sid").to_pylist(), batch.column("body"), batch.column("low"), batch.column("high"), strict=True):
-        text = np.frombuffer(body.as_buffer(), np.uint8)
-        low, high = low.values.to_numpy(), high.values.to_numpy()
-        order = np.argsort(low, kind="stable")
-        yield sid, text, spread(low[order].astype(np.int64), high[order].astype(np.int64))
+    """(sid, bytes, starts yet to be settled) of each row of a batch."""
+    for sid, body, ranges in zip(batch.column("sid").to_pylist(), batch.column("body"), batch.column("open"), strict=True):
+        yield sid, np.frombuffer(body.as_buffer(), np.uint8), starts_in(ranges)
+
+
+def starts_in(ranges) -> np.ndarray:
+    """All starts, sorted, of a list of ranges (low, high) that do not overlap."""
+    low, high = (ranges.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+    order = np.argsort(low, kind="stable")
+    return spread(low[order], high[order])
 
 
 def stretches(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
@@ -340,10 +364,13 @@ def cut(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             removed, spans, digests, kept = [], [], [], []
-            for body, ats in zip(batch.column("body"), batch.column("ats"), strict=True):
+            for body, ats, ranges in zip(batch.column("body"), batch.column("ats"), batch.column("settled"), strict=True):
                 text = memoryview(body.as_buffer())
                 pieces, done, gone, n = [], 0, 0, 0
-                for begin, end in stretches(np.frombuffer(ats.as_buffer(), np.int32).astype(np.int64), length):
+                starts = starts_in(ranges)
+                if ats.is_valid:
+                    starts = np.union1d(starts, np.frombuffer(ats.as_buffer(), np.int32).astype(np.int64))
+                for begin, end in stretches(starts, length):
                     pieces.append(text[done:begin])
                     done, gone, n = end, gone + end - begin, n + 1
                 pieces.append(text[done:])
@@ -357,7 +384,7 @@ def cut(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
                 ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    both = texts.select("sid", "k1", "k2", "body").join(found, "sid").select("k1", "k2", "body", "ats")
+    both = texts.join(found, "sid", "left").where("ats is not null or size(settled) > 0").select("k1", "k2", "body", "settled", "ats")
     return both.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
@@ -383,17 +410,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     least = F.coalesce(F.min("doc_id"), F.lit(-1)).alias("least")
     classes = stored(rows.groupBy("k1", "k2").agg(least, F.count("*").alias("copies")), "texts")
     all_marks = stored(marks(rows, length, gram), "marks")
-    place = F.struct("k1", "k2", "low")
+    place = F.struct("k1", "k2", "low", "high")
     twice = stored(all_marks.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("name"), "names")
-    ranges = all_marks.join(twice, "name").select("k1", "k2", "low", "high").groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("r"))
-    chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", F.col("least").alias("doc"), F.col("r.low").alias("low"), F.col("r.high").alias("high"))
+    contested = stored(all_marks.join(twice, "name"), "contested")
+    release(all_marks)
+    kinds = stored(contested.groupBy("name", "stretch").agg(F.min(place).alias("one"), F.max(place).alias("other")), "stretches")
+    several = stored(kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "names")
+    settled = contested.join(kinds.where("one <> other").select("name", "stretch"), ["name", "stretch"]).select("k1", "k2", "low", "high", F.lit(True).alias("sure"))
+    unsure = kinds.join(several, "name").select("one.*", F.lit(False).alias("sure"))
+    ranges = settled.union(unsure).groupBy("k1", "k2").agg(F.collect_set(F.struct("sure", "low", "high")).alias("r"))
+    of = lambda sure: F.transform(F.filter("r", lambda x: x["sure"] == sure), lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high")))
+    chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", F.col("least").alias("doc"), of(True).alias("settled"), of(False).alias("open"))
     bodies = rows.where(F.length("body") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "k1", "k2", "body")
     texts = bodies.join(chosen, ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"])
-    texts = stored(texts.select(F.monotonically_increasing_id().alias("sid"), "k1", "k2", "body", "low", "high"), "candidates")
-    starts = texts.agg(F.sum(F.aggregate(F.zip_with("low", "high", lambda a, b: (b - a + 1).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("sid"), "k1", "k2", "body", "settled", "open"), "candidates")
+    contest = texts.where(F.size("open") > 0).select("sid", "body", "open")
+    starts = contest.agg(F.sum(F.aggregate("open", F.lit(0).cast("bigint"), lambda a, x: a + (x["high"] - x["low"] + 1)))).first()[0] or 0
     ranges_n = max(4, -(-starts // RANGE))
-    triples = by_text(repeated(texts, sampled_triples(length), ranges_n))
-    going = by_text(repeated(texts.join(triples, "sid"), remaining_suffixes(length), ranges_n))
+    triples = by_text(repeated(contest, sampled_triples(length), ranges_n))
+    going = by_text(repeated(contest.join(triples, "sid"), remaining_suffixes(length), ranges_n))
     return classes, stored(cut(texts, going, length), "cuts")
 
 
