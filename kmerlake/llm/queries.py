@@ -42,16 +42,16 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH d AS (SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM d),
-w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, text ORDER BY at) AS nxt FROM l),
-r AS (SELECT doc_id, text, at, count(*) OVER (PARTITION BY line, nxt) AS n,
-             row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, at) AS copy
+l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+w AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, text ORDER BY pos) AS nxt FROM l),
+r AS (SELECT doc_id, text, pos, count(*) OVER (PARTITION BY line, nxt) AS n,
+             row_number() OVER (PARTITION BY line, nxt ORDER BY doc_id, pos) AS copy
       FROM w WHERE nxt IS NOT NULL AND regexp_matches(concat(line, nxt), '[^\\x20\\x09-\\x0D]')),
-g AS (SELECT doc_id, text, at FROM r WHERE copy > 1 UNION SELECT doc_id, text, at + 1 FROM r WHERE copy > 1),
-m AS (SELECT l.*, g.at IS NOT NULL AS gone, lag(g.at) OVER (PARTITION BY l.doc_id, l.text ORDER BY l.at) IS NOT NULL AS before
-      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.text = l.text AND g.at = l.at),
+g AS (SELECT doc_id, text, pos FROM r WHERE copy > 1 UNION SELECT doc_id, text, pos + 1 FROM r WHERE copy > 1),
+m AS (SELECT l.*, g.pos IS NOT NULL AS gone, lag(g.pos) OVER (PARTITION BY l.doc_id, l.text ORDER BY l.pos) IS NOT NULL AS before
+      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.text = l.text AND g.pos = l.pos),
 k AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT before) AS n_runs,
-             sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id, text)
+             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id, text)
 SELECT documents.doc_id, n_lines, n_removed, n_runs, kept_sha256 FROM documents JOIN k ON k.doc_id = documents.doc_id AND k.text = coalesce(documents.text, '')
 """
 
