@@ -35,6 +35,26 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class Pieces(dict):
+    """Ids, as 16-bit little-endian bytes, of the pattern's matches in plain text."""
+
+    MOST = 300_000
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(kept))}
+
+    def __missing__(self, piece: str) -> bytes:
+        out = b"".join(t.id.to_bytes(2, "little") for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown)))
+        if len(piece) <= 64:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[piece] = out
+        return out
+
+
 class Chunks(dict):
     """Ids, as 16-bit little-endian bytes, of stretches without ASCII white space; a missing one is encoded.
 
@@ -42,7 +62,7 @@ class Chunks(dict):
     its stretches in a row.
     """
 
-    MOST = 500_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,17 +75,14 @@ class Chunks(dict):
         if len(said["model"]["vocab"]) > 65536:
             raise ValueError("ids are kept in 16 bits")
         self.plain = PLAIN if usual else re.compile(r"(?!)")
-        self.model = self.tokenizer.model
-        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(kept))}
+        self.pieces = Pieces(self.tokenizer.model)
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
         if self.plain.fullmatch(text) and "<|" not in text:
-            ids = [t.id for w in WORDS.findall(text.lower()) for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.shown))]
+            out = b"".join(map(self.pieces.__getitem__, WORDS.findall(text.lower())))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        out = b"".join(i.to_bytes(2, "little") for i in ids)
+            out = b"".join(i.to_bytes(2, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
         if len(chunk) <= 64:
             if len(self) >= self.MOST:
                 self.clear()
