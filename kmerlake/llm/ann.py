@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Vectors that the trees are fitted on at most; trees; vectors in a leaf of the whole table, about; leaves searched.
-SAMPLE, TREES, LEAF, LEAVES = 20_000, 10, 64, 160
-#: Vectors in a row of packed entries at most.
-PACK = 256
+SAMPLE, TREES, LEAF, LEAVES = 20_000, 10, 256, 240
 
 
 @dataclass
@@ -100,13 +98,14 @@ def neighbours(table: DataFrame, every: int = 100, k: int = 10, sample: int = SA
     vec_id take no part. Rows with equal vec_id and vector count once. Queries have fewer rows only if there are fewer
     candidates in the leaves searched; an empty table gives no rows.
     """
-    v = F.col("embedding").cast("array<double>")
+    kind = "float" if dict(table.dtypes).get("embedding") == "array<float>" else "double"
+    v = F.col("embedding").cast(f"array<{kind}>")
     rows = table.select(F.col("vec_id").cast("bigint"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)")
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if width is None:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("v") == width["n"]).withColumn("v", F.transform("v", lambda x: x + 0.0)).withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
+    rows = rows.where(F.size("v") == width["n"]).withColumn("v", F.transform("v", lambda x: (x + F.lit(0).cast(kind)).cast(kind))).withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
     # of equal vectors only the k + 1 least ids can be among the k nearest to anything
     first = Window.partitionBy("h1", "h2", "v").orderBy("vec_id")
     least = rows.select("vec_id", "h1", "h2", "v").withColumn("r", F.rank().over(first)).where(F.col("r") <= k + 1)
@@ -124,44 +123,43 @@ def neighbours(table: DataFrame, every: int = 100, k: int = 10, sample: int = SA
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, entry = matrix(batch.column("v")), batch.column("entry").to_numpy()
+            x = matrix(batch.column("v"))
             for t, tree in enumerate(shared.value):
                 at = tree.leaf_of(x)
-                order = np.argsort(at, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
-                groups = [g[i : i + PACK] for g in np.split(order, cuts[1:]) for i in range(0, len(g), PACK)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t] * len(groups), pa.int32()), pa.array([int(at[g[0]]) for g in groups], pa.int32()), pa.array([entry[g].tobytes() for g in groups])],
-                    ["tree", "leaf", "entries"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(at.astype(np.int32)), batch.column("entry"), batch.column("v")], ["tree", "leaf", "entry", "v"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, entry = matrix(batch.column("v")), batch.column("entry").to_pylist()
-            found = [(q, t, at) for q, y in zip(entry, x, strict=True) for t, at in search(shared.value, y, leaves)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))], ["query", "tree", "leaf"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("entries")]
-            if parts:
-                query = np.repeat(batch.column("query").to_numpy(), [len(p) for p in parts])
-                pairs = np.unique(np.stack([query, np.concatenate(parts)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["query", "entry"])
-
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gap = matrix(batch.column("v")) - matrix(batch.column("w"))
-            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("entry"), pa.array(np.sqrt((gap * gap).sum(1)))], ["query", "entry", "score"])
+            x = matrix(batch.column("v"))
+            found = [(i, t, at) for i, y in enumerate(x) for t, at in search(shared.value, y, leaves)]
+            rows, tree, at = (pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))
+            yield pa.RecordBatch.from_arrays([tree, at, batch.column("query").take(rows), batch.column("v").take(rows)], ["tree", "leaf", "query", "v"])
+
+    def rerank(key, kept: pa.Table, asked: pa.Table) -> pa.Table:
+        """Of the entries of a leaf, those among the k + 1 nearest, or as near as the last of them, to each query that visits it."""
+        queries, at, scores = [], [], []
+        if len(kept) and len(asked):
+            x, y = (matrix(t.column("v").combine_chunks()) for t in (kept, asked))
+            for i in range(len(y)):
+                gap = x - y[i]
+                d = np.sqrt((gap * gap).sum(1))
+                near = np.flatnonzero(d <= np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)])
+                queries.append(np.full(len(near), i))
+                at.append(near)
+                scores.append(d[near])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        return pa.table({
+            "query": asked.column("query").take(pa.array(join(queries, np.int64))), "entry": kept.column("entry").take(pa.array(join(at, np.int64))),
+            "score": pa.array(join(scores, np.float64)),
+        })
 
     asked = rows.where(F.col("vec_id") % every == 0)
     asked = stored(asked.select("vec_id", "h1", "h2", "v").join(entries.select("h1", "h2", F.col("v").alias("w"), "entry"), ["h1", "h2"]).where("v = w").select(F.col("vec_id").alias("query_id"), F.col("entry").alias("query"), "v").dropDuplicates(["query_id", "query"]), "queries")
     queries = asked.dropDuplicates(["query"]).select("query", "v")
-    packs = stored(entries.select("entry", "v").mapInArrow(place, "tree int, leaf int, entries binary"), "forest")
-    visits = stored(queries.select(F.col("query").alias("entry"), "v").mapInArrow(look, "query bigint, tree int, leaf int"), "visits")
-    pairs = visits.join(packs, ["tree", "leaf"]).select("query", "entries").mapInArrow(unpack, "query bigint, entry bigint").distinct()
-    pairs = pairs.join(entries.select("entry", "v"), "entry").join(queries.select("query", F.col("v").alias("w")), "query")
-    scored = pairs.mapInArrow(distances, "query bigint, entry bigint, score double")
+    placed = entries.select("entry", "v").mapInArrow(place, f"tree int, leaf int, entry bigint, v array<{kind}>")
+    visits = queries.mapInArrow(look, f"tree int, leaf int, query bigint, v array<{kind}>")
+    scored = placed.groupBy("tree", "leaf").cogroup(visits.groupBy("tree", "leaf")).applyInArrow(rerank, "query bigint, entry bigint, score double")
+    scored = scored.distinct()
     # k + 1 entries at most can matter: each holds an id, and one of them may be the query itself
     near = Window.partitionBy("query").orderBy("score")
     near = scored.withColumn("r", F.rank().over(near)).where(F.col("r") <= k + 1).select("query", "entry", "score")
