@@ -61,7 +61,7 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataF
     """
     gone = deleted_lines(docs, min_lines).toDF("__doc", "__key", "__gone")
     rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__k": text_key(F.coalesce("text", F.lit("")))})
-    rows = rows.join(gone, (F.col("__d") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
+    rows = rows.join(gone.hint("merge"), (F.col("__d") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")
     rows = rows.withColumn("__lines", F.split("text", "\n"))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     kept = F.array_join(F.transform(keep, lambda i: F.get("__lines", i)), "\n")

@@ -99,7 +99,7 @@ def fit(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, n_cells: in
         return pa.table({"block": table.column("block")[:1], "background": pa.array([sums[0].tobytes()]), "target": pa.array([sums[1].tobytes()])})
 
     good = trusted.select(F.col("doc_id").cast("bigint").alias("__good")).where("__good is not null").distinct()
-    rows = texts(docs).join(good, F.col("doc_id") == F.col("__good"), "left").select(F.col("text").cast("binary"), F.col("__good").isNotNull().alias("good"))
+    rows = texts(docs).join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left").select(F.col("text").cast("binary"), F.col("__good").isNotNull().alias("good"))
     schema = "block int, background binary, target binary"
     found = stored(rows.mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema), "counts").toArrow()
     total = np.zeros((2, n_cells + n_uni), np.float32)
