@@ -43,7 +43,12 @@ def letter_of(code: Column) -> Column:
 
 def pack(sequence: Column) -> Column:
     """Up to 32 letters in one long, the first in the two lowest bits."""
-    return F.conv(F.translate(F.reverse(clean(sequence)), LETTERS, "0123"), 4, -10).cast("bigint")
+    return pack_letters(clean(sequence))
+
+
+def pack_letters(sequence: Column) -> Column:
+    """pack() for sequences known to be clean."""
+    return F.conv(F.translate(F.reverse(sequence), LETTERS, "0123"), 4, -10).cast("bigint")
 
 
 def unpack(word: Column, n: Column | int) -> Column:
@@ -111,7 +116,7 @@ def human_bytes(n: Column) -> Column:
     """Bytes in the largest unit of 1024 that leaves at least 1; three decimals beyond bytes."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for i, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
-        out = F.when(n >= 1024**i, F.concat(F.format_string("%.3f", n / 1024**i), F.lit(" " + unit))).otherwise(out)
+        out = F.when(n >= 1024**i, F.concat(F.format_string("%.3f", F.bround(n.cast("float").cast("double") / 1024**i, 3)), F.lit(" " + unit))).otherwise(out)
     return out
 
 

@@ -51,23 +51,40 @@ def separators(segs: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("out_start", F.col("begin") - F.col("true_before") * (k - 1))
 
 
-def kmers(records: DataFrame, k: int, stretch: int = 4096) -> DataFrame:
-    """file, seq_no, offset, kmer: every window of k letters.
+def stretches(records: DataFrame, k: int, stretch: int) -> DataFrame:
+    """file, seq_no, base, body: sequences in stretches of `stretch` windows, which overlap by k - 1 letters.
 
-    Long sequences are cut into stretches of `stretch` windows first, which overlap by k - 1 letters, so that no array
-    holds more than that many k-mers and a very long sequence is spread over rows.
+    So no array of windows gets long, a very long sequence is spread over rows, and a window is found in few steps.
     """
     kept = long_enough(records, k)
     last = F.expr(f"cast((length(sequence) - {k}) div {stretch} as int)")
     parts = kept.select("file", "seq_no", F.explode(F.sequence(F.lit(0), last)).alias("part"), "sequence")
     parts = parts.select("file", "seq_no", (F.col("part").cast("bigint") * stretch).alias("base"), F.substring("sequence", F.col("part") * stretch + 1, F.lit(stretch + k - 1)).alias("body"))
+    return parts
+
+
+def kmers(records: DataFrame, k: int, stretch: int = 128) -> DataFrame:
+    """file, seq_no, offset, kmer: every window of k letters."""
+    parts = stretches(records, k, stretch)
     windows = F.transform(F.sequence(F.lit(1), F.length("body") - (k - 1)), lambda i: F.substring(F.col("body"), i, F.lit(k)))
     return parts.select("file", "seq_no", "base", F.posexplode(windows).alias("i", "kmer")).select("file", "seq_no", (F.col("base") + F.col("i")).alias("offset"), "kmer")
 
 
+def kmer_codes(records: DataFrame, k: int, stretch: int = 128) -> DataFrame:
+    """file, seq_no, offset, kmer_bits: every window of k letters, packed without being written out as text.
+
+    Windows are read from the reversed digits, whose numbers have the first letter in the lowest bits.
+    """
+    parts = stretches(records, k, stretch).select("file", "seq_no", "base", F.reverse(F.translate("body", alphabet.LETTERS, "0123")).alias("digits"))
+    codes = F.transform(F.sequence(F.lit(1), F.length("digits") - (k - 1)), lambda i: F.conv(F.substring(F.col("digits"), i, F.lit(k)), 4, -10).cast("bigint"))
+    last = F.col("base") + F.length("digits") - k
+    rows = parts.select("file", "seq_no", last.alias("last"), F.posexplode(codes).alias("i", "kmer_bits"))
+    return rows.select("file", "seq_no", (F.col("last") - F.col("i")).alias("offset"), "kmer_bits")
+
+
 def packed(rows: DataFrame) -> DataFrame:
-    """rows with kmer_bits, the packed k-mer: 8 bytes to shuffle and compare in place of k."""
-    return rows.withColumn("kmer_bits", alphabet.pack(F.col("kmer")))
+    """rows with kmer_bits, the packed k-mer (letters only): 8 bytes to shuffle and compare in place of k."""
+    return rows.withColumn("kmer_bits", alphabet.pack_letters(F.col("kmer")))
 
 
 def rejoined(records: DataFrame, segs: DataFrame, newline: str = "\n") -> DataFrame:

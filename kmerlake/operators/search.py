@@ -11,35 +11,35 @@ from pyspark.sql import functions as F
 
 from . import kmers as K
 from .index import LETTERS
+from .lineage import checkpointed
 
 #: Rows up to which an index is small enough to be sent whole to every task: 13 MB of bits and counts.
 SMALL = 10_000_000
 
 
 def entries(index: DataFrame) -> DataFrame:
-    """kmer_bits, pos of the k-mers proper: what a search joins with, 16 bytes a row."""
-    return K.packed(index.where("not is_dummy").select("kmer", "pos")).select("kmer_bits", "pos")
+    """kmer, pos of the k-mers proper: what a search joins with."""
+    return index.where("not is_dummy").select("kmer", "pos")
 
 
 def search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """file, seq_no, offset, pos of every k-mer of records; pos is -1 where the index lacks it.
 
-    A left join on the packed k-mer, without a hint: the engine sends a small index to all tasks by its measured size, and
-    shuffles both sides, splitting skewed ones, beyond that.
+    A left join without a hint: the engine sends a small index to all tasks by its measured size, and shuffles both sides,
+    splitting skewed ones, beyond that. Keys are the letters: packing them costs more time than their bytes do.
     """
-    rows = K.packed(K.kmers(records, k)).select("file", "seq_no", "offset", "kmer_bits")
-    found = rows.join(entries(index), "kmer_bits", "left")
+    found = K.kmers(records, k).join(entries(index), "kmer", "left")
     return found.select("file", "seq_no", "offset", F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"))
 
 
 def present(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """The k-mers of records that the index has, by a semi join."""
-    return K.packed(K.kmers(records, k)).join(entries(index), "kmer_bits", "left_semi").drop("kmer_bits")
+    return K.kmers(records, k).join(entries(index), "kmer", "left_semi")
 
 
 def absent(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """The k-mers of records that the index lacks, by an anti join."""
-    return K.packed(K.kmers(records, k)).join(entries(index), "kmer_bits", "left_anti").drop("kmer_bits")
+    return K.kmers(records, k).join(entries(index), "kmer", "left_anti")
 
 
 def intervals(queries: DataFrame, index: DataFrame, m: int) -> DataFrame:
@@ -55,7 +55,7 @@ def walk_to_keys(index: DataFrame, keys: DataFrame, rounds: int = 40) -> DataFra
     """pos, key: the first key row (keys.pos) on the walk from each row along its first set bit; -1 if it ends or never meets one.
 
     Pointer doubling: after n rounds every row points 2 ** n steps ahead, so that rounds are few; a walk that is still going
-    after as many steps as there are rows goes round in circles. Rows are stored after each few rounds to cut lineage.
+    after as many steps as there are rows goes round in circles. Lineage is cut after every round.
     """
     from .index import offset_map, ranks
 
@@ -70,7 +70,7 @@ def walk_to_keys(index: DataFrame, keys: DataFrame, rounds: int = 40) -> DataFra
             "pos", F.when(F.col("done"), F.col("at")).otherwise(F.coalesce("next", F.lit(-1))).alias("at"),
             (F.col("done") | F.coalesce("settled", F.lit(True))).alias("done"),
         )
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state
+        state = checkpointed(state)
         done_rounds += 1
     return state.select("pos", F.when(F.col("done"), F.col("at")).otherwise(F.lit(-1)).cast("bigint").alias("key"))
 
