@@ -54,9 +54,12 @@ def cell(h: Column) -> Column:
 
 
 def cell_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """cell, raw, target: n-grams of all documents, and of those whose doc_id is in trusted, by cell."""
+    """cell, raw, target: n-grams of all documents, and of those whose doc_id is in trusted, by cell.
+
+    Trusted ids may be as many as documents, so the join is by a shuffle of both, the same at every size.
+    """
     good = trusted.select(F.col("doc_id").alias("__good")).where("__good is not null").distinct()
-    flagged = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("__good"), "left").withColumn("__t", F.col("__good").isNotNull().cast("int"))
+    flagged = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left").withColumn("__t", F.col("__good").isNotNull().cast("int"))
     grams = hashed(flagged, "__t").select("__t", F.explode(F.concat("u", "b")).alias("h"))
     return grams.groupBy(cell(F.col("h")).alias("cell")).agg(F.count("*").alias("raw"), F.sum("__t").alias("target"))
 
