@@ -20,7 +20,7 @@ SCALE = 1_000
 #: Added to every cell of both multinomials.
 SMOOTHING = 1.0
 #: Documents whose mean ratio, in nats for each n-gram, is below this are dropped.
-LEAST_RATIO = -0.25
+LEAST_RATIO = -0.1
 BLANK = " \t\n\u000b\f\r"
 #: Words up to which a window's place fits beside its hash in one long.
 PLACE_BITS = 21
