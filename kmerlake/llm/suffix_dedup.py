@@ -416,11 +416,13 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[Da
     release(all_marks)
     kinds = stored(contested.groupBy("name", "stretch").agg(F.min(place).alias("one"), F.max(place).alias("other")), "stretches")
     several = stored(kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "names")
-    settled = contested.join(kinds.where("one <> other").select("name", "stretch"), ["name", "stretch"]).select("k1", "k2", "low", "high", F.lit(True).alias("sure"))
-    unsure = kinds.join(several, "name").select("one.*", F.lit(False).alias("sure"))
-    ranges = settled.union(unsure).groupBy("k1", "k2").agg(F.collect_set(F.struct("sure", "low", "high")).alias("r"))
-    of = lambda sure: F.transform(F.filter("r", lambda x: x["sure"] == sure), lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high")))
-    chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", F.col("least").alias("doc"), of(True).alias("settled"), of(False).alias("open"))
+    # a stretch found once names its only place by itself, so what is settled follows per text, without a join of marks
+    part = lambda rows, tag: rows.select("k1", "k2", F.shiftleft(F.col("low").cast("bigint"), 32).bitwiseOR(F.col("high").cast("bigint")).alias("range"), F.lit(tag).alias("tag"))
+    single, unsure = kinds.where("one = other").select("one.*"), kinds.join(several, "name").select("one.*")
+    ranges = part(contested, 0).union(part(single, 1)).union(part(unsure, 2))
+    ranges = ranges.groupBy("k1", "k2").agg(*[F.collect_set(F.when(F.col("tag") == i, F.col("range"))).alias(f"r{i}") for i in range(3)])
+    pairs = lambda x: F.transform(x, lambda r: F.struct(F.shiftright(r, 32).cast("int").alias("low"), r.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("high")))
+    chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", F.col("least").alias("doc"), pairs(F.array_except("r0", "r1")).alias("settled"), pairs(F.col("r2")).alias("open"))
     bodies = rows.where(F.length("body") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "k1", "k2", "body")
     texts = bodies.join(chosen, ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"])
     texts = stored(texts.select(F.monotonically_increasing_id().alias("sid"), "k1", "k2", "body", "settled", "open"), "candidates")
