@@ -21,7 +21,8 @@ from .common import shared_dir, stored, texts
 VOCABULARY = 50_000
 #: Hashed cells for bigram counts; 4 bytes for each cell and model.
 CELLS = 1 << 21
-BLOCK = 1 << 15
+#: Counted cells in a batch of rows.
+BATCH = 1 << 16
 #: Weight, in observations, of the unigram share in a bigram's probability, and of the uniform share in a unigram's.
 KAPPA, ALPHA = 5.0, 1.0
 
@@ -71,8 +72,8 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
 def fit(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, n_cells: int = CELLS) -> Models:
     """Both models, counted over all words of all documents.
 
-    Each task sums into arrays of fixed size, and sends those blocks in which it counted anything; blocks are summed by
-    number, and the models, of 8 bytes for each cell and word of the vocabulary, reach the driver.
+    Each task sums into arrays of fixed size, and sends the cells in which it counted anything. Sums by cell need no more
+    than a row a cell in any task, and a row for each cell and word of the vocabulary reaches the driver.
     """
     words = vocabulary(docs, size)
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -89,25 +90,19 @@ def fit(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, n_cells: in
                 total[0, where] += n.astype(np.uint32)
                 if good:
                     total[1, where] += n.astype(np.uint32)
-        for block, begin in enumerate(range(0, total.shape[1], BLOCK)):
-            part = total[:, begin : begin + BLOCK]
-            if part[0].any():
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part[0].tobytes()]), pa.array([part[1].tobytes()])], ["block", "background", "target"])
-
-    def add(table: pa.Table) -> pa.Table:
-        sums = [np.sum([np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table.column(c)], 0) for c in ("background", "target")]
-        return pa.table({"block": table.column("block")[:1], "background": pa.array([sums[0].tobytes()]), "target": pa.array([sums[1].tobytes()])})
+        used = np.flatnonzero(total[0])
+        for begin in range(0, len(used), BATCH):
+            where = used[begin : begin + BATCH]
+            columns = where.astype(np.int32), total[0, where].astype(np.int64), total[1, where].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "background", "target"])
 
     good = trusted.select(F.col("doc_id").cast("bigint").alias("__good")).where("__good is not null").distinct()
     rows = texts(docs).join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left").select(F.col("text").cast("binary"), F.col("__good").isNotNull().alias("good"))
-    schema = "block int, background binary, target binary"
-    found = stored(rows.mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema), "counts").toArrow()
+    counted = rows.mapInArrow(count, "cell int, background bigint, target bigint")
+    found = stored(counted.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts").toArrow()
     total = np.zeros((2, n_cells + n_uni), np.float32)
-    for row in found.to_pylist():
-        begin = row["block"] * BLOCK
-        for i, name in enumerate(("background", "target")):
-            part = np.frombuffer(row[name], np.int64)
-            total[i, begin : begin + len(part)] = part
+    for i, name in enumerate(("background", "target")):
+        total[i, found.column("cell").to_numpy()] = found.column(name).to_numpy()
     return Models(words, total[:, n_cells:].astype(np.float64), total[:, :n_cells])
 
 
