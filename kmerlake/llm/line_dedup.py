@@ -1,6 +1,7 @@
 """Line dedup: repeated runs of lines by a suffix array over line ids. DataFrame functions only.
 
-Each document is a sequence of line ids (hashes of its lines). The name of the suffix that begins at a line, to a depth of
+Each document is a sequence of line ids (128-bit hashes of its lines, as two longs, since in a very large corpus 64 bits
+would give some different lines one id). The name of the suffix that begins at a line, to a depth of
 1, 2, 4, ... lines, is the hash of two names of half that depth (prefix doubling); doubling works inside a document's row,
 so it needs no shuffle. Suffixes in order of their names are a suffix array to that depth, in which the suffixes with one
 name are an interval with a longest common prefix of at least that depth. At depth `min_lines` such an interval of two or
@@ -18,18 +19,20 @@ from .common import stored, texts
 
 MIN_LINES = 2
 NO_ID = -(1 << 63)
+#: Hashed before a line for the second half of its id.
+SECOND = 1
 
 
 def suffix_names(rows: DataFrame, depth: int) -> DataFrame:
     """rows with names: for each line from which `depth` lines follow, the name of these; null where all are blank."""
-    rows = rows.withColumn("n1", F.transform("lines", lambda x: F.xxhash64(x)))
+    rows = rows.withColumn("n1", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(SECOND), x).alias("g"))))
     rows = rows.withColumn("f1", F.transform("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     size = 1
     while size < depth:
         step = min(size, depth - size)
         cut = lambda a, lag: F.slice(F.col(a), F.lit(1 + lag), F.greatest(F.lit(0), F.size(a) - step))  # noqa: B023, E731
         rows = rows.withColumns({
-            "n1": F.zip_with(cut("n1", 0), cut("n1", step), lambda x, y: F.xxhash64(x, y)),
+            "n1": F.zip_with(cut("n1", 0), cut("n1", step), lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("h"), F.xxhash64(x["g"], y["g"]).alias("g"))),
             "f1": F.zip_with(cut("f1", 0), cut("f1", step), lambda x, y: x | y),
         })
         size += step
@@ -44,10 +47,10 @@ def deleted_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """doc (doc_id, or NO_ID), key (hash of the text), gone: sorted numbers, from 0, of the lines that go."""
     rows = texts(docs).select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), text_key(F.col("text")).alias("key"), F.split("text", "\n").alias("lines"))
     suffixes = suffix_names(rows, min_lines).select("doc", "key", F.posexplode("names").alias("at", "name")).where("name is not null")
-    suffixes = stored(suffixes, "lines")
+    suffixes = stored(suffixes.select("doc", "key", "at", "name.h", "name.g"), "lines")
     place = F.struct("doc", "key", "at")
-    intervals = stored(suffixes.groupBy("name").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("name", "first"), "runs")
-    later = suffixes.join(intervals, "name").where("struct(doc, key, at) <> first")
+    intervals = stored(suffixes.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "g", "first"), "runs")
+    later = suffixes.join(intervals, ["h", "g"]).where("struct(doc, key, at) <> first")
     runs = later.groupBy("doc", "key").agg(F.collect_set("at").alias("at"))
     lines = F.flatten(F.transform("at", lambda i: F.sequence(i, i + (min_lines - 1))))
     return runs.select("doc", "key", F.sort_array(F.array_distinct(lines)).alias("gone"))
