@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, texts
+from .common import release, shared_dir, stored, texts
 
 VOCABULARY = 50_000
 #: Hashed cells for bigram counts; 4 bytes for each cell and model.
@@ -62,10 +62,22 @@ def cells(before: np.ndarray, now: np.ndarray, size: int) -> np.ndarray:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids from 1 for the size most frequent words of all documents; ties go to the lesser word."""
+    """Ids from 1 for the size most frequent words of all documents; ties go to the lesser word.
+
+    Words are counted by level of frequency first (at most some 1,000 levels), and only words from the level that completes
+    the vocabulary on are sorted: a plain top-k would send up to `size` words of every partition to one task.
+    """
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = texts(docs).select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select(F.col("word").cast("binary")).toArrow()
+    level = F.floor(F.log2("count") * 16).cast("int").alias("level")
+    counted = stored(words.groupBy("word").count().select(F.col("word").cast("binary"), "count", level), "words")
+    above = lowest = 0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
+        above, lowest = above + r["count"], r["level"]
+        if above >= size:
+            break
+    top = counted.where(F.col("level") >= lowest).orderBy(F.desc("count"), "word").limit(size).select("word").toArrow()
+    release(counted)
     return {w: i for i, w in enumerate(top.column(0).to_pylist(), 1)}
 
 
