@@ -3,7 +3,8 @@
 Words and pairs of neighbouring words fall into BUCKETS cells by hash. Two multinomials over the cells are counted over all
 documents: trusted ones (the target) and all (the raw corpus). A document's ratio is the mean over its n-grams of
 log(target share / raw share) of their cells. Cell weights are whole numbers of 1 / SCALE nats, so that sums are exact and
-do not depend on the order of addition. Verdicts follow by fixed thresholds.
+do not depend on the order of addition. Verdicts follow by one threshold for all documents: the lower fence of the ratios of
+the trusted documents, which comes from their quartiles and so from the corpus at hand.
 """
 
 from __future__ import annotations
@@ -13,14 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 
 BUCKETS = 1 << 14
 SCALE = 1_000
 #: Added to every cell of both multinomials.
 SMOOTHING = 1.0
-#: Documents whose mean ratio, in nats for each n-gram, is below this are dropped.
-LEAST_RATIO = -0.1
+#: Documents whose ratio lies more than so many interquartile ranges below the trusted documents' first quartile are dropped.
+FENCE = 3.0
 BLANK = " \t\n\u000b\f\r"
 #: Words up to which a window's place fits beside its hash in one long.
 PLACE_BITS = 21
@@ -98,8 +99,8 @@ def repeat_words(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.when(F.size("at") > 0, reach + 3).otherwise(F.lit(0)).cast("bigint")).drop("w3", "s", "twins", "long", "at")
 
 
-def verdicts(docs: DataFrame, weights: list[int], least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr of every document."""
+def measured(docs: DataFrame, weights: list[int]) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr of every document."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, h: s + F.get(table, cell(h)))
     rows = repeat_words(hashed(docs))
@@ -116,14 +117,40 @@ def verdicts(docs: DataFrame, weights: list[int], least_ratio: float = LEAST_RAT
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     llr = F.when(F.col("grams") > 0, F.col("nats") / F.col("grams")).otherwise(F.lit(0.0))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (llr >= least_ratio)).alias("kept"), llr.alias("llr"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), llr.alias("llr"))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame:
-    """verdicts() with weights counted over all of docs; trusted are documents with a label quality = 1.
+def least_ratio(rows: DataFrame, trusted: DataFrame, fence: float = FENCE) -> float:
+    """The lower fence of the ratios of trusted documents in rows of measured(), without those that fail the base rules.
 
-    A null text has no words. Repeated rows are counted and judged each. Without trusted documents all ratios are 0. A null
-    doc_id is never trusted. An empty table gives no rows.
+    Quartiles are exact to 1 / SCALE nats: ratios are counted by their whole thousandths, of which there are some ten
+    thousands at most, and only these counts reach the driver. Without a trusted document there is no lower bound.
+    """
+    good = trusted.select(F.col("doc_id").alias("__good")).where("__good is not null").distinct()
+    known = rows.where(~F.col("base_failed")).select("doc_id", F.floor(F.col("llr") * SCALE).alias("level"))
+    known = known.join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left_semi")
+    levels = sorted((r["level"], r["n"]) for r in known.groupBy("level").agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in levels)
+    if not total:
+        return -math.inf
+    quartiles, seen = {}, 0
+    for level, n in levels:
+        seen += n
+        for q in (1, 3):
+            if 4 * seen >= q * total:
+                quartiles.setdefault(q, level)
+    return (quartiles[1] - fence * (quartiles[3] - quartiles[1])) / SCALE
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, fence: float = FENCE) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr of every document.
+
+    Weights are counted over all of docs; trusted are documents with a label quality = 1; kept are documents that pass the
+    base rules and whose ratio reaches least_ratio(). A null text has no words. Repeated rows are counted and judged each.
+    Without trusted documents all ratios are 0 and the base rules alone decide. A null doc_id is never trusted. An empty
+    table gives no rows.
     """
     trusted = labels.where("quality = 1").select("doc_id")
-    return verdicts(docs, cell_weights(cell_counts(docs, trusted)), least_ratio)
+    rows = stored(measured(docs, cell_weights(cell_counts(docs, trusted))), "measured")
+    kept = ~F.col("base_failed") & (F.col("llr") >= least_ratio(rows, trusted, fence))
+    return rows.select(*rows.columns[:-1], kept.alias("kept"), "llr")

@@ -103,6 +103,9 @@ def test_rules(spark):
     weight = lambda c: round(1000 * (math.log((target[c] + 1) / (raw[c] + 1)) + math.log((n_raw + ngram_rules.BUCKETS) / (n_target + ngram_rules.BUCKETS))))
     got = rows_of(ngram_rules.quality_rules(docs, labels))
     assert len(got) == len(texts)
+    levels = sorted(math.floor(1000 * got[i]["llr"]) for i in trusted if not got[i]["base_failed"])
+    low, high = (levels[math.ceil(q * len(levels) / 4) - 1] for q in (1, 3))
+    least = (low - ngram_rules.FENCE * (high - low)) / 1000
     for i, t in enumerate(texts):
         b = (t or "").encode()
         w = b.split()
@@ -118,8 +121,8 @@ def test_rules(spark):
             len(w), sum(len(x.decode()) for x in w), symbols, len(lines) - len(set(lines)), len(covered), failed
         ), i
         ratio = sum(map(weight, grams[i])) / 1000 / len(grams[i]) if grams[i] else 0.0
-        assert abs(r["llr"] - ratio) < 2e-3 and r["kept"] == (not failed and r["llr"] >= ngram_rules.LEAST_RATIO)
-    assert {r["llr"] for r in ngram_rules.quality_rules(docs, labels.limit(0)).collect()} == {0.0}
+        assert abs(r["llr"] - ratio) < 2e-3 and r["kept"] == (not failed and r["llr"] >= least)
+    assert {(r["llr"], r["kept"]) for r in ngram_rules.quality_rules(docs, labels.limit(0)).collect() if not r["base_failed"]} == {(0.0, True)}
     assert ngram_rules.quality_rules(docs.limit(0), labels).count() == 0
 
 
