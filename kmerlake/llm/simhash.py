@@ -2,7 +2,8 @@
 
 The trie of the distinct fingerprints is a sorted array of which each node is a range. The self-join goes down from pairs
 of nodes, adds up the bits in which the two sides differ, and drops a pair as soon as these exceed the budget. The first
-`depth` levels are joined by the engine: they give the pairs of prefixes within the budget, each a task of its own. Each
+`depth` levels are joined by the engine: they give the pairs of prefixes within the budget, each a task of its own. Pairs
+of prefixes that hold too many fingerprints for a task go down further levels in the engine, as often as it takes. Each
 task walks its two subtries level by level, all node pairs of a level at once.
 """
 
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import connected, stored, texts
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
-#: Distinct fingerprints that a prefix should hold.
-NODE = 2_000
+#: Distinct fingerprints that a prefix should hold; those that a pair of prefixes may hold; levels by which a larger one goes down.
+NODE, MOST, STEP = 2_000, 200_000, 8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -123,31 +124,55 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def links(nodes: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFrame:
+def node_pairs(rows: DataFrame, depth: int, step: int, budget: int) -> DataFrame:
+    """id, fp, a, b: rows of the node pairs (a, b) at depth, sent to the pairs below them, step levels down, within the budget.
+
+    a and b are prefixes of depth bits, and each row has one of them. It goes to every pair of its own prefix with one
+    below the other that differs in few enough bits; both sides of a pair name it by its lesser and its greater prefix.
+    """
+    flips = [sum(1 << x for x in bits) for k in range(budget + 1) for bits in combinations(range(step), k)]
+    above = F.shiftrightunsigned("fp", 64 - depth).bitwiseXOR(F.col("a")).bitwiseXOR(F.col("b")) if depth else F.lit(0).cast("long")
+    rows = rows.select("id", "fp", "a", "b", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"))
+    rows = rows.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) + F.bit_count("flip") <= budget)
+    own = F.shiftrightunsigned("fp", 64 - depth - step)
+    other = F.shiftleft(above, step).bitwiseOR(own.bitwiseAND(F.lit((1 << step) - 1).cast("long")).bitwiseXOR(F.col("flip")))
+    return rows.select("id", "fp", own.alias("own"), other.alias("other")).select("id", "fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+
+
+def links(nodes: DataFrame, budget: int = BUDGET, node: int = NODE, most: int = MOST) -> DataFrame:
     """(a, b): links between node ids that join exactly the nodes which fingerprints within the budget join.
 
-    nodes: id (long, unique), fp (long, unique). A task gets the fingerprints of two prefixes, bounded by the count of
-    each prefix: the depth follows the number of distinct fingerprints. It returns a spanning forest, not all pairs.
+    nodes: id (long, unique), fp (long, unique). A task gets the fingerprints of two prefixes. The first depth follows the
+    number of distinct fingerprints; pairs of prefixes that still hold more than `most`, as many near copies of one text
+    may, are split STEP levels further until none does. A task returns a spanning forest, not all pairs.
     """
-    count = nodes.count()
-    depth = min(16, max(1, int(np.ceil(np.log2(max(1, count / node))))))
-    flips = [sum(1 << b for b in bits) for k in range(budget + 1) for bits in combinations(range(depth), k)]
-    side = nodes.select("id", "fp", F.shiftrightunsigned("fp", 64 - depth).alias("prefix"))
-    # each node goes to the pair (lower prefix, difference) of every prefix within the budget
-    sent = side.select(
-        "id", "fp", F.explode(F.array(*[F.lit(x).cast("long") for x in flips])).alias("flip"), "prefix"
-    ).select("id", "fp", "prefix", "flip", F.least("prefix", F.col("prefix").bitwiseXOR(F.col("flip"))).alias("low"))
+    depth = min(16, max(1, int(np.ceil(np.log2(max(1, nodes.count() / node))))))
+    none = F.lit(0).cast("long")
+    level, parts = node_pairs(nodes.select("id", "fp", none.alias("a"), none.alias("b")), 0, depth, budget), []
+    while True:
+        tagged = level.withColumn("depth", F.lit(depth))
+        large = stored(level.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > most).select("a", "b"), "large") if depth < 64 else None
+        if large is None or large.isEmpty():
+            parts.append(tagged)
+            break
+        parts.append(tagged.join(large, ["a", "b"], "left_anti").select(tagged.columns))
+        step = min(STEP, 64 - depth)
+        level = stored(node_pairs(level.join(large, ["a", "b"], "left_semi"), depth, step, budget), "pairs-below")
+        depth += step
+    sent = parts[0]
+    for more in parts[1:]:
+        sent = sent.unionByName(more)
 
     def run(table: pa.Table) -> pa.Table:
-        prefix = table.column("prefix").to_numpy()
         ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
-        low, flip = table.column("low")[0].as_py(), table.column("flip")[0].as_py()
+        level = table.column("depth")[0].as_py()
+        low, high = (np.array([table.column(c)[0].as_py()], np.int64).view(np.uint64)[0] for c in ("a", "b"))
         order = np.argsort(fps, kind="stable")
-        prefix, ids, fps = prefix[order], ids[order], fps[order]
-        a = np.flatnonzero(prefix == low)
-        b = np.flatnonzero(prefix != low) if flip else a
+        ids, fps = ids[order], fps[order]
+        prefix = fps >> np.uint64(64 - level)
+        a, b = np.flatnonzero(prefix == low), np.flatnonzero(prefix == high)
         forest = Forest(len(ids))
-        for p, q in trie_pairs(fps[a], fps[b], depth, budget):
+        for p, q in trie_pairs(fps[a], fps[b], level, budget):
             for i, j in zip(a[p].tolist(), b[q].tolist(), strict=True):
                 if i != j:
                     forest.join(i, j)
@@ -155,7 +180,7 @@ def links(nodes: DataFrame, budget: int = BUDGET, node: int = NODE) -> DataFrame
         moved = np.flatnonzero(roots != np.arange(len(ids)))
         return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[roots[moved]], pa.int64())})
 
-    return sent.groupBy("low", "flip").applyInArrow(run, "a bigint, b bigint")
+    return sent.groupBy("depth", "a", "b").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

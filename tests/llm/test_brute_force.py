@@ -274,10 +274,12 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("node", [3, 40, 5000])
-def test_trie_join(spark, node):
+@pytest.mark.parametrize(("node", "most"), [(3, simhash.MOST), (40, 30), (5000, 2)])
+def test_trie_join(spark, node, most):
+    """most: with few fingerprints for a pair of prefixes, those under one long prefix go down to the last levels."""
     rnd = random.Random(node)
     fps = {rnd.getrandbits(64) for _ in range(150)} | {0, (1 << 64) - 1, 1, 1 << 63}
+    fps |= {0xABCDEF0123 << 24 | rnd.getrandbits(9) for _ in range(120)}
     for f in list(fps)[:60]:
         for _ in range(3):
             for _ in range(rnd.choice([1, 2, 3])):
@@ -290,7 +292,7 @@ def test_trie_join(spark, node):
     least = {}
     for i in range(len(fps)):
         least.setdefault(root(i), i)
-    found = {r["node"]: r["component"] for r in connected(simhash.links(rows, 2, node)).collect()}
+    found = {r["node"]: r["component"] for r in connected(simhash.links(rows, 2, node, most)).collect()}
     assert all(found.get(i, i) == least[root(i)] for i in range(len(fps)))
 
 
