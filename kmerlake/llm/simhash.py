@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected, stored, texts
@@ -45,15 +45,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every document's whole text; null is empty, with fingerprint 0."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every document's whole text, and more long columns of docs; null is empty, with fingerprint 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+            columns = batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), *(batch.column(c) for c in more)
+            yield pa.RecordBatch.from_arrays(list(columns), ["doc_id", "fp", *more])
 
-    return texts(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = texts(docs, *more).select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"), *more)
+    return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *more)))
 
 
 def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -183,6 +185,15 @@ def links(nodes: DataFrame, budget: int = BUDGET, node: int = NODE, most: int =
     return sent.groupBy("depth", "a", "b").applyInArrow(run, "a bigint, b bigint")
 
 
+def components(rows: DataFrame, key: str | Column, budget: int) -> DataFrame:
+    """fp, least (key), component (the smallest fingerprint reached by links within the budget) of the distinct fingerprints of rows."""
+    classes = stored(rows.groupBy("fp").agg(F.min(key).alias("least")), "classes")
+    joined = stored(links(classes.select(F.col("fp").alias("id"), "fp"), budget), "pairs")
+    reach = connected(joined)
+    return classes.join(reach, classes["fp"] == reach["node"], "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reached by links within the budget).
 
@@ -190,18 +201,22 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     component of such rows only has a null component_id. An empty table gives no rows.
     """
     rows = stored(fingerprints(docs), "fingerprints")
-    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = stored(links(classes.select(F.col("fp").alias("id"), "fp"), budget), "pairs")
-    reach = connected(joined)
-    known = classes.join(reach, classes["fp"] == reach["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component"))
+    known = components(rows, "doc_id", budget)
     lowest = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(known.join(lowest, "component").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest doc_id stays, once; null doc_ids go where another stays."""
-    found = near_duplicates(docs, budget)
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null")
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """docs without near-duplicates: of each component the row of the smallest doc_id stays, once.
+
+    Nulls come after all doc_ids, so that a component whose doc_ids are all null keeps one row as well. A row is known by
+    its doc_id and 128 bits of hash of its text: different texts with one doc_id stay if their components differ.
+    """
+    hashes = {"__h": F.xxhash64("text"), "__g": F.xxhash64(F.lit(1), "text")}
+    rows = stored(fingerprints(docs.withColumns(hashes), *hashes), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("__doc"), "__h", "__g")
+    keep = components(rows, key, budget).groupBy("component").agg(F.min("least").alias("least")).select("least.*")
+    names = ["__null", "__doc", *hashes]
+    marked = docs.withColumns({"__null": F.col("doc_id").cast("bigint").isNull(), "__doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), **hashes})
+    return marked.join(keep, names, "left_semi").dropDuplicates(names).select(*docs.columns)

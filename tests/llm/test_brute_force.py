@@ -274,6 +274,15 @@ def test_simhash(spark):
     assert simhash.near_duplicates(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_one_of_each_keeps_rows_without_an_id_and_texts_that_share_one(spark):
+    rnd = random.Random(5)
+    a, b, c, d, e = (" ".join(f"{x}{rnd.randrange(1000)}" for _ in range(80)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (None, c), (4, c), (7, d), (7, e), (7, e), (9, e), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.one_of_each(docs).collect())
+    assert kept == sorted([(0, a), (0, b), (4, c), (7, d), (7, e), (0, "")])
+
+
 @pytest.mark.parametrize(("node", "most"), [(3, simhash.MOST), (40, 30), (5000, 2)])
 def test_trie_join(spark, node, most):
     """most: with few fingerprints for a pair of prefixes, those under one long prefix go down to the last levels."""
