@@ -108,7 +108,7 @@ def neighbours(table: DataFrame, every: int = 100, k: int = 10, sample: int = SA
     rows = rows.where(F.size("v") == width["n"]).withColumn("v", F.transform("v", lambda x: (x + F.lit(0).cast(kind)).cast(kind))).withColumns({"h1": F.xxhash64("v"), "h2": F.hash("v")})
     # of equal vectors only the k + 1 least ids can be among the k nearest to anything
     first = Window.partitionBy("h1", "h2", "v").orderBy("vec_id")
-    least = rows.select("vec_id", "h1", "h2", "v").withColumn("r", F.rank().over(first)).where(F.col("r") <= k + 1)
+    least = rows.select("vec_id", "h1", "h2", "v").withColumn("r", F.dense_rank().over(first)).where(F.col("r") <= k + 1)
     entries = stored(least.groupBy("h1", "h2", "v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("entry"), "h1", "h2", "v", "ids"), "entries")
     count = entries.count()
     pool = entries.orderBy("h1", "h2").limit(sample).select("v").toArrow().column("v").to_pylist()

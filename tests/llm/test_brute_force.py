@@ -384,6 +384,14 @@ def test_neighbours(spark):
     assert few == {(0, 1), (0, 2), (0, 3)}
 
 
+def test_neighbours_count_repeated_rows_once(spark):
+    x = np.random.default_rng(2).normal(size=(30, 8)).astype(np.float32)
+    x[:14] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1, x[1].tolist())] * 20
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(i, i, 0.0) for i in range(1, 11)]
+
+
 @pytest.mark.parametrize("length,gram,slice_,ranges", [(400, 128, 1 << 18, 1_000_000), (400, 64, 500, 40), (363, 128, 700, 100)])
 def test_suffix_dedup(spark, monkeypatch, length, gram, slice_, ranges):
     for name, value in (("SLICE", slice_), ("RANGE", ranges), ("LOT", 3 * ranges)):
