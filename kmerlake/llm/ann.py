@@ -3,7 +3,7 @@
 Each tree splits a bounded sample of vectors by hyperplanes halfway between two of them, at the median, down to small
 leaves; every vector of the table is then sent down every tree. A query goes down all trees at once: one priority queue,
 shared by the trees, holds the branches not taken, least distance to a splitting plane first, until `leaves` leaves are
-found. The vectors in these leaves are candidates, whose exact distances decide. Equal vectors are one entry with several
+found; how many it takes is measured on calibration queries, whose neighbours among all rows are known by brute force. The vectors in these leaves are candidates, whose exact distances decide. Equal vectors are one entry with several
 ids, so that no leaf is filled by copies of one vector.
 """
 
@@ -20,8 +20,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors that the trees are fitted on at most; trees; vectors in a leaf of the whole table, about; leaves searched.
+#: Vectors that the trees are fitted on at most; trees; vectors in a leaf of the whole table, about; leaves searched at least.
 SAMPLE, TREES, LEAF, LEAVES = 20_000, 10, 256, 240
+#: Calibration queries, and the share of their k nearest that the leaves searched must hold: 0.9 and a margin for other queries.
+CALIBRATION, RECALL = 64, 0.95
+#: Visits of leaves listed at once.
+VISITS = 200_000
 
 
 @dataclass
@@ -91,12 +95,60 @@ def search(trees: list[Tree], q: np.ndarray, leaves: int) -> list[tuple[int, int
     return found
 
 
-def neighbours(table: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, leaves: int = LEAVES, seed: int = 7) -> DataFrame:
+def matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
+def leaves_for(entries: DataFrame, forest: list[Tree], k: int, recall: float = RECALL, queries: int = CALIBRATION) -> int:
+    """Leaves to search so that of the k nearest entries to each calibration query a share of at least recall is found.
+
+    Calibration queries are the entries of the least h2. Every task compares its rows with all of them, batch by batch, and
+    returns its k + 1 nearest to each. A neighbour is found with the first of its leaves, one in each tree, that the
+    query's search comes to, so that the recall of any number of leaves follows from one search through all of them.
+    """
+    asked = entries.orderBy("h2", "h1").limit(queries).select("entry", "v").toArrow().combine_chunks()
+    if not len(asked):
+        return 1
+    x, own = matrix(asked.column("v").combine_chunks()), asked.column("entry").to_pylist()
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            y = matrix(batch.column("v"))
+            d = (y * y).sum(1) - 2 * x @ y.T
+            near = np.argpartition(d, min(k, len(y) - 1), axis=1)[:, : k + 1]
+            found = pa.table({
+                "query": np.repeat(np.arange(len(x)), near.shape[1]), "entry": batch.column("entry").take(pa.array(near.ravel())),
+                "v": batch.column("v").take(pa.array(near.ravel())), "far": np.take_along_axis(d, near, 1).ravel(),
+            })
+            best = (found if best is None else pa.concat_tables([best, found])).sort_by([("query", "ascending"), ("far", "ascending")])
+            group = best.column("query").to_numpy()
+            best = best.filter(pa.array(np.arange(len(group)) - np.searchsorted(group, group) <= k))
+        if best is not None:
+            yield from best.select(["query", "entry", "v", "far"]).combine_chunks().to_batches()
+
+    kind = entries.schema["v"].dataType.simpleString()
+    found = entries.select("entry", "v").mapInArrow(nearest, f"query bigint, entry bigint, v {kind}, far double")
+    by = Window.partitionBy("query").orderBy("far", "entry")
+    found = found.withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).orderBy("query", "far", "entry").toArrow().combine_chunks()
+    query, entry = found.column("query").to_numpy(), found.column("entry").to_pylist()
+    at = np.stack([tree.leaf_of(matrix(found.column("v").combine_chunks())) for tree in forest], 1)
+    places = []
+    for i in range(len(x)):
+        order = {leaf: n for n, leaf in enumerate(search(forest, x[i], sum(len(t.planes) + 1 for t in forest)), 1)}
+        rows = [j for j in np.flatnonzero(query == i) if entry[j] != own[i]][:k]
+        places += [min(order[t, leaf] for t, leaf in enumerate(at[j].tolist())) for j in rows]
+    return sorted(places)[int(np.ceil(recall * len(places))) - 1] if places else 1
+
+
+def neighbours(table: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE, trees: int = TREES, leaf: int = LEAF, leaves: int | None = None, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found, by Euclidean distance, of each row whose vec_id is divisible by `every`.
 
     Vectors that are null, empty, zero or not wholly finite, or whose length is not the most common one, and rows without
     vec_id take no part. Rows with equal vec_id and vector count once. Queries have fewer rows only if there are fewer
-    candidates in the leaves searched; an empty table gives no rows.
+    candidates in the leaves searched; an empty table gives no rows. leaves: None for as many as leaves_for() says, LEAVES at least.
     """
     kind = "float" if dict(table.dtypes).get("embedding") == "array<float>" else "double"
     v = F.col("embedding").cast(f"array<{kind}>")
@@ -116,11 +168,10 @@ def neighbours(table: DataFrame, every: int = 100, k: int = 10, sample: int = SA
     pool = np.array(pool, float).reshape(len(pool), -1)
     small = max(4, leaf * len(pool) // max(count, 1))
     forest = [grow(pool, small, random) for _ in range(trees)]
+    if leaves is None:
+        leaves = max(LEAVES, leaves_for(entries, forest, k))
     shared = table.sparkSession.sparkContext.broadcast(forest)
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        return np.array(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("v"))
@@ -129,7 +180,8 @@ def neighbours(table: DataFrame, every: int = 100, k: int = 10, sample: int = SA
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(at.astype(np.int32)), batch.column("entry"), batch.column("v")], ["tree", "leaf", "entry", "v"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        step = max(1, VISITS // leaves)
+        for batch in (part.slice(begin, step) for part in batches for begin in range(0, len(part), step)):
             x = matrix(batch.column("v"))
             found = [(i, t, at) for i, y in enumerate(x) for t, at in search(shared.value, y, leaves)]
             rows, tree, at = (pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int32())))

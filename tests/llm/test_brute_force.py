@@ -392,6 +392,18 @@ def test_neighbours_count_repeated_rows_once(spark):
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in found) == [(i, i, 0.0) for i in range(1, 11)]
 
 
+def test_neighbours_search_as_many_leaves_as_recall_takes(spark):
+    """Vectors without structure in so many leaves that ann.LEAVES of them hold a small part of the table."""
+    x = np.random.default_rng(3).normal(size=(3000, 48)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    hits = 0
+    for r in ann.neighbours(table, trees=4, leaf=4).collect():
+        d = ((x.astype(float) - x[r["query_id"]].astype(float)) ** 2).sum(1)
+        d[r["query_id"]] = np.inf
+        hits += r["vec_id"] in np.argpartition(d, 10)[:10]
+    assert hits >= 0.9 * 300
+
+
 @pytest.mark.parametrize("length,gram,slice_,ranges", [(400, 128, 1 << 18, 1_000_000), (400, 64, 500, 40), (363, 128, 700, 100)])
 def test_suffix_dedup(spark, monkeypatch, length, gram, slice_, ranges):
     for name, value in (("SLICE", slice_), ("RANGE", ranges), ("LOT", 3 * ranges)):
