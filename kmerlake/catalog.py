@@ -6,6 +6,8 @@ documents for sequences, and the benchmark passages are the references of the in
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from kmerlake.functions import alphabet as A
 from kmerlake.operators import index as X
 from kmerlake.operators import kmers as K
 from kmerlake.operators import routing, search
-from kmerlake.sources import fastx
+from kmerlake.operators.lineage import checkpoint_dir
+from kmerlake.sources import fastx, index_file
 
 LENGTH = 31
 PREFIX = 12
@@ -218,10 +221,9 @@ def kmer_extract(spark, sf_dir):
     )
 
 
-@query(f"WITH {_SEG} SELECT seq.file, string_agg(sequence, chr(10) ORDER BY seq_no) || chr(10) AS body FROM seq WHERE length(sequence) >= {LENGTH} GROUP BY file")
+@query(f"WITH {_SEQ} SELECT file, seq_no, sequence AS line FROM seq WHERE length(sequence) >= {LENGTH}")
 def clean_text_out(spark, sf_dir):
-    rows = sequences(spark, sf_dir)
-    return K.rejoined(rows, K.segments(rows, LENGTH))
+    return K.rejoined(sequences(spark, sf_dir), LENGTH)
 
 
 @query(f"WITH {_INDEX} SELECT pos, kmer, is_dummy, a, c, g, t, CAST(lcs AS INTEGER) AS lcs FROM ix")
@@ -303,6 +305,15 @@ def streaming_search(spark, sf_dir):
     return _per_document(search.streaming_search(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH))
 
 
+@query(_PER_DOCUMENT)
+def index_file_search(spark, sf_dir):
+    """The index is written to a file and read from it before it is searched."""
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}.bin"
+    index_file.write(index(spark, sf_dir), LENGTH, path)
+    found, k = index_file.read(spark, path)
+    return _per_document(search.search(sequences(spark, sf_dir), found, k))
+
+
 @query(_FOUND + " SELECT file, count(*) AS present, count(DISTINCT kmer) AS distinct_kmers FROM fd WHERE pos >= 0 GROUP BY file")
 def kmer_semi(spark, sf_dir):
     rows = search.present(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH)

@@ -1,4 +1,4 @@
-"""Command line: spark-submit -m kmerlake.cli -x index -i a.fq b.fq -o a.txt b.txt"""
+"""Command line: python -m kmerlake.cli -x index -i a.fq b.fq -o a.txt b.txt cleans; with --search hits, it searches the index."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from kmerlake.plans.clean import clean_files
+from kmerlake.plans.clean import clean_files, search_files
 from kmerlake.sources import fastx, index_file
 
 
@@ -19,10 +19,13 @@ def parsed(argv: list[str]) -> argparse.Namespace:
     p.add_argument("-o", nargs="+", default=[], help="output files")
     p.add_argument("-if", dest="input_list", help="file that lists inputs, one a line")
     p.add_argument("-of", dest="output_list", help="file that lists outputs, one a line")
+    p.add_argument("--search", metavar="HITS", help="write the index's row of every k-mer of the inputs to this Parquet folder, in place of clean files")
     p.add_argument("--large", action="store_true", help="split files over tasks")
     args = p.parse_args(argv)
     if not args.index and args.k is None:
         p.error("an index or k is needed")
+    if args.search and not args.index:
+        p.error("a search needs an index")
     return args
 
 
@@ -31,7 +34,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("kmerlake").getOrCreate()
     listed = lambda path: [r["path"] for r in fastx.read_path_list(spark, path).collect()] if path else []
     try:
-        k = args.k if args.k is not None else index_file.metadata(args.index)["k"]
+        if args.search:
+            index, k = index_file.read(spark, args.index)
+            search_files(spark, args.i + listed(args.input_list), index, k, args.search, args.large)
+            return 0
+        k = args.k if args.k is not None else index_file.metadata(spark, args.index)["k"]
         clean_files(spark, args.i + listed(args.input_list), args.o + listed(args.output_list), k, args.large).show(truncate=False)
     except (ValueError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)

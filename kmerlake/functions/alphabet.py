@@ -105,7 +105,9 @@ def mod(a: Column, b: Column) -> Column:
 
 
 def ceil_div(a: Column, b: Column) -> Column:
-    return F.ceil(a / b).cast("bigint")
+    """The least whole number that is not below a / b, in whole numbers throughout."""
+    whole, rest = F.call_function("div", a, b), a % b
+    return whole + F.when((rest != 0) & ((rest > 0) == (b > 0)), 1).otherwise(0)
 
 
 def ceil_multiple(a: Column, b: Column) -> Column:
@@ -113,10 +115,11 @@ def ceil_multiple(a: Column, b: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Bytes in the largest unit of 1024 that leaves at least 1; three decimals beyond bytes."""
-    out = F.concat(n.cast("string"), F.lit(" B"))
+    """Bytes in the largest unit of 1024 that leaves at least 1 of the number in single precision; three decimals beyond bytes."""
+    out, single = F.concat(n.cast("string"), F.lit(" B")), (n.cast("float") * F.lit(1).cast("float")).cast("double")
     for i, unit in enumerate(("KB", "MB", "GB", "TB", "PB", "EB"), 1):
-        out = F.when(n >= 1024**i, F.concat(F.format_string("%.3f", F.bround(n.cast("float").cast("double") / 1024**i, 3)), F.lit(" " + unit))).otherwise(out)
+        scaled = single / 1024**i  # the product above keeps the engine from dropping the cast to single precision
+        out = F.when(scaled >= 1, F.concat(F.format_string("%.3f", F.bround(scaled, 3)), F.lit(" " + unit))).otherwise(out)
     return out
 
 

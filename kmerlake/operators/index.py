@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kmers as K
+from .lineage import checkpointed
 from .order import BLOCK, ranked, running
 
 LETTERS = "acgt"
@@ -41,10 +42,42 @@ def build(references: DataFrame, k: int) -> DataFrame:
     )
     rows = nodes.select("pos", "kmer", "is_dummy", suffix, first.alias("first")).join(edges, "suffix", "left")
     rows = rows.select("pos", "kmer", "is_dummy", *[(F.col("first") & F.coalesce(x, F.lit(False))).alias(x) for x in LETTERS])
-    above = nodes.select((F.col("pos") + 1).alias("pos"), F.col("kmer").alias("above"))
-    rows = rows.join(above, "pos", "left")
-    same = F.filter(F.sequence(F.lit(1), F.lit(k - 1)), lambda n: (F.right("above", n) == F.right("kmer", n)) & (F.instr(F.right("kmer", n), F.lit("$")) == 0)) if k > 1 else F.array().cast("array<int>")
-    return rows.withColumn("lcs", F.when(F.col("above").isNull(), F.lit(0)).otherwise(F.size(same))).drop("above")
+    return with_common_suffixes(rows, nodes, k)
+
+
+def with_common_suffixes(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """rows (pos, kmer, ...) with lcs: the last letters, no $ among them, that a row has in common with the one above (pos, kmer in nodes), k - 1 at most."""
+    above = nodes.select((F.col("pos") + 1).alias("pos"), F.reverse("kmer").alias("above"))
+    rows = rows.withColumn("back", F.reverse("kmer")).join(above, "pos", "left")
+    same = F.lit(0)
+    step = 1 << max(0, (k - 1).bit_length() - 1)
+    while step:  # the longest common length, bit by bit
+        more = same + step
+        agree = (F.left("back", more) == F.left("above", more)) & (F.instr(F.left("back", more), F.lit("$")) == 0) & (more <= k - 1)
+        rows = rows.withColumn("same", same + F.when(F.coalesce(agree, F.lit(False)), step).otherwise(0))
+        same, step = F.col("same"), step // 2
+    return rows.withColumn("lcs", same).drop("back", "above", "same")
+
+
+def from_bits(bits: DataFrame, k: int) -> DataFrame:
+    """The index, as build() has it, from its rows' bits alone (pos, a, c, g, t), as an index file keeps them.
+
+    The rows in order of their letter and of the bit that leads to them are the targets of the set bits, so each row's last
+    letter and the row before it follow from ranks. Letters further back are those of rows before, gathered by pointer
+    doubling: in each round the texts of a row and of the row as many steps before are joined.
+    """
+    start = {r["letter"].lower(): r["offset"] for r in offset_map(bits).collect()}
+    counted = ranks(bits)
+    edges = [counted.where(x).select((F.col(f"rank_{x}") + start[x]).alias("pos"), F.col("pos").alias("before"), F.lit(x.upper()).alias("text")) for x in LETTERS]
+    root = bits.where("pos = 0").select("pos", F.col("pos").alias("before"), F.lit("$").alias("text"))
+    rows, n = checkpointed(reduce(DataFrame.union, edges, root)), 1
+    while n < k:
+        behind = rows.select(F.col("pos").alias("before"), F.col("before").alias("further"), F.col("text").alias("left"))
+        rows = checkpointed(rows.join(behind, "before").select("pos", F.col("further").alias("before"), F.concat("left", "text").alias("text")))
+        n *= 2
+    kmers = rows.select("pos", F.right("text", F.lit(k)).alias("kmer"))
+    found = bits.join(kmers, "pos").select("pos", "kmer", F.contains("kmer", F.lit("$")).alias("is_dummy"), *LETTERS)
+    return with_common_suffixes(found, kmers, k)
 
 
 def offset_map(index: DataFrame) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerlake.functions import alphabet
-
 SEGMENT = 128
 
 
@@ -27,17 +25,19 @@ def segments(records: DataFrame, k: int, size: int = SEGMENT) -> DataFrame:
     While at least 2 * size letters are pending a segment of `size` is cut; more than `size` left at the end are halved, the
     shorter half first. Only the last segment of a sequence is a true separator.
     """
+    rows = long_enough(records, k).select("file", "seq_no", F.length("sequence").cast("bigint").alias("n"), F.posexplode(F.arrays_zip(*segment_bounds(size))).alias("seg_no", "s"))
+    return rows.select("file", "seq_no", "seg_no", "s.seg_start", "s.seg_end", (F.col("s.seg_end") == F.col("n")).alias("is_true_sep"))
+
+
+def segment_bounds(size: int) -> tuple[Column, Column]:
+    """seg_start, seg_end: arrays of where the segments of sequence begin and end."""
     n = F.length("sequence").cast("bigint")
     cuts = F.greatest(F.lit(0), F.expr(f"cast(length(sequence) as bigint) div {size}") - 1)
     rest = n - cuts * size
-    ends = F.concat(
-        F.when(cuts > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), cuts), lambda i: i * size)).otherwise(F.array().cast("array<bigint>")),
-        F.when(rest > size, F.array(cuts * size + F.floor(rest / 2), n)).otherwise(F.array(n)),
-    )
-    rows = long_enough(records, k).select("file", "seq_no", n.alias("n"), ends.alias("ends"))
-    starts = F.concat(F.array(F.lit(0).cast("bigint")), F.slice("ends", F.lit(1), F.size("ends") - 1))
-    rows = rows.select("file", "seq_no", "n", F.posexplode(F.arrays_zip(starts.alias("seg_start"), F.col("ends").alias("seg_end"))).alias("seg_no", "s"))
-    return rows.select("file", "seq_no", "seg_no", "s.seg_start", "s.seg_end", (F.col("s.seg_end") == F.col("n")).alias("is_true_sep"))
+    none = F.array().cast("array<bigint>")
+    whole = F.when(cuts > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), cuts), lambda i: i * size)).otherwise(none)
+    inner = F.concat(whole, F.when(rest > size, F.array(cuts * size + F.floor(rest / 2))).otherwise(none))
+    return F.concat(F.array(F.lit(0).cast("bigint")), inner).alias("seg_start"), F.concat(inner, F.array(n)).alias("seg_end")
 
 
 def separators(segs: DataFrame, k: int) -> DataFrame:
@@ -70,26 +70,10 @@ def kmers(records: DataFrame, k: int, stretch: int = 128) -> DataFrame:
     return parts.select("file", "seq_no", "base", F.posexplode(windows).alias("i", "kmer")).select("file", "seq_no", (F.col("base") + F.col("i")).alias("offset"), "kmer")
 
 
-def kmer_codes(records: DataFrame, k: int, stretch: int = 128) -> DataFrame:
-    """file, seq_no, offset, kmer_bits: every window of k letters, packed without being written out as text.
+def rejoined(records: DataFrame, k: int, size: int = SEGMENT) -> DataFrame:
+    """file, seq_no, line: each sequence of at least k letters decoded from its segments, which are cut and joined in its row.
 
-    Windows are read from the reversed digits, whose numbers have the first letter in the lowest bits.
+    Lines are in order by seq_no: a file in one string would be bounded by the largest string.
     """
-    parts = stretches(records, k, stretch).select("file", "seq_no", "base", F.reverse(F.translate("body", alphabet.LETTERS, "0123")).alias("digits"))
-    codes = F.transform(F.sequence(F.lit(1), F.length("digits") - (k - 1)), lambda i: F.conv(F.substring(F.col("digits"), i, F.lit(k)), 4, -10).cast("bigint"))
-    last = F.col("base") + F.length("digits") - k
-    rows = parts.select("file", "seq_no", last.alias("last"), F.posexplode(codes).alias("i", "kmer_bits"))
-    return rows.select("file", "seq_no", (F.col("last") - F.col("i")).alias("offset"), "kmer_bits")
-
-
-def packed(rows: DataFrame) -> DataFrame:
-    """rows with kmer_bits, the packed k-mer (letters only): 8 bytes to shuffle and compare in place of k."""
-    return rows.withColumn("kmer_bits", alphabet.pack_letters(F.col("kmer")))
-
-
-def rejoined(records: DataFrame, segs: DataFrame, newline: str = "\n") -> DataFrame:
-    """file, body: all sequences of a file, decoded from their segments, one a line in input order."""
-    cut = records.join(segs, ["file", "seq_no"]).select("file", "seq_no", "seg_no", F.substring("sequence", (F.col("seg_start") + 1).cast("int"), (F.col("seg_end") - F.col("seg_start")).cast("int")).alias("piece"))
-    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
-    whole = cut.groupBy("file", "seq_no").agg(F.array_join(in_order("seg_no", "piece"), "").alias("line"))
-    return whole.groupBy("file").agg(F.concat(F.array_join(in_order("seq_no", "line"), newline), F.lit(newline)).alias("body"))
+    pieces = F.transform(F.arrays_zip(*segment_bounds(size)), lambda s: F.substring(F.col("sequence"), (s["seg_start"] + 1).cast("int"), (s["seg_end"] - s["seg_start"]).cast("int")))
+    return long_enough(records, k).select("file", "seq_no", F.array_join(pieces, "").alias("line"))

@@ -34,7 +34,3 @@ def repeated_paths(paths: DataFrame) -> DataFrame:
     """path, n of paths that are named more than once."""
     return paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
 
-
-def in_order(rows: DataFrame) -> DataFrame:
-    """Rows by file, then in input order."""
-    return rows.orderBy("file", "seq_no")

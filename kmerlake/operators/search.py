@@ -13,8 +13,10 @@ from . import kmers as K
 from .index import LETTERS
 from .lineage import checkpointed
 
-#: Rows up to which an index is small enough to be sent whole to every task: 13 MB of bits and counts.
-SMALL = 10_000_000
+#: Rows up to which an index is small enough to be sent whole to every task: at most 20 bytes a row, 80 MB.
+SMALL = 4_000_000
+#: Windows of a sequence that are looked up, or letters that are streamed, side by side in one row.
+STRETCH = 1024
 
 
 def entries(index: DataFrame) -> DataFrame:
@@ -25,11 +27,75 @@ def entries(index: DataFrame) -> DataFrame:
 def search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """file, seq_no, offset, pos of every k-mer of records; pos is -1 where the index lacks it.
 
-    A left join without a hint: the engine sends a small index to all tasks by its measured size, and shuffles both sides,
-    splitting skewed ones, beyond that. Keys are the letters: packing them costs more time than their bytes do.
+    An index of at most SMALL rows, which is checked, is sent to all tasks as sorted packed k-mers, and whole batches of
+    windows are looked up at once. Beyond that, or for k over 32, a left join shuffles both sides and splits skewed keys.
     """
-    found = K.kmers(records, k).join(entries(index), "kmer", "left")
-    return found.select("file", "seq_no", "offset", F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"))
+    known = small(entries(index), SMALL) if k <= 32 else None
+    if known is None:
+        found = K.kmers(records, k).join(entries(index), "kmer", "left")
+        return found.select("file", "seq_no", "offset", F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"))
+    return looked_up(records, k, known.column("kmer").to_pylist(), {"pos": known.column("pos").to_numpy()})
+
+
+def small(rows: DataFrame, most: int) -> pa.Table | None:
+    """The rows, if they are at most `most`; None, of which no more than that reached the driver, if they are more."""
+    found = rows.limit(most + 1).toArrow()
+    return found if found.num_rows <= most else None
+
+
+def packed_windows(codes: np.ndarray, k: int) -> np.ndarray:
+    """For each start the number whose base-4 digits are the k codes from there, by doubling; starts near the end wrap to no use."""
+    out, covered, power, size = np.zeros(len(codes), np.uint64), 0, codes.astype(np.uint64), 1
+    while size <= k:
+        if k & size:
+            out |= np.roll(power, -covered) << np.uint64(2 * covered)
+            covered += size
+        power = power | np.roll(power, -size) << np.uint64(2 * size) if 2 * size <= k else power
+        size *= 2
+    return out
+
+
+#: The code of each byte; 4 for what is no nucleotide, which no window may hold.
+CODES = np.full(256, 4, np.uint8)
+CODES[list(b"ACGT")] = range(4)
+
+
+def stretched(records: DataFrame, k: int) -> DataFrame:
+    """file, seq_no, base, body (bytes) of records in stretches of STRETCH windows: rows of like size, whatever the sequences' lengths."""
+    return K.stretches(records, k, STRETCH).select("file", "seq_no", "base", F.col("body").cast("binary").alias("body"))
+
+
+def window_rows(batch: pa.RecordBatch, n: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """file, seq_no, offset and values of n windows for each row of a batch of stretched()."""
+    row = pa.array(np.repeat(np.arange(len(n)), n))
+    inside = np.arange(n.sum()) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
+    offset = np.repeat(batch.column("base").to_numpy(), n) + inside
+    columns = [batch.column("file").take(row), batch.column("seq_no").take(row), pa.array(offset), *map(pa.array, values.values())]
+    return pa.RecordBatch.from_arrays(columns, ["file", "seq_no", "offset", *values])
+
+
+def looked_up(records: DataFrame, k: int, keys: list[str], values: dict[str, np.ndarray]) -> DataFrame:
+    """file, seq_no, offset and values (longs, -1 where none) of every window of k letters, from a table of keys that every task holds."""
+    letters = CODES[np.frombuffer("".join(keys).encode(), np.uint8)]
+    packed = packed_windows(letters, k)[::k][: len(keys)] if keys else np.zeros(0, np.uint64)
+    order = np.argsort(packed)
+    shared = records.sparkSession.sparkContext.broadcast((packed[order], {name: v[order].astype(np.int64) for name, v in values.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, columns = shared.value
+        for batch in (part.slice(at, 256) for part in batches for at in range(0, len(part), 256)):
+            n = np.array([len(x.as_buffer()) for x in batch.column("body")], np.int64)
+            ends = n.cumsum()
+            codes = CODES[np.frombuffer(b"".join(batch.column("body").to_pylist()), np.uint8)]
+            odd = np.r_[0, (codes > 3).cumsum()]
+            starts = np.concatenate([np.arange(e - m, e - k + 1) for e, m in zip(ends, n, strict=True)])
+            window = packed_windows(codes & 3, k)[starts]
+            at = np.minimum(np.searchsorted(known, window), max(0, len(known) - 1))
+            hit = (known[at] == window) & (odd[starts + k] == odd[starts]) if len(known) else np.zeros(len(window), bool)
+            yield window_rows(batch, n - (k - 1), {name: np.where(hit, v[at], -1) if len(known) else np.full(len(window), -1) for name, v in columns.items()})
+
+    schema = ", ".join(["file string, seq_no bigint, offset bigint", *(f"{name} bigint" for name in values)])
+    return stretched(records, k).mapInArrow(run, schema)
 
 
 def present(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -43,12 +109,18 @@ def absent(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
 
 def intervals(queries: DataFrame, index: DataFrame, m: int) -> DataFrame:
-    """file, seq_no, offset, l, r: the rows that end in each window of m < k letters; -1 where none does."""
+    """file, seq_no, offset, l, r: the rows that end in each window of m < k letters; -1 where none does.
+
+    As in search(): a table of at most SMALL suffixes is held by every task, a larger one is joined.
+    """
     from .index import suffix_intervals
 
-    rows = K.kmers(queries, m).withColumnRenamed("kmer", "suffix")
-    found = rows.join(suffix_intervals(index, m), "suffix", "left")
-    return found.select("file", "seq_no", "offset", *[F.coalesce(x, F.lit(-1)).cast("bigint").alias(x) for x in ("l", "r")])
+    table = suffix_intervals(index, m)
+    known = small(table, SMALL) if m <= 32 else None
+    if known is None:
+        found = K.kmers(queries, m).withColumnRenamed("kmer", "suffix").join(table, "suffix", "left")
+        return found.select("file", "seq_no", "offset", *[F.coalesce(x, F.lit(-1)).cast("bigint").alias(x) for x in ("l", "r")])
+    return looked_up(queries, m, known.column("suffix").to_pylist(), {x: known.column(x).to_numpy() for x in ("l", "r")})
 
 
 def walk_to_keys(index: DataFrame, keys: DataFrame, rounds: int = 40) -> DataFrame:
@@ -75,47 +147,74 @@ def walk_to_keys(index: DataFrame, keys: DataFrame, rounds: int = 40) -> DataFra
     return state.select("pos", F.when(F.col("done"), F.col("at")).otherwise(F.lit(-1)).cast("bigint").alias("key"))
 
 
+def nearest_smaller(lcs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest place before it, and after it, with a smaller value, by one pass for each value up to k."""
+    place = np.arange(len(lcs), dtype=np.int32)
+    before, after = np.zeros(len(lcs), np.int32), np.full(len(lcs), len(lcs) - 1, np.int32)
+    for v in range(k + 1):
+        at = np.flatnonzero(lcs == v)
+        if len(at):
+            before[at] = np.maximum.accumulate(np.where(lcs < v, place, 0))[at]
+            after[at] = np.minimum.accumulate(np.where(lcs < v, place, len(lcs) - 1)[::-1])[::-1][at]
+    return before, after
+
+
 class RankIndex:
-    """The bits of an index in memory, for search step by step: rows l to r that end in the letters read so far."""
+    """The bits of an index in memory, for streaming search: rows l to end - 1 share the last `depth` letters read.
+
+    Bits lie in words of 64 with the ones before each; lcs has -1 at both ends, so that the whole index is the widest range.
+    """
 
     def __init__(self, bits: np.ndarray, lcs: np.ndarray, k: int):
-        self.k, self.lcs = k, lcs
-        self.ranks = np.zeros((4, len(lcs) + 1), np.int64)
+        self.k, self.n = k, len(lcs)
+        self.lcs = np.r_[np.int8(-1), lcs[1:].astype(np.int8), np.int8(-1)] if len(lcs) else np.array([-1], np.int8)
+        self.before, self.after = nearest_smaller(self.lcs, k)
+        size = len(lcs) // 64 + 1
+        self.words = np.zeros((4, size), np.uint64)
         for i in range(4):
-            self.ranks[i, 1:] = np.cumsum(bits >> i & 1)
-        self.start = 1 + np.r_[0, np.cumsum(self.ranks[:, -1])]
-
-    def step(self, code: int, l: int, r: int) -> tuple[int, int]:  # noqa: E741
-        rank, start = self.ranks[code], int(self.start[code])
-        return start + int(rank[l]), start + int(rank[r + 1]) - 1
-
-    def wider(self, l: int, r: int, depth: int) -> tuple[int, int]:  # noqa: E741
-        """The rows that share `depth` last letters with row l."""
-        lcs = self.lcs
-        while l > 0 and lcs[l] >= depth:
-            l -= 1  # noqa: E741
-        while r + 1 < len(lcs) and lcs[r + 1] >= depth:
-            r += 1
-        return l, r
-
-    def stream(self, sequence: str) -> Iterator[int]:
-        """The row, or -1, of each window of a sequence in one pass: where a letter does not fit, the match loses its first letter."""
-        l, r, depth = 0, len(self.lcs) - 1, 0  # noqa: E741
-        for i, code in enumerate(map("ACGT".index, sequence)):
-            while True:
-                a, b = self.step(code, l, r)
-                if a <= b:
-                    l, r, depth = a, b, min(depth + 1, self.k)  # noqa: E741
-                    break
-                if not depth:
-                    break
-                depth -= 1
-                l, r = self.wider(l, r, depth) if depth else (0, len(self.lcs) - 1)  # noqa: E741
-            if i >= self.k - 1:
-                yield l if depth == self.k else -1
-            if depth == self.k:
-                depth -= 1
-                l, r = self.wider(l, r, depth) if depth else (0, len(self.lcs) - 1)  # noqa: E741
+            self.words[i] = np.frombuffer(np.packbits(bits >> i & 1, bitorder="little").tobytes().ljust(8 * size, b"\0"), np.uint64)
+        ones = np.bitwise_count(self.words).astype(np.int64)
+        self.ones = ones.cumsum(1) - ones
+        self.start = 1 + np.r_[0, ones.sum(1).cumsum()]
+
+    def rank(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
+        word, bit = at >> 6, (at & 63).astype(np.uint64)
+        below = self.words[code, word] & ((np.uint64(1) << bit) - np.uint64(1))
+        return self.start[code] + self.ones[code, word] + np.bitwise_count(below)
+
+    def wider(self, low: np.ndarray, end: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges that share `to` last letters, the greatest common length with a neighbour: nearest smaller values bound them."""
+        return np.where(self.lcs[low] == to, self.before[low], low), np.where(self.lcs[end] == to, self.after[end], end)
+
+    def stream(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """For each row of codes, of these lengths, the index's row, or -1, of each window: rows are streamed side by side.
+
+        A letter that does not follow the match makes it lose first letters, up to the next wider range, until it does.
+        """
+        lanes = len(codes)
+        low, end, depth = np.zeros(lanes, np.int64), np.full(lanes, self.n, np.int64), np.zeros(lanes, np.int64)
+        found = np.full((lanes, max(0, codes.shape[1] - self.k + 1)), -1, np.int64)
+        for t in range(codes.shape[1]):
+            todo = np.flatnonzero(lengths > t)
+            odd = todo[codes[todo, t] > 3]
+            low[odd], end[odd], depth[odd] = 0, self.n, 0
+            todo = todo[codes[todo, t] <= 3]
+            code = codes[todo, t]
+            while len(todo):
+                a, b = self.rank(code, low[todo]), self.rank(code, end[todo])
+                fits = a < b
+                at = todo[fits]
+                low[at], end[at], depth[at] = a[fits], b[fits], depth[at] + 1
+                left = ~fits & (depth[todo] > 0)
+                todo, code = todo[left], code[left]
+                depth[todo] = np.maximum(self.lcs[low[todo]], self.lcs[end[todo]]).clip(0)
+                low[todo], end[todo] = self.wider(low[todo], end[todo], depth[todo])
+            full = np.flatnonzero((depth == self.k) & (lengths > t))
+            if len(full):
+                found[full, t - self.k + 1] = low[full]
+                depth[full] = self.k - 1
+                low[full], end[full] = self.wider(low[full], end[full], depth[full])
+        return found
 
 
 def streaming_search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
@@ -123,19 +222,20 @@ def streaming_search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
 
     Only for indexes of at most SMALL rows, which is checked; larger ones go through search().
     """
-    spark = records.sparkSession
-    if index.count() > SMALL:
+    bits = small(index.selectExpr("pos", "cast(a as int) + 2 * cast(c as int) + 4 * cast(g as int) + 8 * cast(t as int) b", "lcs"), SMALL)
+    if bits is None:
         return search(records, index, k)
-    bits = index.selectExpr("pos", "cast(a as int) + 2 * cast(c as int) + 4 * cast(g as int) + 8 * cast(t as int) b", "lcs").orderBy("pos").toArrow()
-    shared = spark.sparkContext.broadcast(RankIndex(bits.column("b").to_numpy(), bits.column("lcs").to_numpy(), k))
+    bits = bits.sort_by("pos")
+    shared = records.sparkSession.sparkContext.broadcast(RankIndex(bits.column("b").to_numpy(), bits.column("lcs").to_numpy(), k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, seq_no, sequence in zip(*(batch.column(c).to_pylist() for c in ("file", "seq_no", "sequence")), strict=True):
-                found = list(shared.value.stream(sequence))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([file] * len(found)), pa.array([seq_no] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64()), pa.array(found, pa.int64())],
-                    ["file", "seq_no", "offset", "pos"],
-                )
-
-    return K.long_enough(records, k).select("file", "seq_no", "sequence").mapInArrow(run, "file string, seq_no bigint, offset bigint, pos bigint")
+            bodies = batch.column("body").to_pylist()
+            n = np.array([len(x) for x in bodies], np.int64)
+            codes = np.zeros((len(bodies), int(n.max(initial=0))), np.int64)
+            for i, body in enumerate(bodies):
+                codes[i, : n[i]] = CODES[np.frombuffer(body, np.uint8)]
+            found = shared.value.stream(codes, n)
+            yield window_rows(batch, n - (k - 1), {"pos": found[np.arange(found.shape[1]) < (n - (k - 1))[:, None]]})
+
+    return stretched(records, k).mapInArrow(run, "file string, seq_no bigint, offset bigint, pos bigint")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -66,13 +66,20 @@ def read_fastx(spark: SparkSession, paths: str | list[str], k: int = 0) -> DataF
 
 
 def strict_records(raw: DataFrame) -> DataFrame:
-    """Sequences of strict four-line FASTQ: N becomes A; a file ends before its first sequence with any other letter."""
-    rows = lines(raw).where("ln % 4 = 1").where("not (line = '' and ln > 0 and line is null)")
-    rows = rows.select("file", F.col("ln"), F.replace("line", F.lit("N"), F.lit("A")).alias("sequence"))
-    by = Window.partitionBy("file").orderBy("ln")
-    bad = F.sum((~alphabet.is_valid(F.trim("sequence"))).cast("int")).over(by)
-    rows = rows.withColumn("bad", bad).where("bad = 0")
-    return rows.select("file", (F.expr("ln div 4") + 1).cast("bigint").alias("seq_no"), "sequence")
+    """Sequences of strict four-line FASTQ: N becomes A, and carriage returns at the ends of lines are dropped.
+
+    A file ends before the first record whose header does not begin with @ or whose sequence has another letter or is
+    missing, and after the first whose third line is missing or does not begin with +.
+    """
+    rows = lines(raw).select("file", F.expr("ln div 4").alias("n"), F.expr("ln % 4").alias("part"), F.rtrim("line", F.lit("\r")).alias("line"))
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("line")))
+    found = rows.where("part < 3").groupBy("file", "n").agg(of(0).alias("header"), F.replace(of(1), F.lit("N"), F.lit("A")).alias("sequence"), of(2).alias("plus"))
+    before = F.startswith("header", F.lit("@")) & F.col("sequence").isNotNull() & alphabet.is_valid(F.trim("sequence"))
+    after = F.coalesce(F.startswith("plus", F.lit("+")), F.lit(False))
+    by = Window.partitionBy("file").orderBy("n")
+    broken = F.sum((~F.coalesce(before, F.lit(False))).cast("int")).over(by) + F.coalesce(F.sum((~after).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = found.withColumn("broken", broken).where("broken = 0")
+    return kept.select("file", (F.col("n") + 1).cast("bigint").alias("seq_no"), "sequence")
 
 
 class Machine:
@@ -145,6 +152,3 @@ class FastxReader(DataSourceReader):
             for seq_no, sequence in stream_records(iter(lambda: file.read(1 << 20), ""), self.k):
                 yield partition.value, seq_no, sequence
 
-
-def base_name(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]*)$", 1)

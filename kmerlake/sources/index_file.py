@@ -3,92 +3,110 @@
 In order: a length-prefixed version ("v0.1", or "plain-matrix" and then "v0.1"); the bit vectors of A, C, G and T, each its
 number of bits and 64-bit words; four rank supports and one suffix-group vector, each its number of bits and words; the
 offset map and the prefix table, each its number of bytes and bytes; and the prefix length, the numbers of nodes and of
-k-mers, and k. Readers use the four vectors and k, and skip the rest.
+k-mers, and k. Readers use the four vectors and k, and skip the rest. Files are read and written through Hadoop's file systems, so that
+they may lie in any store.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
 
-import numpy as np
-from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-WORDS_PER_TASK = 1 << 15
+from kmerlake.operators import index as X
+from kmerlake.operators.lineage import checkpointed
 
+#: Bytes of a record in which files are read: all parts of the layout are multiples of it.
+RECORD = 4
 
-def _number(file) -> int:
-    return struct.unpack("<Q", file.read(8))[0]
 
+def _path(spark: SparkSession, path: str):
+    """(Hadoop path, its file system)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-def _skip_bits(file) -> tuple[int, int]:
-    bits = _number(file)
-    at = file.tell()
-    file.seek(-(-bits // 64) * 8, 1)
-    return bits, at
 
-
-def metadata(path: str) -> dict:
+def metadata(spark: SparkSession, path: str) -> dict:
     """k, rows, and where each letter's words begin, without reading the vectors."""
-    with open(path, "rb") as file:
-        version = file.read(_number(file)).decode()
+    p, system = _path(spark, path)
+    file = system.open(p)
+    number = lambda: int.from_bytes(struct.pack(">q", file.readLong()), "little")
+
+    def word() -> str:
+        n = number()
+        if not 0 < n <= 64:
+            raise ValueError("not an index file")
+        return bytes(file.readUnsignedByte() for _ in range(n)).decode(errors="replace")
+
+    def skipped() -> tuple[int, int]:
+        bits, at = number(), file.getPos()
+        file.seek(at + -(-bits // 64) * 8)
+        return bits, at
+
+    try:
+        version = word()
         if version == "plain-matrix":
-            version = file.read(_number(file)).decode()
+            version = word()
         if version != "v0.1":
             raise ValueError(f"unknown index version {version!r}")
-        vectors = [_skip_bits(file) for _ in range(4)]
+        vectors = [skipped() for _ in range(4)]
         for _ in range(5):
-            _skip_bits(file)
+            skipped()
         for _ in range(2):
-            file.seek(_number(file), 1)
-        prefix, nodes, kmers, k = (_number(file) for _ in range(4))
+            n = number()
+            file.seek(file.getPos() + n)
+        prefix, nodes, kmers, k = (number() for _ in range(4))
+    finally:
+        file.close()
     if k > 32:
         raise ValueError("k may be 32 at most")
     return {"k": k, "rows": vectors[0][0], "n_nodes": nodes, "n_kmers": kmers, "prefix": prefix, "at": [v[1] for v in vectors]}
 
 
-class IndexSource(DataSource):
-    """spark.read.format("kmer_index").load(path): pos, a, c, g, t; a task for each stretch of words."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "kmer_index"
-
-    def schema(self) -> str:
-        return "pos bigint, a boolean, c boolean, g boolean, t boolean"
-
-    def reader(self, schema) -> DataSourceReader:
-        return IndexReader(self.options["path"].removeprefix("file://"))
-
-
-class IndexReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.about = path, metadata(path)
+def read_bits(spark: SparkSession, path: str) -> DataFrame:
+    """pos, a, c, g, t of an index file, which is split over tasks in records of a few bytes."""
+    about = metadata(spark, path)
+    words = spark.sparkContext.binaryRecords(path, RECORD).zipWithIndex().map(lambda x: (x[1] * RECORD, int.from_bytes(x[0], "little")))
+    words = spark.createDataFrame(words, "at bigint, word bigint")
+    size, per = -(-about["rows"] // 64) * 8, 8 * RECORD
+    letter, begin = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    for x, at in zip(X.LETTERS, about["at"], strict=True):
+        inside = (F.col("at") >= at) & (F.col("at") < at + size)
+        letter, begin = F.when(inside, F.lit(x)).otherwise(letter), F.when(inside, F.lit(at)).otherwise(begin)
+    words = words.withColumns({"letter": letter, "first": (F.col("at") - begin) * 8}).where("letter is not null")
+    rows = words.groupBy("first").agg(*[F.max(F.when(F.col("letter") == x, F.col("word"))).alias(x) for x in X.LETTERS])
+    rows = rows.select("first", *X.LETTERS, F.explode(F.sequence(F.lit(0), F.lit(per - 1))).alias("i"))
+    bit = lambda x: F.call_function("shiftright", F.col(x), F.col("i")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return rows.select((F.col("first") + F.col("i")).alias("pos"), *[bit(x).alias(x) for x in X.LETTERS]).where(F.col("pos") < about["rows"])
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(i) for i in range(0, -(-self.about["rows"] // 64), WORDS_PER_TASK)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        n = min(WORDS_PER_TASK * 64, self.about["rows"] - partition.value * 64)
-        sides = []
-        with open(self.path, "rb") as file:
-            for at in self.about["at"]:
-                file.seek(at + partition.value * 8)
-                words = np.frombuffer(file.read(-(-n // 64) * 8), np.uint8)
-                sides.append(np.unpackbits(words, bitorder="little")[:n].astype(bool).tolist())
-        yield from zip(range(partition.value * 64, partition.value * 64 + n), *sides, strict=True)
+def read(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(index as operators.index.build() has it, k): k-mers and common suffixes are found from the bits."""
+    k = metadata(spark, path)["k"]
+    return X.from_bits(checkpointed(read_bits(spark, path)), k), k
 
 
 def write(index: DataFrame, k: int, path: str) -> None:
-    """An index with pos, a, c, g, t, as one file on the driver's disk; its rows pass through as bits, part by part."""
-    bits = index.selectExpr("pos", "cast(a as int) + 2 * cast(c as int) + 4 * cast(g as int) + 8 * cast(t as int) b").orderBy("pos")
-    rows = np.fromiter((r["b"] for r in bits.select("b").toLocalIterator()), np.uint8)
-    with open(path, "wb") as file:
-        for word in ("plain-matrix", "v0.1"):
-            file.write(struct.pack("<Q", len(word)) + word.encode())
-        for i in range(4):
-            packed = np.packbits(rows >> i & 1, bitorder="little").tobytes()
-            file.write(struct.pack("<Q", len(rows)) + packed.ljust(-(-len(rows) // 64) * 8, b"\0"))
-        file.write(struct.pack("<7Q", *[0] * 7))
-        file.write(struct.pack("<4Q", 0, len(rows), 0, k))
+    """An index with pos, a, c, g, t, as one file. Its bits are gathered to words by tasks; the driver holds a part of them at a time."""
+    spark = index.sparkSession
+    on = lambda x: F.when(F.col(x), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("pos") % 64).cast("int"))).otherwise(F.lit(0).cast("bigint"))
+    words = checkpointed(index.groupBy(F.expr("pos div 64").alias("word")).agg(F.count("*").alias("n"), *[F.bit_or(on(x)).alias(x) for x in X.LETTERS]))
+    rows = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    p, system = _path(spark, path)
+    file = system.create(p, True)
+    put = lambda data: file.write(bytearray(data))
+    for word in ("plain-matrix", "v0.1"):
+        put(struct.pack("<Q", len(word)) + word.encode())
+    for x in X.LETTERS:
+        put(struct.pack("<Q", rows))
+        part: list[int] = []
+        for r in words.select(x, "word").orderBy("word").toLocalIterator():
+            part.append(r[x])
+            if len(part) == 1 << 16:
+                put(struct.pack(f"<{len(part)}q", *part))
+                part.clear()
+        put(struct.pack(f"<{len(part)}q", *part))
+    put(struct.pack("<7Q", *[0] * 7))
+    put(struct.pack("<4Q", 0, rows, 0, k))
+    file.close()

@@ -49,7 +49,7 @@ def test_segments_keep_kmers_and_text(spark):
     segs = K.segments(rows, 31)
     total = segs.agg(F.sum(F.col("seg_end") - F.col("seg_start") - 30 * F.col("is_true_sep").cast("int"))).first()[0]
     assert total == K.kmers(rows, 31).count() == K.kmer_totals(rows, 31).first()["kmers"]
-    lines = K.rejoined(rows, segs).first()["body"].split("\n")[:-1]
+    lines = [r["line"] for r in K.rejoined(rows, 31).orderBy("seq_no").collect()]
     assert lines == [r["sequence"] for r in rows.collect() if len(r["sequence"]) >= 31]
     first = {r["seq_no"]: r["out_start"] for r in K.separators(segs, 31).where("seg_no = 0").collect()}
     done = 0
@@ -129,3 +129,21 @@ def test_balance(spark):
     got = {r["file"]: (r["stream"], r["stream_total"]) for r in routing.balance(files, 8).collect()}
     assert got == {"e": (0, 30), "b": (1, 11), "a": (1, 11), "d": (1, 11), "c": (2, 9)}
     assert routing.balance(files.limit(0)).count() == 0
+
+
+def test_whole_numbers_and_sizes(spark):
+    from kmerlake.functions import alphabet as A
+
+    rows = [(2**53 + 1, 1), (2**62 + 3, 2), (-7, 2), (7, 2), (0, 5), (8, 4), (-8, 4)]
+    got = spark.createDataFrame(rows, "a bigint, b bigint").select("a", "b", A.ceil_div(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(r["x"] == -(-r["a"] // r["b"]) for r in got)
+    sizes = spark.createDataFrame([(2**30 - 1,), (1023,), (1536,), (2**40,)], "n bigint").select(A.human_bytes(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in sizes] == ["1.000 GB", "1023 B", "1.500 KB", "1.000 TB"]
+
+
+def test_streaming_over_letters_that_are_none(spark):
+    built = X.build(frame(spark, ["ACGACTTACG"]), 3)
+    queries = frame(spark, ["ACGNACTT", "NNNN", "ACG" * 700])
+    key = lambda df: sorted(map(tuple, df.collect()))
+    expected = K.kmers(queries, 3).join(search.entries(built), "kmer", "left").select("file", "seq_no", "offset", F.coalesce("pos", F.lit(-1)).alias("pos"))
+    assert key(search.search(queries, built, 3)) == key(search.streaming_search(queries, built, 3)) == key(expected)

@@ -64,8 +64,14 @@ def test_readers_agree_on_random_texts(spark, tmp_path):
 
 
 def test_strict(spark):
-    raw = spark.createDataFrame([("a", "@1\nACGN\n+\n!!!!\n@2\nAXA\n+\n!!!\n@3\nACG\n+\n!!!\n"), ("b", "@1\nAC\n+\n!!\n")], "file string, value string")
-    assert sorted((r["file"], r["seq_no"], r["sequence"]) for r in fastx.strict_records(raw).collect()) == [("a", 1, "ACGA"), ("b", 1, "AC")]
+    files = {
+        "a": "@1\nACGN\n+\n!!!!\n@2\nAXA\n+\n!!!\n@3\nACG\n+\n!!!\n", "b": "@1\nAC\n+\n!!\n", "windows": "@1\r\nACN\r\n+\r\n!!!\r\n@2\r\nGG\r\n+\r\n!!\r\n",
+        "no header": "@1\nAC\n+\n!!\n2\nGG\n+\n!!\n", "no plus": "@1\nAC\n-\n!!\n@2\nGG\n+\n!!\n", "ends": "@1\nAC\n+\n!!\n@2\nGG", "ends early": "@1", "empty": "",
+    }
+    raw = spark.createDataFrame(list(files.items()), "file string, value string")
+    assert sorted((r["file"], r["seq_no"], r["sequence"]) for r in fastx.strict_records(raw).collect()) == sorted([
+        ("a", 1, "ACGA"), ("b", 1, "AC"), ("windows", 1, "ACA"), ("windows", 2, "GG"), ("no header", 1, "AC"), ("no plus", 1, "AC"), ("ends", 1, "AC"), ("ends", 2, "GG"),
+    ])
 
 
 def test_generated_fastq(spark):
@@ -114,17 +120,30 @@ def test_arrivals(spark, tmp_path):
 def test_index_file(spark, tmp_path):
     from kmerlake.operators import index as X
 
-    refs = spark.createDataFrame([("r", 1, "ACGACT"), ("r", 2, "GGT")], "file string, seq_no bigint, sequence string")
-    built = X.build(refs, 3)
-    path = str(tmp_path / "i.bin")
-    index_file.write(built, 3, path)
-    assert {k: index_file.metadata(path)[k] for k in ("k", "rows", "n_nodes")} == {"k": 3, "rows": 8, "n_nodes": 8}
-    spark.dataSource.register(index_file.IndexSource)
-    columns = ["pos", "a", "c", "g", "t"]
-    assert spark.read.format("kmer_index").load(path).orderBy("pos").collect() == built.select(*columns).orderBy("pos").collect()
-    (tmp_path / "bad").write_bytes(struct.pack("<Q", 2) + b"v9")
-    with pytest.raises(ValueError):
-        index_file.metadata(str(tmp_path / "bad"))
+    rnd = random.Random(9)
+    for k, texts in ((3, ["ACGACT", "GGT"]), (5, ["".join(rnd.choice("ACGT") for _ in range(90))]), (1, ["AC"])):
+        built = X.build(spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "file string, seq_no bigint, sequence string"), k)
+        path, n = str(tmp_path / f"{k}.bin"), built.count()
+        index_file.write(built, k, path)
+        assert {x: index_file.metadata(spark, path)[x] for x in ("k", "rows", "n_nodes")} == {"k": k, "rows": n, "n_nodes": n}
+        assert index_file.read_bits(spark, path).orderBy("pos").collect() == built.select("pos", "a", "c", "g", "t").orderBy("pos").collect()
+        again, found = index_file.read(spark, path)
+        assert found == k and again.orderBy("pos").collect() == built.orderBy("pos").collect()
+    for name, data in (("bad", struct.pack("<Q", 2) + b"v9"), ("text", b"ACGTACGTACGTACGT")):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(ValueError):
+            index_file.metadata(spark, str(tmp_path / name))
+
+
+def test_search_command(spark, tmp_path):
+    from kmerlake.operators import index as X
+
+    index_file.write(X.build(spark.createDataFrame([("r", 1, "ACGACT"), ("r", 2, "GGT")], "file string, seq_no bigint, sequence string"), 3), 3, str(tmp_path / "x"))
+    (tmp_path / "q.fa").write_text(">1\nACGTAC\nTGGT\n>2\nAC\n")
+    for more in ([], ["--large"]):
+        assert cli.main(["-x", str(tmp_path / "x"), "-i", str(tmp_path / "q.fa"), "--search", str(tmp_path / "hits"), *more]) == 0
+        hits = spark.read.parquet(str(tmp_path / "hits")).orderBy("offset").collect()
+        assert [(r["seq_no"], r["pos"]) for r in hits] == [(1, p) for p in (4, -1, -1, -1, 6, -1, -1, 7)]
 
 
 def test_totals_match_kmers(spark):
