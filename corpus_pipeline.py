@@ -32,8 +32,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of strings that start anywhere else; no document goes."""
-    return suffix_dedup.without_repeats(docs).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) n_chars")
+    """Documents without the bytes of passages (strings of suffix_dedup.PASSAGE bytes) that start anywhere else; no document goes."""
+    return suffix_dedup.without_repeats(docs, suffix_dedup.PASSAGE).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,26 +1,27 @@
 """Removal of byte strings that start anywhere else, by a distributed difference-cover algorithm.
 
-A string of `length` bytes that starts twice shares, at one distance below PERIOD from both starts, a sampled suffix:
-suffixes are sampled at the places whose remainder modulo PERIOD is in COVER, and every remainder is a difference of two
-of COVER (both places are counted from the start of their documents). The steps are
+Two equal strings of `length` bytes have, at one distance below the period v from both starts, a sampled suffix each:
+suffixes are sampled at the places whose remainder modulo v is in the cover, and every remainder is a difference of two of
+its members. The steps are
 
-1. Screening. Of every window of length - GRAM + 1 grams the least gram (by hash, leftmost of equals) is its mark. Equal
+1. Screening. Of every window of length - gram + 1 grams the least gram (by hash, leftmost of equals) is its mark. Equal
    strings have their marks at the same distance, so a string whose mark's gram is nowhere else a mark cannot start twice.
-   This drops no repeated string, and leaves only the starts whose marks occur twice or more. The starts that share a
-   mark are settled together where the whole stretch that their strings cover is also found elsewhere; one stretch then
-   stands for its copies. Stretches that differ around equal marks go on. Texts that are equal as a whole are one text.
-2. Sampled triples. There, each sampled suffix gets the names of the three blocks of PERIOD bytes that begin it (a name is
-   a hash; its numeric order is the order of the blocks), and each triple of names is named in turn. Three blocks and the
-   longest distance fit in `length`, so this one level of recursion decides and no deeper one is needed. Triples are
-   sorted and compared with their neighbours.
-3. Remaining suffixes. Starts from which no sampled suffix with an equal triple is within reach are dropped. The others
-   are merged by the name of their first `length` bytes: sorted, and compared with their neighbours.
-
-Names have 64 bits in step 2, where they only keep too much if two of them collide; 128 bits tell stretches apart (the
-mark's gram, and the stretch) and strings in step 3. Rows
-of steps 2 and 3 are packed: a task sends one row of bytes for each range of names. Of equal names that a task meets
-itself it sends one, so that a string which a third of all documents share costs each task one name. The ranges' number
-follows the number of starts.
+   Screening only drops such strings. What is left is cut into pieces, runs of starts that are still open; each is a text
+   of its own with places from 0. Texts that are equal as a whole are one text.
+2. Sampled triples. Each sampled suffix of a piece gets the names of the three blocks of bytes that begin it, and each
+   triple of names is named in turn. Triples are sorted by name and compared with their neighbours; those that repeat go on.
+3. Recursion on the names. The names of a piece's sampled suffixes v, 2v, ... bytes apart are the letters of a shorter
+   text. Where three in a row repeat, their triple is named, sorted and compared again. It has length + v - 1 bytes or more,
+   so that of an equal pair of these all strings from the first v starts on are repeated; the next sampled suffix of the
+   same alignment goes on from there. Deeper levels would settle no other start.
+4. Remaining suffixes. Starts within reach of a repeated triple that step 3 leaves open, those near the ends of repeated
+   stretches, are merged by the name of their first `length` bytes with all starts that have the same mark, settled or not:
+   sorted, and compared with their neighbours.
+
+A name is a hash; its numeric order is the order of sorting. Names that decide (steps 3 and 4) have 128 bits from two sets
+of letters; those of step 2 have 64, which keep too much if two collide. Rows of the steps are packed: a task sends one row
+of bytes for each range of names. Of equal names that a task meets itself it sends one, so that a string which a third of
+all documents share costs each task one name. The ranges' number follows the number of starts.
 """
 
 from __future__ import annotations
@@ -36,11 +37,13 @@ from pyspark.sql import functions as F
 from .common import release, stored
 
 LENGTH = 400
-GRAM = 128
-#: A perfect difference set; every remainder modulo 91 is a difference of two of its members.
-PERIOD = 91
-COVER = (0, 1, 3, 9, 27, 81, 61, 49, 56, 77)
-#: Suffixes that one task of steps 2 and 3 sorts, about.
+#: Bytes of strings that count as passages: any that is over 50 words long is longer.
+PASSAGE = 200
+#: Perfect difference sets by period; every remainder is a difference of two members.
+COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 81, 61, 49, 56, 77)}
+#: Least length that strings may have.
+LEAST = 6 * min(COVERS)
+#: Suffixes that one task of steps 2 to 4 sorts, about.
 RANGE = 1_000_000
 #: Suffixes that a task settles at a time.
 LOT = 1_000_000
@@ -106,34 +109,23 @@ def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def stretch_names(name: np.ndarray, gram: int, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:
-    """A name for each stretch from low to high + length, from the names of the grams that tile it."""
-    last = high + length - gram
-    out = mix(name[low], name[last]) ^ (last - low).astype(np.uint64)
-    for step in range(gram, int((last - low).max(initial=0)), gram):
-        out = np.where(low + step < last, mix(out, name[np.minimum(low + step, last)]), out)
-    return out
-
-
 def marks_of(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(names, first starts, last starts, stretches): the marks of text, and the starts of strings whose mark each is."""
+    """(names, first starts, last starts): the marks of text, and the starts of strings whose mark each is."""
     found, at = [], 0
     n = len(text) - length + 1
     while at < n:
-        part = text[at : at + SLICE + length]
-        name = names(part, gram)
+        name = names(text[at : at + SLICE + length], gram)
         place = leftmost_minima(name, length - gram + 1)[: min(SLICE, n - at)]
         change = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-        last = np.r_[change[1:], len(place)] - 1
-        found.append((name[place[change]], at + change, at + last, stretch_names(name, gram, change, last, length)))
+        found.append((name[place[change]], at + change, at + np.r_[change[1:], len(place)] - 1))
         at += SLICE
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """name, k1, k2, low, high, stretch of the marks of every text; texts of a batch that are equal are read once.
+    """name, k1, k2, low, high of the marks of every text; texts of a batch that are equal are read once.
 
     Short texts of a batch are hashed side by side in slices, which costs little per text.
     """
@@ -153,21 +145,21 @@ def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
                     group, size = [], 0
             out += side_by_side(group, length, gram)
             if out:
-                name, a, b, low, high, stretch = (np.concatenate(x) for x in zip(*out, strict=True))
+                name, a, b, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(a), pa.array(b), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(stretch.view(np.int64))],
-                    ["name", "k1", "k2", "low", "high", "stretch"],
+                    [pa.array(name.view(np.int64)), pa.array(a), pa.array(b), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
+                    ["name", "k1", "k2", "low", "high"],
                 )
 
-    return rows.select("k1", "k2", "body").mapInArrow(run, "name bigint, k1 bigint, k2 bigint, low int, high int, stretch bigint")
+    return rows.select("k1", "k2", "body").mapInArrow(run, "name bigint, k1 bigint, k2 bigint, low int, high int")
 
 
 def side_by_side(group: list, length: int, gram: int) -> list[tuple]:
     out = []
     small = [x for x in group if len(x[1]) <= SLICE]
     for key, text in (x for x in group if len(x[1]) > SLICE):
-        name, low, high, stretch = marks_of(text, length, gram)
-        out.append((name, np.full(len(name), key[0]), np.full(len(name), key[1]), low, high, stretch))
+        name, low, high = marks_of(text, length, gram)
+        out.append((name, np.full(len(name), key[0]), np.full(len(name), key[1]), low, high))
     if not small:
         return out
     sizes = np.array([len(x[1]) for x in small])
@@ -183,17 +175,10 @@ def side_by_side(group: list, length: int, gram: int) -> list[tuple]:
     last = np.r_[change[1:], len(starts)] - 1
     who = owner[change]
     keys = np.array([x[0] for x in small], np.int64)
-    stretch = stretch_names(name, gram, starts[change], starts[last], length)
-    out.append((name[place[change]], keys[who, 0], keys[who, 1], starts[change] - begins[who], starts[last] - begins[who], stretch))
+    out.append((name[place[change]], keys[who, 0], keys[who, 1], starts[change] - begins[who], starts[last] - begins[who]))
     return out
 
 
-def spread(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges low to high, both included."""
-    n = high - low + 1
-    return np.repeat(low - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-
-
 def groups(keys: np.ndarray) -> list[tuple[int, int]]:
     """(begin, end) of each run of equal keys."""
     if not len(keys):
@@ -202,27 +187,43 @@ def groups(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(begin, [*begin[1:], len(keys)], strict=True))
 
 
-def packed(records: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """Records as bytes for each range of names."""
-    range_of = ((records["name"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(range_of, kind="stable")
-    records, range_of = records[order], range_of[order]
-    for a, b in groups(range_of):
-        yield int(range_of[a]), records[a:b].tobytes()
+def joined(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges in order, those that overlap or touch as one."""
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order]) if len(high) else high
+    new = np.r_[True, low[1:] > high[:-1] + 1] if len(low) else np.zeros(0, bool)
+    begin = np.flatnonzero(new)
+    return low[begin], high[np.r_[begin[1:], len(low)] - 1] if len(low) else high
 
 
-def home(sid: np.ndarray, ranges: int) -> np.ndarray:
-    x = sid.astype(np.uint64) * _A
-    return ((x >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def split(values: np.ndarray, count: int) -> np.ndarray:
+    """The range, of count, of each 64-bit value."""
+    return ((values >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
-def answers(places: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """Places as bytes for each range of text numbers."""
-    to = home(places["sid"], ranges)
-    order = np.argsort(to, kind="stable")
-    places, to = places[order], to[order]
+def columns_of(rows: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(range, bytes) of rows by the range they go to: column by column, and in order of places, which compresses well."""
+    order = np.lexsort((rows["at"], rows["sid"], to))
+    rows, to = rows[order], to[order]
     for a, b in groups(to):
-        yield int(to[a]), places[a:b].tobytes()
+        yield int(to[a]), b"".join(np.ascontiguousarray(rows[f][a:b]).tobytes() for f in rows.dtype.names)
+
+
+def rows_from(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """The rows of columns_of()."""
+    out = []
+    for x in column:
+        data, at = x.as_buffer(), 0
+        rows = np.zeros(len(data) // kind.itemsize, kind)
+        for f in kind.names:
+            rows[f] = np.frombuffer(data, kind[f], len(rows), at)
+            at += kind[f].itemsize * len(rows)
+        out.append(rows)
+    return np.concatenate(out)
+
+
+def home(places: np.ndarray, ranges: int) -> np.ndarray:
+    return split(places["sid"].astype(np.uint64) * _A, ranges)
 
 
 def adjacent(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -233,9 +234,10 @@ def adjacent(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(rows: DataFrame, make, ranges: int) -> DataFrame:
-    """(home, places): packed places whose records, made by make(row batch), have an equal neighbour anywhere.
+    """sid, ats: for each piece the sorted places, packed as 32-bit numbers, whose records have an equal neighbour anywhere.
 
-    A task settles its records in lots of about LOT: equal ones at once, and one of them is sent on for all.
+    Records are made by make(row batch). A task settles its records in lots of about LOT: equal ones at once, and one of
+    them is sent on for all.
     """
 
     def lots(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -254,22 +256,28 @@ def repeated(rows: DataFrame, make, ranges: int) -> DataFrame:
         for lot in lots(batches):
             records, twin = adjacent(lot)
             first = np.r_[True, (records["name"][1:] != records["name"][:-1]) | (records["check"][1:] != records["check"][:-1])]
-            out = [(0, r, b) for r, b in answers(places_of(records[twin]), ranges)] + [(1, r, b) for r, b in packed(records[first], ranges)]
+            known, sent = places_of(records[twin]), records[first]
+            out = [(0, r, b) for r, b in columns_of(known, home(known, ranges))] + [(1, r, b) for r, b in columns_of(sent, split(sent["name"], ranges))]
             kinds = (pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "range", "body"])
 
-    def settle(table: pa.Table) -> pa.Table:
-        records, twin = adjacent(np.concatenate([np.frombuffer(x.as_buffer(), RECORD) for x in table.column("body")]))
-        out = list(answers(places_of(records[twin]), ranges))
+    def meet(table: pa.Table) -> pa.Table:
+        if not table.column("kind")[0].as_py():
+            return pa.table({"home": table.column("range"), "places": table.column("body")})
+        records, twin = adjacent(rows_from(table.column("body"), RECORD))
+        found = places_of(records[twin])
+        out = list(columns_of(found, home(found, ranges)))
         return pa.table({"home": pa.array([x[0] for x in out], pa.int64()), "places": pa.array([x[1] for x in out], pa.binary())})
 
-    def meet(table: pa.Table) -> pa.Table:
-        if table.column("kind")[0].as_py():
-            return settle(table)
-        return pa.table({"home": table.column("range"), "places": table.column("body")})
+    def by_piece(table: pa.Table) -> pa.Table:
+        places = rows_from(table.column("places"), PLACE)
+        places = places[np.lexsort((places["at"], places["sid"]))]
+        begin = np.flatnonzero(np.r_[True, places["sid"][1:] != places["sid"][:-1]])
+        ats = [np.unique(x).tobytes() for x in np.split(places["at"], begin[1:])]
+        return pa.table({"sid": pa.array(places["sid"][begin], pa.int64()), "ats": pa.array(ats, pa.binary())})
 
     sent = rows.mapInArrow(send, "kind int, range bigint, body binary")
-    return sent.groupBy("kind", "range").applyInArrow(meet, "home bigint, places binary")
+    return sent.groupBy("kind", "range").applyInArrow(meet, "home bigint, places binary").groupBy("home").applyInArrow(by_piece, "sid bigint, ats binary")
 
 
 def places_of(records: np.ndarray) -> np.ndarray:
@@ -278,114 +286,209 @@ def places_of(records: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_text(found: DataFrame) -> DataFrame:
-    """(sid, ats): for each text number the sorted distinct places as packed 32-bit numbers."""
-
-    def run(table: pa.Table) -> pa.Table:
-        places = np.concatenate([np.frombuffer(x.as_buffer(), PLACE) for x in table.column("places")])
-        places = places[np.lexsort((places["at"], places["sid"]))]
-        places = places[np.r_[True, (places["sid"][1:] != places["sid"][:-1]) | (places["at"][1:] != places["at"][:-1])]]
-        begin = np.flatnonzero(np.r_[True, places["sid"][1:] != places["sid"][:-1]])
-        ats = np.split(np.ascontiguousarray(places["at"]), begin[1:])
-        return pa.table({"sid": pa.array(places["sid"][begin], pa.int64()), "ats": pa.array([x.tobytes() for x in ats], pa.binary())})
-
-    return found.groupBy("home").applyInArrow(run, "sid bigint, ats binary")
+def records_of(sid: int, at: np.ndarray, name: np.ndarray, check: np.ndarray | int = 0) -> np.ndarray:
+    out = np.zeros(len(at), RECORD)
+    out["name"], out["check"], out["sid"], out["at"] = name, check, sid, at
+    return out
 
 
-def possible_starts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(sid, bytes, starts yet to be settled) of each row of a batch."""
-    for sid, body, ranges in zip(batch.column("sid").to_pylist(), batch.column("body"), batch.column("open"), strict=True):
-        yield sid, np.frombuffer(body.as_buffer(), np.uint8), starts_in(ranges)
+class Cover:
+    """Sampling for strings of length bytes: period v, triples of blocks of `block` bytes, `depth` bytes in all."""
+
+    def __init__(self, length: int):
+        if length < LEAST:
+            raise ValueError(f"length must be at least {LEAST}")
+        self.length = length
+        self.period = max(v for v in COVERS if 6 * v <= length)
+        self.sampled = np.isin(np.arange(self.period), COVERS[self.period])
+        self.block = (length - self.period + 1) // 3
+        self.depth = 3 * self.block
+        #: Starts that a repeated triple of names settles: it has depth + 2 * period bytes.
+        self.settles = self.depth + 2 * self.period - length + 1
+
+    def triples(self, text: np.ndarray, at: np.ndarray, seed: int = 0) -> np.ndarray:
+        name = names(text, self.block, seed)
+        return mix(mix(name[at], name[at + self.block]), name[at + 2 * self.block])
+
+    def sampled_triples(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for sid, body in zip(batch.column("sid").to_pylist(), batch.column("body"), strict=True):
+            text = np.frombuffer(body.as_buffer(), np.uint8)
+            at = np.flatnonzero(self.sampled[np.arange(len(text) - self.depth + 1) % self.period])
+            yield records_of(sid, at, self.triples(text, at))
+
+    def triples_of_names(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for sid, text, at in repeats_of(batch, "ats"):
+            found = np.zeros(len(text) + 2 * self.period, bool)
+            found[at] = True
+            first = at[found[at + self.period] & found[at + 2 * self.period]]
+            if len(first):
+                name = []
+                for seed in (0, 1):
+                    letter = np.zeros(len(text) + 1, np.uint64)
+                    letter[at] = self.triples(text, at, seed)
+                    name.append(mix(mix(letter[first], letter[first + self.period]), letter[first + 2 * self.period]))
+                yield records_of(sid, first, *name)
+
+    def settled(self, length: int, at: np.ndarray) -> np.ndarray:
+        """Which starts of a piece repeated triples of names at these places settle."""
+        out = np.zeros(length + 1, np.int64)
+        np.add.at(out, at, 1)
+        np.add.at(out, np.minimum(at + self.settles, length), -1)
+        return out[:-1].cumsum() > 0
+
+    def within_reach(self, starts: int, at: np.ndarray) -> np.ndarray:
+        """Which starts have one of the sorted places at within reach."""
+        near = np.searchsorted(at, np.arange(starts))
+        return (near < len(at)) & (at[np.minimum(near, len(at) - 1)] <= np.arange(starts) + self.period - 1)
+
+    def marks(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        """(names, sids, first starts, last starts, has an open start) of the marks of starts within reach of a repeated triple."""
+        for (sid, text, at), deep in zip(repeats_of(batch, "ats"), batch.column("deep"), strict=True):
+            n = len(text) - self.length + 1
+            reach = self.within_reach(n, at)
+            still = np.r_[0, (reach & ~self.settled(n, at_of(deep))).cumsum()]
+            reach = np.r_[0, reach.cumsum()]
+            name, low, high = marks_of(text, self.length, gram_of(self.length))
+            some = reach[high + 1] > reach[low]
+            name, low, high = name[some], low[some], high[some]
+            yield name, np.full(len(name), sid), low, high, still[high + 1] > still[low]
+
+    def remaining_suffixes(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for (sid, text, at), watched in zip(repeats_of(batch, "ats"), batch.column("watched"), strict=True):
+            reach = self.within_reach(len(text) - self.length + 1, at)
+            for a, b in zip(*joined(*bounds(watched)), strict=True):
+                part, own = text[a : b + self.length], a + np.flatnonzero(reach[a : b + 1])
+                yield records_of(sid, own, *(names(part, self.length, seed)[own - a] for seed in (0, 1)))
+
+
+def gram_of(length: int) -> int:
+    return length * 8 // 25
+
+
+def at_of(packed: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(packed.as_buffer(), np.int32).astype(np.int64) if packed.is_valid else np.zeros(0, np.int64)
+
+
+def repeats_of(batch: pa.RecordBatch, places: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for sid, body, ats in zip(batch.column("sid").to_pylist(), batch.column("body"), batch.column(places), strict=True):
+        yield sid, np.frombuffer(body.as_buffer(), np.uint8), at_of(ats)
+
+
+def pieces(texts: DataFrame, length: int) -> DataFrame:
+    """doc, base, body of each run of open starts (text, open) of texts; runs of over SLICE starts in several pieces."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, body, ranges in zip(batch.column("doc").to_pylist(), batch.column("body"), batch.column("open"), strict=True):
+                data = memoryview(body.as_buffer())
+                for a, b in zip(*joined(*bounds(ranges)), strict=True):
+                    out += [(doc, at, bytes(data[at : min(at + SLICE - 1, b) + length])) for at in range(int(a), int(b) + 1, SLICE)]
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "base", "body"])
 
-def starts_in(ranges) -> np.ndarray:
-    """All starts, sorted, of a list of ranges (low, high) that do not overlap."""
-    low, high = (ranges.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-    order = np.argsort(low, kind="stable")
-    return spread(low[order], high[order])
+    return texts.select("doc", "body", "open").mapInArrow(run, "doc bigint, base int, body binary")
 
 
-def stretches(starts: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
-    """(begin, end) of the bytes that strings from these sorted starts cover, where they touch."""
-    if len(starts):
-        gap = np.flatnonzero(np.diff(starts) > length)
-        for a, b in zip(np.r_[0, gap + 1], np.r_[gap, len(starts) - 1], strict=True):
-            yield int(starts[a]), int(starts[b]) + length
+def bounds(ranges) -> tuple[np.ndarray, np.ndarray]:
+    """Lows and highs of a list of ranges; null: none."""
+    if not ranges.is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(ranges.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
 
 
-def shorter(parts: Iterator[tuple[int, int]], overlap: int) -> Iterator[tuple[int, int]]:
-    """Parts of at most SLICE starts, which overlap so that each start of a string of overlap + 1 bytes is in one."""
-    for begin, end in parts:
-        while end - begin > SLICE + overlap:
-            yield begin, begin + SLICE + overlap
-            begin += SLICE
-        yield begin, end
+def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
+    """doc, starts: of each of texts (doc, body, open) the ranges of starts whose strings start anywhere else among open starts."""
+    cover = Cover(length)
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if out := list(cover.marks(batch)):
+                name, sid, low, high, still = (np.concatenate(x) for x in zip(*out, strict=True))
+                columns = pa.array(name.view(np.int64)), pa.array(sid), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(still)
+                yield pa.RecordBatch.from_arrays(list(columns), ["name", "sid", "low", "high", "still"])
+
+    own = stored(pieces(texts, length).select(F.monotonically_increasing_id().alias("sid"), "doc", "base", "body"), "pieces")
+    total = own.agg(F.sum(F.length("body").cast("bigint"))).first()[0] or 0
+    ranges = max(4, -(-total // (4 * RANGE)))
+    triples = repeated(own.select("sid", "body"), cover.sampled_triples, ranges)
+    going = stored(own.select("sid", "body").join(triples, "sid"), "triples")
+    deep = stored(repeated(going, cover.triples_of_names, ranges).withColumnRenamed("ats", "deep"), "names")
+    found_marks = stored(going.join(deep, "sid", "left").mapInArrow(listed, "name bigint, sid bigint, low int, high int, still boolean"), "piece-marks")
+    still = found_marks.where("still").select("name").distinct()
+    watched = found_marks.join(still, "name", "left_semi").groupBy("sid").agg(F.collect_list(F.struct("low", "high")).alias("watched"))
+    merged = repeated(going.join(watched, "sid"), cover.remaining_suffixes, ranges)
 
-def sampled_triples(length: int):
-    third = np.isin(np.arange(PERIOD), COVER)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, step = [at_of(x) for x in batch.column("ats")], batch.column("settles").to_numpy()
+            found = [joined(x, x + n - 1) for x, n in zip(at, step, strict=True)]
+            size = np.array([len(a) for a, _ in found], np.int64)
+            low, high = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("sid").take(pa.array(np.repeat(np.arange(len(at)), size))), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["sid", "low", "high"]
+            )
 
-    def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for sid, text, starts in possible_starts(batch):
-            for begin, end in shorter(stretches(starts, length), 3 * PERIOD - 1):
-                name = names(text[begin:end], PERIOD)
-                at = np.flatnonzero(third[np.arange(begin, end - 3 * PERIOD + 1) % PERIOD])
-                r = np.zeros(len(at), RECORD)
-                r["name"] = mix(mix(name[at], name[at + PERIOD]), name[at + 2 * PERIOD])
-                r["sid"], r["at"] = sid, at + begin
-                yield r
+    settled = deep.select("sid", F.col("deep").alias("ats"), F.lit(cover.settles).cast("bigint").alias("settles"))
+    both = settled.union(merged.select("sid", "ats", F.lit(1).cast("bigint"))).mapInArrow(run, "sid bigint, low int, high int")
+    place = F.struct((F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
+    found = stored(both.join(own.select("sid", "doc", "base"), "sid").groupBy("doc").agg(F.collect_list(place).alias("starts")), "starts")
+    for old in (own, going, deep, found_marks):
+        release(old)
+    return found
 
-    return make
 
+def open_ranges(starts: DataFrame, less: int) -> DataFrame:
+    """doc, open: the starts of longer strings, by `less` bytes, all of whose shorter ones have starts in ranges."""
 
-def remaining_suffixes(length: int):
-    reach = min(PERIOD - 1, length - 3 * PERIOD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for ranges in batch.column("starts"):
+                low, high = joined(*bounds(ranges))
+                keep = high - less >= low
+                out.append([{"low": a, "high": b} for a, b in zip(low[keep].tolist(), (high[keep] - less).tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))], ["doc", "open"])
 
-    def make(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        ats = batch.column("ats")
-        for i, (sid, text, starts) in enumerate(possible_starts(batch)):
-            triples = np.frombuffer(ats[i].as_buffer(), np.int32)
-            near = np.searchsorted(triples, starts)
-            starts = starts[(near < len(triples)) & (triples[np.minimum(near, len(triples) - 1)] <= starts + reach)]
-            for begin, end in shorter(stretches(starts, length), length - 1):
-                own = starts[np.searchsorted(starts, begin) : np.searchsorted(starts, end - length, "right")]
-                r = np.zeros(len(own), RECORD)
-                for seed, field in enumerate(("name", "check")):
-                    r[field] = names(text[begin:end], length, seed)[own - begin]
-                r["sid"], r["at"] = sid, own
-                yield r
+    return starts.mapInArrow(run, "doc bigint, open array<struct<low:int,high:int>>").where(F.size("open") > 0)
 
-    return make
 
+def cut(texts: DataFrame, length: int, passage: int) -> DataFrame:
+    """k1, k2, n_removed, n_spans, kept_sha256, kept, n_passage of texts (k1, k2, body, starts, short).
 
-def cut(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept_sha256, kept of the texts some of whose bytes go; kept is without parts of characters."""
+    starts: ranges of starts of strings of `length` bytes that go; kept: what is left, without parts of characters. short:
+    ranges of starts of strings of `passage` bytes, whose bytes are only counted.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, digests, kept = [], [], [], []
-            for body, ats, ranges in zip(batch.column("body"), batch.column("ats"), batch.column("settled"), strict=True):
+            removed, spans, digests, kept, passages = [], [], [], [], []
+            for body, ranges, short in zip(batch.column("body"), batch.column("starts"), batch.column("short"), strict=True):
                 text = memoryview(body.as_buffer())
-                pieces, done, gone, n = [], 0, 0, 0
-                starts = starts_in(ranges)
-                if ats.is_valid:
-                    starts = np.union1d(starts, np.frombuffer(ats.as_buffer(), np.int32).astype(np.int64))
-                for begin, end in stretches(starts, length):
-                    pieces.append(text[done:begin])
+                parts, done, gone, n = [], 0, 0, 0
+                for begin, end in stretches(ranges, length):
+                    parts.append(text[done:begin])
                     done, gone, n = end, gone + end - begin, n + 1
-                pieces.append(text[done:])
-                rest = b"".join(pieces)
+                parts.append(text[done:])
                 removed.append(gone)
                 spans.append(n)
-                digests.append(hashlib.sha256(rest).hexdigest())
-                kept.append(b"".join(bytes(x).decode(errors="ignore").encode() for x in pieces))
+                digests.append(hashlib.sha256(b"".join(parts)).hexdigest())
+                kept.append(b"".join(bytes(x).decode(errors="ignore").encode() for x in parts))
+                passages.append(sum(end - begin for begin, end in stretches(short, passage)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())],
-                ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary()), pa.array(passages, pa.int64())],
+                ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept", "n_passage"],
             )
 
-    both = texts.join(found, "sid", "left").where("ats is not null or size(settled) > 0").select("k1", "k2", "body", "settled", "ats")
-    return both.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    rows = texts.select("k1", "k2", "body", "starts", "short")
+    return rows.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, n_passage bigint")
+
+
+def stretches(ranges, length: int) -> list[tuple[int, int]]:
+    """(begin, end) of the bytes that strings from these ranges of starts cover, where they touch."""
+    low, high = bounds(ranges)
+    low, high = joined(low, high + length - 1)
+    return list(zip(low.tolist(), (high + 1).tolist(), strict=True))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -397,60 +500,61 @@ def keyed(docs: DataFrame) -> DataFrame:
     })
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def screened(rows: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """doc (a number), k1, k2, body, open: one text of each class, and its starts whose mark is a mark elsewhere too."""
+    all_marks = stored(marks(rows, length, gram_of(length)), "marks")
+    place = F.struct("k1", "k2", "low")
+    twice = stored(all_marks.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("name"), "mark-names")
+    ranges = all_marks.join(twice, "name").groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("open"))
+    chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", "least", "open")
+    bodies = rows.where(F.length("body") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("least"), "k1", "k2", "body")
+    texts = bodies.join(chosen, ["least", "k1", "k2"]).dropDuplicates(["least", "k1", "k2"])
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("doc"), "k1", "k2", "body", "open"), "candidates")
+    release(all_marks)
+    release(twice)
+    return texts
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(classes, results): all texts with their number of rows, and cut() of the texts that partly go.
 
-    length: at least 4 * PERIOD - 1 bytes. Texts of several rows and of at least `length` bytes go as a whole; one row
-    stands for them while others are compared with them.
+    length: at least LEAST bytes. passage: a shorter length, for which the bytes that strings found anywhere else cover are
+    counted too; the strings of `length` bytes are then looked for where all shorter ones are repeated. Texts of several
+    rows and of at least `length` bytes go as a whole; one row stands for them while others are compared with them.
     """
-    if length < 4 * PERIOD - 1:
-        raise ValueError(f"length must be at least {4 * PERIOD - 1}")
-    gram = min(gram, length // 2)
     rows = keyed(docs)
     least = F.coalesce(F.min("doc_id"), F.lit(-1)).alias("least")
     classes = stored(rows.groupBy("k1", "k2").agg(least, F.count("*").alias("copies")), "texts")
-    all_marks = stored(marks(rows, length, gram), "marks")
-    place = F.struct("k1", "k2", "low", "high")
-    twice = stored(all_marks.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("name"), "names")
-    contested = stored(all_marks.join(twice, "name"), "contested")
-    release(all_marks)
-    kinds = stored(contested.groupBy("name", "stretch").agg(F.min(place).alias("one"), F.max(place).alias("other")), "stretches")
-    several = stored(kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "names")
-    # a stretch found once names its only place by itself, so what is settled follows per text, without a join of marks
-    part = lambda rows, tag: rows.select("k1", "k2", F.shiftleft(F.col("low").cast("bigint"), 32).bitwiseOR(F.col("high").cast("bigint")).alias("range"), F.lit(tag).alias("tag"))
-    single, unsure = kinds.where("one = other").select("one.*"), kinds.join(several, "name").select("one.*")
-    ranges = part(contested, 0).union(part(single, 1)).union(part(unsure, 2))
-    ranges = ranges.groupBy("k1", "k2").agg(*[F.collect_set(F.when(F.col("tag") == i, F.col("range"))).alias(f"r{i}") for i in range(3)])
-    pairs = lambda x: F.transform(x, lambda r: F.struct(F.shiftright(r, 32).cast("int").alias("low"), r.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("high")))
-    chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", F.col("least").alias("doc"), pairs(F.array_except("r0", "r1")).alias("settled"), pairs(F.col("r2")).alias("open"))
-    bodies = rows.where(F.length("body") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), "k1", "k2", "body")
-    texts = bodies.join(chosen, ["doc", "k1", "k2"]).dropDuplicates(["doc", "k1", "k2"])
-    texts = stored(texts.select(F.monotonically_increasing_id().alias("sid"), "k1", "k2", "body", "settled", "open"), "candidates")
-    contest = texts.where(F.size("open") > 0).select("sid", "body", "open")
-    starts = contest.agg(F.sum(F.aggregate("open", F.lit(0).cast("bigint"), lambda a, x: a + (x["high"] - x["low"] + 1)))).first()[0] or 0
-    ranges_n = max(4, -(-starts // RANGE))
-    triples = by_text(repeated(contest, sampled_triples(length), ranges_n))
-    going = by_text(repeated(contest.join(triples, "sid"), remaining_suffixes(length), ranges_n))
-    return classes, stored(cut(texts, going, length), "cuts")
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
-
-    A null text is empty. Texts shorter than `length` keep all bytes. Repeated rows are documents that hold each other's
-    strings. Null doc_ids stay null. Strings overlap freely and are judged on the input. An empty table gives no rows.
+    texts = screened(rows, classes, passage or length)
+    found = repeated_starts(texts, passage or length)
+    if passage:
+        longer = texts.drop("open").join(open_ranges(found, length - passage), "doc")
+        both = found.withColumnRenamed("starts", "short").join(repeated_starts(longer, length), "doc", "left")
+    else:
+        both = found.withColumn("short", F.lit(None).cast(found.schema["starts"].dataType))
+    return classes, stored(cut(texts.join(both, "doc"), length, passage or length), "cuts")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage of every document.
+
+    n_passage: bytes, removed or not, in strings of `passage` bytes that start anywhere else too. A null text is empty.
+    Texts shorter than `length` keep all bytes. Repeated rows are documents that hold each other's strings. Null doc_ids
+    stay null. Strings overlap freely and are judged on the input. An empty table gives no rows.
     """
-    classes, cuts = repeats(docs, length)
+    classes, cuts = repeats(docs, length, passage)
     cuts = cuts.drop("kept")
     rows = keyed(docs).select("doc_id", "k1", "k2", F.length("body").cast("bigint").alias("n_bytes"), F.sha2("body", 256).alias("own"))
     what = stored(classes.join(cuts, ["k1", "k2"], "left").where("copies > 1 or n_removed is not null").drop("least"), "changes")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+    gone = lambda least: (F.col("copies") > 1) & (F.col("n_bytes") >= least)
+    whole = gone(length)
     return rows.join(what, ["k1", "k2"], "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "own")).alias("kept_sha256"),
+        F.when(gone(passage), F.col("n_bytes")).otherwise(F.coalesce("n_passage", F.lit(0))).alias("n_passage"),
     )
 
 
