@@ -2,8 +2,9 @@
 
 A target model (documents that labels call good) and a background model (all documents) share one vocabulary, the most
 frequent words of the corpus and an unknown word, and one smoothing: bigram counts, kept in hashed cells, are interpolated
-with unigrams, and these with the uniform distribution. A document's score is the mean over its words of the target
-model's loss less the background model's, in nats: the lower, the nearer to the target.
+with unigrams, and these with the uniform distribution. A document is always scored as held-out text: its own counts are
+taken out of the models that it is part of. Its score is the mean over its words of the target model's loss less the
+background model's, in nats: the lower, the nearer to the target.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shared_dir, stored, texts
+from .common import release, stored, texts
 
 VOCABULARY = 50_000
-#: Hashed cells for bigram counts; 4 bytes for each cell and model.
+#: Hashed cells for bigram counts; 8 bytes for each cell and model.
 CELLS = 1 << 21
 #: Counted cells in a batch of rows.
 BATCH = 1 << 16
@@ -35,17 +36,24 @@ class Models:
     uni: np.ndarray
     bi: np.ndarray
 
-    def losses(self, text: bytes) -> tuple[int, float, float]:
-        """(words, background loss, target loss) of a text; the losses are sums in nats."""
+    def losses(self, text: bytes, good: bool) -> tuple[int, float, float]:
+        """(words, background loss, target loss) of a text; the losses are sums in nats. good: the text is part of the target too."""
         ids = word_ids(text, self.words)
         if len(ids) < 2:
             return 0, 0.0, 0.0
-        before, now = ids[:-1], ids[1:]
-        at, out = cells(before, now, self.bi.shape[1]), []
-        for uni, bi in zip(self.uni, self.bi, strict=True):
-            words = (uni[now] + ALPHA) / (uni.sum() - uni[-1] + ALPHA * (len(uni) - 1))
-            out.append(float(-np.log((bi[at] + KAPPA * words) / (uni[before] + KAPPA)).sum()))
-        return len(now), *out
+        before, now, n = ids[:-1], ids[1:], len(ids) - 1
+        at = cells(before, now, self.bi.shape[1])
+        own_uni, own_bi, out = own_counts(ids), own_counts(at), []
+        for uni, bi, part in zip(self.uni, self.bi, (1, int(good)), strict=True):
+            words = (uni[now] - part * own_uni[1:] + ALPHA) / (uni[:-1].sum() - part * n + ALPHA * (len(uni) - 1))
+            out.append(float(-np.log((bi[at] - part * own_bi + KAPPA * words) / (uni[before] - part * own_uni[:-1] + KAPPA)).sum()))
+        return n, *out
+
+
+def own_counts(ids: np.ndarray) -> np.ndarray:
+    """How often each of ids is among them."""
+    _, where, n = np.unique(ids, return_inverse=True, return_counts=True)
+    return n[where]
 
 
 def word_ids(text: bytes, words: dict[bytes, int]) -> np.ndarray:
@@ -81,64 +89,70 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(top.column(0).to_pylist(), 1)}
 
 
-def fit(docs: DataFrame, trusted: DataFrame, size: int = VOCABULARY, n_cells: int = CELLS) -> Models:
-    """Both models, counted over all words of all documents.
+def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, text (bytes), good (its doc_id is in trusted) of every document; both sides of the join are shuffled, as trusted ids may be many."""
+    good = trusted.select(F.col("doc_id").cast("bigint").alias("__good")).where("__good is not null").distinct()
+    rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left").select("doc_id", "text", F.col("__good").isNotNull().alias("good"))
+
+
+def fit(rows: DataFrame, words: dict[bytes, int], n_cells: int = CELLS) -> Models:
+    """Both models, counted over all words of all rows of flagged().
 
     Each task sums into arrays of fixed size, and sends the cells in which it counted anything. Sums by cell need no more
     than a row a cell in any task, and a row for each cell and word of the vocabulary reaches the driver.
     """
-    words = vocabulary(docs, size)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    shared = rows.sparkSession.sparkContext.broadcast(words)
     n_uni = len(words) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        total = np.zeros((2, n_cells + n_uni), np.uint32)
+        total = np.zeros((2, n_cells + n_uni), np.int64)
         for batch in batches:
             for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
                 ids = word_ids(text, known)
                 at = np.concatenate([cells(ids[:-1], ids[1:], n_cells), n_cells + ids])
                 where, n = np.unique(at, return_counts=True)
-                total[0, where] += n.astype(np.uint32)
+                total[0, where] += n
                 if good:
-                    total[1, where] += n.astype(np.uint32)
+                    total[1, where] += n
         used = np.flatnonzero(total[0])
         for begin in range(0, len(used), BATCH):
             where = used[begin : begin + BATCH]
-            columns = where.astype(np.int32), total[0, where].astype(np.int64), total[1, where].astype(np.int64)
+            columns = where.astype(np.int32), total[0, where], total[1, where]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "background", "target"])
 
-    good = trusted.select(F.col("doc_id").cast("bigint").alias("__good")).where("__good is not null").distinct()
-    rows = texts(docs).join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left").select(F.col("text").cast("binary"), F.col("__good").isNotNull().alias("good"))
-    counted = rows.mapInArrow(count, "cell int, background bigint, target bigint")
-    found = stored(counted.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts").toArrow()
-    total = np.zeros((2, n_cells + n_uni), np.float32)
+    counted = rows.select("text", "good").mapInArrow(count, "cell int, background bigint, target bigint")
+    sums = stored(counted.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts")
+    found = sums.toArrow()
+    release(sums)
+    total = np.zeros((2, n_cells + n_uni))  # whole numbers up to 2 ** 53 are exact
     for i, name in enumerate(("background", "target")):
         total[i, found.column("cell").to_numpy()] = found.column(name).to_numpy()
-    return Models(words, total[:, n_cells:].astype(np.float64), total[:, :n_cells])
+    return Models(words, total[:, n_cells:], total[:, :n_cells])
 
 
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss (nats a word), difference of every document; zeros without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def score(rows: DataFrame, models: Models) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss (nats a word), difference of every row of flagged(); zeros without words."""
+    shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            found = [known.losses(x) for x in batch.column("text").to_pylist()]
+            found = [known.losses(x, good) for x, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True)]
             n = np.array([x[0] for x in found], np.int64)
             background, target = (np.array([x[i] for x in found], float) / np.maximum(n, 1) for i in (1, 2))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, target, background, target - background))], ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
 
-    rows = texts(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
     return rows.mapInArrow(run, "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, n_cells: int = CELLS) -> DataFrame:
     """score() under models fitted on all of docs; the target are documents with a label quality = 1.
 
-    Null texts count as empty; repeated rows count and are scored each; a null doc_id is never in the target. Without a
-    target document the target model is the uniform distribution.
+    Null texts count as empty; repeated rows count and are scored each, against one another too; a null doc_id is never in
+    the target. Without a target document the target model is the uniform distribution.
     """
-    shared_dir(docs.sparkSession)
-    return score(docs, fit(docs, labels.where("quality = 1"), size, n_cells))
+    words = vocabulary(docs, size)
+    rows = stored(flagged(docs, labels.where("quality = 1")), "flagged")
+    return score(rows, fit(rows, words, n_cells))
