@@ -1,10 +1,13 @@
 """SimHash near-duplicates: 64-bit fingerprints linked by a self-join of their binary trie.
 
 The trie of the distinct fingerprints is a sorted array of which each node is a range. The self-join goes down from pairs
-of nodes, adds up the bits in which the two sides differ, and drops a pair as soon as these exceed the budget. The first
-`depth` levels are joined by the engine: they give the pairs of prefixes within the budget, each a task of its own. Pairs
-of prefixes that hold too many fingerprints for a task go down further levels in the engine, as often as it takes. Each
-task walks its two subtries level by level, all node pairs of a level at once.
+of nodes, adds up the bits in which the two sides differ, and drops a pair as soon as these exceed the budget. Fingerprints
+within a budget of k bits agree wholly in one of k + 1 blocks of their bits. So the trie is joined once for each block, with
+the fingerprints turned so that the block's bits come first: there the join goes down the block's levels with no bit spent,
+which is a grouping by the block, and walks pairs of nodes from these levels on. Every fingerprint is sent k + 1 times,
+however many there are; many small subtries share a task. Subtries with too many fingerprints for a task go down further
+levels in the engine, pair by pair, as often as it takes. A task walks its subtries level by level, all node pairs of a
+level at once.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import connected, stored, texts
 
 SEED, SHINGLE, BUDGET = 42, 3, 2
-#: Distinct fingerprints that a prefix should hold; those that a pair of prefixes may hold; levels by which a larger one goes down.
-NODE, MOST, STEP = 2_000, 200_000, 8
+#: Distinct fingerprints that a task should walk at a time; those that a subtrie, or a pair of them, may hold; levels by which a larger one goes down.
+NODE, MOST, STEP = 20_000, 200_000, 8
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -58,16 +61,13 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} bigint" for c in ("doc_id", "fp", *more)))
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray, depth: int, budget: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) of sorted fingerprints in left and right that differ in at most budget bits.
+def trie_pairs(left: np.ndarray, right: np.ndarray, nodes: np.ndarray, level: int, budget: int, most: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) of sorted fingerprints in left and right, under the given pairs of nodes, that differ in at most budget bits.
 
-    depth: bits that all of left, and all of right, have in common. Frontiers of over `most` node pairs are walked in parts,
-    so that memory stays bounded.
+    nodes: rows (low, high, low, high, bits in which they differ so far) of ranges in left and right that agree in their
+    first `level` bits each. Frontiers of over `most` node pairs are walked in parts, so that memory stays bounded.
     """
-    if not len(left) or not len(right):
-        return
-    used = int(left[0] ^ right[0]) >> (64 - depth) if depth else 0
-    stack = [(depth, np.array([[0, len(left), 0, len(right), bin(used).count("1")]]))]
+    stack = [(level, nodes[at : at + most]) for at in range(0, len(nodes), most)]
     while stack:
         level, nodes = stack.pop()
         nodes = nodes[nodes[:, 4] <= budget]
@@ -141,48 +141,86 @@ def node_pairs(rows: DataFrame, depth: int, step: int, budget: int) -> DataFrame
     return rows.select("id", "fp", own.alias("own"), other.alias("other")).select("id", "fp", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
 
 
+def turned(fp: Column, by: int) -> Column:
+    """fp with its first `by` bits moved to its end."""
+    return F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by)) if by else fp
+
+
+def spanning(ids: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """(a, b): a spanning forest, not all pairs, of the links between ids."""
+    forest = Forest(len(ids))
+    for p, q in pairs:
+        for i, j in zip(p.tolist(), q.tolist(), strict=True):
+            if i != j:
+                forest.join(i, j)
+    roots = np.array([forest.root(i) for i in range(len(ids))], np.int64)
+    moved = np.flatnonzero(roots != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[roots[moved]], pa.int64())})
+
+
 def links(nodes: DataFrame, budget: int = BUDGET, node: int = NODE, most: int = MOST) -> DataFrame:
     """(a, b): links between node ids that join exactly the nodes which fingerprints within the budget join.
 
-    nodes: id (long, unique), fp (long, unique). A task gets the fingerprints of two prefixes. The first depth follows the
-    number of distinct fingerprints; pairs of prefixes that still hold more than `most`, as many near copies of one text
-    may, are split STEP levels further until none does. A task returns a spanning forest, not all pairs.
+    nodes: id (long, unique), fp (long, unique). Subtries of up to `most` fingerprints are dealt to groups of about `node`;
+    larger ones, as many near copies of one text may make, are split STEP levels further until none is left. A task returns
+    a spanning forest, not all pairs.
     """
-    depth = min(16, max(1, int(np.ceil(np.log2(max(1, nodes.count() / node))))))
-    none = F.lit(0).cast("long")
-    level, parts = node_pairs(nodes.select("id", "fp", none.alias("a"), none.alias("b")), 0, depth, budget), []
-    while True:
-        tagged = level.withColumn("depth", F.lit(depth))
-        large = stored(level.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > most).select("a", "b"), "large") if depth < 64 else None
-        if large is None or large.isEmpty():
-            parts.append(tagged)
-            break
-        parts.append(tagged.join(large, ["a", "b"], "left_anti").select(tagged.columns))
-        step = min(STEP, 64 - depth)
-        level = stored(node_pairs(level.join(large, ["a", "b"], "left_semi"), depth, step, budget), "pairs-below")
-        depth += step
-    sent = parts[0]
-    for more in parts[1:]:
-        sent = sent.unionByName(more)
-
-    def run(table: pa.Table) -> pa.Table:
+    groups = max(1, nodes.count() // node)
+    found = None
+    for block in range(budget + 1):
+        begin, end = (64 * i // (budget + 1) for i in (block, block + 1))
+        for part in links_by_block(nodes.select("id", turned(F.col("fp"), begin).alias("fp")), end - begin, budget, groups, most):
+            found = part if found is None else found.union(part)
+    return found
+
+
+def links_by_block(rows: DataFrame, depth: int, budget: int, groups: int, most: int) -> list[DataFrame]:
+    """Links of fingerprints whose first depth bits agree."""
+    prefix = F.shiftrightunsigned("fp", 64 - depth)
+    large = stored(rows.groupBy(prefix.alias("a")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("a"), "large")
+
+    def walk(table: pa.Table) -> pa.Table:
+        """All subtries of a group, each against itself."""
+        ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(fps, kind="stable")
+        ids, fps = ids[order], fps[order]
+        above = fps >> np.uint64(64 - depth)
+        low = np.flatnonzero(np.r_[True, above[1:] != above[:-1]])
+        high = np.r_[low[1:], len(fps)]
+        low, high = low[high - low > 1], high[high - low > 1]
+        return spanning(ids, trie_pairs(fps, fps, np.stack([low, high, low, high, np.zeros_like(low)], 1), depth, budget))
+
+    def walk_pair(table: pa.Table) -> pa.Table:
+        """The subtries of two prefixes against each other."""
         ids, fps = table.column("id").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
         level = table.column("depth")[0].as_py()
         low, high = (np.array([table.column(c)[0].as_py()], np.int64).view(np.uint64)[0] for c in ("a", "b"))
         order = np.argsort(fps, kind="stable")
         ids, fps = ids[order], fps[order]
-        prefix = fps >> np.uint64(64 - level)
-        a, b = np.flatnonzero(prefix == low), np.flatnonzero(prefix == high)
-        forest = Forest(len(ids))
-        for p, q in trie_pairs(fps[a], fps[b], level, budget):
-            for i, j in zip(a[p].tolist(), b[q].tolist(), strict=True):
-                if i != j:
-                    forest.join(i, j)
-        roots = np.array([forest.root(i) for i in range(len(ids))], np.int64)
-        moved = np.flatnonzero(roots != np.arange(len(ids)))
-        return pa.table({"a": pa.array(ids[moved], pa.int64()), "b": pa.array(ids[roots[moved]], pa.int64())})
-
-    return sent.groupBy("depth", "a", "b").applyInArrow(run, "a bigint, b bigint")
+        above = fps >> np.uint64(64 - level)
+        a, b = np.flatnonzero(above == low), np.flatnonzero(above == high)
+        if not len(a) or not len(b):
+            return spanning(ids[:0], iter(()))
+        start = np.array([[0, len(a), 0, len(b), int(low ^ high).bit_count()]])
+        return spanning(ids, ((a[p], b[q]) for p, q in trie_pairs(fps[a], fps[b], start, level, budget)))
+
+    if large.isEmpty():
+        kept, split = rows, False
+    else:
+        kept, split = rows.join(large, prefix == F.col("a"), "left_anti"), True
+    parts = [kept.groupBy(F.pmod(F.xxhash64(prefix), F.lit(groups)).alias("group")).applyInArrow(lambda t: walk(t.select(["id", "fp"])), "a bigint, b bigint")]
+    level = rows.join(large.select(F.col("a").alias("p")), prefix == F.col("p")).select("id", "fp", prefix.alias("a"), prefix.alias("b")) if split else None
+    while split:
+        step = min(STEP, 64 - depth)
+        level = stored(node_pairs(level, depth, step, budget), "pairs-below")
+        depth += step
+        large = stored(level.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > most).select("a", "b"), "large") if depth < 64 else None
+        split = large is not None and not large.isEmpty()
+        tagged = level.withColumn("depth", F.lit(depth))
+        small = tagged.join(large, ["a", "b"], "left_anti").select(tagged.columns) if split else tagged
+        parts.append(small.groupBy("depth", "a", "b").applyInArrow(walk_pair, "a bigint, b bigint"))
+        level = level.join(large, ["a", "b"], "left_semi").select("id", "fp", "a", "b") if split else None
+    return parts
 
 
 def components(rows: DataFrame, key: str | Column, budget: int) -> DataFrame:
