@@ -1,24 +1,28 @@
 """Packing into windows by deficit round-robin over source queues.
 
-Each source is a queue of its documents' tokens. In every round of the round-robin each queue earns its share of the
-window as credit and sends whole tokens for it; what it could not send, its deficit, is carried to the next window, and
-so on over all partitions. With shares in proportion to the queues' lengths they all run dry together, so that no window
-but the last has padding. Whose turn is next is decided by deficit: of a queue of T tokens, token x is due when a part
-(2x + 1) / 2T of all tokens has been sent, ties by the order of the queues. So the tokens sent by the end of a window
-follow from the queues' lengths alone, in exact integers: Schedule finds them without playing earlier windows, and
-windows are filled in parallel with no state passed on from task to task. No queue is ever behind or ahead of its share
-by more than about half a token for each queue.
+Each source is a queue of its documents' tokens, with a weight: its target share of every window. In every round of the
+round-robin each queue earns its share of the window as credit and sends whole tokens for it; what it could not send, its
+deficit, is carried to the next window, and so on over all partitions. A queue that has run dry earns no more, and the
+others share what it would have had by their weights. By default a weight is the queue's length, so that all run dry
+together. No window but the last has padding either way. Whose turn is next is decided by deficit: of a queue of weight w,
+token x is due at time (2x + 1) / 2w, ties by the order of the queues. So the tokens sent by the end of a window follow from
+the queues' lengths and weights alone, in exact integers: Schedule finds them without playing earlier windows, and windows
+are filled in parallel with no state passed on from task to task. No queue is ever behind or ahead of its share by more
+than about half a token for each queue.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import math
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, texts
 
-WINDOW, QUEUES = 4096, 1024
+WINDOW = 4096
+#: Sources with a queue of their own at most: their lengths are collected, and a window's schedule looks at each.
+QUEUES = 1024
 #: Text on which lower case, NFC and the word pattern are the same by any library: printable ASCII and Latin-1 letters.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 #: The tokenizer's own pattern on such text.
@@ -96,33 +102,39 @@ def chunks(path: str) -> Chunks:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """task, source, doc_id, start, n, ids: every document's ids, and its place among the task's tokens of its source."""
+    """task, queue, source, doc_id, start, n, ids: every document's ids, and its place among the task's tokens of its queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sent, end = chunks(path), {}, end_id.to_bytes(2, "little")
         for batch in batches:
             ids = [b"".join(map(known.__getitem__, x.split())) + end for x in batch.column("text").to_pylist()]
             starts = []
-            for source, x in zip(batch.column("source").to_pylist(), ids, strict=True):
-                starts.append(sent.get(source, 0))
-                sent[source] = starts[-1] + len(x) // 2
+            for queue, x in zip(batch.column("queue").to_pylist(), ids, strict=True):
+                starts.append(sent.get(queue, 0))
+                sent[queue] = starts[-1] + len(x) // 2
+            kept = [batch.column(c) for c in ("task", "queue", "source", "doc_id")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("task"), batch.column("source"), batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                ["task", "source", "doc_id", "start", "n", "ids"],
+                [*kept, pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                ["task", "queue", "source", "doc_id", "start", "n", "ids"],
             )
 
-    rows = texts(docs, "source").select(
-        F.spark_partition_id().alias("task"), F.coalesce("source", F.lit("")).alias("source"), F.col("doc_id").cast("bigint"), F.col("text").cast("binary")
-    )
-    return rows.mapInArrow(run, "task int, source string, doc_id bigint, start bigint, n bigint, ids binary")
+    rows = texts(docs, "queue", "source").select(F.spark_partition_id().alias("task"), "queue", "source", F.col("doc_id").cast("bigint"), F.col("text").cast("binary"))
+    return rows.mapInArrow(run, "task int, queue string, source string, doc_id bigint, start bigint, n bigint, ids binary")
 
 
 class Schedule:
-    """sent(w): how many tokens of each queue lie in the first w windows."""
+    """sent(w): how many tokens of each queue lie in the first w windows. weights: whole numbers above 0; default: sizes."""
 
-    def __init__(self, sizes: list[int], window: int):
-        self.sizes, self.window, self.total = sizes, window, sum(sizes)
+    def __init__(self, sizes: list[int], window: int, weights: list[int] | None = None):
+        self.sizes, self.window, self.total, self.weights = sizes, window, sum(sizes), weights or sizes
         self.known: dict[int, list[int]] = {}
+        #: Queues in the order in which they run dry, and for each number of dry ones their tokens and the others' weight.
+        self.dry = sorted(range(len(sizes)), key=lambda s: Fraction(sizes[s], self.weights[s]))
+        self.times = [Fraction(sizes[s], self.weights[s]) for s in self.dry]
+        self.gone = [0, *accumulate(sizes[s] for s in self.dry)]
+        self.left = [sum(self.weights), *(sum(self.weights) - x for x in accumulate(self.weights[s] for s in self.dry))]
+        #: Tokens sent by the time at which each runs dry.
+        self.when = [self.gone[i] + Fraction(self.left[i] * sizes[s], self.weights[s]) for i, s in enumerate(self.dry)]
 
     def sent(self, w: int) -> list[int]:
         if w not in self.known:
@@ -132,28 +144,37 @@ class Schedule:
         return self.known[w]
 
     def _sent(self, m: int) -> list[int]:
-        sizes, n = self.sizes, self.total
-        out = [(2 * t * m + n) // (2 * n) for t in sizes]
+        sizes, weights = self.sizes, self.weights
+        n = bisect_right(self.when, m)
+        if n == len(sizes):
+            return list(sizes)
+        up, down = m - self.gone[n], self.left[n]  # m tokens are sent at the time up / down
+        out = [min(t, (2 * w * up + down) // (2 * down)) for t, w in zip(sizes, weights, strict=True)]
+        for s in self.dry[:n]:
+            out[s] = sizes[s]
         short = m - sum(out)
         if short > 0:
-            turns = [(Fraction(2 * c + 1, 2 * t), s) for s, (c, t) in enumerate(zip(out, sizes, strict=True)) if c < t]
+            turns = [(Fraction(2 * c + 1, 2 * w), s) for s, (c, t, w) in enumerate(zip(out, sizes, weights, strict=True)) if c < t]
             heapq.heapify(turns)
             for _ in range(short):
                 _, s = turns[0]
                 out[s] += 1
-                heapq.heapreplace(turns, (Fraction(2 * out[s] + 1, 2 * sizes[s]), s)) if out[s] < sizes[s] else heapq.heappop(turns)
+                heapq.heapreplace(turns, (Fraction(2 * out[s] + 1, 2 * weights[s]), s)) if out[s] < sizes[s] else heapq.heappop(turns)
         elif short < 0:
-            turns = [(-Fraction(2 * c - 1, 2 * t), -s) for s, (c, t) in enumerate(zip(out, sizes, strict=True)) if c]
+            turns = [(-Fraction(2 * c - 1, 2 * w), -s) for s, (c, w) in enumerate(zip(out, weights, strict=True)) if c]
             heapq.heapify(turns)
             for _ in range(-short):
                 s = -turns[0][1]
                 out[s] -= 1
-                heapq.heapreplace(turns, (-Fraction(2 * out[s] - 1, 2 * sizes[s]), -s)) if out[s] else heapq.heappop(turns)
+                heapq.heapreplace(turns, (-Fraction(2 * out[s] - 1, 2 * weights[s]), -s)) if out[s] else heapq.heappop(turns)
         return out
 
     def first(self, s: int, x: int) -> int:
-        """The window that holds token x of queue s."""
-        low = high = min(x * self.total // (self.sizes[s] * self.window), (self.total - 1) // self.window)
+        """The window that holds token x of queue s: it is looked for around the window that is open when the token is due."""
+        time = Fraction(2 * x + 1, 2 * self.weights[s])
+        n = bisect_right(self.times, time)
+        due = int(self.gone[n] + self.left[n] * time)
+        low = high = max(0, min(due // self.window, (self.total - 1) // self.window))
         step = 1
         while low > 0 and self.sent(low)[s] > x:
             low, high, step = max(0, low - step), low, 2 * step
@@ -178,39 +199,53 @@ class Schedule:
                 w = self.first(s, x + done)
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW) -> DataFrame:
+def weights_of(queues: list[tuple[str, int]], shares: dict[str, float] | None) -> list[int]:
+    """Whole weights in the proportion of the shares; queues without one have the share that they have of all tokens."""
+    if shares and min(shares.values()) <= 0:
+        raise ValueError("shares must be above 0")
+    total = sum(size for _, size in queues)
+    parts = [Fraction(shares[name]).limit_denominator(10**9) if shares and name in shares else Fraction(size, total) for name, size in queues]
+    scale = math.lcm(*(p.denominator for p in parts))
+    return [int(p * scale) for p in parts]
+
+
+def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, shares: dict[str, float] | None = None) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    path: the tokenizer's file, present on every machine. Null and empty texts consist of the end id alone; a null source
-    is the source ''; repeated rows are packed each; an empty table gives no piece. Only the last sequence has padding.
-    Up to QUEUES sources have a queue each; more share that many queues by hash. Token ids are kept once, in 16 bits, in
-    the shared folder; queues' lengths are summed per task, and the places of the tasks in a queue are running sums over
-    tasks, partitioned by source.
+    path: the tokenizer's file, present on every machine. shares: target proportions of tokens by source, in every window
+    until a source has run dry; a source that is not named has its own share of all tokens. Null and empty texts consist of
+    the end id alone; a null source is the source ''; repeated rows are packed each; an empty table gives no piece. Only the
+    last sequence has padding. Sources in shares have a queue each, and so have others, if they are no more than QUEUES in
+    all; else the others are dealt to that many queues by hash. Token ids are kept once, in 16 bits, in the shared folder;
+    queues' lengths are summed per task, and the places of the tasks in a queue are running sums over tasks, partitioned by
+    queue.
     """
     source = F.coalesce(docs["source"], F.lit(""))
-    if docs.select(source.alias("source")).distinct().limit(QUEUES + 1).count() > QUEUES:
-        source = F.pmod(F.xxhash64(source), F.lit(QUEUES)).cast("string")
-    ids = stored(tokenized(docs.select("doc_id", "text", source.alias("source")), path, end_id), "ids")
-    per_task = ids.groupBy("source", "task").agg(F.sum("n").alias("size"))
-    in_order = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    queue, named = source, list(shares or ())
+    if docs.select(source.alias("source")).where(~F.col("source").isin(named)).distinct().limit(QUEUES + 1).count() > QUEUES:
+        dealt = F.concat(F.lit("\0"), F.pmod(F.xxhash64(source), F.lit(QUEUES)).cast("string"))
+        queue = F.when(source.isin(named), source).otherwise(dealt)
+    ids = stored(tokenized(docs.select("doc_id", "text", source.alias("source"), queue.alias("queue")), path, end_id), "ids")
+    per_task = ids.groupBy("queue", "task").agg(F.sum("n").alias("size"))
+    in_order = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     places = stored(per_task.withColumn("base", F.coalesce(F.sum("size").over(in_order), F.lit(0))), "places")
-    queues = sorted((r["source"], r["size"]) for r in places.groupBy("source").agg(F.sum("size").alias("size")).collect())
-    names, sizes = {name: i for i, (name, _) in enumerate(queues)}, [size for _, size in queues]
+    queues = sorted((r["queue"], r["size"]) for r in places.groupBy("queue").agg(F.sum("size").alias("size")).collect())
+    names, sizes, weights = {name: i for i, (name, _) in enumerate(queues)}, [size for _, size in queues], weights_of(queues, shares) if queues else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Schedule(sizes, window)
+        schedule = Schedule(sizes, window, weights)
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "source", "x", "n", "ids"))
-            for doc_id, name, x, n, ids in zip(*columns, strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "queue", "source", "x", "n", "ids"))
+            for doc_id, name, own, x, n, ids in zip(*columns, strict=True):
                 wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
                 for start, length, sequence, offset in schedule.pieces(names[name], x, n):
-                    out.append((doc_id, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, sequence, offset, name))
+                    out.append((doc_id, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, sequence, offset, own))
             columns = list(zip(*out, strict=True)) if out else [()] * 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.string() if i == 7 else pa.int64()) for i, c in enumerate(columns)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"],
             )
 
-    rows = ids.join(places, ["source", "task"]).select("doc_id", "source", (F.col("base") + F.col("start")).alias("x"), "n", "ids")
+    rows = ids.join(places, ["queue", "task"]).select("doc_id", "queue", "source", (F.col("base") + F.col("start")).alias("x"), "n", "ids")
     return rows.mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
