@@ -148,29 +148,31 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, rate: f
     return model
 
 
-def featured(rows: DataFrame, keep: str) -> DataFrame:
-    """The long column keep, and x: the features of the binary column body."""
+def featured(rows: DataFrame, *keep: str) -> DataFrame:
+    """The long columns keep, and x: the features of the binary column body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(v) for v in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(x, pa.list_(pa.float64()))], [keep, "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(x, pa.list_(pa.float64()))], [*keep, "x"])
 
-    return rows.select(keep, "body").mapInArrow(run, f"{keep} bigint, x array<double>")
+    return rows.select(*keep, "body").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in keep), "x array<double>"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Model from labels.quality (0 or 1; other rows are left out) of documents outside the held-out fold.
 
-    sample: labelled rows used at most (by the hash of doc_id), so that what the driver gathers is bounded. Of a doc_id
-    that is labelled or present several times each matching pair counts.
+    sample: labelled rows used at most (by the hash of doc_id), so that what the driver gathers is bounded. A doc_id that is
+    labelled several times counts with each label; of documents that share a doc_id the one of the least text hash counts.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     known = known.where("quality in (0, 1) and labelled is not null and crc32(cast(cast(labelled as string) as binary)) % 5 <> 0")
     known = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)
     body = texts(docs).select(F.col("doc_id").cast("bigint").alias("labelled"), F.col("text").cast("binary").alias("body"))
-    rows = body.join(F.broadcast(known), "labelled").select(F.col("quality").cast("bigint").alias("quality"), "body")
-    found = featured(rows, "quality").limit(4 * sample).toArrow()
+    asked = known.select("labelled").distinct()
+    found = featured(body.join(F.broadcast(asked), "labelled").withColumn("order", F.xxhash64("body")), "labelled", "order")
+    one = found.groupBy("labelled").agg(F.min(F.struct("order", "x")).alias("least")).select("labelled", "least.x")
+    found = one.join(known, "labelled").select("quality", "x").toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = found.column("quality").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the same model whatever order the rows come in
