@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A new local one where that is unset and all runs in one process (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="kmerlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,6 +49,24 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"), *[docs[c] for c in more])
 
 
+#: A key is hot if it has more than one in HOT of all rows, so that there are fewer than HOT hot keys; parts of its rows.
+HOT, PARTS = 1_000, 64
+
+
+def join_in_parts(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFrame:
+    """rows with the columns of keys: an inner join in which the rows of a hot key go to PARTS groups in place of one.
+
+    keys: a stored table of unique keys with n, the number of rows of each; n is not returned.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_hot = F.col("n") * HOT > total
+    hot = keys.where(is_hot).select(*names, F.lit(True).alias("__hot"))
+    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))).otherwise(0)
+    rows = rows.join(F.broadcast(hot), names, "left").withColumn("__part", part.cast("int")).drop("__hot")
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(keys.withColumn("__part", F.explode(parts)).drop("n"), [*names, "__part"]).drop("__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import join_in_parts, release, stored
 
 LENGTH = 400
 #: Bytes of strings that count as passages: any that is over 50 words long is longer.
@@ -202,8 +202,8 @@ def split(values: np.ndarray, count: int) -> np.ndarray:
 
 
 def columns_of(rows: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(range, bytes) of rows by the range they go to: column by column, and in order of places, which compresses well."""
-    order = np.lexsort((rows["at"], rows["sid"], to))
+    """(range, bytes) of rows by the range they go to: column by column, and rows in their order, which compresses well."""
+    order = np.argsort(to, kind="stable")
     rows, to = rows[order], to[order]
     for a, b in groups(to):
         yield int(to[a]), b"".join(np.ascontiguousarray(rows[f][a:b]).tobytes() for f in rows.dtype.names)
@@ -227,10 +227,17 @@ def home(places: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def adjacent(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(records in order, which of them have an equal neighbour at another place)."""
-    records = records[np.lexsort((records["at"], records["sid"], records["check"], records["name"]))]
-    same = (records["name"][1:] == records["name"][:-1]) & (records["check"][1:] == records["check"][:-1])
-    return records, np.r_[False, same] | np.r_[same, False]
+    """Which records have an equal neighbour once they are sorted, and which are the first of their name."""
+    order = np.argsort(records["name"], kind="stable")
+    name, check = records["name"][order], records["check"][order]
+    same = name[1:] == name[:-1]
+    if (same & (check[1:] != check[:-1])).any():
+        order = np.lexsort((records["check"], records["name"]))
+        name, check = records["name"][order], records["check"][order]
+        same = (name[1:] == name[:-1]) & (check[1:] == check[:-1])
+    twin, first = np.zeros(len(records), bool), np.zeros(len(records), bool)
+    twin[order], first[order] = np.r_[False, same] | np.r_[same, False], np.r_[True, ~same]
+    return twin, first
 
 
 def repeated(rows: DataFrame, make, ranges: int) -> DataFrame:
@@ -254,9 +261,8 @@ def repeated(rows: DataFrame, make, ranges: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lot in lots(batches):
-            records, twin = adjacent(lot)
-            first = np.r_[True, (records["name"][1:] != records["name"][:-1]) | (records["check"][1:] != records["check"][:-1])]
-            known, sent = places_of(records[twin]), records[first]
+            twin, first = adjacent(lot)
+            known, sent = places_of(lot[twin]), lot[first]
             out = [(0, r, b) for r, b in columns_of(known, home(known, ranges))] + [(1, r, b) for r, b in columns_of(sent, split(sent["name"], ranges))]
             kinds = (pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["kind", "range", "body"])
@@ -264,8 +270,8 @@ def repeated(rows: DataFrame, make, ranges: int) -> DataFrame:
     def meet(table: pa.Table) -> pa.Table:
         if not table.column("kind")[0].as_py():
             return pa.table({"home": table.column("range"), "places": table.column("body")})
-        records, twin = adjacent(rows_from(table.column("body"), RECORD))
-        found = places_of(records[twin])
+        records = rows_from(table.column("body"), RECORD)
+        found = places_of(records[adjacent(records)[0]])
         out = list(columns_of(found, home(found, ranges)))
         return pa.table({"home": pa.array([x[0] for x in out], pa.int64()), "places": pa.array([x[1] for x in out], pa.binary())})
 
@@ -286,12 +292,53 @@ def places_of(records: np.ndarray) -> np.ndarray:
     return out
 
 
-def records_of(sid: int, at: np.ndarray, name: np.ndarray, check: np.ndarray | int = 0) -> np.ndarray:
+def records_of(sid: np.ndarray, at: np.ndarray, name: np.ndarray, check: np.ndarray | int = 0) -> np.ndarray:
     out = np.zeros(len(at), RECORD)
     out["name"], out["check"], out["sid"], out["at"] = name, check, sid, at
     return out
 
 
+class Slice:
+    """Pieces side by side: text, and for each byte its piece (own), its place in it (at) and the bytes from it on (left)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch, self.sid = batch, batch.column("sid").to_numpy()
+        bodies = [np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column("body")]
+        self.text, size = np.concatenate(bodies), np.array([len(x) for x in bodies])
+        self.begin = size.cumsum() - size
+        self.own = np.repeat(np.arange(len(size)), size)
+        self.at = np.arange(len(self.text)) - self.begin[self.own]
+        self.left = size[self.own] - self.at
+
+    def places(self, column: str) -> np.ndarray:
+        """The places, in text, that a column of packed places names."""
+        found = [np.frombuffer(x.as_buffer(), np.int32) if x.is_valid else np.zeros(0, np.int32) for x in self.batch.column(column)]
+        return np.concatenate(found).astype(np.int64) + np.repeat(self.begin, [len(x) for x in found])
+
+    def inside(self, column: str) -> np.ndarray:
+        """Which places of text lie in the ranges of a column."""
+        found = [bounds(x) for x in self.batch.column(column)]
+        shift = np.repeat(self.begin, [len(low) for low, _ in found])
+        low, high = (np.concatenate([f[i] for f in found]) + shift for i in (0, 1))
+        return covered(len(self.text), low, high + 1)
+
+    def records(self, at: np.ndarray, *names: np.ndarray) -> np.ndarray:
+        return records_of(self.sid[self.own[at]], self.at[at], *names)
+
+
+def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie between a begin and its end."""
+    change = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return change[:n].cumsum() > 0
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[Slice]:
+    """Pieces of a batch in slices of some SLICE bytes, or of one longer piece."""
+    ends = np.cumsum([len(x.as_buffer()) for x in batch.column("body")])
+    for a, b in groups(ends // SLICE) if len(ends) else []:
+        yield Slice(batch.slice(a, b - a))
+
+
 class Cover:
     """Sampling for strings of length bytes: period v, triples of blocks of `block` bytes, `depth` bytes in all."""
 
@@ -311,69 +358,59 @@ class Cover:
         return mix(mix(name[at], name[at + self.block]), name[at + 2 * self.block])
 
     def sampled_triples(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for sid, body in zip(batch.column("sid").to_pylist(), batch.column("body"), strict=True):
-            text = np.frombuffer(body.as_buffer(), np.uint8)
-            at = np.flatnonzero(self.sampled[np.arange(len(text) - self.depth + 1) % self.period])
-            yield records_of(sid, at, self.triples(text, at))
+        for s in slices(batch):
+            at = np.flatnonzero(self.sampled[s.at % self.period] & (s.left >= self.depth))
+            if len(at):
+                yield s.records(at, self.triples(s.text, at))
 
     def triples_of_names(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for sid, text, at in repeats_of(batch, "ats"):
-            found = np.zeros(len(text) + 2 * self.period, bool)
+        for s in slices(batch):
+            at = s.places("ats")
+            found = np.zeros(len(s.text) + 2 * self.period, bool)
             found[at] = True
-            first = at[found[at + self.period] & found[at + 2 * self.period]]
+            first = at[found[at + self.period] & found[at + 2 * self.period] & (s.left[at] >= self.depth + 2 * self.period)]
             if len(first):
                 name = []
                 for seed in (0, 1):
-                    letter = np.zeros(len(text) + 1, np.uint64)
-                    letter[at] = self.triples(text, at, seed)
+                    letter = np.zeros(len(found), np.uint64)
+                    letter[at] = self.triples(s.text, at, seed)
                     name.append(mix(mix(letter[first], letter[first + self.period]), letter[first + 2 * self.period]))
-                yield records_of(sid, first, *name)
-
-    def settled(self, length: int, at: np.ndarray) -> np.ndarray:
-        """Which starts of a piece repeated triples of names at these places settle."""
-        out = np.zeros(length + 1, np.int64)
-        np.add.at(out, at, 1)
-        np.add.at(out, np.minimum(at + self.settles, length), -1)
-        return out[:-1].cumsum() > 0
+                yield s.records(first, *name)
 
-    def within_reach(self, starts: int, at: np.ndarray) -> np.ndarray:
-        """Which starts have one of the sorted places at within reach."""
-        near = np.searchsorted(at, np.arange(starts))
-        return (near < len(at)) & (at[np.minimum(near, len(at) - 1)] <= np.arange(starts) + self.period - 1)
+    def within_reach(self, s: Slice) -> np.ndarray:
+        """Which places of a slice are starts with a repeated triple within reach."""
+        at = s.places("ats")
+        return covered(len(s.text), np.maximum(at - self.period + 1, 0), at + 1) & (s.left >= self.length)
 
     def marks(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
         """(names, sids, first starts, last starts, has an open start) of the marks of starts within reach of a repeated triple."""
-        for (sid, text, at), deep in zip(repeats_of(batch, "ats"), batch.column("deep"), strict=True):
-            n = len(text) - self.length + 1
-            reach = self.within_reach(n, at)
-            still = np.r_[0, (reach & ~self.settled(n, at_of(deep))).cumsum()]
-            reach = np.r_[0, reach.cumsum()]
-            name, low, high = marks_of(text, self.length, gram_of(self.length))
-            some = reach[high + 1] > reach[low]
-            name, low, high = name[some], low[some], high[some]
-            yield name, np.full(len(name), sid), low, high, still[high + 1] > still[low]
+        gram = gram_of(self.length)
+        for s in slices(batch):
+            deep = s.places("deep")
+            reach = self.within_reach(s)
+            still = reach & ~covered(len(s.text), deep, deep + self.settles)
+            starts = np.flatnonzero(reach)
+            if not len(starts):
+                continue
+            name = names(s.text, gram)
+            place = leftmost_minima(name, self.length - gram + 1)[starts]
+            change = np.r_[True, (place[1:] != place[:-1]) | (np.diff(starts) > 1) | (np.diff(s.own[starts]) > 0)]
+            begin = np.flatnonzero(change)
+            end = np.r_[begin[1:], len(starts)] - 1
+            some = np.add.reduceat(still[starts].astype(np.int64), begin) > 0
+            yield name[place[begin]], s.sid[s.own[starts[begin]]], s.at[starts[begin]], s.at[starts[end]], some
 
     def remaining_suffixes(self, batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for (sid, text, at), watched in zip(repeats_of(batch, "ats"), batch.column("watched"), strict=True):
-            reach = self.within_reach(len(text) - self.length + 1, at)
-            for a, b in zip(*joined(*bounds(watched)), strict=True):
-                part, own = text[a : b + self.length], a + np.flatnonzero(reach[a : b + 1])
-                yield records_of(sid, own, *(names(part, self.length, seed)[own - a] for seed in (0, 1)))
+        for s in slices(batch):
+            own = np.flatnonzero(self.within_reach(s) & s.inside("watched"))
+            if len(own):
+                yield s.records(own, *(names(s.text, self.length, seed)[own] for seed in (0, 1)))
 
 
 def gram_of(length: int) -> int:
     return length * 8 // 25
 
 
-def at_of(packed: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(packed.as_buffer(), np.int32).astype(np.int64) if packed.is_valid else np.zeros(0, np.int64)
-
-
-def repeats_of(batch: pa.RecordBatch, places: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for sid, body, ats in zip(batch.column("sid").to_pylist(), batch.column("body"), batch.column(places), strict=True):
-        yield sid, np.frombuffer(body.as_buffer(), np.uint8), at_of(ats)
-
-
 def pieces(texts: DataFrame, length: int) -> DataFrame:
     """doc, base, body of each run of open starts (text, open) of texts; runs of over SLICE starts in several pieces."""
 
@@ -415,25 +452,25 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     going = stored(own.select("sid", "body").join(triples, "sid"), "triples")
     deep = stored(repeated(going, cover.triples_of_names, ranges).withColumnRenamed("ats", "deep"), "names")
     found_marks = stored(going.join(deep, "sid", "left").mapInArrow(listed, "name bigint, sid bigint, low int, high int, still boolean"), "piece-marks")
-    still = found_marks.where("still").select("name").distinct()
-    watched = found_marks.join(still, "name", "left_semi").groupBy("sid").agg(F.collect_list(F.struct("low", "high")).alias("watched"))
+    still = stored(found_marks.groupBy("name").agg(F.max("still").alias("still"), F.count("*").alias("n")).where("still").select("name", "n"), "open-names")
+    watched = join_in_parts(found_marks, still, ["name"]).groupBy("sid").agg(F.collect_list(F.struct("low", "high")).alias("watched"))
     merged = repeated(going.join(watched, "sid"), cover.remaining_suffixes, ranges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, step = [at_of(x) for x in batch.column("ats")], batch.column("settles").to_numpy()
-            found = [joined(x, x + n - 1) for x, n in zip(at, step, strict=True)]
-            size = np.array([len(a) for a, _ in found], np.int64)
-            low, high = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("sid").take(pa.array(np.repeat(np.arange(len(at)), size))), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["sid", "low", "high"]
-            )
+            at = [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("ats")]
+            size = [len(x) for x in at]
+            row = np.repeat(np.arange(len(at)), size) << 32
+            low = np.concatenate([np.zeros(0, np.int64), *at]) + row
+            low, high = joined(low, low + np.repeat(batch.column("settles").to_numpy(), size) - 1)
+            columns = pa.array((low & 0xFFFFFFFF).astype(np.int32)), pa.array((high & 0xFFFFFFFF).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("sid").take(pa.array(low >> 32)), *columns], ["sid", "low", "high"])
 
     settled = deep.select("sid", F.col("deep").alias("ats"), F.lit(cover.settles).cast("bigint").alias("settles"))
     both = settled.union(merged.select("sid", "ats", F.lit(1).cast("bigint"))).mapInArrow(run, "sid bigint, low int, high int")
     place = F.struct((F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
     found = stored(both.join(own.select("sid", "doc", "base"), "sid").groupBy("doc").agg(F.collect_list(place).alias("starts")), "starts")
-    for old in (own, going, deep, found_marks):
+    for old in (own, going, deep, found_marks, still):
         release(old)
     return found
 
@@ -504,8 +541,9 @@ def screened(rows: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     """doc (a number), k1, k2, body, open: one text of each class, and its starts whose mark is a mark elsewhere too."""
     all_marks = stored(marks(rows, length, gram_of(length)), "marks")
     place = F.struct("k1", "k2", "low")
-    twice = stored(all_marks.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("name"), "mark-names")
-    ranges = all_marks.join(twice, "name").groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("open"))
+    twice = all_marks.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
+    twice = stored(twice.select("name", "n"), "mark-names")
+    ranges = join_in_parts(all_marks, twice, ["name"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("open"))
     chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", "least", "open")
     bodies = rows.where(F.length("body") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("least"), "k1", "k2", "body")
     texts = bodies.join(chosen, ["least", "k1", "k2"]).dropDuplicates(["least", "k1", "k2"])
@@ -542,6 +580,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE
     Texts shorter than `length` keep all bytes. Repeated rows are documents that hold each other's strings. Null doc_ids
     stay null. Strings overlap freely and are judged on the input. An empty table gives no rows.
     """
+    passage = min(passage, length)
     classes, cuts = repeats(docs, length, passage)
     cuts = cuts.drop("kept")
     rows = keyed(docs).select("doc_id", "k1", "k2", F.length("body").cast("bigint").alias("n_bytes"), F.sha2("body", 256).alias("own"))
