@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -74,6 +75,10 @@ def test_gam_tables_and_pairs():
     assert (2, 5) in {(i, j) for i, j, _ in model.pairs}
     fresh = rnd.normal(size=(2000, x.shape[1]))
     assert np.mean((model.scores(fresh) > 0.5) == ((fresh[:, 2] > 0) ^ (fresh[:, 5] > 0))) > 0.85
+    for row, score in zip(fresh[:50], model.scores(fresh[:50]), strict=True):
+        at = [int(np.sum(e <= v)) for e, v in zip(model.edges, row, strict=True)]
+        logit = model.base + sum(t[b] for t, b in zip(model.tables, at, strict=True)) + sum(t[at[i] // quality_gam.COARSE, at[j] // quality_gam.COARSE] for i, j, t in model.pairs)
+        assert math.isclose(score, 1 / (1 + math.exp(-min(30, max(-30, logit)))))
     g, h = np.array([1.0, 1, -1, -1]), np.ones(4)
     assert np.allclose(quality_gam.shallow_tree(g, h, 2, 0.0), [1, 1, -1, -1])
 
@@ -154,6 +159,35 @@ def test_line_dedup(spark, depth):
     assert line_dedup.without_repeated_lines(frame(spark, texts).limit(0), depth).count() == 0
 
 
+def test_suffix_array_of_lines(spark):
+    """Ranks are in the order of names, equal for equal runs of lines only, and reach the depth of the longest repeated run."""
+    rnd = random.Random(12)
+    run = [f"run {i}" for i in range(23)]
+    texts = [[rnd.choice("abc") for _ in range(9)] for _ in range(12)] + [["x", *run], [*run[:20], "y"], ["z", *run[3:9]], run[:11]]
+    found = list(line_dedup.suffix_array(frame(spark, ["\n".join(t) for t in texts])))
+    assert [depth for depth, _ in found] == [1, 2, 4, 8, 16]
+    for depth, rows in found:
+        spans = defaultdict(list)
+        for i, t in enumerate(texts):
+            for j in range(len(t) - depth + 1):
+                spans[tuple(t[j : j + depth])].append((i, j))
+        rows = rows.collect()
+        assert {(r["doc"], r["at"]): r["later"] for r in rows} == {x: x != places[0] for places in spans.values() if len(places) > 1 for x in places}
+        ranks = defaultdict(set)
+        for r in rows:
+            ranks[r["rank"]].add(tuple(texts[r["doc"]][r["at"] : r["at"] + depth]))
+        assert all(len(x) == 1 for x in ranks.values()) and len(ranks) == sum(len(p) > 1 for p in spans.values())
+
+
+@pytest.mark.parametrize("n", [3, 7, 20])
+def test_line_dedup_of_long_runs(spark, n):
+    run = [f"line {i}" for i in range(n)]
+    texts = ["\n".join(t) for t in (["a", *run, "b"], ["c", "", *run], [*run, "d", *run[:-1]], ["e", run[0], "f"])]
+    got = rows_of(line_dedup.without_repeated_lines(frame(spark, texts)))
+    assert [got[i]["text"] for i in range(4)] == [texts[0], "c\n", "d", texts[3]]
+    assert [got[i]["runs_gone"] for i in range(4)] == [0, 1, 2, 0]
+
+
 def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     docs = frame(spark, ["a\nb\nc", "a\nb\nd"])
     twice = docs.union(docs.where("doc_id = 1")).union(docs.where("doc_id = 0").selectExpr("cast(null as bigint) doc_id", "* except (doc_id)"))
@@ -176,11 +210,13 @@ def test_lm_score(spark):
     got = rows_of(lm_score.cross_entropy_difference(frame(spark, texts), labels, size, n_cells))
     for i, x in enumerate(ids):
         loss = [0.0, 0.0]
+        at = lm_score.cells(x[:-1], x[1:], n_cells)
         for m in (0, 1):
-            for before, now in zip(x[:-1], x[1:], strict=True):
-                word = (uni[m][now] + 1) / (uni[m][:-1].sum() + size + 1)
-                cell = bi[m][lm_score.cells(np.array([before]), np.array([now]), n_cells)[0]]
-                loss[m] -= math.log((cell + 5 * word) / (uni[m][before] + 5))
+            part = 1 if m == 0 or i in range(0, 30, 3) else 0  # the text itself is held out
+            for j, (before, now) in enumerate(zip(x[:-1], x[1:], strict=True)):
+                word = (uni[m][now] - part * (x == now).sum() + 1) / (uni[m][:-1].sum() - part * (len(x) - 1) + size + 1)
+                cell = bi[m][at[j]] - part * (at == at[j]).sum()
+                loss[m] -= math.log((cell + 5 * word) / (uni[m][before] - part * (x == before).sum() + 5))
         n = max(len(x) - 1, 1)
         r = got[i]
         assert r["n_words"] == len(x) - 1 and np.allclose([r["background_loss"], r["target_loss"], r["difference"]], [loss[0] / n, loss[1] / n, (loss[1] - loss[0]) / n])
@@ -347,12 +383,39 @@ def test_packing(spark, window):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
-def test_schedule_is_a_round_robin_by_deficit():
+@pytest.mark.parametrize("weights", [None, [1, 1, 1, 1, 1], [7, 1, 2, 50, 3]])
+def test_schedule_is_a_round_robin_by_deficit(weights):
     for sizes in ([1], [5, 5], [100, 1, 7, 3, 50], [1, 1, 1, 1000]):
-        turns = sorted((((2 * x + 1) / (2 * t), s) for s, t in enumerate(sizes) for x in range(t)))
-        plan = packing.Schedule(sizes, 4)
+        own = weights[: len(sizes)] if weights else sizes
+        turns = sorted((Fraction(2 * x + 1, 2 * own[s]), s) for s, t in enumerate(sizes) for x in range(t))
+        plan = packing.Schedule(sizes, 4, weights and own)
         for w in range(sum(sizes) // 4 + 2):
             assert plan.sent(w) == [sum(s == q for _, s in turns[: 4 * w]) for q in range(len(sizes))]
+        for place, (due, s) in list(enumerate(turns))[::7]:
+            assert plan.first(s, int(due * own[s])) == place // 4
+
+
+def test_packing_to_target_shares(spark):
+    texts, sources = ["word " * 40] * 60, ["a"] * 30 + ["b"] * 20 + ["c"] * 10
+    rows = packing.pack(frame(spark, texts, sources), vocabulary_file("word_bpe_49k.json"), 2, 64, {"a": 0.25, "b": 0.5, "c": 0.25}).collect()
+    sent, totals = defaultdict(Counter), Counter()
+    for r in rows:
+        sent[r["sequence_id"]][r["source"]] += r["length"]
+        totals[r["source"]] += r["length"]
+    assert totals == {"a": 30 * 41, "b": 20 * 41, "c": 10 * 41}
+    for w in range(20 * 41 * 2 // 64):  # until b has run dry
+        assert abs(sent[w]["a"] - 16) <= 2 and abs(sent[w]["b"] - 32) <= 2 and abs(sent[w]["c"] - 16) <= 2
+    assert [sum(sent[w].values()) for w in sorted(sent)][:-1] == [64] * (len(sent) - 1)
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, texts, sources), vocabulary_file("word_bpe_49k.json"), shares={"a": 0.0})
+
+
+def test_packing_of_very_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(packing, "QUEUES", 5)
+    texts = [f"text {i}" for i in range(40)]
+    rows = packing.pack(frame(spark, texts, [f"s{i}" for i in range(40)]), vocabulary_file("word_bpe_49k.json"), 2, 16, {"s3": 0.5}).collect()
+    assert {(r["doc_id"], r["source"]) for r in rows} == {(i, f"s{i}") for i in range(40)}
+    assert sorted((r["sequence_id"], o) for r in rows for o in range(r["offset"], r["offset"] + r["length"])) == [divmod(x, 16) for x in range(sum(r["length"] for r in rows))]
 
 
 def test_neighbours(spark):
@@ -404,41 +467,51 @@ def test_neighbours_search_as_many_leaves_as_recall_takes(spark):
     assert hits >= 0.9 * 300
 
 
-@pytest.mark.parametrize("length,gram,slice_,ranges", [(400, 128, 1 << 18, 1_000_000), (400, 64, 500, 40), (363, 128, 700, 100)])
-def test_suffix_dedup(spark, monkeypatch, length, gram, slice_, ranges):
+@pytest.mark.parametrize("length,passage,slice_,ranges", [(400, 200, 1 << 18, 1_000_000), (400, None, 500, 40), (230, 60, 700, 100), (42, 42, 60, 30)])
+def test_suffix_dedup(spark, monkeypatch, length, passage, slice_, ranges):
     for name, value in (("SLICE", slice_), ("RANGE", ranges), ("LOT", 3 * ranges)):
         monkeypatch.setattr(suffix_dedup, name, value)
-    rnd = random.Random(gram + length)
+    rnd = random.Random(length + slice_)
     text = lambda n: "".join(rnd.choice("abcdé ") for _ in range(n))
-    passage = text(900)
-    texts = [*corpus(10), text(300) + passage, passage + text(200), text(50) + passage[100:700] + text(20) + passage[300:690], "ab" * 700, "ab" * 250, "xyz" * 100, passage[:350], passage]
-    texts += [text(20) + passage[:k] + text(3) + passage[k:] for k in range(0, 900, 90)]
+    passage_text = text(900)
+    texts = [*corpus(10), text(300) + passage_text, passage_text + text(200), text(50) + passage_text[100:700] + text(20) + passage_text[300:690], "ab" * 700, "ab" * 250, "xyz" * 100, passage_text[:350], passage_text]
+    texts += [text(20) + passage_text[:k] + text(3) + passage_text[k:] for k in range(0, 900, 90)]
     docs = frame(spark, texts)
     docs = docs.union(docs.where("doc_id in (2, 60)")).union(docs.where("doc_id = 3").selectExpr("cast(null as bigint) doc_id", "* except (doc_id)"))
     bodies = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.select("doc_id", "text").collect()]
-    starts = Counter(b[i : i + length] for _, b in bodies for i in range(len(b) - length + 1))
+
+    def covered(n):
+        starts = Counter(b[i : i + n] for _, b in bodies for i in range(len(b) - n + 1))
+        for d, b in bodies:
+            gone = np.zeros(len(b), bool)
+            for i in range(len(b) - n + 1):
+                if starts[b[i : i + n]] > 1:
+                    gone[i : i + n] = True
+            yield d, b, gone
+
+    least = passage or suffix_dedup.PASSAGE
     expected = []
-    for d, b in bodies:
-        gone = np.zeros(len(b), bool)
-        for i in range(len(b) - length + 1):
-            if starts[b[i : i + length]] > 1:
-                gone[i : i + length] = True
+    for (d, b, gone), (_, _, short) in zip(covered(length), covered(least), strict=True):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
-        expected.append((repr(d), len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    monkeypatch.setattr(suffix_dedup, "GRAM", gram)
-    classes = suffix_dedup.repeats
-    monkeypatch.setattr(suffix_dedup, "repeats", lambda d, n=length: classes(d, n, gram))
-    got = [(repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(docs, length).collect()]
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        expected.append((repr(d), len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int(short.sum())))
+    found = suffix_dedup.remove_repeats(docs, length, least).collect()
+    got = [(repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage"]) for r in found]
     assert sorted(got) == sorted(expected)
     kept = suffix_dedup.without_repeats(docs, length)
     assert kept.columns == docs.columns and kept.count() == len(bodies)
-    assert sum(len((r["text"] or "").encode()) for r in kept.collect()) <= sum(n - g for _, n, g, _, _ in expected)
+    assert sum(len((r["text"] or "").encode()) for r in kept.collect()) <= sum(n - g for _, n, g, _, _, _ in expected)
     assert suffix_dedup.remove_repeats(docs.limit(0), length).count() == 0
 
 
+def test_suffix_dedup_of_too_short_strings(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup.without_repeats(frame(spark, ["a"]), suffix_dedup.LEAST - 1)
+
+
 def test_cover_and_minima():
-    cover = suffix_dedup.COVER
-    assert {(a - b) % suffix_dedup.PERIOD for a in cover for b in cover} == set(range(suffix_dedup.PERIOD))
+    for period, cover in suffix_dedup.COVERS.items():
+        assert {(a - b) % period for a in cover for b in cover} == set(range(period))
     rnd = np.random.default_rng(0)
     for n, width in ((50, 7), (7, 7), (200, 1), (64, 33)):
         v = rnd.integers(0, 9, n).astype(np.uint64) << np.uint64(40)
