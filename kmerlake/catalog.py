@@ -16,11 +16,13 @@ from kmerlake.operators import index as X
 from kmerlake.operators import kmers as K
 from kmerlake.operators import routing, search
 from kmerlake.operators.lineage import checkpoint_dir
-from kmerlake.sources import fastx, index_file
+from kmerlake.sources import blocks, fastx, index_file
 
 LENGTH = 31
 PREFIX = 12
 STREAM_LIMIT = 200_000
+#: Numbers of documents in a block of a composed file.
+PER_BLOCK = 512
 
 # ---------------------------------------------------------------- inputs
 
@@ -43,27 +45,31 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.build(references(spark, sf_dir), LENGTH)
 
 
-def fastq_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, value: a mixed FASTA and FASTQ text for each source, of its documents in order, in lines of 60 letters.
+def blocks_of(rows: DataFrame, body) -> DataFrame:
+    """file, block, value: a text for each PER_BLOCK numbers of each source, of its documents in order, which ends without a line feed."""
+    parts = F.array_sort(F.collect_list(F.struct("seq_no", body.alias("body"))))
+    value = F.array_join(F.transform(parts, lambda x: x["body"]), "\n")
+    return rows.groupBy("file", F.expr(f"seq_no div {PER_BLOCK}").alias("block")).agg(value.alias("value"))
+
+
+def fastq_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed FASTA and FASTQ in lines of 60 letters, a file for each source.
 
     Even documents have quality lines, of which the first begins with @; odd ones have a > header and an empty line.
     """
     rows = sequences(spark, sf_dir)
     wrapped = F.regexp_replace("sequence", "(.{60})", "$1\n")
     body = F.when(
-        F.col("seq_no") % 2 == 0, F.concat(F.lit("@doc"), F.col("seq_no").cast("string"), F.lit("\n"), wrapped, F.lit("\n+\n@!!\n!+\n"))
-    ).otherwise(F.concat(F.lit(">doc"), F.col("seq_no").cast("string"), F.lit("\n"), wrapped, F.lit("N\n\n")))
-    parts = F.array_sort(F.collect_list(F.struct("seq_no", body.alias("body"))))
-    return rows.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "").alias("value"))
+        F.col("seq_no") % 2 == 0, F.concat(F.lit("@doc"), F.col("seq_no").cast("string"), F.lit("\n"), wrapped, F.lit("\n+\n@!!\n!+"))
+    ).otherwise(F.concat(F.lit(">doc"), F.col("seq_no").cast("string"), F.lit("\n"), wrapped, F.lit("N\n")))
+    return blocks_of(rows, body)
 
 
-def strict_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file, value: strict FASTQ for each source; every 40th document has a letter X, every third an N."""
-    rows = sequences(spark, sf_dir)
+def strict_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict FASTQ for each source; every 40th document has a letter X, every third an N."""
     end = F.when(F.col("seq_no") % 40 == 39, "X").when(F.col("seq_no") % 3 == 0, "N").otherwise("")
-    body = F.concat(F.lit("@doc"), F.col("seq_no").cast("string"), F.lit("\n"), "sequence", end, F.lit("\n+\n!\n"))
-    parts = F.array_sort(F.collect_list(F.struct("seq_no", body.alias("body"))))
-    return rows.groupBy("file").agg(F.array_join(F.transform(parts, lambda x: x["body"]), "").alias("value"))
+    body = F.concat(F.lit("@doc"), F.col("seq_no").cast("string"), F.lit("\n"), "sequence", end, F.lit("\n+\n!"))
+    return blocks_of(sequences(spark, sf_dir), body)
 
 
 # ---------------------------------------------------------------- SQL parts
@@ -179,7 +185,7 @@ def invalid_runs(spark, sf_dir):
 
 @query(f"WITH {_FASTQ} SELECT file, seq_no, sequence FROM rec WHERE length(sequence) >= {LENGTH}")
 def fastx_parse(spark, sf_dir):
-    return fastx.records(fastq_texts(spark, sf_dir), LENGTH)
+    return blocks.records(fastq_blocks(spark, sf_dir), LENGTH)
 
 
 @query(f"""WITH {_SEQ}, raw AS (SELECT file, string_agg(concat('@doc', seq_no, chr(10), sequence, CASE WHEN seq_no % 40 = 39 THEN 'X' WHEN seq_no % 3 = 0 THEN 'N' ELSE '' END, chr(10), '+', chr(10), '!', chr(10)), '' ORDER BY seq_no) AS value FROM seq GROUP BY file),
@@ -188,7 +194,7 @@ s AS (SELECT file, ln // 4 + 1 AS seq_no, replace(line, 'N', 'A') AS sequence FR
 b AS (SELECT *, sum(CASE WHEN regexp_matches(trim(sequence), '[^ACGT]') THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY seq_no) AS bad FROM s)
 SELECT file, CAST(seq_no AS BIGINT) AS seq_no, sequence FROM b WHERE bad = 0""")
 def strict_fastq(spark, sf_dir):
-    return fastx.strict_records(strict_texts(spark, sf_dir))
+    return fastx.strict_records(blocks.numbered(strict_blocks(spark, sf_dir)))
 
 
 @query(f"WITH {_SEQ} SELECT file, seq_no, length(sequence)::INTEGER AS n FROM seq WHERE length(sequence) >= 500")
@@ -364,7 +370,7 @@ def dup_paths(spark, sf_dir):
 
 @query(f"WITH {_FASTQ} SELECT file, count(*) AS sequences, CAST(sum(length(sequence) - {LENGTH - 1}) AS BIGINT) AS kmers FROM rec WHERE length(sequence) >= {LENGTH} GROUP BY file")
 def clean_files(spark, sf_dir):
-    return K.kmer_totals(fastx.records(fastq_texts(spark, sf_dir), LENGTH), LENGTH)
+    return K.kmer_totals(blocks.records(fastq_blocks(spark, sf_dir), LENGTH), LENGTH)
 
 
 @query(f"WITH {_SEQ} SELECT file, seq_no, CAST(row_number() OVER (ORDER BY file, seq_no) - 1 AS BIGINT) AS pos FROM seq")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,24 +113,47 @@ def rank_blocks(index: DataFrame, letter: str, wide: bool = True) -> DataFrame:
     return blocks.select("block", (F.col("start") if wide else F.lit(0).cast("bigint")).alias("layer_0"), layer_1.alias("layer_1"), word.alias("layer_1_2"), "ones")
 
 
+def nearest_smaller(lcs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the nearest place before it, or -1, and after it, or the length, with a smaller value: a pass for each value up to k."""
+    n = len(lcs)
+    place = np.arange(n)
+    before, after = np.full(n, -1), np.full(n, n)
+    for v in range(k + 1):
+        at = np.flatnonzero(lcs == v)
+        if len(at):
+            smaller = lcs < v
+            before[at] = np.maximum.accumulate(np.where(smaller, place, -1))[at]
+            after[at] = np.minimum.accumulate(np.where(smaller, place, n)[::-1])[::-1][at]
+    return before, after
+
+
 def smaller_values(index: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """pos, lcs, psv, nsv: the nearest rows above and below with a smaller lcs; 0 and the number of rows where none is.
 
-    Inside blocks of rows by windows that share one sort; from other blocks by running extremes over one row a block.
+    Inside blocks of rows by whole columns; from other blocks by running extremes over one row a block.
     """
-    size = index.agg(F.count("*").alias("size"))
-    rows = index.select("pos", "lcs", F.expr(f"pos div {block}").alias("b"))
+    rows = index.select("pos", F.col("lcs").cast("int").alias("lcs"), F.expr(f"pos div {block}").alias("b"))
     place = lambda v: F.when(F.col("lcs") < v, F.col("pos"))
-    per = rows.groupBy("b").agg(F.array(*[F.max(place(v)) for v in range(1, k + 1)]).alias("hi"), F.array(*[F.min(place(v)) for v in range(1, k + 1)]).alias("lo"))
-    above, below = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("b", F.array(*[F.max(F.col("hi")[v]).over(above) for v in range(k)]).alias("up"), F.array(*[F.min(F.col("lo")[v]).over(below) for v in range(k)]).alias("down"))
-    inside_up = Window.partitionBy("b").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    inside_down = Window.partitionBy("b").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    ups = F.array(*[F.last(place(v), True).over(inside_up) for v in range(1, k + 1)])
-    downs = F.array(*[F.last(place(v), True).over(inside_down) for v in range(1, k + 1)])
-    rows = rows.withColumns({"us": ups, "ds": downs}).join(per, "b").join(F.broadcast(size))
-    at = F.col("lcs") - 1
-    return rows.select("pos", "lcs", F.coalesce(F.get("us", at), F.get("up", at), F.lit(0)).alias("psv"), F.coalesce(F.get("ds", at), F.get("down", at), F.col("size")).alias("nsv"))
+    per = rows.groupBy("b").agg(F.count("*").alias("n"), F.array(*[F.max(place(v)) for v in range(1, k + 1)]).alias("hi"), F.array(*[F.min(place(v)) for v in range(1, k + 1)]).alias("lo"))
+    above, below = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing)
+    all_rows = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    size = F.sum("n").over(all_rows)
+    up = F.array(*[F.coalesce(F.max(F.col("hi")[v]).over(above), F.lit(0)) for v in range(k)])
+    down = F.array(*[F.coalesce(F.min(F.col("lo")[v]).over(below), size) for v in range(k)])
+    per = per.select(F.col("b").alias("block"), up.alias("up"), down.alias("down"), size.alias("size"))
+
+    def run(key, inside: pa.Table, outside: pa.Table) -> pa.Table:
+        inside = inside.sort_by("pos")
+        pos, lcs = inside.column("pos").to_numpy(), inside.column("lcs").to_numpy()
+        up, down = (np.array(outside.column(c)[0].as_py()) for c in ("up", "down"))
+        before, after = nearest_smaller(lcs, k)
+        none = lcs < 1  # nothing is smaller
+        far = np.maximum(lcs - 1, 0)
+        psv = np.where(none, 0, np.where(before >= 0, pos[np.maximum(before, 0)], up[far]))
+        nsv = np.where(none, outside.column("size")[0].as_py(), np.where(after < len(pos), pos[np.minimum(after, len(pos) - 1)], down[far]))
+        return pa.table({"pos": pos, "lcs": lcs, "psv": psv, "nsv": nsv})
+
+    return rows.groupBy("b").cogroup(per.groupBy("block")).applyInArrow(run, "pos bigint, lcs int, psv bigint, nsv bigint")
 
 
 def suffix_intervals(index: DataFrame, m: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,20 +13,23 @@ STREAM = 20 * 1024 * 1024
 def balance(files: DataFrame, limit: int = STREAM) -> DataFrame:
     """file, size, stream, stream_total: files by size, ascending (ties by name), fill a stream until its total exceeds limit.
 
-    The fill depends on each file before, so it is one fold over the list of files, which is as long as the run has files.
-    Streams are numbered from 0, largest total first, ties by filling order.
+    Where a stream begins depends on each stream before, so streams are cut one after another, each by a binary search in
+    the running sums of sizes, in one group that holds a number and a name for each file of the run. Streams are numbered
+    from 0, largest total first, ties by filling order.
     """
-    listed = files.agg(F.array_sort(F.collect_list(F.struct("size", "file"))).alias("all"))
-    zero = F.struct(F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("total"), F.array().cast("array<int>").alias("bins"))
 
-    def add(s, x):
-        full = s["total"] > limit
-        now = F.when(full, s["bin"] + 1).otherwise(s["bin"])
-        total = F.when(full, x["size"]).otherwise(s["total"] + x["size"])
-        return F.struct(now.alias("bin"), total.cast("bigint").alias("total"), F.concat(s["bins"], F.array(now)).alias("bins"))
-
-    bins = listed.select("all", F.aggregate("all", zero, add, lambda s: s["bins"]).alias("bins"))
-    rows = bins.select(F.explode(F.arrays_zip("all", "bins")).alias("z")).select("z.all.file", "z.all.size", F.col("z.bins").alias("bin"))
+    def fill(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "ascending"), ("file", "ascending")])
+        ends, begins, at, before = table.column("size").to_numpy().cumsum(), [], 0, 0
+        while at < len(ends):
+            begins.append(at)
+            at = min(int(np.searchsorted(ends, before + limit, "right")) + 1, len(ends))
+            before = int(ends[at - 1])
+        sizes = np.diff([*begins, len(ends)])
+        return table.select(["file", "size"]).append_column("bin", pa.array(np.repeat(np.arange(len(begins)), sizes)))
+
+    rows = files.select("file", F.col("size").cast("bigint").alias("size"))
+    rows = rows.groupBy(F.lit(True)).applyInArrow(fill, "file string, size bigint, bin bigint")
     totals = rows.groupBy("bin").agg(F.sum("size").alias("stream_total"))
     order = F.row_number().over(Window.orderBy(F.desc("stream_total"), "bin")) - 1
     return rows.join(totals.withColumn("stream", order), "bin").select("file", "size", "stream", "stream_total")

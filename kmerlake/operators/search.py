@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kmers as K
-from .index import LETTERS
+from .index import LETTERS, nearest_smaller
 from .lineage import checkpointed
 
 #: Rows up to which an index is small enough to be sent whole to every task: at most 20 bytes a row, 80 MB.
@@ -147,18 +147,6 @@ def walk_to_keys(index: DataFrame, keys: DataFrame, rounds: int = 40) -> DataFra
     return state.select("pos", F.when(F.col("done"), F.col("at")).otherwise(F.lit(-1)).cast("bigint").alias("key"))
 
 
-def nearest_smaller(lcs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the nearest place before it, and after it, with a smaller value, by one pass for each value up to k."""
-    place = np.arange(len(lcs), dtype=np.int32)
-    before, after = np.zeros(len(lcs), np.int32), np.full(len(lcs), len(lcs) - 1, np.int32)
-    for v in range(k + 1):
-        at = np.flatnonzero(lcs == v)
-        if len(at):
-            before[at] = np.maximum.accumulate(np.where(lcs < v, place, 0))[at]
-            after[at] = np.minimum.accumulate(np.where(lcs < v, place, len(lcs) - 1)[::-1])[::-1][at]
-    return before, after
-
-
 class RankIndex:
     """The bits of an index in memory, for streaming search: rows l to end - 1 share the last `depth` letters read.
 
@@ -168,7 +156,7 @@ class RankIndex:
     def __init__(self, bits: np.ndarray, lcs: np.ndarray, k: int):
         self.k, self.n = k, len(lcs)
         self.lcs = np.r_[np.int8(-1), lcs[1:].astype(np.int8), np.int8(-1)] if len(lcs) else np.array([-1], np.int8)
-        self.before, self.after = nearest_smaller(self.lcs, k)
+        self.before, self.after = (x.clip(0, len(self.lcs) - 1) for x in nearest_smaller(self.lcs, k))
         size = len(lcs) // 64 + 1
         self.words = np.zeros((4, size), np.uint64)
         for i in range(4):

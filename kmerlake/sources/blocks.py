@@ -1,9 +1,10 @@
 """Records of sequence files of any size: blocks of lines are parsed apart, and their states composed.
 
-The grammar has nine states between lines: what the last line was (no marker line, a marker, a marker line that is none)
-and the last event (none, header, marker). A block maps each state in which it may be entered to the state in which it is
-left and the number of records opened; these maps are composed in the order of a file's blocks, which needs one small row
-a block. Then each block is parsed from its true state. Only the sequence that crosses a border is joined from parts.
+A block is a row (file, block, value): whole lines of a file, and a number that puts the file's blocks in order. The grammar
+has nine states between lines: what the last line was (no marker line, a marker, a marker line that is none) and the last
+event (none, header, marker). A block maps each state in which it may be entered to the state in which it is left and the
+number of records opened; these maps are composed in the order of a file's blocks, which needs one small row a block. Then
+each block is parsed from its true state. Only sequences that cross a border are joined from parts.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerlake.functions import alphabet
@@ -19,6 +20,8 @@ from kmerlake.functions import alphabet
 PLAIN, MARKER, EVEN = 0, 1, 2
 NONE, HEADER, PLUS = 0, 1, 2
 STATES = [(last, event) for last in (PLAIN, MARKER, EVEN) for event in (NONE, HEADER, PLUS)]
+#: Characters of a block that is cut from a file, about.
+BLOCK = 1 << 20
 
 
 def after(state: tuple[int, int], kind: str) -> tuple[tuple[int, int], bool]:
@@ -32,44 +35,63 @@ def after(state: tuple[int, int], kind: str) -> tuple[tuple[int, int], bool]:
     return (PLAIN, event), False
 
 
-def kind_of(line: str) -> str:
-    return "H" if line[0] in "@>" else "P" if line[0] == "+" else "O"
+STEPS = {(state, kind): after(state, kind) for state in STATES for kind in "HPO"}
+KINDS = {"@": "H", ">": "H", "+": "P"}
 
 
-def by_block(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iterator[tuple]:
-    """(file, block, line, *more) of every line that is not empty, in order."""
-    for batch in batches:
-        yield from (x for x in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line", *more)), strict=True) if x[2])
+def kinds_of(lines: Column) -> Column:
+    """One letter, H, P or O, for each line of an array that is not empty."""
+    kind = lambda x: F.when(alphabet.is_header(x), "H").when(alphabet.is_marker(x), "P").otherwise("O")
+    return F.array_join(F.transform(F.filter(lines, lambda x: x != ""), kind), "")
 
 
-def read_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, block (where its split begins), line; rows of a block stay in order in their task."""
+def read_blocks(spark: SparkSession, paths: str | list[str], size: int = BLOCK) -> DataFrame:
+    """Blocks of some `size` characters of files that are split over tasks; their numbers join a split's place in the file and a count."""
     text = spark.read.text(paths, lineSep="\n")
-    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    text = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, done, held, n = None, 0, [], 0
+
+        def block():
+            return pa.RecordBatch.from_arrays([pa.array([where[0]]), pa.array([(where[1] << 20) + done], pa.int64()), pa.array(["\n".join(held)])], ["file", "block", "value"])
+
+        for batch in batches:
+            for file, start, line in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "line")), strict=True):
+                if (file, start) != where or n >= size:
+                    if held:
+                        yield block()
+                    done = done + 1 if (file, start) == where else 0
+                    where, held, n = (file, start), [], 0
+                held.append(line)
+                n += len(line) + 1
+        if held:
+            yield block()
+
+    return text.mapInArrow(run, "file string, block bigint, value string")
+
+
+def block_maps(blocks: DataFrame) -> DataFrame:
+    """file, block, leaves, opened: for each state the state in which the block is left, and the records opened."""
 
-def block_maps(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: dict[tuple, tuple[dict, dict]] = {}
-        steps = {(s, k): after(s, k) for s in STATES for k in "HPO"}
-        for file, block, line in by_block(batches):
-            if (file, block) not in now:
-                now[file, block] = {s: s for s in STATES}, dict.fromkeys(STATES, 0)
-            at, opened = now[file, block]
-            kind = kind_of(line)
-            for s in STATES:
-                at[s], new = steps[at[s], kind]
-                opened[s] += new
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in now], pa.string()), pa.array([k[1] for k in now], pa.int64()),
-                pa.array([[STATES.index(at[s]) for s in STATES] for at, _ in now.values()], pa.list_(pa.int32())),
-                pa.array([[opened[s] for s in STATES] for _, opened in now.values()], pa.list_(pa.int64())),
-            ],
-            ["file", "block", "leaves", "opened"],
-        )
-
-    return lines.mapInArrow(run, "file string, block bigint, leaves array<int>, opened array<bigint>")
+        for batch in batches:
+            leaves, opened = [], []
+            for kinds in batch.column("kinds").to_pylist():
+                ends = []
+                for state in STATES:
+                    n = 0
+                    for kind in kinds:
+                        state, new = STEPS[state, kind]
+                        n += new
+                    ends.append((STATES.index(state), n))
+                leaves.append([s for s, _ in ends])
+                opened.append([n for _, n in ends])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(leaves, pa.list_(pa.int32())), pa.array(opened, pa.list_(pa.int64()))], ["file", "block", "leaves", "opened"])
+
+    kinds = kinds_of(F.split("value", "\n"))
+    short = F.regexp_replace(kinds, "OO+", "OO")  # more lines of kind O in a row change nothing
+    return blocks.select("file", "block", short.alias("kinds")).mapInArrow(run, "file string, block bigint, leaves array<int>, opened array<bigint>")
 
 
 def entries(maps: DataFrame) -> DataFrame:
@@ -88,46 +110,60 @@ def entries(maps: DataFrame) -> DataFrame:
     return maps.groupBy("file").applyInArrow(run, "file string, block bigint, state int, base bigint")
 
 
+def parsed(lines: list[str], state: int, seq_no: int) -> Iterator[tuple[int, str, bool]]:
+    """(record, text, whole) of a block entered in this state; whole: the record lies in the block from its header to the next."""
+    now, parts, opened = STATES[state], [], False
+    for line in lines:
+        if not line:
+            continue
+        kind = KINDS.get(line[0], "O")
+        if kind == "O" and now[0] != MARKER and now[1] == HEADER:
+            parts.append(line)
+        now, opens = STEPS[now, kind]
+        if opens:
+            if parts or opened:
+                yield seq_no, "".join(parts), opened
+            seq_no, parts, opened = seq_no + 1, [], True
+    if parts or opened:
+        yield seq_no, "".join(parts), False
+
+
+def records(blocks: DataFrame, k: int = 0) -> DataFrame:
+    """The records of fastx.records(), of files in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, out = [], []
+            columns = (batch.column(c).to_pylist() for c in ("value", "state", "base"))
+            for i, (value, state, base) in enumerate(zip(*columns, strict=True)):
+                found = list(parsed(value.split("\n"), state, base))
+                row += [i] * len(found)
+                out += found
+            columns = list(zip(*out, strict=True)) if out else [()] * 3
+            at = pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file").take(at), batch.column("block").take(at), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.bool_()), strict=True))],
+                ["file", "block", "seq_no", "part", "whole"],
+            )
+
+    entered = blocks.join(entries(block_maps(blocks)), ["file", "block"])
+    parts = entered.select("file", "block", "value", "state", "base").mapInArrow(run, "file string, block bigint, seq_no bigint, part string, whole boolean")
+    crossing = parts.where("not whole").groupBy("file", "seq_no").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("p"))
+    crossing = crossing.select("file", "seq_no", F.array_join(F.transform("p", lambda x: x["part"]), "").alias("sequence"))
+    found = parts.where("whole").select("file", "seq_no", F.col("part").alias("sequence")).union(crossing)
+    return found.select("file", "seq_no", alphabet.clean(F.col("sequence")).alias("sequence")).where((F.length("sequence") >= k) & (F.col("sequence") != ""))
+
+
 def read_large(spark: SparkSession, paths: str | list[str], k: int = 0) -> DataFrame:
     """The records of fastx.read_fastx(), for files that are split over tasks."""
-    rows = read_blocks(spark, paths)
-    known = {(r["file"], r["block"]): (r["state"], r["base"]) for r in entries(block_maps(rows)).toLocalIterator()}
-    shared = spark.sparkContext.broadcast(known)  # a few dozen bytes for each block of input
+    return records(read_blocks(spark, paths), k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, state, seq_no, parts, out = None, STATES[0], 0, [], []
-
-        def end():
-            if parts:
-                out.append((*where, seq_no, "".join(parts)))
-                parts.clear()
-
-        def sent():
-            columns = list(zip(*out, strict=True))
-            out.clear()
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["file", "block", "seq_no", "part"])
-
-        for file, block, line in by_block(batches):
-            if (file, block) != where:
-                end()
-                where = file, block
-                start, seq_no = shared.value[where]
-                state = STATES[start]
-            quality, kind = state[0] == MARKER, kind_of(line)
-            if kind == "O" and not quality and state[1] == HEADER:
-                parts.append(line)
-            state, opens = after(state, kind)
-            if opens:
-                end()
-                seq_no += 1
-            if len(out) >= 1000:
-                yield sent()
-        end()
-        if out:
-            yield sent()
-
-    parts = rows.mapInArrow(run, "file string, block bigint, seq_no bigint, part string")
-    joined = parts.groupBy("file", "seq_no").agg(F.array_sort(F.collect_list(F.struct("block", "part"))).alias("p"))
-    sequence = alphabet.clean(F.array_join(F.transform("p", lambda x: x["part"]), ""))
-    return joined.select("file", "seq_no", sequence.alias("sequence")).where(F.length("sequence") >= k)
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """file, ln (from 0), line of files in blocks: the lines before a block are a running sum over one row a block."""
+    lines = F.split("value", "\n")
+    sizes = blocks.select("file", "block", F.size(lines).cast("bigint").alias("n"))
+    by = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "block", F.coalesce(F.sum("n").over(by), F.lit(0)).alias("base"))
+    rows = blocks.join(starts, ["file", "block"]).select("file", "base", F.posexplode(lines).alias("i", "line"))
+    return rows.select("file", (F.col("base") + F.col("i")).alias("ln"), "line")

@@ -65,20 +65,19 @@ def read_fastx(spark: SparkSession, paths: str | list[str], k: int = 0) -> DataF
     return records(read_text(spark, paths), k)
 
 
-def strict_records(raw: DataFrame) -> DataFrame:
-    """Sequences of strict four-line FASTQ: N becomes A, and carriage returns at the ends of lines are dropped.
+def strict_records(rows: DataFrame) -> DataFrame:
+    """Sequences of strict four-line FASTQ, of files as lines (file, ln, line): N becomes A, and carriage returns at the ends of lines are dropped.
 
     A file ends before the first record whose header does not begin with @ or whose sequence has another letter or is
     missing, and after the first whose third line is missing or does not begin with +.
     """
-    rows = lines(raw).select("file", F.expr("ln div 4").alias("n"), F.expr("ln % 4").alias("part"), F.rtrim("line", F.lit("\r")).alias("line"))
+    rows = rows.select("file", F.expr("ln div 4").alias("n"), F.expr("ln % 4").alias("part"), F.rtrim("line", F.lit("\r")).alias("line"))
     of = lambda part: F.max(F.when(F.col("part") == part, F.col("line")))
     found = rows.where("part < 3").groupBy("file", "n").agg(of(0).alias("header"), F.replace(of(1), F.lit("N"), F.lit("A")).alias("sequence"), of(2).alias("plus"))
     before = F.startswith("header", F.lit("@")) & F.col("sequence").isNotNull() & alphabet.is_valid(F.trim("sequence"))
-    after = F.coalesce(F.startswith("plus", F.lit("+")), F.lit(False))
-    by = Window.partitionBy("file").orderBy("n")
-    broken = F.sum((~F.coalesce(before, F.lit(False))).cast("int")).over(by) + F.coalesce(F.sum((~after).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = found.withColumn("broken", broken).where("broken = 0")
+    after = F.startswith("plus", F.lit("+"))
+    ends = found.groupBy("file").agg(F.min(F.when(~F.coalesce(before, F.lit(False)), F.col("n"))).alias("bad"), F.min(F.when(~F.coalesce(after, F.lit(False)), F.col("n"))).alias("last"))
+    kept = found.join(ends, "file").where((F.col("bad").isNull() | (F.col("n") < F.col("bad"))) & (F.col("last").isNull() | (F.col("n") <= F.col("last"))))
     return kept.select("file", (F.col("n") + 1).cast("bigint").alias("seq_no"), "sequence")
 
 
