@@ -16,7 +16,8 @@ from kmerlake.operators import index as X
 from kmerlake.operators import kmers as K
 from kmerlake.operators import routing, search
 from kmerlake.operators.lineage import checkpoint_dir
-from kmerlake.sources import blocks, fastx, index_file
+from kmerlake.plans import clean
+from kmerlake.sources import blocks, fastx, index_file, sinks
 
 LENGTH = 31
 PREFIX = 12
@@ -370,7 +371,16 @@ def dup_paths(spark, sf_dir):
 
 @query(f"WITH {_FASTQ} SELECT file, count(*) AS sequences, CAST(sum(length(sequence) - {LENGTH - 1}) AS BIGINT) AS kmers FROM rec WHERE length(sequence) >= {LENGTH} GROUP BY file")
 def clean_files(spark, sf_dir):
-    return K.kmer_totals(blocks.records(fastq_blocks(spark, sf_dir), LENGTH), LENGTH)
+    """The composed files are written as text, cleaned file by file, and the clean files read and counted."""
+    folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    rows = fastq_blocks(spark, sf_dir)
+    files = sorted(r["file"] for r in rows.select("file").distinct().collect())
+    inputs, outputs = ([f"{folder}/{i}.{end}" for i in range(len(files))] for end in ("fq", "txt"))
+    sinks.write_sequences(rows.select("file", F.col("block").alias("seq_no"), F.col("value").alias("sequence")), dict(zip(files, inputs, strict=True)))
+    clean.clean_files(spark, inputs, outputs, LENGTH, large=True)
+    number = spark.createDataFrame(list(enumerate(files)), "number int, file string")
+    lines = spark.read.text(outputs).select(F.regexp_extract(F.col("_metadata.file_name"), "[0-9]+", 0).cast("int").alias("number"), F.col("value").alias("sequence"))
+    return K.kmer_totals(lines.join(F.broadcast(number), "number"), LENGTH)
 
 
 @query(f"WITH {_SEQ} SELECT file, seq_no, CAST(row_number() OVER (ORDER BY file, seq_no) - 1 AS BIGINT) AS pos FROM seq")

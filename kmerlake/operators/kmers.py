@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import running
+
 SEGMENT = 128
 
 
@@ -43,11 +45,8 @@ def segment_bounds(size: int) -> tuple[Column, Column]:
 def separators(segs: DataFrame, k: int) -> DataFrame:
     """segs with begin (place of the segment in its file's packed letters), true_before (rank of true separators) and
     out_start (place of its first k-mer in its file's output)."""
-    by = Window.partitionBy("file").orderBy("seq_no", "seg_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = segs.withColumns({
-        "begin": F.coalesce(F.sum(F.col("seg_end") - F.col("seg_start")).over(by), F.lit(0)),
-        "true_before": F.coalesce(F.sum(F.col("is_true_sep").cast("bigint")).over(by), F.lit(0)),
-    })
+    sums = {"begin": F.col("seg_end") - F.col("seg_start"), "true_before": F.col("is_true_sep")}
+    rows = running(segs, sums, "seq_no", within=("file",), then=("seg_no",))
     return rows.withColumn("out_start", F.col("begin") - F.col("true_before") * (k - 1))
 
 

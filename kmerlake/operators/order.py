@@ -21,14 +21,17 @@ def ranked(rows: DataFrame, bucket: Column, key: Column, name: str = "pos") -> D
     return rows.withColumn("__r", place).join(starts, "__b").withColumn(name, (F.col("__s") + F.col("__r")).cast("bigint")).drop("__b", "__r", "__s")
 
 
-def running(rows: DataFrame, sums: dict[str, Column], pos: str = "pos", block: int = BLOCK) -> DataFrame:
-    """rows with exclusive running sums in the order of pos: totals by block of places, then windows inside blocks."""
-    names = list(sums)
+def running(rows: DataFrame, sums: dict[str, Column], pos: str = "pos", block: int = BLOCK, within: tuple[str, ...] = (), then: tuple[str, ...] = ()) -> DataFrame:
+    """rows with exclusive running sums in the order of pos, and of the columns `then` where pos is equal, of each value of `within`.
+
+    Totals by block of places come first, then windows inside blocks.
+    """
+    names, keys = list(sums), [*within, "__b"]
     rows = rows.withColumn("__b", F.expr(f"{pos} div {block}")).withColumns({f"__{n}": c.cast("bigint") for n, c in sums.items()})
-    totals = rows.groupBy("__b").agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in names])
-    over = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    base = totals.select("__b", *[(F.sum(f"__t_{n}").over(over) - F.col(f"__t_{n}")).alias(f"__s_{n}") for n in names])
-    inside = Window.partitionBy("__b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({f"__w_{n}": F.sum(f"__{n}").over(inside) - F.col(f"__{n}") for n in names}).join(base, "__b")
+    totals = rows.groupBy(*keys).agg(*[F.sum(f"__{n}").alias(f"__t_{n}") for n in names])
+    over = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    base = totals.select(*keys, *[(F.sum(f"__t_{n}").over(over) - F.col(f"__t_{n}")).alias(f"__s_{n}") for n in names])
+    inside = Window.partitionBy(*keys).orderBy(pos, *then).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__w_{n}": F.sum(f"__{n}").over(inside) - F.col(f"__{n}") for n in names}).join(base, keys)
     out = rows.withColumns({n: F.col(f"__s_{n}") + F.col(f"__w_{n}") for n in names})
     return out.drop("__b", *[f"__{p}{n}" for n in names for p in ("", "s_", "w_")])

@@ -30,7 +30,8 @@ def write_sequences(records: DataFrame, outputs: dict[str, str]) -> None:
         parts = [s.getPath() for s in system.listStatus(folder)] if system.exists(folder) else []
         system.delete(path(out), False)
         if parts:
-            system.rename(parts[0], path(out))
+            if not system.rename(parts[0], path(out)):
+                raise OSError(f"{out} could not be written; its contents are in {parts[0].toString()}")
         else:
             system.create(path(out)).close()
     system.delete(path(scratch), True)

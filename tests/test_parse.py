@@ -110,6 +110,13 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["-k", "3", "-i", str(tmp_path / "none"), "-o", outputs[0]]) == 1
 
 
+def test_lists_and_sizes_of_files(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">1\nACGT\n")
+    (tmp_path / "list").write_text("x/a.fa\n\ny\n")
+    assert [(r["file"][-4:], r["size"]) for r in fastx.file_sizes(spark, str(tmp_path / "a.fa")).collect()] == [("a.fa", 8)]
+    assert sorted(r["path"] for r in fastx.read_path_list(spark, str(tmp_path / "list")).collect()) == ["x/a.fa", "y"]
+
+
 def test_arrivals(spark, tmp_path):
     from kmerlake.streaming.arrival import clean_arrivals
 
