@@ -44,9 +44,9 @@ COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3
 #: Least length that strings may have.
 LEAST = 6 * min(COVERS)
 #: Suffixes that one task of steps 2 to 4 sorts, about.
-RANGE = 1_000_000
+RANGE = 500_000
 #: Suffixes that a task settles at a time.
-LOT = 1_000_000
+LOT = 250_000
 #: Bytes whose hashes are computed together, so that they stay in a core's cache.
 SLICE = 1 << 18
 
@@ -454,7 +454,7 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     found_marks = stored(going.join(deep, "sid", "left").mapInArrow(listed, "name bigint, sid bigint, low int, high int, still boolean"), "piece-marks")
     still = stored(found_marks.groupBy("name").agg(F.max("still").alias("still"), F.count("*").alias("n")).where("still").select("name", "n"), "open-names")
     watched = join_in_parts(found_marks, still, ["name"]).groupBy("sid").agg(F.collect_list(F.struct("low", "high")).alias("watched"))
-    merged = repeated(going.join(watched, "sid"), cover.remaining_suffixes, ranges)
+    merged = stored(repeated(going.join(watched, "sid"), cover.remaining_suffixes, ranges), "merged")  # so that no task has two Python workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -470,7 +470,7 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     both = settled.union(merged.select("sid", "ats", F.lit(1).cast("bigint"))).mapInArrow(run, "sid bigint, low int, high int")
     place = F.struct((F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
     found = stored(both.join(own.select("sid", "doc", "base"), "sid").groupBy("doc").agg(F.collect_list(place).alias("starts")), "starts")
-    for old in (own, going, deep, found_marks, still):
+    for old in (own, going, deep, found_marks, still, merged):
         release(old)
     return found
 

@@ -447,6 +447,25 @@ def test_neighbours(spark):
     assert few == {(0, 1), (0, 2), (0, 3)}
 
 
+def test_very_long_texts_and_clashing_names(spark):
+    rnd = random.Random(21)
+    long = " ".join(rnd.choice(["river", "stone", "walk"]) + str(rnd.randrange(5000)) for _ in range(200_000))
+    docs = frame(spark, [long, long + " end", "a b c d", "x" * 1_000_000, None]).withColumns({c: F.lit(1) for c in ("labelled", "body", "quality", "fp", "good", "order", "x", "n")})
+    labels = spark.createDataFrame([(0, 1), (2, 0), (3, 0)], "doc_id bigint, quality int").withColumns({c: F.lit("?") for c in ("labelled", "text", "body", "n")})
+    assert [r["doc_id"] for r in quality_gam.quality(docs, labels).orderBy("doc_id").collect()] == [0, 1, 2, 3, 4]
+    scored = rows_of(lm_score.cross_entropy_difference(docs, labels, 1000, 1 << 12))
+    assert [scored[i]["n_words"] for i in range(5)] == [200_000, 200_001, 4, 1, 0]
+    prints = rows_of(simhash.near_duplicates(docs))
+    assert prints[0]["fingerprint"] == f"{by_bits(long):016x}" and prints[1]["component_id"] == 0
+
+
+def test_neighbours_with_clashing_names(spark):
+    x = np.random.default_rng(4).normal(size=(40, 8)).astype(np.float32)
+    plain = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    clashing = plain.withColumns({c: F.lit(7) for c in ("v", "entry", "ids", "query", "query_id", "leaf", "tree", "score", "rank", "h1", "r")})
+    assert sorted(map(tuple, ann.neighbours(clashing).collect())) == sorted(map(tuple, ann.neighbours(plain).collect()))
+
+
 def test_neighbours_count_repeated_rows_once(spark):
     x = np.random.default_rng(2).normal(size=(30, 8)).astype(np.float32)
     x[:14] = x[0]

@@ -1,5 +1,7 @@
 """The pipeline's stages on the small tables, and the SQL of this subpackage's queries."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -37,6 +39,23 @@ def test_stages(spark):
     assert all(sum(r["length"] for r in pieces if r["doc_id"] == i) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == i) for i in list(before)[:20])
 
 
+def test_string_stage_takes_passages_of_over_50_words_and_leaves_clean_texts(spark):
+    rnd = random.Random(17)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    passages = [prose(n) for n in (51, 53, 60, 90)]
+    assert len(passages[0]) < 400
+    texts = [f"{prose(80)} {p}\n{prose(40)}" for p in passages for _ in range(3)] + [prose(n) for n in (1, 60, 150, 400)] * 1 + ["", None, "short line\nshort line"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    after = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["suffix-array dedup"](spark, docs, DATA).collect()}
+    for i, text in enumerate(texts):
+        if i < 12:
+            words = set(passages[i // 3].split()) - set(text.replace(passages[i // 3], "").split())
+            assert not words & set(after[i]["text"].split()) and after[i]["text"].startswith(text[:80]) and after[i]["text"].endswith(text[-30:])
+        else:
+            assert after[i]["text"] == text
+        assert after[i]["n_chars"] == (len(after[i]["text"]) if text is not None else None)
+
+
 def test_run_writes_and_returns_pieces(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 0 and "sequence_id" in out.columns
