@@ -79,24 +79,26 @@ def cell_weights(counts: DataFrame) -> list[int]:
 def repeat_words(rows: DataFrame) -> DataFrame:
     """rows of hashed(), with n_repeat_words: words in 3-word windows that are found twice or more in the text.
 
-    The hash of a window and its place share a long, so that one sort of longs brings equal windows together; the full
-    hashes of neighbours decide. Texts of 2 ** PLACE_BITS words or more sort pairs instead.
+    The hash of a window, without its last bits, and its place share a long, so that one sort of longs brings equal windows
+    together; the full hashes of neighbours decide. Texts in which neighbours agree in the bits kept but not in the others,
+    so that they may part equal windows, and texts of 2 ** PLACE_BITS words or more, sort pairs of hash and place instead.
     """
     mask = (1 << PLACE_BITS) - 1
     few = F.size("words") < (1 << PLACE_BITS)
     rows = rows.withColumn("w3", F.zip_with(head("b"), tail("u", 2), lambda x, y: F.xxhash64(x, y)))
     rows = rows.withColumn("s", F.when(few, F.sort_array(F.transform("w3", lambda h, i: h.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint"))))))
-    same = lambda x, y: (F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0) & (
-        F.get("w3", x.bitwiseAND(F.lit(mask)).cast("int")) == F.get("w3", y.bitwiseAND(F.lit(mask)).cast("int"))
-    )
-    rows = rows.withColumn("twins", F.filter(F.zip_with(head("s"), tail("s"), lambda x, y: F.when(same(x, y), F.struct(x.alias("x"), y.alias("y")))), lambda p: p.isNotNull()))
-    place = lambda side: F.transform("twins", lambda p: p[side].bitwiseAND(F.lit(mask)).cast("int"))
+    at = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    alike = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), PLACE_BITS) == 0
+    near = F.zip_with(head("s"), tail("s"), lambda x, y: F.when(alike(x, y), F.struct(at(x).alias("x"), at(y).alias("y"), (F.get("w3", at(x)) == F.get("w3", at(y))).alias("same"))))
+    rows = rows.withColumn("near", F.filter(near, lambda p: p.isNotNull()))
+    sure = few & ~F.exists("near", lambda p: ~p["same"])
     pairs = F.array_sort(F.transform("w3", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    rows = rows.withColumn("long", F.when(~few, pairs))
+    rows = rows.withColumn("long", F.when(~sure, pairs))
     twins = F.filter(F.zip_with(head("long"), tail("long"), lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda p: p.isNotNull())
-    rows = rows.withColumn("at", F.sort_array(F.array_distinct(F.when(few, F.concat(place("x"), place("y"))).otherwise(F.flatten(twins)))))
+    places = F.when(sure, F.concat(F.transform("near", lambda p: p["x"]), F.transform("near", lambda p: p["y"]))).otherwise(F.flatten(twins))
+    rows = rows.withColumn("at", F.sort_array(F.array_distinct(places)))
     reach = F.aggregate(F.zip_with(head("at"), tail("at"), lambda x, y: F.least(y - x, F.lit(3))), F.lit(0), lambda a, x: a + x)
-    return rows.withColumn("n_repeat_words", F.when(F.size("at") > 0, reach + 3).otherwise(F.lit(0)).cast("bigint")).drop("w3", "s", "twins", "long", "at")
+    return rows.withColumn("n_repeat_words", F.when(F.size("at") > 0, reach + 3).otherwise(F.lit(0)).cast("bigint")).drop("w3", "s", "near", "long", "at")
 
 
 def measured(docs: DataFrame, weights: list[int]) -> DataFrame:

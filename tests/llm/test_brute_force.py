@@ -135,8 +135,9 @@ def test_rules_of_long_texts(spark, monkeypatch):
     docs = frame(spark, corpus(4))
     labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
     usual = rows_of(ngram_rules.quality_rules(docs, labels))
-    monkeypatch.setattr(ngram_rules, "PLACE_BITS", 4)  # texts of 16 words or more then sort pairs
-    assert rows_of(ngram_rules.quality_rules(docs, labels)) == usual
+    for bits in (4, 60):  # texts of 16 words or more then sort pairs, or those whose hashes agree in 4 bits
+        monkeypatch.setattr(ngram_rules, "PLACE_BITS", bits)
+        assert rows_of(ngram_rules.quality_rules(docs, labels)) == usual
 
 
 @pytest.mark.parametrize("depth", [1, 2, 3, 5])
