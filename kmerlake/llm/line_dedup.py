@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import release, stored, texts
 
 MIN_LINES = 2
 NO_ID = -(1 << 63)
@@ -54,6 +54,7 @@ def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES) -> Iterator[tuple[
     ids = rows.select("doc", "key", F.posexplode(F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.xxhash64(F.lit(SECOND), x).alias("g")))).alias("at", "id"))
     lines = stored(ids.select(*PLACE, "id.h", "id.g"), "lines")
     now, depth = stored(ranked(lines, ["h", "g"]), "suffixes"), 1
+    release(lines)
     while not now.isEmpty():
         yield depth, now
         step = depth if depth >= min_lines else min(depth, min_lines - depth)

@@ -565,12 +565,17 @@ def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -
     classes = stored(rows.groupBy("k1", "k2").agg(least, F.count("*").alias("copies")), "texts")
     texts = screened(rows, classes, passage or length)
     found = repeated_starts(texts, passage or length)
+    done = [texts, found]
     if passage:
         longer = texts.drop("open").join(open_ranges(found, length - passage), "doc")
-        both = found.withColumnRenamed("starts", "short").join(repeated_starts(longer, length), "doc", "left")
+        done.append(repeated_starts(longer, length))
+        both = found.withColumnRenamed("starts", "short").join(done[-1], "doc", "left")
     else:
         both = found.withColumn("short", F.lit(None).cast(found.schema["starts"].dataType))
-    return classes, stored(cut(texts.join(both, "doc"), length, passage or length), "cuts")
+    cuts = stored(cut(texts.join(both, "doc"), length, passage or length), "cuts")
+    for old in done:
+        release(old)
+    return classes, cuts
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
