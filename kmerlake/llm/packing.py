@@ -17,6 +17,7 @@ import heapq
 import json
 import math
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -53,7 +54,9 @@ class Pieces(dict):
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(kept))}
 
     def __missing__(self, piece: str) -> bytes:
-        out = b"".join(t.id.to_bytes(2, "little") for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown)))
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)  # ASCII pieces show as they are
+        ids = [t.id for t in self.model.tokenize(shown)]
+        out = struct.pack(f"<{len(ids)}H", *ids)
         if len(piece) <= 64:
             if len(self) >= self.MOST:
                 self.clear()
@@ -69,6 +72,7 @@ class Chunks(dict):
     """
 
     MOST = 400_000
+    MARKS = frozenset(bytes([b]) for b in b".,;:!?")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -80,12 +84,15 @@ class Chunks(dict):
         usual = PATTERN in json.dumps(said["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") and len(said["model"]["vocab"]) <= 65536
         if len(said["model"]["vocab"]) > 65536:
             raise ValueError("ids are kept in 16 bits")
-        self.plain = PLAIN if usual else re.compile(r"(?!)")
+        self.usual, self.plain = usual, PLAIN if usual else re.compile(r"(?!)")
         self.pieces = Pieces(self.tokenizer.model)
 
     def __missing__(self, chunk: bytes) -> bytes:
+        word, mark = (chunk[:-1], chunk[-1:]) if chunk[-1:] in self.MARKS else (chunk, b"")
         text = chunk.decode()
-        if self.plain.fullmatch(text) and "<|" not in text:
+        if self.usual and word.isalpha():  # ASCII letters, and a mark after them: what most text consists of
+            out = self.pieces[word.lower().decode()] + (self.pieces[mark.decode()] if mark else b"")
+        elif self.plain.fullmatch(text) and "<|" not in text:
             out = b"".join(map(self.pieces.__getitem__, WORDS.findall(text.lower())))
         else:
             out = b"".join(i.to_bytes(2, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -130,7 +137,7 @@ class Schedule:
         self.known: dict[int, list[int]] = {}
         #: Queues in the order in which they run dry, and for each number of dry ones their tokens and the others' weight.
         self.dry = sorted(range(len(sizes)), key=lambda s: Fraction(sizes[s], self.weights[s]))
-        self.times = [Fraction(sizes[s], self.weights[s]) for s in self.dry]
+        self.times = [sizes[s] / self.weights[s] for s in self.dry]
         self.gone = [0, *accumulate(sizes[s] for s in self.dry)]
         self.left = [sum(self.weights), *(sum(self.weights) - x for x in accumulate(self.weights[s] for s in self.dry))]
         #: Tokens sent by the time at which each runs dry.
@@ -171,9 +178,9 @@ class Schedule:
 
     def first(self, s: int, x: int) -> int:
         """The window that holds token x of queue s: it is looked for around the window that is open when the token is due."""
-        time = Fraction(2 * x + 1, 2 * self.weights[s])
+        time = (2 * x + 1) / (2 * self.weights[s])
         n = bisect_right(self.times, time)
-        due = int(self.gone[n] + self.left[n] * time)
+        due = self.gone[n] + int(self.left[n] * time)
         low = high = max(0, min(due // self.window, (self.total - 1) // self.window))
         step = 1
         while low > 0 and self.sent(low)[s] > x:
