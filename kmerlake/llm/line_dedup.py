@@ -80,11 +80,12 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
 
 def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with the kept lines in text, and lines_before, lines_gone, runs_gone (maximal runs of deleted lines).
+    """docs with the kept lines in text, and lines_before, lines_gone, runs_gone (maximal runs of deleted lines), in place of columns of these names.
 
     Lines end at line feeds only. Runs of blank lines alone are no runs. A null text stays null, with 0 lines; an empty text has one empty
     line. Rows with the same doc_id and text are one document, and stay alike; null doc_ids come before all others.
     """
+    docs = docs.drop("lines_before", "lines_gone", "runs_gone")
     runs = repeated_runs(docs, min_lines).toDF("__doc", "__key", "__starts")
     rows = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)), "__k": text_key(F.coalesce("text", F.lit("")))})
     rows = rows.join(runs.hint("merge"), (F.col("__d") == F.col("__doc")) & (F.col("__k") == F.col("__key")), "left")

@@ -180,7 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, with quality_score (0 to 1) and quality_kept (score >= threshold); null texts count as empty."""
+    """docs, with quality_score (0 to 1) and quality_kept (score >= threshold), in place of columns of these names; null texts count as empty."""
+    docs = docs.drop("quality_score", "quality_kept")
     columns = docs.columns
     schema = docs.select(*columns).schema.add("quality_score", "double").add("quality_kept", "boolean")
 

@@ -37,8 +37,6 @@ from pyspark.sql import functions as F
 from .common import join_in_parts, release, stored
 
 LENGTH = 400
-#: Bytes of strings that count as passages: any that is over 50 words long is longer.
-PASSAGE = 200
 #: Perfect difference sets by period; every remainder is a difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 91: (0, 1, 3, 9, 27, 81, 61, 49, 56, 77)}
 #: Least length that strings may have.
@@ -475,32 +473,16 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
     return found
 
 
-def open_ranges(starts: DataFrame, less: int) -> DataFrame:
-    """doc, open: the starts of longer strings, by `less` bytes, all of whose shorter ones have starts in ranges."""
+def cut(texts: DataFrame, length: int) -> DataFrame:
+    """k1, k2, n_removed, n_spans, kept_sha256, kept of texts (k1, k2, body, starts).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for ranges in batch.column("starts"):
-                low, high = joined(*bounds(ranges))
-                keep = high - less >= low
-                out.append([{"low": a, "high": b} for a, b in zip(low[keep].tolist(), (high[keep] - less).tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))], ["doc", "open"])
-
-    return starts.mapInArrow(run, "doc bigint, open array<struct<low:int,high:int>>").where(F.size("open") > 0)
-
-
-def cut(texts: DataFrame, length: int, passage: int) -> DataFrame:
-    """k1, k2, n_removed, n_spans, kept_sha256, kept, n_passage of texts (k1, k2, body, starts, short).
-
-    starts: ranges of starts of strings of `length` bytes that go; kept: what is left, without parts of characters. short:
-    ranges of starts of strings of `passage` bytes, whose bytes are only counted.
+    starts: ranges of starts of strings of `length` bytes that go; kept: what is left, without parts of characters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, spans, digests, kept, passages = [], [], [], [], []
-            for body, ranges, short in zip(batch.column("body"), batch.column("starts"), batch.column("short"), strict=True):
+            removed, spans, digests, kept = [], [], [], []
+            for body, ranges in zip(batch.column("body"), batch.column("starts"), strict=True):
                 text = memoryview(body.as_buffer())
                 parts, done, gone, n = [], 0, 0, 0
                 for begin, end in stretches(ranges, length):
@@ -511,14 +493,13 @@ def cut(texts: DataFrame, length: int, passage: int) -> DataFrame:
                 spans.append(n)
                 digests.append(hashlib.sha256(b"".join(parts)).hexdigest())
                 kept.append(b"".join(bytes(x).decode(errors="ignore").encode() for x in parts))
-                passages.append(sum(end - begin for begin, end in stretches(short, passage)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary()), pa.array(passages, pa.int64())],
-                ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept", "n_passage"],
+                [batch.column("k1"), batch.column("k2"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests), pa.array(kept, pa.binary())],
+                ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
-    rows = texts.select("k1", "k2", "body", "starts", "short")
-    return rows.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, n_passage bigint")
+    rows = texts.select("k1", "k2", "body", "starts")
+    return rows.mapInArrow(run, "k1 bigint, k2 bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
 def stretches(ranges, length: int) -> list[tuple[int, int]]:
@@ -553,66 +534,57 @@ def screened(rows: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     return texts
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, passage: int | None = None) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """(classes, results): all texts with their number of rows, and cut() of the texts that partly go.
 
-    length: at least LEAST bytes. passage: a shorter length, for which the bytes that strings found anywhere else cover are
-    counted too; the strings of `length` bytes are then looked for where all shorter ones are repeated. Texts of several
-    rows and of at least `length` bytes go as a whole; one row stands for them while others are compared with them.
+    length: at least LEAST bytes. Texts of several rows and of at least `length` bytes go as a whole; one row stands for them
+    while others are compared with them.
     """
     rows = keyed(docs)
     least = F.coalesce(F.min("doc_id"), F.lit(-1)).alias("least")
     classes = stored(rows.groupBy("k1", "k2").agg(least, F.count("*").alias("copies")), "texts")
-    texts = screened(rows, classes, passage or length)
-    found = repeated_starts(texts, passage or length)
-    done = [texts, found]
-    if passage:
-        longer = texts.drop("open").join(open_ranges(found, length - passage), "doc")
-        done.append(repeated_starts(longer, length))
-        both = found.withColumnRenamed("starts", "short").join(done[-1], "doc", "left")
-    else:
-        both = found.withColumn("short", F.lit(None).cast(found.schema["starts"].dataType))
-    cuts = stored(cut(texts.join(both, "doc"), length, passage or length), "cuts")
-    for old in done:
-        release(old)
+    texts = screened(rows, classes, length)
+    found = repeated_starts(texts, length)
+    cuts = stored(cut(texts.join(found, "doc"), length), "cuts")
+    release(texts)
+    release(found)
     return classes, cuts
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage of every document.
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document.
 
-    n_passage: bytes, removed or not, in strings of `passage` bytes that start anywhere else too. A null text is empty.
-    Texts shorter than `length` keep all bytes. Repeated rows are documents that hold each other's strings. Null doc_ids
-    stay null. Strings overlap freely and are judged on the input. An empty table gives no rows.
+    A null text is empty. Texts shorter than `length` keep all bytes. Repeated rows are documents that hold each other's
+    strings. Null doc_ids stay null. Strings overlap freely and are judged on the input. An empty table gives no rows.
     """
-    passage = min(passage, length)
-    classes, cuts = repeats(docs, length, passage)
-    cuts = cuts.drop("kept")
+    classes, cuts = repeats(docs, length)
     rows = keyed(docs).select("doc_id", "k1", "k2", F.length("body").cast("bigint").alias("n_bytes"), F.sha2("body", 256).alias("own"))
-    what = stored(classes.join(cuts, ["k1", "k2"], "left").where("copies > 1 or n_removed is not null").drop("least"), "changes")
-    gone = lambda least: (F.col("copies") > 1) & (F.col("n_bytes") >= least)
-    whole = gone(length)
+    what = stored(classes.join(cuts.drop("kept"), ["k1", "k2"], "left").where("copies > 1 or n_removed is not null").drop("least"), "changes")
+    release(classes)
+    release(cuts)
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return rows.join(what, ["k1", "k2"], "left").select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "own")).alias("kept_sha256"),
-        F.when(gone(passage), F.col("n_bytes")).otherwise(F.coalesce("n_passage", F.lit(0))).alias("n_passage"),
     )
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs whose texts lack the repeated bytes; characters of which only a part is left are left out."""
+    """docs whose texts lack the repeated bytes; characters of which only a part is left are left out. Columns may have any names."""
     classes, cuts = repeats(docs, length)
-    what = stored(classes.join(cuts, ["k1", "k2"], "left").where("copies > 1 or n_removed is not null").select("k1", "k2", "copies", "kept"), "changes")
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.withColumns({"__body": body}).withColumns({
-        "__k1": F.xxhash64("__body"),
-        "__k2": F.shiftleft(F.hash("__body").cast("bigint"), 32).bitwiseXOR(F.length("__body").cast("bigint")),
+    what = stored(classes.join(cuts, ["k1", "k2"], "left").where("copies > 1 or n_removed is not null").select(*[F.col(c).alias(f"__{c}") for c in ("k1", "k2", "copies", "kept")]), "changes")
+    release(classes)
+    release(cuts)
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    own, text = docs.toDF(*names), names[docs.columns.index("text")]
+    own = own.withColumn("__body", F.coalesce(F.col(text), F.lit("")).cast("binary")).withColumns({
+        "__a": F.xxhash64("__body"),
+        "__b": F.shiftleft(F.hash("__body").cast("bigint"), 32).bitwiseXOR(F.length("__body").cast("bigint")),
     })
-    whole = (F.col("copies") > 1) & (F.length("__body") >= length)
-    text = F.when(whole, F.lit("")).when(F.col("kept").isNotNull(), F.col("kept").cast("string")).otherwise(F.col("text"))
-    what = what.toDF("__w1", "__w2", "copies", "kept")
-    out = rows.join(what, (F.col("__k1") == F.col("__w1")) & (F.col("__k2") == F.col("__w2")), "left")
-    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    out = own.join(what, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
+    whole = (F.col("__copies") > 1) & (F.length("__body") >= length)
+    new = F.when(whole, F.lit("")).when(F.col("__kept").isNotNull(), F.col("__kept").cast("string")).otherwise(F.col(text))
+    return out.select(*[(new if n == text else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)])

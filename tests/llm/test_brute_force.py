@@ -487,8 +487,8 @@ def test_neighbours_search_as_many_leaves_as_recall_takes(spark):
     assert hits >= 0.9 * 300
 
 
-@pytest.mark.parametrize("length,passage,slice_,ranges", [(400, 200, 1 << 18, 1_000_000), (400, None, 500, 40), (230, 60, 700, 100), (42, 42, 60, 30)])
-def test_suffix_dedup(spark, monkeypatch, length, passage, slice_, ranges):
+@pytest.mark.parametrize("length,slice_,ranges", [(400, 1 << 18, 1_000_000), (400, 500, 40), (230, 700, 100), (42, 60, 30)])
+def test_suffix_dedup(spark, monkeypatch, length, slice_, ranges):
     for name, value in (("SLICE", slice_), ("RANGE", ranges), ("LOT", 3 * ranges)):
         monkeypatch.setattr(suffix_dedup, name, value)
     rnd = random.Random(length + slice_)
@@ -509,18 +509,17 @@ def test_suffix_dedup(spark, monkeypatch, length, passage, slice_, ranges):
                     gone[i : i + n] = True
             yield d, b, gone
 
-    least = passage or suffix_dedup.PASSAGE
     expected = []
-    for (d, b, gone), (_, _, short) in zip(covered(length), covered(least), strict=True):
+    for d, b, gone in covered(length):
         spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
-        expected.append((repr(d), len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), int(short.sum())))
-    found = suffix_dedup.remove_repeats(docs, length, least).collect()
-    got = [(repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage"]) for r in found]
+        expected.append((repr(d), len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    found = suffix_dedup.remove_repeats(docs, length).collect()
+    got = [(repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found]
     assert sorted(got) == sorted(expected)
     kept = suffix_dedup.without_repeats(docs, length)
     assert kept.columns == docs.columns and kept.count() == len(bodies)
-    assert sum(len((r["text"] or "").encode()) for r in kept.collect()) <= sum(n - g for _, n, g, _, _, _ in expected)
+    assert sum(len((r["text"] or "").encode()) for r in kept.collect()) <= sum(n - g for _, n, g, _, _ in expected)
     assert suffix_dedup.remove_repeats(docs.limit(0), length).count() == 0
 
 
