@@ -1,4 +1,4 @@
-"""A corpus pipeline: classify, dedup lines, drop near-duplicates, drop repeated strings, pack.
+"""A corpus pipeline: classify, dedup lines, drop near-duplicates, drop repeated passages, pack.
 
 Each stage is a function of (spark, docs, sf_dir); run() writes what it returns as Parquet and gives the next stage the
 table read again. All stages but the last return the columns of documents.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerlake.llm import line_dedup, packing, quality_gam, simhash, suffix_dedup
+from kmerlake.llm import line_dedup, packing, passage_dedup, quality_gam, simhash
 from kmerlake.llm.common import stored, table
 from kmerlake.llm.queries import vocabulary_file
 
@@ -32,8 +32,8 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of passages (strings of suffix_dedup.PASSAGE bytes) that start anywhere else; no document goes."""
-    return suffix_dedup.without_repeats(docs, suffix_dedup.PASSAGE).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) n_chars")
+    """Documents without the words of passages of over 50 words that start anywhere else; no document goes."""
+    return passage_dedup.without_passages(docs.select(*COLUMNS)).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
