@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from kmerlake.functions import alphabet as A
 from kmerlake.operators import index as X
 from kmerlake.operators import kmers as K
-from kmerlake.operators import routing, search
-from kmerlake.operators.lineage import checkpoint_dir
+from kmerlake.operators import minimizers, routing, search
+from kmerlake.operators.lineage import checkpoint_dir, checkpointed
+from kmerlake.operators.order import ranked
 from kmerlake.plans import clean
 from kmerlake.sources import blocks, fastx, index_file, sinks
 
@@ -23,7 +24,9 @@ LENGTH = 31
 PREFIX = 12
 STREAM_LIMIT = 200_000
 #: Numbers of documents in a block of a composed file.
-PER_BLOCK = 512
+PER_BLOCK = 128
+#: Blocks in what stands for a split of a composed file.
+PER_SPLIT = 64
 
 # ---------------------------------------------------------------- inputs
 
@@ -50,7 +53,8 @@ def blocks_of(rows: DataFrame, body) -> DataFrame:
     """file, block, value: a text for each PER_BLOCK numbers of each source, of its documents in order, which ends without a line feed."""
     parts = F.array_sort(F.collect_list(F.struct("seq_no", body.alias("body"))))
     value = F.array_join(F.transform(parts, lambda x: x["body"]), "\n")
-    return rows.groupBy("file", F.expr(f"seq_no div {PER_BLOCK}").alias("block")).agg(value.alias("value"))
+    block = F.expr(f"seq_no div {PER_BLOCK * PER_SPLIT} * {blocks.PER_SPLIT} + seq_no div {PER_BLOCK} % {PER_SPLIT}")
+    return rows.where("file is not null and seq_no is not null").groupBy("file", block.alias("block")).agg(value.alias("value"))
 
 
 def fastq_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,14 +139,17 @@ def nucleotide_encode(spark, sf_dir):
     return rows
 
 
-@query(f"""WITH {_SEQ}, w AS (SELECT seq_no, left(sequence, 31) AS s, {_PACK('left(sequence, 31)', 31)} AS word FROM seq WHERE length(sequence) >= 31)
-SELECT seq_no, word, s AS unpacked, CAST(bit_count(word) AS INTEGER) AS ones, CAST((word >> 7) & 1 AS INTEGER) AS bit_7, word | (1::BIGINT << 40) AS with_bit_40,
-CAST((word >> 10) & 31 AS BIGINT) AS lane_2 FROM w""")
+@query(f"""WITH {_SEQ}, w AS (SELECT seq_no, w - 1 AS word_no, substr(sequence, CAST(31 * w - 30 AS INTEGER), 31) AS s FROM (SELECT seq_no, sequence, unnest(range(1, length(sequence) // 31 + 1)) AS w FROM seq)),
+p AS (SELECT seq_no, word_no, s, list_sum(list_transform(range(0, 31), lambda i: (instr('ACGT', substr(s, CAST(i + 1 AS INTEGER), 1)) - 1)::HUGEINT << CAST(2 * i AS INTEGER)))::BIGINT AS word FROM w)
+SELECT seq_no, word_no, word, s AS unpacked, CAST(bit_count(word) AS INTEGER) AS ones, CAST((word >> 7) & 1 AS INTEGER) AS bit_7, word | (1::BIGINT << 40) AS with_bit_40,
+CAST((word >> 10) & 31 AS BIGINT) AS lane_2 FROM p""")
 def pack_2bit(spark, sf_dir):
-    rows = sequences(spark, sf_dir).where("length(sequence) >= 31").select("seq_no", A.pack(F.left("sequence", F.lit(31))).alias("word"))
+    """Every whole group of 31 letters of every text, as a word, and what scalars make of it."""
+    groups = F.regexp_extract_all("sequence", F.lit("[ACGT]{31}"), F.lit(0))
+    rows = sequences(spark, sf_dir).select("seq_no", F.posexplode(groups).alias("word_no", "s")).select("seq_no", F.col("word_no").cast("bigint").alias("word_no"), A.pack(F.col("s")).alias("word"))
     word = F.col("word")
     return rows.select(
-        "seq_no", "word", A.unpack(word, 31).alias("unpacked"), A.popcount(word).alias("ones"), A.get_bit(word, F.lit(7)).cast("int").alias("bit_7"),
+        "seq_no", "word_no", "word", A.unpack(word, 31).alias("unpacked"), A.popcount(word).alias("ones"), A.get_bit(word, F.lit(7)).cast("int").alias("bit_7"),
         A.set_bit(word, F.lit(40), F.lit(True)).alias("with_bit_40"), A.lane5(word, F.lit(2)).alias("lane_2"),
     )
 
@@ -230,7 +237,7 @@ def kmer_extract(spark, sf_dir):
 
 @query(f"WITH {_SEQ} SELECT file, seq_no, sequence AS line FROM seq WHERE length(sequence) >= {LENGTH}")
 def clean_text_out(spark, sf_dir):
-    return K.rejoined(sequences(spark, sf_dir), LENGTH)
+    return K.decoded(sequences(spark, sf_dir), LENGTH)
 
 
 @query(f"WITH {_INDEX} SELECT pos, kmer, is_dummy, a, c, g, t, CAST(lcs AS INTEGER) AS lcs FROM ix")
@@ -307,6 +314,13 @@ def kmer_search(spark, sf_dir):
     return search.search(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH).where("pos >= 0")
 
 
+@query(_PER_DOCUMENT)
+def partitioned_search(spark, sf_dir):
+    """As if no task could hold the index: it is dealt by minimizers, and super-k-mers of the documents follow it."""
+    known = checkpointed(search.entries(index(spark, sf_dir)))
+    return _per_document(minimizers.partitioned_search(search.stretched(sequences(spark, sf_dir), LENGTH), known, LENGTH, per_bucket=1000))
+
+
 @query(_PER_DOCUMENT)
 def streaming_search(spark, sf_dir):
     return _per_document(search.streaming_search(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH))
@@ -343,16 +357,31 @@ def suffix_interval(spark, sf_dir):
     )
 
 
-@query(f"""WITH RECURSIVE {_INDEX}, b AS MATERIALIZED (SELECT pos, a, c, g, t, {', '.join(f"coalesce(sum(CASE WHEN {x} THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r{x}" for x in "acgt")} FROM ix),
+_WALK = f"""b AS MATERIALIZED (SELECT pos, a, c, g, t, {', '.join(f"coalesce(sum(CASE WHEN {x} THEN 1 ELSE 0 END) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS r{x}" for x in "acgt")} FROM ix),
 o AS MATERIALIZED (SELECT count(*) FILTER (WHERE a) AS na, count(*) FILTER (WHERE c) AS nc, count(*) FILTER (WHERE g) AS ng FROM ix),
 st AS MATERIALIZED (SELECT pos, CAST(CASE WHEN a THEN 1 + ra WHEN c THEN 1 + na + rc WHEN g THEN 1 + na + nc + rg WHEN t THEN 1 + na + nc + ng + rt END AS BIGINT) AS nxt FROM b, o),
-wk AS (SELECT pos, pos AS at, 0 AS n FROM st UNION ALL SELECT wk.pos, st.nxt, n + 1 FROM wk JOIN st ON st.pos = wk.at WHERE wk.at % 16 <> 0 AND st.nxt IS NOT NULL AND n < 2000)
-SELECT st.pos, coalesce(max(wk.at) FILTER (WHERE wk.at % 16 = 0), -1) AS key FROM st JOIN wk ON wk.pos = st.pos GROUP BY st.pos""")
+wk AS (SELECT pos, pos AS at, 0 AS n FROM st UNION ALL SELECT wk.pos, st.nxt, n + 1 FROM wk JOIN st ON st.pos = wk.at WHERE wk.at % 16 <> 0 AND st.nxt IS NOT NULL AND n < 2000),
+ky AS (SELECT st.pos, coalesce(max(wk.at) FILTER (WHERE wk.at % 16 = 0), -1) AS key FROM st JOIN wk ON wk.pos = st.pos GROUP BY st.pos)"""
+
+
+@query(f"WITH RECURSIVE {_INDEX}, {_WALK} SELECT pos, key FROM ky")
 def move_to_key(spark, sf_dir):
     rows = index(spark, sf_dir)
     return search.walk_to_keys(rows, rows.where("pos % 16 = 0").select("pos"))
 
 
+@query(_FOUND.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_WALK}
+SELECT file, seq_no, count(*) AS kmers, count(*) FILTER (WHERE key >= 0) AS keyed, count(DISTINCT key) FILTER (WHERE key >= 0) AS keys, CAST(sum(coalesce(key, -1)) AS BIGINT) AS sum_key, CAST(sum(fd.pos) AS BIGINT) AS sum_pos
+FROM fd LEFT JOIN ky ON ky.pos = fd.pos GROUP BY file, seq_no""")
+def search_to_keys(spark, sf_dir):
+    rows = checkpointed(index(spark, sf_dir))
+    found = search.search_to_keys(sequences(spark, sf_dir), rows, rows.where("pos % 16 = 0").select("pos"), LENGTH)
+    key = F.when(F.col("key") >= 0, F.col("key"))
+    return found.groupBy("file", "seq_no").agg(
+        F.count("*").alias("kmers"), F.count(key).alias("keyed"), F.countDistinct(key).alias("keys"), F.sum("key").alias("sum_key"), F.sum("pos").alias("sum_pos")
+    )
+
+
 @query(f"""WITH RECURSIVE f AS (SELECT CAST(doc_id AS VARCHAR) AS file, n_chars::BIGINT AS size, row_number() OVER (ORDER BY n_chars, CAST(doc_id AS VARCHAR)) AS i FROM documents),
 w AS (SELECT file, size, i, 0 AS bin, size AS total FROM f WHERE i = 1 UNION ALL
 SELECT f.file, f.size, f.i, CASE WHEN w.total > {STREAM_LIMIT} THEN w.bin + 1 ELSE w.bin END, CASE WHEN w.total > {STREAM_LIMIT} THEN f.size ELSE w.total + f.size END FROM w JOIN f ON f.i = w.i + 1),
@@ -371,13 +400,15 @@ def dup_paths(spark, sf_dir):
 
 @query(f"WITH {_FASTQ} SELECT file, count(*) AS sequences, CAST(sum(length(sequence) - {LENGTH - 1}) AS BIGINT) AS kmers FROM rec WHERE length(sequence) >= {LENGTH} GROUP BY file")
 def clean_files(spark, sf_dir):
-    """The composed files are written as text, cleaned file by file, and the clean files read and counted."""
+    """The composed files are written as text, cleaned file by file, and the clean files read and counted. A table without rows has no files."""
     folder = f"{checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
     rows = fastq_blocks(spark, sf_dir)
     files = sorted(r["file"] for r in rows.select("file").distinct().collect())
+    if not files:
+        return K.kmer_totals(sequences(spark, sf_dir), LENGTH)
     inputs, outputs = ([f"{folder}/{i}.{end}" for i in range(len(files))] for end in ("fq", "txt"))
     sinks.write_sequences(rows.select("file", F.col("block").alias("seq_no"), F.col("value").alias("sequence")), dict(zip(files, inputs, strict=True)))
-    clean.clean_files(spark, inputs, outputs, LENGTH, large=True)
+    clean.clean_files(spark, inputs, outputs, LENGTH)
     number = spark.createDataFrame(list(enumerate(files)), "number int, file string")
     lines = spark.read.text(outputs).select(F.regexp_extract(F.col("_metadata.file_name"), "[0-9]+", 0).cast("int").alias("number"), F.col("value").alias("sequence"))
     return K.kmer_totals(lines.join(F.broadcast(number), "number"), LENGTH)
@@ -385,10 +416,7 @@ def clean_files(spark, sf_dir):
 
 @query(f"WITH {_SEQ} SELECT file, seq_no, CAST(row_number() OVER (ORDER BY file, seq_no) - 1 AS BIGINT) AS pos FROM seq")
 def output_order(spark, sf_dir):
-    from kmerlake.operators.order import ranked
-
-    rows = sequences(spark, sf_dir).select("file", "seq_no")
-    return ranked(rows, F.col("file"), F.struct("file", "seq_no"))
+    return ranked(sequences(spark, sf_dir).select("file", "seq_no"), F.col("file"), F.col("seq_no"))
 
 
 def queries() -> dict:

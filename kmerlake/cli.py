@@ -13,14 +13,13 @@ from kmerlake.sources import fastx, index_file
 
 def parsed(argv: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="kmerlake", description="Clean sequence files: one sequence a line, at least k letters each.")
-    p.add_argument("-x", "--index", "-sbwt", help="index file, from which k is taken")
+    p.add_argument("-x", "--index", help="index file, from which k is taken")
     p.add_argument("-k", type=int, help="k, where no index is given")
     p.add_argument("-i", nargs="+", default=[], help="input files")
     p.add_argument("-o", nargs="+", default=[], help="output files")
     p.add_argument("-if", dest="input_list", help="file that lists inputs, one a line")
     p.add_argument("-of", dest="output_list", help="file that lists outputs, one a line")
     p.add_argument("--search", metavar="HITS", help="write the index's row of every k-mer of the inputs to this Parquet folder, in place of clean files")
-    p.add_argument("--large", action="store_true", help="split files over tasks")
     args = p.parse_args(argv)
     if not args.index and args.k is None:
         p.error("an index or k is needed")
@@ -36,10 +35,10 @@ def main(argv: list[str] | None = None) -> int:
     try:
         if args.search:
             index, k = index_file.read(spark, args.index)
-            search_files(spark, args.i + listed(args.input_list), index, k, args.search, args.large)
+            search_files(spark, args.i + listed(args.input_list), index, k, args.search)
             return 0
         k = args.k if args.k is not None else index_file.metadata(spark, args.index)["k"]
-        clean_files(spark, args.i + listed(args.input_list), args.o + listed(args.output_list), k, args.large).show(truncate=False)
+        clean_files(spark, args.i + listed(args.input_list), args.o + listed(args.output_list), k).show(truncate=False)
     except (ValueError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)
         return 1

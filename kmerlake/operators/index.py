@@ -10,16 +10,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerlake.functions import alphabet
+
 from . import kmers as K
 from .lineage import checkpointed
 from .order import BLOCK, ranked, running
 
 LETTERS = "acgt"
-#: Last letters of a k-mer that make a bucket of the global order.
-BUCKET_LETTERS = 6
 
 
 def node_set(references: DataFrame, k: int) -> DataFrame:
@@ -33,10 +33,21 @@ def node_set(references: DataFrame, k: int) -> DataFrame:
     return real.select("kmer", F.lit(False).alias("is_dummy")).union(dummies.union(root).distinct().select("kmer", F.lit(True)))
 
 
+def backward(k: int) -> list[Column]:
+    """Keys that put k-mers in order from their last letters to the first.
+
+    Up to 32 letters they are a packed number, whose highest bits are the last letter, with $ as A, and the number of letters
+    that are none: of equal numbers more $ come first. Its sign is turned, so that 64 bits are in order too.
+    """
+    if k > 32:
+        return [F.reverse("kmer")]
+    word = alphabet.pack_letters(F.translate("kmer", "$", "A"))
+    return [word.bitwiseXOR(F.lit(-(1 << 63))), F.length(F.ltrim("kmer", F.lit("$")))]
+
+
 def build(references: DataFrame, k: int) -> DataFrame:
     """The index of all k-mers of references."""
-    backward = F.reverse("kmer")
-    nodes = ranked(node_set(references, k), F.left(backward, F.lit(min(k, BUCKET_LETTERS))), backward)
+    nodes = ranked(node_set(references, k), *backward(k))
     first = F.row_number().over(Window.partitionBy(F.right("kmer", F.lit(k - 1))).orderBy("pos")) == 1
     suffix = F.right("kmer", F.lit(k - 1)).alias("suffix")
     edges = nodes.where(F.col("kmer") != "$" * k).groupBy(F.left("kmer", F.lit(k - 1)).alias("suffix")).agg(

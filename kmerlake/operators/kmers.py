@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerlake.functions import alphabet
+
 from .order import running
 
 SEGMENT = 128
@@ -50,29 +52,52 @@ def separators(segs: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("out_start", F.col("begin") - F.col("true_before") * (k - 1))
 
 
-def stretches(records: DataFrame, k: int, stretch: int) -> DataFrame:
-    """file, seq_no, base, body: sequences in stretches of `stretch` windows, which overlap by k - 1 letters.
+def stretches(records: DataFrame, k: int, stretch: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """file, seq_no, more columns, begin, body: sequences in stretches of `stretch` windows, which overlap by k - 1 letters.
 
-    So no array of windows gets long, a very long sequence is spread over rows, and a window is found in few steps.
+    So no array of windows gets long, and a window is found in few steps. A row is read once from its begin to its end: it is
+    cut into blocks of `stretch` letters, and each gets the first letters of the blocks behind it.
     """
     kept = long_enough(records, k)
-    last = F.expr(f"cast((length(sequence) - {k}) div {stretch} as int)")
-    parts = kept.select("file", "seq_no", F.explode(F.sequence(F.lit(0), last)).alias("part"), "sequence")
-    parts = parts.select("file", "seq_no", (F.col("part").cast("bigint") * stretch).alias("base"), F.substring("sequence", F.col("part") * stretch + 1, F.lit(stretch + k - 1)).alias("body"))
-    return parts
+    blocks = F.when(F.length("sequence") < stretch + k, F.array("sequence")).otherwise(F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{stretch}}}"), F.lit(0)))
+    kept = kept.select("file", "seq_no", *more, blocks.alias("blocks"))
+    behind = -(-(k - 1) // stretch)  # blocks that hold the overlap
+    if behind:
+        later = [F.slice("blocks", F.lit(i + 1), F.size("blocks")) for i in range(1, behind + 1)]
+        tails = later[0]
+        for further in later[1:]:
+            tails = F.zip_with(tails, further, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        bodies = F.zip_with("blocks", tails, lambda a, b: F.concat(a, F.left(F.coalesce(b, F.lit("")), F.lit(k - 1))))
+    else:
+        bodies = F.col("blocks")
+    parts = kept.select("file", "seq_no", *more, F.posexplode(bodies).alias("part", "body"))
+    return parts.where(F.length("body") >= k).select("file", "seq_no", *more, (F.col("part").cast("bigint") * stretch).alias("begin"), "body")
+
+
+def kmers(records: DataFrame, k: int, stretch: int = 128, more: tuple[str, ...] = ()) -> DataFrame:
+    """file, seq_no, more columns, offset, kmer: every window of k letters."""
+    parts = stretches(records, k, stretch, more)
+    windows = F.transform(F.sequence(F.lit(1), F.length("body") - (k - 1)), lambda i: F.substring(F.col("body"), i, F.lit(k)))
+    return parts.select("file", "seq_no", *more, "begin", F.posexplode(windows).alias("i", "kmer")).select("file", "seq_no", *more, (F.col("begin") + F.col("i")).alias("offset"), "kmer")
 
 
-def kmers(records: DataFrame, k: int, stretch: int = 128) -> DataFrame:
-    """file, seq_no, offset, kmer: every window of k letters."""
-    parts = stretches(records, k, stretch)
-    windows = F.transform(F.sequence(F.lit(1), F.length("body") - (k - 1)), lambda i: F.substring(F.col("body"), i, F.lit(k)))
-    return parts.select("file", "seq_no", "base", F.posexplode(windows).alias("i", "kmer")).select("file", "seq_no", (F.col("base") + F.col("i")).alias("offset"), "kmer")
+def segment_texts(size: int) -> Column:
+    """The segments of sequence, as segment_bounds() has them, cut in one pass."""
+    n = F.length("sequence")
+    cuts = F.greatest(F.lit(0), F.expr(f"length(sequence) div {size}") - 1).cast("int")
+    rest = F.substring("sequence", cuts * size + 1, n)
+    half = F.expr(f"(length(sequence) - greatest(0, length(sequence) div {size} - 1) * {size}) div 2").cast("int")
+    last = F.when(n - cuts * size > size, F.array(F.left(rest, half), F.substring(rest, half + 1, n))).otherwise(F.array(rest))
+    return F.concat(F.regexp_extract_all(F.left("sequence", cuts * size), F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), last)
 
 
-def rejoined(records: DataFrame, k: int, size: int = SEGMENT) -> DataFrame:
-    """file, seq_no, line: each sequence of at least k letters decoded from its segments, which are cut and joined in its row.
+def decoded(records: DataFrame, k: int, size: int = SEGMENT) -> DataFrame:
+    """file, seq_no, line: each sequence of at least k letters, decoded from the packed words of its segments.
 
-    Lines are in order by seq_no: a file in one string would be bounded by the largest string.
+    A segment is packed into words of 32 letters, of which the last may be part empty, and unpacked to as many letters as it
+    has; a sequence's segments are joined in its row. Lines are in order by seq_no: a file in one string would be bounded by
+    the largest string.
     """
-    pieces = F.transform(F.arrays_zip(*segment_bounds(size)), lambda s: F.substring(F.col("sequence"), (s["seg_start"] + 1).cast("int"), (s["seg_end"] - s["seg_start"]).cast("int")))
-    return long_enough(records, k).select("file", "seq_no", F.array_join(pieces, "").alias("line"))
+    packed = F.transform(segment_texts(size), lambda s: F.struct(alphabet.pack_words(s).alias("words"), F.length(s).alias("n")))
+    rows = long_enough(records, k).select("file", "seq_no", packed.alias("segments"))
+    return rows.select("file", "seq_no", F.array_join(F.transform("segments", lambda s: alphabet.unpack_words(s["words"], s["n"])), "").alias("line"))

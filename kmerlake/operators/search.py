@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from . import kmers as K
 from .index import LETTERS, nearest_smaller
 from .lineage import checkpointed
+from .minimizers import partitioned_search
+from .windows import CODES, cut_rows, packed_windows, ranges, window_rows
 
 #: Rows up to which an index is small enough to be sent whole to every task: at most 20 bytes a row, 80 MB.
 SMALL = 4_000_000
-#: Windows of a sequence that are looked up, or letters that are streamed, side by side in one row.
+#: Windows of a sequence that are streamed as one of many rows side by side.
 STRETCH = 1024
 
 
@@ -24,88 +26,109 @@ def entries(index: DataFrame) -> DataFrame:
     return index.where("not is_dummy").select("kmer", "pos")
 
 
-def search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """file, seq_no, offset, pos of every k-mer of records; pos is -1 where the index lacks it.
+class Searcher:
+    """An index, prepared once for any number of searches.
 
-    An index of at most SMALL rows, which is checked, is sent to all tasks as sorted packed k-mers, and whole batches of
-    windows are looked up at once. Beyond that, or for k over 32, a left join shuffles both sides and splits skewed keys.
+    An index of at most SMALL rows, which is counted first, is sent to all tasks as sorted packed k-mers, and whole batches of
+    windows are looked up at once. Beyond that the index is dealt to tasks by minimizers, and windows follow it in packed
+    strings. For k over 32 a left join of strings shuffles both sides and splits skewed keys.
     """
-    known = small(entries(index), SMALL) if k <= 32 else None
-    if known is None:
-        found = K.kmers(records, k).join(entries(index), "kmer", "left")
-        return found.select("file", "seq_no", "offset", F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"))
-    return looked_up(records, k, known.column("kmer").to_pylist(), {"pos": known.column("pos").to_numpy()})
 
+    def __init__(self, index: DataFrame, k: int):
+        self.k, self.entries = k, checkpointed(entries(index))
+        held = small(self.entries, SMALL) if k <= 32 else None
+        self.held = Held(held.column("kmer").to_pylist(), {"pos": held.column("pos").to_numpy()}, k) if held is not None else None
+        self.shared = self.entries.sparkSession.sparkContext.broadcast(self.held) if self.held else None
 
-def small(rows: DataFrame, most: int) -> pa.Table | None:
-    """The rows, if they are at most `most`; None, of which no more than that reached the driver, if they are more."""
-    found = rows.limit(most + 1).toArrow()
-    return found if found.num_rows <= most else None
+    def over(self, stretches: DataFrame) -> DataFrame:
+        """file, seq_no, offset, pos of every window of stretches (file, seq_no, base, body) of any length; pos is -1 where the index lacks it."""
+        if self.shared:
+            return looked_up(stretches.withColumn("body", F.col("body").cast("binary")), self.shared)
+        if self.k <= 32:
+            return partitioned_search(stretches.withColumn("body", F.col("body").cast("binary")), self.entries, self.k)
+        records = stretches.select("file", "seq_no", "base", F.col("body").cast("string").alias("sequence"))
+        found = K.kmers(records, self.k, more=("base",)).join(self.entries, "kmer", "left")
+        return found.select("file", "seq_no", (F.col("base") + F.col("offset")).alias("offset"), F.coalesce("pos", F.lit(-1)).cast("bigint").alias("pos"))
 
 
-def packed_windows(codes: np.ndarray, k: int) -> np.ndarray:
-    """For each start the number whose base-4 digits are the k codes from there, by doubling; starts near the end wrap to no use."""
-    out, covered, power, size = np.zeros(len(codes), np.uint64), 0, codes.astype(np.uint64), 1
-    while size <= k:
-        if k & size:
-            out |= np.roll(power, -covered) << np.uint64(2 * covered)
-            covered += size
-        power = power | np.roll(power, -size) << np.uint64(2 * size) if 2 * size <= k else power
-        size *= 2
-    return out
+def search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """file, seq_no, offset, pos of every k-mer of records (file, seq_no, sequence); pos is -1 where the index lacks it."""
+    return Searcher(index, k).over(stretched(records, k))
 
 
-#: The code of each byte; 4 for what is no nucleotide, which no window may hold.
-CODES = np.full(256, 4, np.uint8)
-CODES[list(b"ACGT")] = range(4)
+def small(rows: DataFrame, most: int) -> pa.Table | None:
+    """The rows of a stored table, if they are at most `most`, which is counted before any reaches the driver."""
+    return rows.toArrow() if rows.count() <= most else None
 
 
 def stretched(records: DataFrame, k: int) -> DataFrame:
-    """file, seq_no, base, body (bytes) of records in stretches of STRETCH windows: rows of like size, whatever the sequences' lengths."""
-    return K.stretches(records, k, STRETCH).select("file", "seq_no", "base", F.col("body").cast("binary").alias("body"))
+    """file, seq_no, base, body (bytes) of records of at least k letters; what takes them cuts rows as it needs."""
+    return K.long_enough(records, k).select("file", "seq_no", F.lit(0).cast("bigint").alias("base"), F.col("sequence").cast("binary").alias("body"))
+
 
+class Held:
+    """Packed keys of k letters in order, with values, as every task holds them."""
 
-def window_rows(batch: pa.RecordBatch, n: np.ndarray, values: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """file, seq_no, offset and values of n windows for each row of a batch of stretched()."""
-    row = pa.array(np.repeat(np.arange(len(n)), n))
-    inside = np.arange(n.sum()) - np.repeat(np.r_[0, n.cumsum()[:-1]], n)
-    offset = np.repeat(batch.column("base").to_numpy(), n) + inside
-    columns = [batch.column("file").take(row), batch.column("seq_no").take(row), pa.array(offset), *map(pa.array, values.values())]
-    return pa.RecordBatch.from_arrays(columns, ["file", "seq_no", "offset", *values])
+    def __init__(self, keys: list[str], values: dict[str, np.ndarray], k: int):
+        letters = CODES[np.frombuffer("".join(keys).encode(), np.uint8)]
+        packed = packed_windows(letters, k)[::k][: len(keys)] if keys else np.zeros(0, np.uint64)
+        order = np.argsort(packed)
+        self.k, self.keys, self.values = k, packed[order], {name: v[order].astype(np.int64) for name, v in values.items()}
 
+    def find(self, body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each start in body whether the window there is a key, and where it is among the keys."""
+        codes = CODES[body]
+        odd = np.r_[0, (codes > 3).cumsum()]
+        window = packed_windows(codes & 3, self.k)[starts]
+        if not len(self.keys):
+            return np.zeros(len(window), bool), np.zeros(len(window), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, window), len(self.keys) - 1)
+        return (self.keys[at] == window) & (odd[starts + self.k] == odd[starts]), at
 
-def looked_up(records: DataFrame, k: int, keys: list[str], values: dict[str, np.ndarray]) -> DataFrame:
-    """file, seq_no, offset and values (longs, -1 where none) of every window of k letters, from a table of keys that every task holds."""
-    letters = CODES[np.frombuffer("".join(keys).encode(), np.uint8)]
-    packed = packed_windows(letters, k)[::k][: len(keys)] if keys else np.zeros(0, np.uint64)
-    order = np.argsort(packed)
-    shared = records.sparkSession.sparkContext.broadcast((packed[order], {name: v[order].astype(np.int64) for name, v in values.items()}))
+
+def looked_up(stretches: DataFrame, shared, texts_of: bool | None = None) -> DataFrame:
+    """file, seq_no, offset and values (longs, -1 where none) of every window of stretches (file, seq_no, base, body as bytes), from a broadcast Held.
+
+    texts_of: instead of values the window itself, as kmer, of windows that are among the keys (true) or are not (false).
+    """
+    k, names = shared.value.k, list(shared.value.values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, columns = shared.value
-        for batch in (part.slice(at, 256) for part in batches for at in range(0, len(part), 256)):
+        held = shared.value
+        for batch in cut_rows(batches, k):
             n = np.array([len(x.as_buffer()) for x in batch.column("body")], np.int64)
-            ends = n.cumsum()
-            codes = CODES[np.frombuffer(b"".join(batch.column("body").to_pylist()), np.uint8)]
-            odd = np.r_[0, (codes > 3).cumsum()]
-            starts = np.concatenate([np.arange(e - m, e - k + 1) for e, m in zip(ends, n, strict=True)])
-            window = packed_windows(codes & 3, k)[starts]
-            at = np.minimum(np.searchsorted(known, window), max(0, len(known) - 1))
-            hit = (known[at] == window) & (odd[starts + k] == odd[starts]) if len(known) else np.zeros(len(window), bool)
-            yield window_rows(batch, n - (k - 1), {name: np.where(hit, v[at], -1) if len(known) else np.full(len(window), -1) for name, v in columns.items()})
-
-    schema = ", ".join(["file string, seq_no bigint, offset bigint", *(f"{name} bigint" for name in values)])
-    return stretched(records, k).mapInArrow(run, schema)
+            body = np.frombuffer(b"".join(batch.column("body").to_pylist()), np.uint8)
+            starts = ranges(n.cumsum() - n, n - (k - 1))
+            hit, at = held.find(body, starts)
+            if texts_of is None:
+                yield window_rows(batch, n - (k - 1), {name: np.where(hit, v[at], -1) if len(v) else np.full(len(hit), -1) for name, v in held.values.items()})
+            else:
+                wanted = np.flatnonzero(hit == texts_of)
+                data = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(body, k)[starts[wanted]]).tobytes()
+                text = pa.Array.from_buffers(pa.string(), len(wanted), [None, pa.py_buffer((np.arange(len(wanted) + 1) * k).astype(np.int32)), pa.py_buffer(data)])
+                rows = window_rows(batch, n - (k - 1), {}).take(pa.array(wanted))
+                yield pa.RecordBatch.from_arrays([*rows.columns, text], [*rows.schema.names, "kmer"])
+
+    more = [f"{name} bigint" for name in names] if texts_of is None else ["kmer string"]
+    return stretches.select("file", "seq_no", "base", "body").mapInArrow(run, ", ".join(["file string, seq_no bigint, offset bigint", *more]))
 
 
 def present(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The k-mers of records that the index has, by a semi join."""
-    return K.kmers(records, k).join(entries(index), "kmer", "left_semi")
+    """file, seq_no, offset, kmer of the k-mers of records that the index has: looked up in a small index, else by a semi join."""
+    return _members(records, index, k, True)
 
 
 def absent(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """The k-mers of records that the index lacks, by an anti join."""
-    return K.kmers(records, k).join(entries(index), "kmer", "left_anti")
+    """file, seq_no, offset, kmer of the k-mers of records that the index lacks: looked up in a small index, else by an anti join."""
+    return _members(records, index, k, False)
+
+
+def _members(records: DataFrame, index: DataFrame, k: int, there: bool) -> DataFrame:
+    known = checkpointed(entries(index).select("kmer"))
+    held = small(known, SMALL) if k <= 32 else None
+    if held is None:
+        return K.kmers(records, k).join(known, "kmer", "left_semi" if there else "left_anti").select("file", "seq_no", "offset", "kmer")
+    return looked_up(stretched(records, k), records.sparkSession.sparkContext.broadcast(Held(held.column("kmer").to_pylist(), {}, k)), there)
 
 
 def intervals(queries: DataFrame, index: DataFrame, m: int) -> DataFrame:
@@ -115,12 +138,13 @@ def intervals(queries: DataFrame, index: DataFrame, m: int) -> DataFrame:
     """
     from .index import suffix_intervals
 
-    table = suffix_intervals(index, m)
+    table = checkpointed(suffix_intervals(index, m))
     known = small(table, SMALL) if m <= 32 else None
     if known is None:
         found = K.kmers(queries, m).withColumnRenamed("kmer", "suffix").join(table, "suffix", "left")
         return found.select("file", "seq_no", "offset", *[F.coalesce(x, F.lit(-1)).cast("bigint").alias(x) for x in ("l", "r")])
-    return looked_up(queries, m, known.column("suffix").to_pylist(), {x: known.column(x).to_numpy() for x in ("l", "r")})
+    held = Held(known.column("suffix").to_pylist(), {x: known.column(x).to_numpy() for x in ("l", "r")}, m)
+    return looked_up(stretched(queries, m), queries.sparkSession.sparkContext.broadcast(held))
 
 
 def walk_to_keys(index: DataFrame, keys: DataFrame, rounds: int = 40) -> DataFrame:
@@ -151,10 +175,12 @@ class RankIndex:
     """The bits of an index in memory, for streaming search: rows l to end - 1 share the last `depth` letters read.
 
     Bits lie in words of 64 with the ones before each; lcs has -1 at both ends, so that the whole index is the widest range.
+    The ranges of all texts of `prefix` letters that occur are kept, so that a stream begins, and begins again after a letter
+    with which nothing goes on, behind the next such text.
     """
 
-    def __init__(self, bits: np.ndarray, lcs: np.ndarray, k: int):
-        self.k, self.n = k, len(lcs)
+    def __init__(self, bits: np.ndarray, lcs: np.ndarray, k: int, prefix: int = 12):
+        self.k, self.n, self.prefix, self.steps = k, len(lcs), min(prefix, k), 0
         self.lcs = np.r_[np.int8(-1), lcs[1:].astype(np.int8), np.int8(-1)] if len(lcs) else np.array([-1], np.int8)
         self.before, self.after = (x.clip(0, len(self.lcs) - 1) for x in nearest_smaller(self.lcs, k))
         size = len(lcs) // 64 + 1
@@ -164,52 +190,114 @@ class RankIndex:
         ones = np.bitwise_count(self.words).astype(np.int64)
         self.ones = ones.cumsum(1) - ones
         self.start = 1 + np.r_[0, ones.sum(1).cumsum()]
+        self.texts, self.low, self.end = self.presearched()
 
     def rank(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         word, bit = at >> 6, (at & 63).astype(np.uint64)
         below = self.words[code, word] & ((np.uint64(1) << bit) - np.uint64(1))
         return self.start[code] + self.ones[code, word] + np.bitwise_count(below)
 
+    def presearched(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Packed texts of `prefix` letters in order, and the range of each: found for all texts at once, a letter a round."""
+        text, low, end = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.full(1, self.n, np.int64)
+        for t in range(self.prefix):
+            code = np.tile(np.arange(4), len(text))
+            text, low, end = np.repeat(text, 4) | code.astype(np.uint64) << np.uint64(2 * t), np.repeat(low, 4), np.repeat(end, 4)
+            low, end = self.rank(code, low), self.rank(code, end)
+            some = low < end
+            text, low, end = text[some], low[some], end[some]
+        order = np.argsort(text)
+        return text[order], low[order], end[order]
+
     def wider(self, low: np.ndarray, end: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranges that share `to` last letters, the greatest common length with a neighbour: nearest smaller values bound them."""
         return np.where(self.lcs[low] == to, self.before[low], low), np.where(self.lcs[end] == to, self.after[end], end)
 
+    def entries(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of rows of codes the next one at which a text that occurs begins, or the rows' length, and which text that is."""
+        lanes, width = codes.shape
+        p, places = self.prefix, max(0, width - self.prefix + 1)
+        nothing = np.full((lanes, width + 1), width)
+        if not places or not len(self.texts):
+            return nothing, np.zeros((lanes, width + 1), np.int64)
+        window = packed_windows((codes & 3).ravel(), p).reshape(lanes, width)[:, :places]
+        odd = np.concatenate([np.zeros((lanes, 1), np.int64), (codes > 3).cumsum(1)], 1)
+        which = np.minimum(np.searchsorted(self.texts, window), len(self.texts) - 1)
+        there = (self.texts[which] == window) & (odd[:, p : p + places] == odd[:, :places])
+        ahead = np.where(there, np.arange(places), width)
+        nothing[:, :places] = np.minimum.accumulate(ahead[:, ::-1], 1)[:, ::-1]
+        text = np.zeros((lanes, width + 1), np.int64)
+        text[:, :places] = which
+        return nothing, text
+
     def stream(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """For each row of codes, of these lengths, the index's row, or -1, of each window: rows are streamed side by side.
+        """For each row of codes (4: no letter, also beyond its length), the index's row, or -1, of each window: rows are streamed side by side.
 
-        A letter that does not follow the match makes it lose first letters, up to the next wider range, until it does.
+        A letter that does not follow the match makes it lose first letters, up to the next wider range, until it does. Where
+        nothing is left of a match, it goes on behind the next text that occurs.
         """
-        lanes = len(codes)
-        low, end, depth = np.zeros(lanes, np.int64), np.full(lanes, self.n, np.int64), np.zeros(lanes, np.int64)
-        found = np.full((lanes, max(0, codes.shape[1] - self.k + 1)), -1, np.int64)
-        for t in range(codes.shape[1]):
-            todo = np.flatnonzero(lengths > t)
-            odd = todo[codes[todo, t] > 3]
-            low[odd], end[odd], depth[odd] = 0, self.n, 0
-            todo = todo[codes[todo, t] <= 3]
-            code = codes[todo, t]
-            while len(todo):
-                a, b = self.rank(code, low[todo]), self.rank(code, end[todo])
-                fits = a < b
-                at = todo[fits]
-                low[at], end[at], depth[at] = a[fits], b[fits], depth[at] + 1
-                left = ~fits & (depth[todo] > 0)
-                todo, code = todo[left], code[left]
-                depth[todo] = np.maximum(self.lcs[low[todo]], self.lcs[end[todo]]).clip(0)
-                low[todo], end[todo] = self.wider(low[todo], end[todo], depth[todo])
-            full = np.flatnonzero((depth == self.k) & (lengths > t))
+        lanes, width = codes.shape
+        t, low, end, depth = (np.zeros(lanes, np.int64) for _ in range(4))
+        found = np.full((lanes, max(0, width - self.k + 1)), -1, np.int64)
+        ahead, text = self.entries(codes)
+        going = np.flatnonzero(lengths >= self.k)
+        while len(going):
+            self.steps += len(going)
+            new = going[depth[going] == 0]
+            to = ahead[new, t[new]]
+            t[new] = np.minimum(to + self.prefix, width)
+            some = to < width
+            at = new[some]
+            chosen = text[at, to[some]]
+            low[at], end[at], depth[at] = self.low[chosen], self.end[chosen], self.prefix
+            full = going[depth[going] == self.k]  # before a further letter is read
+            if len(full):
+                found[full, t[full] - self.k] = low[full]
+                depth[full] = self.k - 1
+                low[full], end[full] = self.wider(low[full], end[full], depth[full])
+            going = going[(depth[going] > 0) & (t[going] < lengths[going]) | (depth[going] == 0) & (t[going] + self.k <= lengths[going])]
+            on = going[depth[going] > 0]
+            code = codes[on, t[on]]
+            odd = on[code > 3]
+            t[odd], depth[odd] = t[odd] + 1, 0
+            on, code = on[code <= 3], code[code <= 3]
+            a, b = self.rank(code, low[on]), self.rank(code, end[on])
+            fits = a < b
+            at = on[fits]
+            low[at], end[at], depth[at], t[at] = a[fits], b[fits], depth[at] + 1, t[at] + 1
+            at = on[~fits]
+            depth[at] = np.maximum(self.lcs[low[at]], self.lcs[end[at]]).clip(0)
+            low[at], end[at] = self.wider(low[at], end[at], depth[at])
+            full = going[depth[going] == self.k]
             if len(full):
-                found[full, t - self.k + 1] = low[full]
+                found[full, t[full] - self.k] = low[full]
                 depth[full] = self.k - 1
                 low[full], end[full] = self.wider(low[full], end[full], depth[full])
+            going = going[(depth[going] > 0) & (t[going] < lengths[going]) | (depth[going] == 0) & (t[going] + self.k <= lengths[going])]
         return found
 
 
+def lanes_of(batch: pa.RecordBatch, k: int, stretch: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    """(file, seq_no, base, body of stretches of `stretch` windows, their codes as rows, their lengths) of a batch of cut_rows()."""
+    sizes = np.array([len(x.as_buffer()) for x in batch.column("body")], np.int64)
+    many = -(-(sizes - (k - 1)) // stretch)
+    row = np.repeat(np.arange(len(sizes)), many)
+    inside = ranges(np.zeros(len(sizes), np.int64), many) * stretch
+    lengths = np.minimum(stretch + k - 1, sizes[row] - inside)
+    letters = np.r_[CODES[np.frombuffer(b"".join(batch.column("body").to_pylist()), np.uint8)], np.uint8(4)].astype(np.int64)
+    at = ((sizes.cumsum() - sizes)[row] + inside)[:, None] + np.arange(int(lengths.max(initial=0)))
+    codes = np.where(np.arange(at.shape[1]) < lengths[:, None], letters[np.minimum(at, len(letters) - 1)], 4)
+    take = pa.array(row)
+    base = pa.array(batch.column("base").to_numpy()[row] + inside)
+    return pa.RecordBatch.from_arrays([batch.column("file").take(take), batch.column("seq_no").take(take), base], ["file", "seq_no", "base"]), codes, lengths
+
+
 def streaming_search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """The rows of search(), by a streaming rank search over an index that every task holds.
 
     Only for indexes of at most SMALL rows, which is checked; larger ones go through search().
     """
+    index = checkpointed(index)
     bits = small(index.selectExpr("pos", "cast(a as int) + 2 * cast(c as int) + 4 * cast(g as int) + 8 * cast(t as int) b", "lcs"), SMALL)
     if bits is None:
         return search(records, index, k)
@@ -217,13 +305,27 @@ def streaming_search(records: DataFrame, index: DataFrame, k: int) -> DataFrame:
     shared = records.sparkSession.sparkContext.broadcast(RankIndex(bits.column("b").to_numpy(), bits.column("lcs").to_numpy(), k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = batch.column("body").to_pylist()
-            n = np.array([len(x) for x in bodies], np.int64)
-            codes = np.zeros((len(bodies), int(n.max(initial=0))), np.int64)
-            for i, body in enumerate(bodies):
-                codes[i, : n[i]] = CODES[np.frombuffer(body, np.uint8)]
-            found = shared.value.stream(codes, n)
-            yield window_rows(batch, n - (k - 1), {"pos": found[np.arange(found.shape[1]) < (n - (k - 1))[:, None]]})
+        for batch in cut_rows(batches, k):
+            lanes, codes, lengths = lanes_of(batch, k, STRETCH)
+            found, n = shared.value.stream(codes, lengths), lengths - (k - 1)
+            yield window_rows(lanes, n, {"pos": found[np.arange(found.shape[1]) < n[:, None]]})
 
     return stretched(records, k).mapInArrow(run, "file string, seq_no bigint, offset bigint, pos bigint")
+
+
+def search_to_keys(records: DataFrame, index: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """file, seq_no, offset, pos, key of every k-mer of records: its row, and the key row to which the walk from there leads; -1 where the index lacks it or the walk meets no key.
+
+    The walks of all rows are kept with the index's k-mers, so that a search looks up both numbers at once. In an index that
+    fits no task, rows found are joined with the walks.
+    """
+    index = checkpointed(index)
+    walks = checkpointed(walk_to_keys(index, keys))
+    known = checkpointed(entries(index).join(walks, "pos"))
+    held = small(known, SMALL) if k <= 32 else None
+    if held is None:
+        found = search(records, index, k)
+        return found.join(walks, "pos", "left").select("file", "seq_no", "offset", "pos", F.coalesce("key", F.lit(-1)).cast("bigint").alias("key"))
+    values = {x: held.column(x).to_numpy() for x in ("pos", "key")}
+    shared = records.sparkSession.sparkContext.broadcast(Held(held.column("kmer").to_pylist(), values, k))
+    return looked_up(stretched(records, k), shared)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerlake.operators import routing, search
-from kmerlake.sources import fastx, sinks
+from kmerlake.sources import blocks, fastx, sinks
 
 
 @dataclass
@@ -26,17 +27,13 @@ class Job:
         paths = spark.createDataFrame([(p,) for p in self.inputs + self.outputs], "path string")
         if twice := [r["path"] for r in routing.repeated_paths(paths).collect()]:
             raise ValueError(f"named more than once: {', '.join(sorted(twice))}")
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        sizes = []
-        for p in self.inputs:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            system = path.getFileSystem(conf)
-            if not system.exists(path):
-                raise ValueError(f"no such file: {p}")
-            sizes.append((p, system.getFileStatus(path).getLen()))
-        if empty := [p for p, n in sizes if not n]:
-            raise ValueError(f"empty: {', '.join(empty)}")
-        return spark.createDataFrame(sizes, "file string, size bigint")
+        try:
+            sizes = fastx.file_sizes(spark, self.inputs)
+        except AnalysisException as error:
+            raise ValueError(f"no such file: {error}") from error
+        if empty := [r["file"] for r in sizes.where("size = 0").collect()]:
+            raise ValueError(f"empty: {', '.join(sorted(empty))}")
+        return sizes
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -46,24 +43,16 @@ def qualified(spark: SparkSession, path: str) -> str:
     return re.sub("^file:/+", "file:/", system.makeQualified(p).toString())
 
 
-def read(spark: SparkSession, paths: list[str], k: int, large: bool = False) -> DataFrame:
-    """Records of the files; large splits files over tasks, else a file is one string."""
-    if large:
-        from kmerlake.sources.blocks import read_large
-
-        return read_large(spark, paths, k)
-    return fastx.read_fastx(spark, paths, k)
-
-
-def clean_files(spark: SparkSession, inputs: list[str], outputs: list[str], k: int, large: bool = False) -> DataFrame:
+def clean_files(spark: SparkSession, inputs: list[str], outputs: list[str], k: int) -> DataFrame:
     """Writes for each input a file of its sequences of at least k letters, one a line; returns the streams of files."""
     job = Job(inputs, outputs)
     files = job.check(spark)
-    rows = read(spark, inputs, k, large).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
+    rows = blocks.read_large(spark, inputs, k).withColumn("file", F.regexp_replace("file", "^file:/+", "file:/"))
     sinks.write_sequences(rows, {qualified(spark, i): o for i, o in zip(inputs, outputs, strict=True)})
     return routing.balance(files)
 
 
-def search_files(spark: SparkSession, inputs: list[str], index: DataFrame, k: int, output: str, large: bool = False) -> None:
-    """Writes file, seq_no, offset, pos of every k-mer of the inputs."""
-    sinks.write_hits(search.search(read(spark, inputs, k, large), index, k), output)
+def search_files(spark: SparkSession, inputs: list[str], index: DataFrame, k: int, output: str) -> None:
+    """Writes file, seq_no, offset, pos of every k-mer of the inputs; no row holds a sequence of many blocks."""
+    found = search.Searcher(index, k).over(blocks.stretches(blocks.read_blocks(spark, inputs), k))
+    sinks.write_hits(found, output)

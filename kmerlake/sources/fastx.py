@@ -1,4 +1,4 @@
-"""Sequence records from FASTA and FASTQ text.
+"""Sequence records from FASTA and FASTQ text, by the engine's own functions; files are read by blocks.py.
 
 A record is (file, seq_no, sequence): headers are dropped, the lines of a sequence are joined, and anything but A, C, G
 and T becomes A. Lines end at line feeds only. Grammar, by lines that are not empty: H begins with @ or >, P with +, O is
@@ -8,21 +8,11 @@ An H line that is no quality opens a record; O lines belong to it until the next
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kmerlake.functions import alphabet
 
-RECORD = "file string, seq_no bigint, sequence string"
-
-
-def read_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, value: whole files."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-
 
 def read_path_list(spark: SparkSession, path: str) -> DataFrame:
     """Paths, one a line; blank lines do not count."""
@@ -61,10 +51,6 @@ def records(raw: DataFrame, k: int = 0) -> DataFrame:
     return joined.select("file", "seq_no", alphabet.clean(F.col("sequence")).alias("sequence")).where(F.length("sequence") >= k)
 
 
-def read_fastx(spark: SparkSession, paths: str | list[str], k: int = 0) -> DataFrame:
-    return records(read_text(spark, paths), k)
-
-
 def strict_records(rows: DataFrame) -> DataFrame:
     """Sequences of strict four-line FASTQ, of files as lines (file, ln, line): N becomes A, and carriage returns at the ends of lines are dropped.
 
@@ -79,75 +65,3 @@ def strict_records(rows: DataFrame) -> DataFrame:
     ends = found.groupBy("file").agg(F.min(F.when(~F.coalesce(before, F.lit(False)), F.col("n"))).alias("bad"), F.min(F.when(~F.coalesce(after, F.lit(False)), F.col("n"))).alias("last"))
     kept = found.join(ends, "file").where((F.col("bad").isNull() | (F.col("n") < F.col("bad"))) & (F.col("last").isNull() | (F.col("n") <= F.col("last"))))
     return kept.select("file", (F.col("n") + 1).cast("bigint").alias("seq_no"), "sequence")
-
-
-class Machine:
-    """The same grammar, a line at a time, in memory that does not grow with the file."""
-
-    def __init__(self):
-        self.seq_no, self.parts, self.event, self.p_run, self.quality = 0, [], None, 0, False
-
-    def line(self, line: str) -> str | None:
-        """Takes a line; returns the sequence of a record that it ends."""
-        if not line:
-            return None
-        kind = "H" if line[0] in "@>" else "P" if line[0] == "+" else "O"
-        quality, out = self.quality, None
-        self.p_run = self.p_run + 1 if kind == "P" else 0
-        self.quality = kind == "P" and self.p_run % 2 == 1
-        if not quality and kind != "O":
-            if kind == "H":
-                out, self.parts = "".join(self.parts) if self.seq_no else None, []
-                self.seq_no += 1
-            self.event = kind
-        elif kind == "O" and not quality and self.event == "H":
-            self.parts.append(line)
-        return out
-
-
-def stream_records(chunks: Iterator[str], k: int) -> Iterator[tuple[int, str]]:
-    """(seq_no, sequence) from the pieces of a text in order; piece borders may lie anywhere."""
-    machine, rest = Machine(), ""
-    table = {**{c: "A" for c in range(0x110)}, **{ord(c): c for c in alphabet.LETTERS}}
-
-    def kept(sequence: str | None, seq_no: int):
-        if sequence is not None and len(sequence) >= k and sequence:
-            yield seq_no, "".join(c if c in "ACGT" else "A" for c in sequence) if max(sequence) > "ď" else sequence.translate(table)
-
-    for chunk in chunks:
-        *whole, rest = (rest + chunk).split("\n")
-        for line in whole:
-            yield from kept(machine.line(line), machine.seq_no - 1)
-    yield from kept(machine.line(rest), machine.seq_no - 1)
-    yield from kept("".join(machine.parts) if machine.seq_no else None, machine.seq_no)
-
-
-class FastxSource(DataSource):
-    """spark.read.format("fastx").option("k", 31).load("a.fq,b.fa"): a task for each file, constant memory.
-
-    For files too large for one string; paths must be readable by open() on every machine.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "fastx"
-
-    def schema(self) -> str:
-        return RECORD
-
-    def reader(self, schema) -> DataSourceReader:
-        return FastxReader(self.options)
-
-
-class FastxReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths, self.k = [p for p in options["path"].split(",") if p], int(options.get("k", 0))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value.removeprefix("file://"), encoding="utf-8", errors="replace", newline="\n") as file:
-            for seq_no, sequence in stream_records(iter(lambda: file.read(1 << 20), ""), self.k):
-                yield partition.value, seq_no, sequence
-

@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kmerlake.operators import search
-from kmerlake.sources import fastx
+from kmerlake.sources import blocks
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
-def clean_arrivals(spark: SparkSession, folder: str, output: str, checkpoint: str, k: int, index: DataFrame | None = None, once: bool = False) -> StreamingQuery:
-    """Appends records, or with an index hits, of new files in folder to Parquet; batches that are run again overwrite themselves."""
-    texts = spark.readStream.format("text").option("wholetext", True).load(folder)
-    raw = texts.select(F.col("_metadata.file_path").alias("file"), "value")
+
+def clean_arrivals(spark: SparkSession, folder: str, output: str, checkpoint: str, k: int, index: DataFrame | None = None, once: bool = False, files: int = 1000) -> StreamingQuery:
+    """Appends records, or with an index hits, of new files in folder to Parquet; batches that are run again overwrite themselves.
+
+    The stream is of names, `files` a batch at most; each batch reads its files in blocks, so that a file may be of any size.
+    The index is prepared once.
+    """
+    names = spark.readStream.format("binaryFile").schema(FILES).option("maxFilesPerTrigger", files).load(folder).select("path")
+    searcher = search.Searcher(index, k) if index is not None else None
 
     def put(batch: DataFrame, number: int) -> None:
-        rows = fastx.records(batch, k)
-        rows = search.search(rows, index, k) if index is not None else rows
+        paths = [r["path"] for r in batch.collect()]  # `files` at most
+        if not paths:
+            return
+        if searcher is None:
+            rows = blocks.read_large(spark, paths, k)
+        else:
+            rows = searcher.over(blocks.stretches(blocks.read_blocks(spark, paths), k))
         rows.write.mode("overwrite").parquet(f"{output}/batch={number}")
 
-    writer = raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    writer = names.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

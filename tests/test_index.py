@@ -49,7 +49,7 @@ def test_segments_keep_kmers_and_text(spark):
     segs = K.segments(rows, 31)
     total = segs.agg(F.sum(F.col("seg_end") - F.col("seg_start") - 30 * F.col("is_true_sep").cast("int"))).first()[0]
     assert total == K.kmers(rows, 31).count() == K.kmer_totals(rows, 31).first()["kmers"]
-    lines = [r["line"] for r in K.rejoined(rows, 31).orderBy("seq_no").collect()]
+    lines = [r["line"] for r in K.decoded(rows, 31).orderBy("seq_no").collect()]
     assert lines == [r["sequence"] for r in rows.collect() if len(r["sequence"]) >= 31]
     first = {r["seq_no"]: r["out_start"] for r in K.separators(segs, 31).where("seg_no = 0").collect()}
     done = 0
@@ -119,7 +119,7 @@ def test_two_level_order(spark):
     rnd = random.Random(4)
     words = ["".join(rnd.choice("abc") for _ in range(6)) + str(i) for i in range(300)]
     rows = spark.createDataFrame([(w,) for w in words], "w string")
-    assert [r["w"] for r in ranked(rows, F.left("w", F.lit(2)), F.col("w")).orderBy("pos").collect()] == sorted(words)
+    assert [r["w"] for r in ranked(rows, F.col("w")).orderBy("pos").collect()] == sorted(words)
     numbers = spark.createDataFrame([(i, i % 7) for i in range(300)], "pos bigint, v int")
     assert [r["s"] for r in running(numbers, {"s": F.col("v")}, block=16).orderBy("pos").collect()] == [sum(j % 7 for j in range(i)) for i in range(300)]
 
@@ -131,6 +131,148 @@ def test_balance(spark):
     assert routing.balance(files.limit(0)).count() == 0
 
 
+def filled(files, limit):
+    """Streams of files, filled one after another."""
+    streams = []
+    for file, size in sorted(files, key=lambda f: (f[1], f[0].encode())):
+        if not streams or sum(n for _, n in streams[-1]) > limit:
+            streams.append([])
+        streams[-1].append((file, size))
+    totals = [sum(n for _, n in x) for x in streams]
+    order = sorted(range(len(streams)), key=lambda i: (-totals[i], i))
+    return {f: (order.index(i), totals[i]) for i, x in enumerate(streams) for f, _ in x}
+
+
+@pytest.mark.parametrize("seed,block", [(1, 1), (2, 3), (3, 16), (4, 1000)])
+def test_balance_over_blocks(spark, seed, block):
+    rnd = random.Random(seed)
+    files = [(f"f{i}", rnd.choice([0, 1, 2, 5, 30, 31, 200])) for i in range(rnd.choice([1, 60, 131]))]
+    for limit in (0, 7, 100):
+        got = {r["file"]: (r["stream"], r["stream_total"]) for r in routing.balance(spark.createDataFrame(files, "file string, size bigint"), limit, block).collect()}
+        assert got == filled(files, limit)
+
+
+def test_ranges_of_the_order_are_even_where_keys_lie_close(spark):
+    """Nine in ten k-mers end in the same six letters; no range has over twice the mean."""
+    from kmerlake.operators.order import in_ranges
+
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    kmers = list({text(7) + "ACGTAC" if i % 10 else text(13) for i in range(20_000)} | {"$" * 5 + "ACGTACGT", "$" * 4 + "AACGTACGT", "$" * 13})
+    rows = spark.createDataFrame([(x,) for x in kmers], "kmer string")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in in_ranges(rows, *X.backward(13)).groupBy("__b").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) == 4 and sum(sizes) == len(kmers) and max(sizes) <= 2 * len(kmers) / len(sizes)
+    assert [r["kmer"] for r in ranked(rows, *X.backward(13)).orderBy("pos").collect()] == sorted(kmers, key=lambda x: x[::-1])
+    wide = [text(32) for _ in range(50)] + ["T" * 32, "A" * 32]
+    assert [r["kmer"] for r in ranked(spark.createDataFrame([(x,) for x in wide], "kmer string"), *X.backward(32)).orderBy("pos").collect()] == sorted(wide, key=lambda x: x[::-1])
+
+
+@pytest.mark.parametrize("k,stretch", [(1, 4), (3, 1), (5, 2), (31, 128), (9, 9)])
+def test_stretches_hold_every_window_once(spark, k, stretch):
+    rnd = random.Random(k)
+    texts = ["".join(rnd.choice("ACGT\né") for _ in range(n)) for n in (0, 1, k - 1, k, k + 1, stretch, stretch + k, 4 * stretch, 700)]
+    got = sorted(map(tuple, K.kmers(frame(spark, texts), k, stretch).select("seq_no", "offset", "kmer").collect()))
+    assert got == sorted((i, j, t[j : j + k]) for i, t in enumerate(texts) for j in range(len(t) - k + 1))
+
+
+def test_long_rows_take_no_more_time_a_letter(spark):
+    import time
+
+    def seconds(n):
+        rows = spark.range(1).select(F.lit("f").alias("file"), F.lit(1).cast("bigint").alias("seq_no"), F.repeat(F.lit("ACGGT"), n // 5).alias("sequence"))
+        begun = time.time()
+        assert K.stretches(rows, 31, 128).agg(F.count("*")).first()[0] == -(-(n - 30) // 128)
+        return time.time() - begun
+
+    seconds(1_000_000)
+    short = min(seconds(1_000_000) for _ in range(3))
+    assert seconds(16_000_000) < 2 * 16 * short + 2
+
+
+def test_partitioned_search_is_search(spark):
+    from kmerlake.operators import minimizers
+
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    k = 21
+    refs = [text(2000), "A" * 60, text(300) + "A" * 40 + text(300)]
+    built = X.build(frame(spark, refs), k).cache()
+    queries = [refs[0][100:700] + "N" + refs[2], "A" * 5000, text(1000), "", "ACG", refs[0][:k], "NNNN" * 20, "A" * 3000 + "C" + refs[1]]
+    rows = frame(spark, queries).union(spark.createDataFrame([(None, 3, refs[2]), ("g", 3, refs[0])], "file string, seq_no bigint, sequence string")).repartition(3)
+    key = lambda df: sorted(map(tuple, df.select("file", "seq_no", "offset", "pos").collect()), key=repr)
+    by_join = K.kmers(rows, k).join(search.entries(built), "kmer", "left").select("file", "seq_no", "offset", F.coalesce("pos", F.lit(-1)).alias("pos"))
+    expected = key(by_join)
+    assert key(search.search(rows, built, k)) == expected
+    known = search.entries(built)
+    for options in ({}, {"per_bucket": 100}, {"per_bucket": 50, "most": 60, "windows": 400, "m": 4}, {"most": 10, "windows": 50}):
+        assert key(minimizers.partitioned_search(search.stretched(rows, k), known, k, **options)) == expected, options
+    assert {p for *_, p in key(minimizers.partitioned_search(search.stretched(rows, k), known.limit(0), k))} == {-1}
+    assert key(search.present(rows, built, k).join(known, "kmer").select("file", "seq_no", "offset", "pos")) == [r for r in expected if r[3] >= 0]
+    assert sorted(map(tuple, search.absent(rows, built, k).collect()), key=repr) == sorted(map(tuple, K.kmers(rows, k).join(known, "kmer", "left_anti").select("file", "seq_no", "offset", "kmer").collect()), key=repr)
+
+
+def test_super_kmers_are_small(spark):
+    """What travels is under three bytes a letter, though each letter is in 31 windows."""
+    from kmerlake.operators import minimizers
+
+    rnd = random.Random(9)
+    rows = frame(spark, ["".join(rnd.choice("ACGT") for _ in range(3000)) for _ in range(40)])
+    sent = minimizers.super_kmers(search.stretched(rows, 31), minimizers.SuperKmers(31, 11, 50)).agg(F.sum(F.length("body")), F.sum("n")).first()
+    assert sent[1] == 40 * 2970 and sent[0] < 3 * 40 * 3000
+
+
+@pytest.mark.parametrize("k", [1, 3, 12, 13, 20])
+def test_streams_begin_behind_known_texts(k):
+    """A stream with the table of texts finds the same rows as one without, in fewer steps; both as a dictionary has them."""
+    rnd = random.Random(k)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    ref = text(400)
+    real = {ref[i : i + k] for i in range(len(ref) - k + 1)}
+    sources = {x for x in real if x[:-1] not in {y[1:] for y in real}}
+    nodes = sorted(real | {"$" * (k - n) + x[:n] for x in sources for n in range(k)} | {"$" * k}, key=lambda x: x[::-1])
+    lcs, bits, seen = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), set()
+    after = {x[:-1] + "|" + x[-1] for x in nodes if x[-1] != "$"}
+    for i, x in enumerate(nodes):
+        lcs[i] = next((n for n in range(k) if i == 0 or nodes[i - 1][k - n - 1 :] != x[k - n - 1 :] or "$" in x[k - n - 1 :]), k - 1) if i else 0
+        if x[1:] not in seen:
+            seen.add(x[1:])
+            bits[i] = sum(1 << j for j, c in enumerate("ACGT") if f"{x[1:]}|{c}" in after)
+    queries = [ref[50:130], text(90), ref[:k], ref[10:40] + "N" + ref[20:60], "", "ACG"]
+    width = max(map(len, queries))
+    codes = np.array([["ACGT".find(c) if c in "ACGT" else 4 for c in q.ljust(width, "N")] for q in queries])
+    lengths = np.array([len(q) for q in queries])
+    place = {x: i for i, x in enumerate(nodes)}
+    runs = [search.RankIndex(bits, lcs, k, prefix) for prefix in (1, 12)]
+    for index in runs:
+        found = index.stream(codes, lengths)
+        for row, q in zip(found, queries, strict=True):
+            assert row[: max(0, len(q) - k + 1)].tolist() == [place.get(q[i : i + k], -1) for i in range(len(q) - k + 1)]
+    assert runs[1].steps < runs[0].steps or k == 1
+    assert k < 12 or runs[1].steps < lengths.sum()
+
+
+def test_search_to_keys(spark):
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    built = X.build(frame(spark, [text(200), "ACACACACACAC"]), 5).cache()
+    rows = frame(spark, [text(300), "ACACACACT", ""])
+    keys = built.where("pos % 7 = 0").select("pos")
+    walks = search.walk_to_keys(built, keys)
+    expected = sorted(map(tuple, search.search(rows, built, 5).join(walks, "pos", "left").select("seq_no", "offset", "pos", F.coalesce("key", F.lit(-1)).alias("key")).collect()))
+    for most in (4_000_000, 3):
+        before, search.SMALL = search.SMALL, most
+        try:
+            assert sorted(map(tuple, search.search_to_keys(rows, built, keys, 5).select("seq_no", "offset", "pos", "key").collect())) == expected
+        finally:
+            search.SMALL = before
+    assert any(r[3] >= 0 and r[3] != r[2] for r in expected) and any(r[2] < 0 for r in expected)
+
+
 def test_whole_numbers_and_sizes(spark):
     from kmerlake.functions import alphabet as A
 

@@ -1,4 +1,4 @@
-"""Parsing: the grammar's edge cases, the three readers against each other, writers and the command line."""
+"""Parsing: the grammar's edge cases, the readers against each other, writers and the command line."""
 
 import random
 import struct
@@ -34,11 +34,20 @@ def test_grammar(spark):
     assert parsed(spark, [t for t, _ in CASES], 3) == [e for _, e in CASES]
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 1000])
-def test_machine_in_pieces(size):
-    for text, expected in CASES:
-        pieces = (text[i : i + size] for i in range(0, len(text), size))
-        assert [s for _, s in fastx.stream_records(pieces, 3)] == expected
+@pytest.mark.parametrize("per_split", [1, 2, 3, 1 << 20])
+def test_grammar_in_blocks_of_single_lines(spark, monkeypatch, per_split):
+    """Every line a block, blocks in splits of any number: their maps are composed in two levels."""
+    monkeypatch.setattr(blocks, "PER_SPLIT", per_split)
+    rows = [(str(i), n, line) for i, (t, _) in enumerate(CASES) for n, line in enumerate(t.split("\n"))]
+    own = spark.createDataFrame(rows, "file string, block bigint, value string").repartition(5)
+    found = blocks.records(own, 3).collect()
+    assert [[r["sequence"] for r in sorted((r for r in found if r["file"] == str(i)), key=lambda r: r["seq_no"])] for i in range(len(CASES))] == [e for _, e in CASES]
+    for k in (1, 2, 3, 5):
+        whole = K.kmers(blocks.records(own, k), k).select("file", "seq_no", "offset", "kmer")
+        cut = blocks.stretches(own, k)
+        assert cut.agg(F.max(F.length("body"))).first()[0] < 12 + k
+        parts = K.kmers(cut.select("file", "seq_no", "base", F.col("body").alias("sequence")), k, more=("base",)).select("file", "seq_no", (F.col("base") + F.col("offset")).alias("offset"), "kmer")
+        assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
 
 
 def test_readers_agree_on_random_texts(spark, tmp_path):
@@ -58,12 +67,8 @@ def test_readers_agree_on_random_texts(spark, tmp_path):
         assert lines == {(f"{i:02}.fq", n, line) for i, t in enumerate(texts) if t for n, line in enumerate(t[:-1].split("\n") if t.endswith("\n") else t.split("\n"))}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    window = {(r["file"][-5:], r["seq_no"], r["sequence"]) for r in fastx.read_fastx(spark, str(tmp_path), 1).collect()}
-    machine = {(f"{i:02}.fq", n, s) for i, t in enumerate(texts) for n, s in fastx.stream_records(iter([t]), 1)}
-    assert window == machine == large
-    spark.dataSource.register(fastx.FastxSource)
-    source = spark.read.format("fastx").option("k", 1).load(",".join(str(tmp_path / f"{i:02}.fq") for i in range(60)))
-    assert {(r["file"][-5:], r["seq_no"], r["sequence"]) for r in source.collect()} == machine
+    raw = spark.read.text(str(tmp_path), wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    assert {(r["file"][-5:], r["seq_no"], r["sequence"]) for r in fastx.records(raw, 1).collect()} == large
 
 
 def test_strict(spark):
@@ -102,9 +107,9 @@ def test_command_line(spark, tmp_path):
         (tmp_path / name).write_text(text)
     inputs, outputs = [str(tmp_path / n) for n in ("a.fq", "b.fa", "c.fa")], [str(tmp_path / f"{n}.out") for n in "abc"]
     (tmp_path / "out.list").write_text("\n".join(outputs) + "\n\n")
-    for more in ([], ["--large"]):
-        assert cli.main(["-k", "3", "-i", *inputs, "-of", str(tmp_path / "out.list"), *more]) == 0
-        assert [(tmp_path / f"{n}.out").read_text() for n in "abc"] == ["ACGTACGT\n", "", "GGGTTT\nCCCC\n"]
+    assert cli.main(["-k", "3", "-i", *inputs, "-of", str(tmp_path / "out.list")]) == 0
+    assert [(tmp_path / f"{n}.out").read_text() for n in "abc"] == ["ACGTACGT\n", "", "GGGTTT\nCCCC\n"]
+    assert not list(tmp_path.glob("*.parts-*"))
     assert cli.main(["-k", "3", "-i", *inputs, "-o", outputs[0]]) == 1
     assert cli.main(["-k", "3", "-i", inputs[0], "-o", inputs[0]]) == 1
     assert cli.main(["-k", "3", "-i", str(tmp_path / "none"), "-o", outputs[0]]) == 1
@@ -125,6 +130,11 @@ def test_arrivals(spark, tmp_path):
         (tmp_path / "in" / f"{n}.fa").write_text(text)
         clean_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), 3, once=True).awaitTermination()
     assert sorted(r["sequence"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["ACGT", "TTTT"]
+    from kmerlake.operators import index as X
+
+    built = X.build(spark.createDataFrame([("r", 1, "ACGACT"), ("r", 2, "GGT")], "file string, seq_no bigint, sequence string"), 3)
+    clean_arrivals(spark, str(tmp_path / "in"), str(tmp_path / "hits"), str(tmp_path / "cp2"), 3, built, once=True, files=1).awaitTermination()
+    assert sorted(r["pos"] for r in spark.read.parquet(str(tmp_path / "hits")).collect()) == [-1, -1, -1, 4]
 
 
 def test_index_file(spark, tmp_path):
@@ -145,15 +155,51 @@ def test_index_file(spark, tmp_path):
             index_file.metadata(spark, str(tmp_path / name))
 
 
+def test_index_source_reads_ranges_and_pushes_conditions(spark, tmp_path):
+    n = 300_000
+    bits = spark.range(n, numPartitions=7).select(F.col("id").alias("pos"), *[(F.hash("id", F.lit(x)) % 3 == 0).alias(x) for x in "acgt"])
+    path = str(tmp_path / "many.bin")
+    index_file.write(bits, 9, path)
+    assert (tmp_path / "many.bin").stat().st_size == 8 + 12 + 8 + 4 + 4 * (8 + 8 * -(-n // 64)) + 7 * 8 + 4 * 8 and not list(tmp_path.glob("*.parts-*"))
+    source = index_file.registered(spark).read.format("kmer_index").option("split", 500).load(path)
+    assert source.rdd.getNumPartitions() == -(-(-(-n // 64)) // 500)
+    mark = [F.count("*"), F.sum("pos"), F.bit_xor(F.xxhash64("pos", *"acgt"))]
+    assert source.agg(*mark).first() == bits.agg(*mark).first()
+    for condition in ("pos = 77", "pos >= 70000 and pos < 70130", "pos > 299990", "pos in (3, 200000)", "pos <= 5 and a", "pos < 0", "pos + 1 = 10"):
+        assert source.where(condition).agg(*mark).first() == bits.where(condition).agg(*mark).first(), condition
+    near = source.where("pos >= 70000 and pos < 70130")
+    assert near.rdd.getNumPartitions() == 1 and source.where("pos < 0").count() == 0
+    with pytest.raises(Exception, match="missing"):
+        index_file.write(bits.where("pos < 640 or pos >= 1280"), 9, str(tmp_path / "gap.bin"))
+    assert not (tmp_path / "gap.bin").exists() and not list(tmp_path.glob("*.parts-*"))
+
+
+def test_one_file_is_written_by_several_tasks(spark, tmp_path):
+    from kmerlake.sources import sinks
+
+    rows = spark.range(40_000).select(F.lit("in").alias("file"), F.col("id").alias("seq_no"), F.repeat(F.lit("ACGT"), (F.col("id") % 5).cast("int") + 1).alias("sequence"))
+    rows = rows.union(spark.createDataFrame([("small", 2, "GG"), ("small", 1, "T")], rows.schema))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        named = {"in": str(tmp_path / "a"), "small": str(tmp_path / "b"), "none": str(tmp_path / "c")}
+        ranged = rows.where("file = 'in'").repartitionByRange("seq_no")
+        assert ranged.rdd.getNumPartitions() > 1
+        sinks.write_sequences(rows, named)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert (tmp_path / "a").read_text() == "".join("ACGT" * (i % 5 + 1) + "\n" for i in range(40_000))
+    assert (tmp_path / "b").read_text() == "T\nGG\n" and (tmp_path / "c").read_text() == "" and not list(tmp_path.glob("*.parts-*"))
+
+
 def test_search_command(spark, tmp_path):
     from kmerlake.operators import index as X
 
     index_file.write(X.build(spark.createDataFrame([("r", 1, "ACGACT"), ("r", 2, "GGT")], "file string, seq_no bigint, sequence string"), 3), 3, str(tmp_path / "x"))
     (tmp_path / "q.fa").write_text(">1\nACGTAC\nTGGT\n>2\nAC\n")
-    for more in ([], ["--large"]):
-        assert cli.main(["-x", str(tmp_path / "x"), "-i", str(tmp_path / "q.fa"), "--search", str(tmp_path / "hits"), *more]) == 0
-        hits = spark.read.parquet(str(tmp_path / "hits")).orderBy("offset").collect()
-        assert [(r["seq_no"], r["pos"]) for r in hits] == [(1, p) for p in (4, -1, -1, -1, 6, -1, -1, 7)]
+    assert cli.main(["-x", str(tmp_path / "x"), "-i", str(tmp_path / "q.fa"), "--search", str(tmp_path / "hits")]) == 0
+    hits = spark.read.parquet(str(tmp_path / "hits")).orderBy("offset").collect()
+    assert [(r["seq_no"], r["pos"]) for r in hits] == [(1, p) for p in (4, -1, -1, -1, 6, -1, -1, 7)]
 
 
 def test_totals_match_kmers(spark):
