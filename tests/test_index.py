@@ -273,6 +273,24 @@ def test_search_to_keys(spark):
     assert any(r[3] >= 0 and r[3] != r[2] for r in expected) and any(r[2] < 0 for r in expected)
 
 
+def test_stored_tables_go_with_their_scope(spark):
+    import os
+
+    from kmerlake.operators.lineage import scope, stored
+
+    there = lambda df: os.path.exists(df.stored_at.removeprefix("file:"))
+    with scope():
+        one = stored(spark.range(5).toDF("x"), "one")
+        with pytest.raises(ZeroDivisionError), scope():
+            two = stored(one.where("x > 2"), "two")
+            assert there(one) and there(two) and two.count() == 2
+            1 / 0  # noqa: B018
+        assert there(one) and not there(two)
+    assert not there(one)
+    three = stored(spark.range(3).toDF("x"), "three")
+    assert there(three) and three.count() == 3
+
+
 def test_whole_numbers_and_sizes(spark):
     from kmerlake.functions import alphabet as A
 
