@@ -1,158 +1,230 @@
-"""Language-model scoring by cross-entropy difference.
+"""Language-model scoring by cross-entropy difference, with exact counts.
 
-A target model (documents that labels call good) and a background model (all documents) share one vocabulary, the most
-frequent words of the corpus and an unknown word, and one smoothing: bigram counts, kept in hashed cells, are interpolated
-with unigrams, and these with the uniform distribution. A document is always scored as held-out text: its own counts are
-taken out of the models that it is part of. Its score is the mean over its words of the target model's loss less the
-background model's, in nats: the lower, the nearer to the target.
+A target model (documents that labels call good) and a background model (all documents) share one vocabulary, all words of the
+corpus and an unknown one, and one smoothing: bigram counts are interpolated with unigrams, and these with the uniform
+distribution. A document is always scored as held-out text: its own counts are taken out of the models that it is part of. Its
+score is the mean over its words of the target model's loss less the background model's, in nats: the lower, the nearer to the
+target.
+
+Counts are tables that grow with the corpus; no task and not the driver ever holds them all. Documents are put into lots of a
+few megabytes. A lot asks for each of its different words and pairs of words once, whatever their number in it: sorted keys,
+with the lot's own counts, go to ranges of keys. A range adds the counts that its lots sent and answers each lot in the order of
+its keys, so that an answer needs no keys. With the answers of all ranges a lot scores its documents. A gram that is in every
+document is one key a lot, and a range holds about RANGE keys at every size.
+
+Keys are 64-bit hashes; the lowest bit tells pairs from words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored, texts
+from .common import stored, texts
 
-VOCABULARY = 50_000
-#: Hashed cells for bigram counts; 8 bytes for each cell and model.
-CELLS = 1 << 21
-#: Counted cells in a batch of rows.
-BATCH = 1 << 16
+#: Bytes of texts in a lot, about, and keys that a range gets, about.
+LOT, RANGE = 4 << 20, 1_000_000
+#: Trusted ids up to which they are sent to all tasks: 8 bytes each.
+FEW = 1_000_000
 #: Weight, in observations, of the unigram share in a bigram's probability, and of the uniform share in a unigram's.
 KAPPA, ALPHA = 5.0, 1.0
+BEGIN = np.uint64(0x9E3779B97F4A7C14)
 
 
-@dataclass
-class Models:
-    """words: id of each word of the vocabulary; 0 is the unknown word. uni, bi: counts for (background, target)."""
-
-    words: dict[bytes, int]
-    uni: np.ndarray
-    bi: np.ndarray
+class Words(dict):
+    """The key of each word, as 8 bytes."""
 
-    def losses(self, text: bytes, good: bool) -> tuple[int, float, float]:
-        """(words, background loss, target loss) of a text; the losses are sums in nats. good: the text is part of the target too."""
-        ids = word_ids(text, self.words)
-        if len(ids) < 2:
-            return 0, 0.0, 0.0
-        before, now, n = ids[:-1], ids[1:], len(ids) - 1
-        at = cells(before, now, self.bi.shape[1])
-        own_uni, own_bi, out = own_counts(ids), own_counts(at), []
-        for uni, bi, part in zip(self.uni, self.bi, (1, int(good)), strict=True):
-            words = (uni[now] - part * own_uni[1:] + ALPHA) / (uni[:-1].sum() - part * n + ALPHA * (len(uni) - 1))
-            out.append(float(-np.log((bi[at] - part * own_bi + KAPPA * words) / (uni[before] - part * own_uni[:-1] + KAPPA)).sum()))
-        return n, *out
+    MOST = 300_000
 
+    def __missing__(self, word: bytes) -> bytes:
+        out = (xxhash.xxh3_64_intdigest(word) & ~1).to_bytes(8, "little")
+        if len(word) <= 64:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = out
+        return out
 
-def own_counts(ids: np.ndarray) -> np.ndarray:
-    """How often each of ids is among them."""
-    _, where, n = np.unique(ids, return_inverse=True, return_counts=True)
-    return n[where]
 
+@lru_cache(1)
+def known() -> Words:
+    return Words()
 
-def word_ids(text: bytes, words: dict[bytes, int]) -> np.ndarray:
-    """Ids of a text's words, in lower case, after the mark of a beginning, which is the last id."""
-    get = words.get
-    return np.array([len(words) + 1, *(get(w, 0) for w in text.lower().split())], np.int64)
 
+def pair_keys(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    x = before * np.uint64(0x9E3779B97F4A7C15) + now
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) | np.uint64(1)
 
-def cells(before: np.ndarray, now: np.ndarray, size: int) -> np.ndarray:
-    x = (before.astype(np.uint64) << np.uint64(32) | now.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
+class Grams:
+    """The words of texts, in lower case, each text after the mark of a beginning.
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> dict[bytes, int]:
-    """Ids from 1 for the size most frequent words of all documents; ties go to the lesser word.
+    keys: different keys in order. word: for each place the index of its key; doc: its text. now: places that are no
+    beginning; pair: for each of them the index of the key of the pair that it ends.
+    """
 
-    Words are counted by level of frequency first (at most some 1,000 levels), and only words from the level that completes
-    the vocabulary on are sorted: a plain top-k would send up to `size` words of every partition to one task.
+    def __init__(self, bodies: list[bytes]):
+        get, mark = known().__getitem__, BEGIN.tobytes()
+        parts = [mark + b"".join(map(get, x.lower().split())) for x in bodies]
+        size = np.array([len(p) // 8 for p in parts], np.int64)
+        words = np.frombuffer(b"".join(parts), "<u8")
+        self.doc = np.repeat(np.arange(len(size)), size)
+        later = np.ones(len(words), bool)
+        later[size.cumsum() - size] = False
+        self.now, self.n = np.flatnonzero(later), size - 1
+        self.keys, where = np.unique(np.concatenate([words, pair_keys(words[self.now - 1], words[self.now])]), return_inverse=True)
+        self.word, self.pair = where[: len(words)], where[len(words) :]
+
+    def counts(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key occurs, and how often in good texts."""
+        every, docs = np.concatenate([self.word, self.pair]), np.concatenate([self.doc, self.doc[self.now]])
+        return np.bincount(every, minlength=len(self.keys)), np.bincount(every[good[docs]], minlength=len(self.keys))
+
+    def own(self, where: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """How often each key occurs in its own text."""
+        _, at, n = np.unique(doc * len(self.keys) + where, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def losses(self, counts: list[np.ndarray], parts: list[np.ndarray], totals: list[int], kinds: int) -> list[np.ndarray]:
+        """For each model the losses of the texts, sums in nats. parts: whether each text is part of the model."""
+        doc = self.doc[self.now]
+        word, before, own, own_pair, out = self.word[self.now], self.word[self.now - 1], self.own(self.word, self.doc), self.own(self.pair, doc), []
+        for count, part, total in zip(counts, parts, totals, strict=True):
+            less = part.astype(np.int64)
+            share = (count[word] - less[doc] * own[self.now] + ALPHA) / (total - (less * self.n)[doc] + ALPHA * (kinds + 1))
+            loss = -np.log((count[self.pair] - less[doc] * own_pair + KAPPA * share) / (count[before] - less[doc] * own[self.now - 1] + KAPPA))
+            out.append(np.bincount(doc, loss, len(self.n)))
+        return out
+
+
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """Numbers by bytes, all highest ones first: sorted or small numbers compress well so."""
+    data = values.astype(kind)
+    return np.ascontiguousarray(data.view(np.uint8).reshape(len(data), -1).T[::-1]).tobytes()
+
+
+def unplaned(data: memoryview, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n)[::-1].T).view(kind).ravel()
+
+
+def lots(docs: DataFrame, trusted: DataFrame, size: int = LOT) -> DataFrame:
+    """lot, n_bytes, doc_ids, good, texts: documents in lots of some size bytes, good where doc_id is in trusted.
+
+    Up to FEW trusted ids, which are counted, are sent to all tasks; more are joined by a shuffle.
     """
-    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = texts(docs).select(F.explode(F.split(low, r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    level = F.floor(F.log2("count") * 16).cast("int").alias("level")
-    counted = stored(words.groupBy("word").count().select(F.col("word").cast("binary"), "count", level), "words")
-    above = lowest = 0
-    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():
-        above, lowest = above + r["count"], r["level"]
-        if above >= size:
-            break
-    top = counted.where(F.col("level") >= lowest).orderBy(F.desc("count"), "word").limit(size).select("word").toArrow()
-    release(counted)
-    return {w: i for i, w in enumerate(top.column(0).to_pylist(), 1)}
-
-
-def flagged(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """doc_id, text (bytes), good (its doc_id is in trusted) of every document; both sides of the join are shuffled, as trusted ids may be many."""
     good = trusted.select(F.col("doc_id").cast("bigint").alias("__good")).where("__good is not null").distinct()
+    good = F.broadcast(good) if good.limit(FEW + 1).count() <= FEW else good.hint("merge")
     rows = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.join(good.hint("merge"), F.col("doc_id") == F.col("__good"), "left").select("doc_id", "text", F.col("__good").isNotNull().alias("good"))
-
-
-def fit(rows: DataFrame, words: dict[bytes, int], n_cells: int = CELLS) -> Models:
-    """Both models, counted over all words of all rows of flagged().
+    rows = rows.join(good, F.col("doc_id") == F.col("__good"), "left").select(F.spark_partition_id().alias("task"), "doc_id", F.col("__good").isNotNull().alias("good"), "text")
 
-    Each task sums into arrays of fixed size, and sends the cells in which it counted anything. Sums by cell need no more
-    than a row a cell in any task, and a row for each cell and word of the vocabulary reaches the driver.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(words)
-    n_uni = len(words) + 2
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, done = [], 0, 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        total = np.zeros((2, n_cells + n_uni), np.int64)
-        for batch in batches:
-            for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True):
-                ids = word_ids(text, known)
-                at = np.concatenate([cells(ids[:-1], ids[1:], n_cells), n_cells + ids])
-                where, n = np.unique(at, return_counts=True)
-                total[0, where] += n
-                if good:
-                    total[1, where] += n
-        used = np.flatnonzero(total[0])
-        for begin in range(0, len(used), BATCH):
-            where = used[begin : begin + BATCH]
-            columns = where.astype(np.int32), total[0, where], total[1, where]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "background", "target"])
-
-    counted = rows.select("text", "good").mapInArrow(count, "cell int, background bigint, target bigint")
-    sums = stored(counted.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts")
-    found = sums.toArrow()
-    release(sums)
-    total = np.zeros((2, n_cells + n_uni))  # whole numbers up to 2 ** 53 are exact
-    for i, name in enumerate(("background", "target")):
-        total[i, found.column("cell").to_numpy()] = found.column(name).to_numpy()
-    return Models(words, total[:, n_cells:], total[:, :n_cells])
-
-
-def score(rows: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_words, target_loss, background_loss (nats a word), difference of every row of flagged(); zeros without words."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+        def lot(task: int) -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True))
+            kinds = [pa.list_(t) for t in (pa.int64(), pa.bool_(), pa.binary())]
+            own = [pa.array([list(c)], t) for c, t in zip(columns, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + done]), pa.array([n], pa.int64()), *own], ["lot", "n_bytes", "doc_ids", "good", "texts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        task = 0
         for batch in batches:
-            found = [known.losses(x, good) for x, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist(), strict=True)]
-            n = np.array([x[0] for x in found], np.int64)
-            background, target = (np.array([x[i] for x in found], float) / np.maximum(n, 1) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (n, target, background, target - background))], ["doc_id", "n_words", "target_loss", "background_loss", "difference"])
+            for task, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "doc_id", "good", "text")), strict=True):
+                held.append(row)
+                n += len(row[2])
+                if n >= size:
+                    yield lot(task)
+                    held, n, done = [], 0, done + 1
+        if held:
+            yield lot(task)
 
-    return rows.mapInArrow(run, "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double")
+    return rows.mapInArrow(run, "lot bigint, n_bytes bigint, doc_ids array<bigint>, good array<boolean>, texts array<binary>")
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, size: int = VOCABULARY, n_cells: int = CELLS) -> DataFrame:
-    """score() under models fitted on all of docs; the target are documents with a label quality = 1.
+def asked(lot_rows: DataFrame, ranges: int) -> DataFrame:
+    """range, lot, n, body: each lot's keys of a range in order, and its own counts of them."""
 
-    Null texts count as empty; repeated rows count and are scored each, against one another too; a null doc_id is never in
-    the target. Without a target document the target model is the uniform distribution.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, lot in enumerate(batch.column("lot").to_pylist()):
+                grams = Grams(batch.column("texts")[row].as_py())
+                both, good = grams.counts(np.array(batch.column("good")[row].as_py(), bool))
+                cut = np.flatnonzero(np.r_[True, np.diff(ranges_of(grams.keys, ranges)) > 0])
+                out = [(grams.keys[a:b], both[a:b], good[a:b]) for a, b in zip(cut, [*cut[1:], len(grams.keys)], strict=True)]
+                at = ranges_of(grams.keys[cut], ranges)
+                bodies = [planes(k, "<u8") + planes(c, "<i4") + planes(g, "<i4") for k, c, g in out]
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([lot] * len(out), pa.int64()), pa.array([len(k) for k, _, _ in out], pa.int64()), pa.array(bodies, pa.binary())], ["range", "lot", "n", "body"])
+
+    return lot_rows.select("lot", "good", "texts").mapInArrow(run, "range bigint, lot bigint, n bigint, body binary")
+
+
+def ranges_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def answered(questions: DataFrame) -> DataFrame:
+    """lot, range, n, body: the counts of all lots, in the order of a lot's keys; on a row without a lot the range's different words and their counts."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_numpy()
+        parts = []
+        for body, n in zip(table.column("body"), sizes.tolist(), strict=True):
+            data = memoryview(body.as_buffer())
+            parts.append((unplaned(data, "<u8", n), unplaned(data[8 * n :], "<i4", n), unplaned(data[12 * n :], "<i4", n)))
+        keys = np.concatenate([p[0] for p in parts])
+        order = np.argsort(keys, kind="stable")
+        new = np.r_[True, keys[order][1:] != keys[order][:-1]]
+        where = np.empty(len(keys), np.int64)
+        where[order] = new.cumsum() - 1
+        sums = [np.bincount(where, np.concatenate([p[i] for p in parts])).astype(np.int64) for i in (1, 2)]
+        different = keys[order][new]
+        words = (different & np.uint64(1) == 0) & (different != BEGIN)
+        ends = sizes.cumsum()
+        bodies = [planes(sums[0][where[a:b]], "<i8") + planes(sums[1][where[a:b]], "<i8") for a, b in zip(ends - sizes, ends, strict=True)]
+        said = [int(words.sum()), *(int(s[words].sum()) for s in sums)]
+        many = len(bodies)
+        columns = {
+            "lot": pa.array([*table.column("lot").to_pylist(), None], pa.int64()), "range": pa.array([table.column("range")[0].as_py()] * (many + 1), pa.int64()),
+            "n": pa.array([*sizes.tolist(), 0], pa.int64()), "body": pa.array([*bodies, None], pa.binary()),
+        }
+        return pa.table(columns | {name: pa.array([None] * many + [x], pa.int64()) for name, x in zip(("words", "background", "target"), said, strict=True)})
+
+    return questions.groupBy("range").applyInArrow(meet, "lot bigint, range bigint, n bigint, body binary, words bigint, background bigint, target bigint")
+
+
+SCORES = "doc_id bigint, n_words bigint, target_loss double, background_loss double, difference double"
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, lot: int = LOT, size: int = RANGE) -> DataFrame:
+    """doc_id, n_words, target_loss, background_loss (nats a word), difference of every document under models fitted on all of docs; zeros without words.
+
+    The target are documents with a label quality = 1. Null texts count as empty; repeated rows count and are scored each,
+    against one another too; a null doc_id is never in the target. Without a target document the target model is the uniform
+    distribution. lot: bytes of text that are scored together; size: keys that a task merges, about. Neither changes a score.
     """
-    words = vocabulary(docs, size)
-    rows = stored(flagged(docs, labels.where("quality = 1")), "flagged")
-    return score(rows, fit(rows, words, n_cells))
+    rows = stored(lots(docs, labels.where("quality = 1"), lot), "lots")
+    total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    answers = stored(answered(asked(rows, max(1, -(-total // (6 * size))))), "answers")
+    kinds, *totals = answers.where("lot is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "background", "target")]).first()
+
+    def score(documents: pa.Table, found: pa.Table) -> pa.Table:
+        if not len(documents):
+            return pa.table({c.split()[0]: pa.array([], pa.int64() if "bigint" in c else pa.float64()) for c in SCORES.split(", ")})
+        doc_ids, good = documents.column("doc_ids")[0], np.array(documents.column("good")[0].as_py(), bool)
+        grams = Grams(documents.column("texts")[0].as_py())
+        found = found.sort_by("range")
+        bodies = [(memoryview(x.as_buffer()), n) for x, n in zip(found.column("body"), found.column("n").to_pylist(), strict=True)]
+        counts = [np.concatenate([unplaned(data[8 * i * n :], "<i8", n) for data, n in bodies]) for i in (0, 1)]
+        losses = grams.losses(counts, [np.ones(len(good), bool), good], totals, kinds)
+        background, target = (x / np.maximum(grams.n, 1) for x in losses)
+        return pa.table({"doc_id": pa.array(doc_ids.as_py(), pa.int64()), "n_words": grams.n, "target_loss": target, "background_loss": background, "difference": target - background})
+
+    documents = rows.select("lot", "doc_ids", "good", "texts")
+    return documents.groupBy("lot").cogroup(answers.where("lot is not null").select(F.col("lot").alias("asker"), "range", "n", "body").groupBy("asker")).applyInArrow(score, SCORES)

@@ -196,32 +196,34 @@ def test_line_dedup_of_repeated_rows_and_null_ids(spark):
     assert got == [(False, 0, "a\nb\nc"), (True, 0, ""), (True, 1, "d"), (True, 1, "d")]
 
 
-def test_lm_score(spark):
-    texts = corpus(2)
-    labels = spark.createDataFrame([(i, 1) for i in range(0, 30, 3)] + [(1, 0), (0, 1)], "doc_id bigint, quality int")
-    size, n_cells = 60, 1 << 12
-    counted = Counter(w for t in texts for w in (t or "").encode().lower().split())
-    words = {w: i for i, (w, _) in enumerate(sorted(counted.items(), key=lambda x: (-x[1], x[0]))[:size], 1)}
-    uni, bi = np.zeros((2, size + 2)), np.zeros((2, n_cells))
-    ids = [lm_score.word_ids((t or "").encode(), words) for t in texts]
-    for i, x in enumerate(ids):
-        for m in [0, 1] if i in range(0, 30, 3) else [0]:
-            np.add.at(uni[m], x, 1)
-            np.add.at(bi[m], lm_score.cells(x[:-1], x[1:], n_cells), 1)
-    got = rows_of(lm_score.cross_entropy_difference(frame(spark, texts), labels, size, n_cells))
-    for i, x in enumerate(ids):
-        loss = [0.0, 0.0]
-        at = lm_score.cells(x[:-1], x[1:], n_cells)
+@pytest.mark.parametrize("lot,size", [(1 << 22, 1_000_000), (2_000, 100), (1, 10)])
+def test_lm_score(spark, lot, size):
+    """Scores are those of plain counts, however documents are put into lots and keys into ranges."""
+    texts = [*corpus(2), "only once here", "twice in the corpus", "twice in the corpus"]
+    target = set(range(0, 30, 3))
+    labels = spark.createDataFrame([(i, 1) for i in target] + [(1, 0), (0, 1), (None, 1)], "doc_id bigint, quality int")
+    words = [[None, *(t or "").encode().lower().split()] for t in texts]
+    uni, bi = (Counter(), Counter()), (Counter(), Counter())
+    for i, x in enumerate(words):
+        for m in [0, 1] if i in target else [0]:
+            uni[m].update(x)
+            bi[m].update(zip(x, x[1:], strict=False))
+    kinds, got = len(set(uni[0]) - {None}), rows_of(lm_score.cross_entropy_difference(frame(spark, texts), labels, lot, size))
+    assert len(got) == len(texts)
+    for i, x in enumerate(words):
+        loss, pairs, own = [0.0, 0.0], list(zip(x, x[1:], strict=False)), Counter(x)
+        own_pairs = Counter(pairs)
         for m in (0, 1):
-            part = 1 if m == 0 or i in range(0, 30, 3) else 0  # the text itself is held out
-            for j, (before, now) in enumerate(zip(x[:-1], x[1:], strict=True)):
-                word = (uni[m][now] - part * (x == now).sum() + 1) / (uni[m][:-1].sum() - part * (len(x) - 1) + size + 1)
-                cell = bi[m][at[j]] - part * (at == at[j]).sum()
-                loss[m] -= math.log((cell + 5 * word) / (uni[m][before] - part * (x == before).sum() + 5))
-        n = max(len(x) - 1, 1)
+            part = 1 if m == 0 or i in target else 0  # the text itself is held out
+            total = sum(uni[m].values()) - uni[m][None] - part * len(pairs)
+            for before, now in pairs:
+                word = (uni[m][now] - part * own[now] + 1) / (total + kinds + 1)
+                loss[m] -= math.log((bi[m][before, now] - part * own_pairs[before, now] + 5 * word) / (uni[m][before] - part * own[before] + 5))
+        n = max(len(pairs), 1)
         r = got[i]
-        assert r["n_words"] == len(x) - 1 and np.allclose([r["background_loss"], r["target_loss"], r["difference"]], [loss[0] / n, loss[1] / n, (loss[1] - loss[0]) / n])
-    assert lm_score.cross_entropy_difference(frame(spark, texts).limit(0), labels, size, n_cells).count() == 0
+        assert r["n_words"] == len(pairs) and np.allclose([r["background_loss"], r["target_loss"], r["difference"]], [loss[0] / n, loss[1] / n, (loss[1] - loss[0]) / n])
+    assert got[len(texts) - 1]["background_loss"] < got[len(texts) - 3]["background_loss"]  # another copy is in the corpus
+    assert lm_score.cross_entropy_difference(frame(spark, texts).limit(0), labels, lot, size).count() == 0
 
 
 def greedy(word, pieces):
@@ -454,7 +456,7 @@ def test_very_long_texts_and_clashing_names(spark):
     docs = frame(spark, [long, long + " end", "a b c d", "x" * 1_000_000, None]).withColumns({c: F.lit(1) for c in ("labelled", "body", "quality", "fp", "good", "order", "x", "n")})
     labels = spark.createDataFrame([(0, 1), (2, 0), (3, 0)], "doc_id bigint, quality int").withColumns({c: F.lit("?") for c in ("labelled", "text", "body", "n")})
     assert [r["doc_id"] for r in quality_gam.quality(docs, labels).orderBy("doc_id").collect()] == [0, 1, 2, 3, 4]
-    scored = rows_of(lm_score.cross_entropy_difference(docs, labels, 1000, 1 << 12))
+    scored = rows_of(lm_score.cross_entropy_difference(docs, labels))
     assert [scored[i]["n_words"] for i in range(5)] == [200_000, 200_001, 4, 1, 0]
     prints = rows_of(simhash.near_duplicates(docs))
     assert prints[0]["fingerprint"] == f"{by_bits(long):016x}" and prints[1]["component_id"] == 0
