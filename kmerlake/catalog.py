@@ -50,7 +50,10 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks_of(rows: DataFrame, body) -> DataFrame:
-    """file, block, value: a text for each PER_BLOCK numbers of each source, of its documents in order, which ends without a line feed."""
+    """file, block, value: a text for each PER_BLOCK numbers of each source, of its documents in order, which ends without a line feed.
+
+    A document without a source or number has no place in any file.
+    """
     parts = F.array_sort(F.collect_list(F.struct("seq_no", body.alias("body"))))
     value = F.array_join(F.transform(parts, lambda x: x["body"]), "\n")
     block = F.expr(f"seq_no div {PER_BLOCK * PER_SPLIT} * {blocks.PER_SPLIT} + seq_no div {PER_BLOCK} % {PER_SPLIT}")
@@ -296,7 +299,8 @@ def index_info(spark, sf_dir):
 
 
 _FOUND = f"WITH {_INDEX}, {_SEQ}, {_KMERS}, fd AS (SELECT km.*, coalesce(ix.pos, -1) AS pos FROM km LEFT JOIN ix ON ix.kmer = km.kmer AND NOT ix.is_dummy)"
-_PER_DOCUMENT = _FOUND + """ SELECT file, seq_no, count(*) AS kmers, count(*) FILTER (WHERE pos >= 0) AS hits, CAST(sum(pos) AS BIGINT) AS sum_pos, max(pos) AS max_pos FROM fd GROUP BY file, seq_no"""
+_TOTALS = """ SELECT file, seq_no, count(*) AS kmers, count(*) FILTER (WHERE pos >= 0) AS hits, CAST(sum(pos) AS BIGINT) AS sum_pos, max(pos) AS max_pos FROM fd GROUP BY file, seq_no"""
+_PER_DOCUMENT = _FOUND + _TOTALS
 
 
 def _per_document(found: DataFrame) -> DataFrame:
@@ -321,6 +325,14 @@ def partitioned_search(spark, sf_dir):
     return _per_document(minimizers.partitioned_search(search.stretched(sequences(spark, sf_dir), LENGTH), known, LENGTH, per_bucket=1000))
 
 
+@query(f"""WITH {_FASTQ}, {_INDEX}, {_KMERS.replace('FROM seq WHERE', 'FROM rec WHERE')},
+fd AS (SELECT km.*, coalesce(ix.pos, -1) AS pos FROM km LEFT JOIN ix ON ix.kmer = km.kmer AND NOT ix.is_dummy)""" + _TOTALS)
+def fastx_search(spark, sf_dir):
+    """Files in blocks are searched by stretches, so that no row ever holds a sequence of many blocks."""
+    searcher = search.Searcher(index(spark, sf_dir), LENGTH)
+    return _per_document(searcher.over(blocks.stretches(fastq_blocks(spark, sf_dir), LENGTH)))
+
+
 @query(_PER_DOCUMENT)
 def streaming_search(spark, sf_dir):
     return _per_document(search.streaming_search(sequences(spark, sf_dir), index(spark, sf_dir), LENGTH))
