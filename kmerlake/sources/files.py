@@ -18,6 +18,14 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def created(path: str):
+    """A new file to write to, and the folders above it."""
+    system, inside = opened(path)
+    if above := inside.rpartition("/")[0]:
+        system.create_dir(above)
+    return system.open_output_stream(inside)
+
+
 class Parts:
     """A folder beside a file, for the parts that tasks write; parts of failed attempts stay there until it is deleted."""
 
@@ -25,9 +33,7 @@ class Parts:
         self.folder = f"{path}.parts-{uuid.uuid4().hex}"
 
     def create(self, name: str):
-        system, folder = opened(self.folder)
-        system.create_dir(folder)
-        return system.open_output_stream(f"{folder}/{name}")
+        return created(f"{self.folder}/{name}")
 
     def append(self, names: Iterable[str], file) -> None:
         """Copies parts to the end of an open file."""
@@ -39,6 +45,7 @@ class Parts:
 
     def move(self, name: str, path: str) -> None:
         """A part becomes a file."""
+        created(path).close()
         system, folder = opened(self.folder)
         system.move(f"{folder}/{name}", opened(path)[1])
 

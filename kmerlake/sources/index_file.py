@@ -30,7 +30,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from kmerlake.operators import index as X
 from kmerlake.operators.lineage import checkpointed
 
-from .files import Parts, opened
+from .files import Parts, created, opened
 
 #: Words of each vector that one task reads, and that it turns to rows at a time.
 SPLIT, STEP = 1 << 18, 1 << 11
@@ -195,8 +195,7 @@ class IndexWriter(DataSourceArrowWriter):
                 raise ValueError(f"words {at} to {m.first} are missing")
             at += m.words
         rows = sum(m.rows for m in parts)
-        system, inside = opened(self.path)
-        with system.open_output_stream(inside) as file:
+        with created(self.path) as file:
             for word in VERSIONS:
                 file.write(struct.pack("<Q", len(word)) + word.encode())
             for x in X.LETTERS:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from .files import Parts, opened
+from .files import Parts, created
 
 
 class LineFiles(DataSource):
@@ -77,8 +77,7 @@ class LineWriter(DataSourceArrowWriter):
             if len(names) == 1:
                 self.parts.move(names[0], path)
             else:
-                system, inside = opened(path)
-                with system.open_output_stream(inside) as file:
+                with created(path) as file:
                     self.parts.append(names, file)
         self.parts.delete()
 

@@ -182,14 +182,14 @@ def test_one_file_is_written_by_several_tasks(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        named = {"in": str(tmp_path / "a"), "small": str(tmp_path / "b"), "none": str(tmp_path / "c")}
+        named = {"in": str(tmp_path / "a"), "small": str(tmp_path / "b"), "none": str(tmp_path / "new" / "c")}
         ranged = rows.where("file = 'in'").repartitionByRange("seq_no")
         assert ranged.rdd.getNumPartitions() > 1
         sinks.write_sequences(rows, named)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert (tmp_path / "a").read_text() == "".join("ACGT" * (i % 5 + 1) + "\n" for i in range(40_000))
-    assert (tmp_path / "b").read_text() == "T\nGG\n" and (tmp_path / "c").read_text() == "" and not list(tmp_path.glob("*.parts-*"))
+    assert (tmp_path / "b").read_text() == "T\nGG\n" and (tmp_path / "new" / "c").read_text() == "" and not list(tmp_path.glob("*.parts-*"))
 
 
 def test_search_command(spark, tmp_path):
