@@ -8,16 +8,16 @@ stays one of the separators around a passage is kept, one with a line feed if th
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import StringType
 
 from .common import WORD, release, stored
-from .suffix_dedup import bounds, joined, keyed, repeated_starts, screened
+from .suffix_dedup import bounds, joined, keyed, pieces, repeated_starts, screened
 
 #: Words of a passage: over 50.
 WORDS = 51
@@ -29,7 +29,7 @@ _WORD = re.compile(WORD.encode())
 class Numbers(dict):
     """The number of each word, as WIDTH bytes."""
 
-    MOST = 500_000
+    MOST = 200_000
 
     def __missing__(self, word: bytes) -> bytes:
         out = xxhash.xxh3_64_digest(word)[:WIDTH]
@@ -40,13 +40,14 @@ class Numbers(dict):
         return out
 
 
-NUMBERS = Numbers()
+@lru_cache(1)
+def known() -> Numbers:
+    return Numbers()
 
 
-@F.arrow_udf(BinaryType())
-def numbered(texts: pa.Array) -> pa.Array:
-    """The numbers of a text's words in a row; the words are those that ASCII white space separates."""
-    return pa.array([b"".join(map(NUMBERS.__getitem__, bytes(x.as_buffer()).split())) for x in texts], pa.binary())
+def numbers(text: bytes) -> bytes:
+    """The numbers of a text's words in a row; words are what ASCII white space separates."""
+    return b"".join(map(known().__getitem__, text.split()))
 
 
 def without_words(text: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -70,19 +71,24 @@ def without_words(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def cutter(words: int):
-    """A function of (text, ranges of starts in bytes of its numbers): the text without the words that its passages cover."""
+    """A function of (text, ranges of starts in bytes of its numbers, whether the text is there several times): the text without its repeated passages."""
 
     @F.arrow_udf(StringType())
-    def cut(texts: pa.Array, starts: pa.Array) -> pa.Array:
+    def cut(texts: pa.Array, starts: pa.Array, several: pa.Array) -> pa.Array:
         out = []
-        for text, ranges in zip(texts, starts, strict=True):
-            if not text.is_valid or not ranges.is_valid:
+        for text, ranges, twice in zip(texts, starts, several.to_pylist(), strict=True):
+            if not text.is_valid:
                 out.append(None)
                 continue
-            low, high = joined(*(lambda a, b: (a, b + words * WIDTH - 1))(*bounds(ranges)))
-            begin, end = -(-low // WIDTH), (high + 1) // WIDTH
-            some = end > begin
-            out.append(without_words(bytes(text.as_buffer()), list(zip(begin[some].tolist(), end[some].tolist(), strict=True))).decode())
+            data = bytes(text.as_buffer())
+            if twice and len(data.split()) >= words:
+                data = b""
+            elif ranges.is_valid:
+                low, high = joined(*(lambda a, b: (a, b + words * WIDTH - 1))(*bounds(ranges)))
+                begin, end = -(-low // WIDTH), (high + 1) // WIDTH
+                some = end > begin
+                data = without_words(data, list(zip(begin[some].tolist(), end[some].tolist(), strict=True)))
+            out.append(data.decode())
         return pa.array(out, pa.string())
 
     return cut
@@ -91,26 +97,30 @@ def cutter(words: int):
 def without_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs whose texts lack every word of each passage of `words` words that starts anywhere else, in another text or the same.
 
-    Words are what ASCII white space separates; a passage is told by its words alone. Texts with the same words, of at least
-    `words`, become empty. All else stays byte by byte, but for one of the separators around what goes. Null texts stay null,
-    and texts with fewer words stay as they are. Repeated rows hold each other's passages. Columns may have any names.
+    Words are what ASCII white space separates; a passage is told by its words alone. Texts of several rows become empty, if
+    they have a passage. All else stays byte by byte, but for one of the separators around what goes. Null texts stay null, and
+    texts with fewer words stay as they are. Repeated rows hold each other's passages. Columns may have any names.
     """
-    body = numbered(F.coalesce(docs["text"], F.lit("")).cast("binary"))
-    rows = keyed(docs.select(docs["doc_id"], body.alias("text")))
+    rows = keyed(docs)
     classes = stored(rows.groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.lit(-1)).alias("least"), F.count("*").alias("copies")), "texts")
-    texts = screened(rows, classes, words * WIDTH)
-    found = repeated_starts(texts, words * WIDTH)
-    what = classes.join(texts.join(found, "doc").select("k1", "k2", "starts"), ["k1", "k2"], "left").where("copies > 1 or starts is not null")
+    texts, read = screened(rows, classes, words * WIDTH, numbers)
+    open_parts = stored(pieces(texts, words * WIDTH, numbers, ("doc", "k1", "k2")), "open-parts")
+    for old in read:
+        release(old)
+    found = repeated_starts(open_parts.select("doc", "base", "body"), words * WIDTH)
+    starts = open_parts.select("doc", "k1", "k2").distinct().join(found, "doc").select("k1", "k2", "starts")
+    what = classes.join(starts, ["k1", "k2"], "left").where("copies > 1 or starts is not null")
     what = stored(what.select(*[F.col(c).alias(f"__{c}") for c in ("k1", "k2", "copies", "starts")]), "passages")
-    for old in (classes, texts, found):
+    for old in (classes, open_parts, found):
         release(old)
     names = [f"__{i}" for i in range(len(docs.columns))]  # whatever the columns are called, even alike
-    own = docs.toDF(*names)
-    text = names[docs.columns.index("text")]
-    own = own.withColumn("__body", numbered(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    own = own.withColumns({"__a": F.xxhash64("__body"), "__b": F.shiftleft(F.hash("__body").cast("bigint"), 32).bitwiseXOR(F.length("__body").cast("bigint")), "__n": F.length("__body")}).drop("__body")
+    own, text = docs.toDF(*names), names[docs.columns.index("text")]
+    own = own.withColumn("__body", F.coalesce(F.col(text), F.lit("")).cast("binary")).withColumns({
+        "__a": F.xxhash64("__body"),
+        "__b": F.shiftleft(F.hash("__body").cast("bigint"), 32).bitwiseXOR(F.length("__body").cast("bigint")),
+    }).drop("__body")
     out = own.join(what, (F.col("__a") == F.col("__k1")) & (F.col("__b") == F.col("__k2")), "left")
-    whole = (F.col("__copies") > 1) & (F.col("__n") >= words * WIDTH)
-    cut = cutter(words)(F.when(~whole, F.col(text)).cast("binary"), F.col("__starts"))
-    new = F.when(whole & F.col(text).isNotNull(), F.lit("")).when(F.col("__starts").isNotNull(), cut).otherwise(F.col(text))
+    there = F.col("__copies").isNotNull()
+    cut = cutter(words)(F.when(there, F.col(text)).cast("binary"), F.col("__starts"), F.col("__copies") > 1)
+    new = F.when(there, cut).otherwise(F.col(text))
     return out.select(*[(new if n == text else F.col(n)).alias(c) for n, c in zip(names, docs.columns, strict=True)])

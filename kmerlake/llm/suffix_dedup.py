@@ -122,10 +122,13 @@ def marks_of(text: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """name, k1, k2, low, high of the marks of every text; texts of a batch that are equal are read once.
+def marks(rows: DataFrame, length: int, gram: int, letters_of=None) -> DataFrame:
+    """name, k1, k2, low, high, known of the marks of every text; texts of a batch that are equal are read once.
 
-    Short texts of a batch are hashed side by side in slices, which costs little per text.
+    known: the name is another mark's in the same batch too, so that nobody else need be asked.
+
+    Short texts of a batch are hashed side by side in slices, which costs little per text. letters_of: a function of a text's
+    bytes, whose result is searched in place of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +136,12 @@ def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
             seen, out, group, size = set(), [], [], 0
             k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
             for key, body in zip(zip(k1, k2, strict=True), batch.column("body"), strict=True):
-                if key in seen or len(data := body.as_buffer()) < length:
+                if key in seen:
                     continue
+                data = letters_of(bytes(body.as_buffer())) if letters_of else body.as_buffer()
                 seen.add(key)
+                if len(data) < length:
+                    continue
                 group.append((key, np.frombuffer(data, np.uint8)))
                 size += len(data)
                 if size >= SLICE:
@@ -144,12 +150,13 @@ def marks(rows: DataFrame, length: int, gram: int) -> DataFrame:
             out += side_by_side(group, length, gram)
             if out:
                 name, a, b, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
+                _, where, n = np.unique(name, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(a), pa.array(b), pa.array(low, pa.int32()), pa.array(high, pa.int32())],
-                    ["name", "k1", "k2", "low", "high"],
+                    [pa.array(name.view(np.int64)), pa.array(a), pa.array(b), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(n[where] > 1)],
+                    ["name", "k1", "k2", "low", "high", "known"],
                 )
 
-    return rows.select("k1", "k2", "body").mapInArrow(run, "name bigint, k1 bigint, k2 bigint, low int, high int")
+    return rows.select("k1", "k2", "body").mapInArrow(run, "name bigint, k1 bigint, k2 bigint, low int, high int, known boolean")
 
 
 def side_by_side(group: list, length: int, gram: int) -> list[tuple]:
@@ -409,20 +416,25 @@ def gram_of(length: int) -> int:
     return length * 8 // 25
 
 
-def pieces(texts: DataFrame, length: int) -> DataFrame:
-    """doc, base, body of each run of open starts (text, open) of texts; runs of over SLICE starts in several pieces."""
+def pieces(texts: DataFrame, length: int, letters_of=None, keep: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Columns keep (longs), base, body of each run of open starts (body, open) of texts; runs of over SLICE starts in several pieces.
+
+    letters_of: as in marks(); open refers to its results, of which pieces are cut.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, body, ranges in zip(batch.column("doc").to_pylist(), batch.column("body"), batch.column("open"), strict=True):
-                data = memoryview(body.as_buffer())
+            row, out = [], []
+            for i, (body, ranges) in enumerate(zip(batch.column("body"), batch.column("open"), strict=True)):
+                data = memoryview(letters_of(bytes(body.as_buffer())) if letters_of else body.as_buffer())
                 for a, b in zip(*joined(*bounds(ranges)), strict=True):
-                    out += [(doc, at, bytes(data[at : min(at + SLICE - 1, b) + length])) for at in range(int(a), int(b) + 1, SLICE)]
-            columns = list(zip(*out, strict=True)) if out else [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "base", "body"])
+                    own = [(at, bytes(data[at : min(at + SLICE - 1, b) + length])) for at in range(int(a), int(b) + 1, SLICE)]
+                    out += own
+                    row += [i] * len(own)
+            columns, at = list(zip(*out, strict=True)) if out else [()] * 2, pa.array(row, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary())], [*keep, "base", "body"])
 
-    return texts.select("doc", "body", "open").mapInArrow(run, "doc bigint, base int, body binary")
+    return texts.select(*keep, "body", "open").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in keep), "base int", "body binary"]))
 
 
 def bounds(ranges) -> tuple[np.ndarray, np.ndarray]:
@@ -432,8 +444,8 @@ def bounds(ranges) -> tuple[np.ndarray, np.ndarray]:
     return tuple(ranges.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
 
 
-def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
-    """doc, starts: of each of texts (doc, body, open) the ranges of starts whose strings start anywhere else among open starts."""
+def repeated_starts(found_pieces: DataFrame, length: int) -> DataFrame:
+    """doc, starts: of each doc of pieces() (doc, base, body) the ranges of starts whose strings start anywhere else among open starts."""
     cover = Cover(length)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +455,7 @@ def repeated_starts(texts: DataFrame, length: int) -> DataFrame:
                 columns = pa.array(name.view(np.int64)), pa.array(sid), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(still)
                 yield pa.RecordBatch.from_arrays(list(columns), ["name", "sid", "low", "high", "still"])
 
-    own = stored(pieces(texts, length).select(F.monotonically_increasing_id().alias("sid"), "doc", "base", "body"), "pieces")
+    own = stored(found_pieces.select(F.monotonically_increasing_id().alias("sid"), "doc", "base", "body"), "pieces")
     total = own.agg(F.sum(F.length("body").cast("bigint"))).first()[0] or 0
     ranges = max(4, -(-total // (4 * RANGE)))
     triples = repeated(own.select("sid", "body"), cover.sampled_triples, ranges)
@@ -518,20 +530,23 @@ def keyed(docs: DataFrame) -> DataFrame:
     })
 
 
-def screened(rows: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """doc (a number), k1, k2, body, open: one text of each class, and its starts whose mark is a mark elsewhere too."""
-    all_marks = stored(marks(rows, length, gram_of(length)), "marks")
+def screened(rows: DataFrame, classes: DataFrame, length: int, letters_of=None) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc (a number), k1, k2, body, open: one text of each class, and its starts whose mark is a mark elsewhere too; stored tables that this reads).
+
+    letters_of: as in marks(); open refers to its results. doc is another number each time this is evaluated.
+    """
+    all_marks = stored(marks(rows, length, gram_of(length), letters_of), "marks")
     place = F.struct("k1", "k2", "low")
-    twice = all_marks.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b")
+    asks = F.count(F.when(~F.col("known"), 1)).alias("n")
+    twice = all_marks.groupBy("name").agg(F.min(place).alias("a"), F.max(place).alias("b"), asks).where("a <> b and n > 0")
     twice = stored(twice.select("name", "n"), "mark-names")
-    ranges = join_in_parts(all_marks, twice, ["name"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("open"))
+    told = join_in_parts(all_marks.where("not known").drop("known"), twice, ["name"]).select("k1", "k2", "low", "high")
+    ranges = told.union(all_marks.where("known").select("k1", "k2", "low", "high")).groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("open"))
     chosen = ranges.join(classes, ["k1", "k2"]).select("k1", "k2", "least", "open")
-    bodies = rows.where(F.length("body") >= length).select(F.coalesce("doc_id", F.lit(-1)).alias("least"), "k1", "k2", "body")
+    bodies = rows.select(F.coalesce("doc_id", F.lit(-1)).alias("least"), "k1", "k2", "body")
+    bodies = bodies if letters_of else bodies.where(F.length("body") >= length)
     texts = bodies.join(chosen, ["least", "k1", "k2"]).dropDuplicates(["least", "k1", "k2"])
-    texts = stored(texts.select(F.monotonically_increasing_id().alias("doc"), "k1", "k2", "body", "open"), "candidates")
-    release(all_marks)
-    release(twice)
-    return texts
+    return texts.select(F.monotonically_increasing_id().alias("doc"), "k1", "k2", "body", "open"), [all_marks, twice]
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -543,8 +558,11 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame
     rows = keyed(docs)
     least = F.coalesce(F.min("doc_id"), F.lit(-1)).alias("least")
     classes = stored(rows.groupBy("k1", "k2").agg(least, F.count("*").alias("copies")), "texts")
-    texts = screened(rows, classes, length)
-    found = repeated_starts(texts, length)
+    texts, read = screened(rows, classes, length)
+    texts = stored(texts, "candidates")
+    for old in read:
+        release(old)
+    found = repeated_starts(pieces(texts, length), length)
     cuts = stored(cut(texts.join(found, "doc"), length), "cuts")
     release(texts)
     release(found)
