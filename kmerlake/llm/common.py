@@ -26,12 +26,12 @@ def join_in_parts(rows: DataFrame, keys: DataFrame, names: list[str]) -> DataFra
     keys: a stored table of unique keys with n, the number of rows of each; n is not returned.
     """
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    is_hot = F.col("n") * HOT > total
-    hot = keys.where(is_hot).select(*names, F.lit(True).alias("__hot"))
-    part = F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))).otherwise(0)
-    rows = rows.join(F.broadcast(hot), names, "left").withColumn("__part", part.cast("int")).drop("__hot")
+    hot = [r[0] for r in keys.where(F.col("n") * HOT > total).select(F.xxhash64(*names)).collect()]  # fewer than HOT
+    is_hot = F.xxhash64(*names).isin(hot) if hot else F.lit(False)
+    part = F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS))).otherwise(0)
     parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    return rows.join(keys.withColumn("__part", F.explode(parts)).drop("n"), [*names, "__part"]).drop("__part")
+    keys = keys.withColumn("__part", F.explode(parts)).drop("n")
+    return rows.withColumn("__part", part.cast("int")).join(keys, [*names, "__part"]).drop("__part")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
