@@ -143,11 +143,11 @@ def filled(files, limit):
     return {f: (order.index(i), totals[i]) for i, x in enumerate(streams) for f, _ in x}
 
 
-@pytest.mark.parametrize("seed,block", [(1, 1), (2, 3), (3, 16), (4, 1000)])
+@pytest.mark.parametrize("seed,block", [(2, 1), (3, 7), (4, 1000)])
 def test_balance_over_blocks(spark, seed, block):
     rnd = random.Random(seed)
     files = [(f"f{i}", rnd.choice([0, 1, 2, 5, 30, 31, 200])) for i in range(rnd.choice([1, 60, 131]))]
-    for limit in (0, 7, 100):
+    for limit in (0, 40):
         got = {r["file"]: (r["stream"], r["stream_total"]) for r in routing.balance(spark.createDataFrame(files, "file string, size bigint"), limit, block).collect()}
         assert got == filled(files, limit)
 

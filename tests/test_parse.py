@@ -34,7 +34,7 @@ def test_grammar(spark):
     assert parsed(spark, [t for t, _ in CASES], 3) == [e for _, e in CASES]
 
 
-@pytest.mark.parametrize("per_split", [1, 2, 3, 1 << 20])
+@pytest.mark.parametrize("per_split", [1, 3])
 def test_grammar_in_blocks_of_single_lines(spark, monkeypatch, per_split):
     """Every line a block, blocks in splits of any number: their maps are composed in two levels."""
     monkeypatch.setattr(blocks, "PER_SPLIT", per_split)
@@ -42,7 +42,7 @@ def test_grammar_in_blocks_of_single_lines(spark, monkeypatch, per_split):
     own = spark.createDataFrame(rows, "file string, block bigint, value string").repartition(5)
     found = blocks.records(own, 3).collect()
     assert [[r["sequence"] for r in sorted((r for r in found if r["file"] == str(i)), key=lambda r: r["seq_no"])] for i in range(len(CASES))] == [e for _, e in CASES]
-    for k in (1, 2, 3, 5):
+    for k in (1, 4):
         whole = K.kmers(blocks.records(own, k), k).select("file", "seq_no", "offset", "kmer")
         cut = blocks.stretches(own, k)
         assert cut.agg(F.max(F.length("body"))).first()[0] < 12 + k
