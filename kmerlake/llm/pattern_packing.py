@@ -4,8 +4,9 @@
    numbers its pieces of each length, and running sums over tasks make that the piece's rank among all pieces of its length.
 2. The histogram of lengths, at most `window` numbers, is all that the driver sees. Patterns of up to three lengths that
    fill a window exactly are enumerated; how often to repeat each is fitted to the histogram by non-negative least squares
-   (multiplicative updates, weighted by length) and rounded, never to more pieces than there are.
-3. Pieces beyond the rounded patterns, the residuals, are packed best fit, longest first, as counts: one step places all
+   (multiplicative updates, weighted by length) and rounded, never to more pieces than there are. A share of each length is
+   kept from the fit.
+3. That share and what the rounded patterns leave, the residuals, are packed best fit, longest first, as counts: one step places all
    pieces of a length that go into sequences with the same room.
 4. Each pattern takes a range of ranks of each of its lengths, so that a piece finds its sequence and offset in that small
    table, whose size is bounded by the window, by its length and rank alone.
@@ -29,6 +30,8 @@ from .common import stored, texts
 WINDOW = 2048
 #: Rounds of the fit.
 ROUNDS = 200
+#: Share of the pieces of each length that no pattern takes, so that the residuals have all lengths to fill gaps with.
+KEPT = 0.2
 PIECE = "task int, rank bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 
@@ -162,10 +165,12 @@ def best_fit(counts: np.ndarray, window: int) -> list[tuple[tuple[tuple[int, int
 
 def slots(counts: np.ndarray, window: int) -> np.ndarray:
     """Rows (length, first rank, first sequence, copies in a sequence, offset), by length and rank: where the pieces of each length go."""
-    few, left = rounded(rows := patterns(counts, window), fitted(rows, counts), counts)
+    given = np.ceil(counts * (1 - KEPT)).astype(np.int64)
+    rows = patterns(given, window)
+    few, left = rounded(rows, fitted(rows, given), given)
     contents = [(tuple((v, p.count(v)) for v in dict.fromkeys(p)), n) for p, n in few]
     used, sequence, out = [0] * (window + 1), 0, []
-    for inside, n in contents + best_fit(left, window):
+    for inside, n in contents + best_fit(left + counts - given, window):
         offset = 0
         for length, copies in inside:
             out.append((length, used[length], sequence, copies, offset))
