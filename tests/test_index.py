@@ -37,6 +37,12 @@ def test_packing(spark):
     assert [tuple(x) for x in row(A.invalid_runs(F.lit("NNACxGT-")))[0]] == [(0, 2), (4, 1), (7, 1)] and row(A.invalid_runs(F.lit("ACG")))[0] == []
 
 
+def test_a_word_of_the_highest_bit_alone(spark):
+    s = "C" * 32 + "A" * 31 + "G"
+    words, back = spark.range(1).select(A.pack_words(F.lit(s)), A.unpack_words(A.pack_words(F.lit(s)), F.lit(64))).first()
+    assert words[1] == -(2**63) and back == s
+
+
 def test_segments(spark):
     rows = K.segments(frame(spark, ["A" * n for n in SEGMENTS]), 31).collect()
     for i, n in enumerate(SEGMENTS):
