@@ -65,6 +65,11 @@ def test_segments_keep_kmers_and_text(spark):
             done += len(r["sequence"]) - 30
 
 
+def test_decoded_segments_with_a_word_of_the_highest_bit_alone(spark):
+    s = "T" * 96 + "A" * 31 + "G" + "C" * 128
+    assert [r["line"] for r in K.decoded(frame(spark, [s]), 31).collect()] == [s]
+
+
 def test_golden_index(spark):
     built = X.build(frame(spark, ["ACGACT", "GGT"]), 3)
     rows = built.orderBy("pos").collect()
