@@ -191,6 +191,24 @@ def test_stretches_hold_every_window_once(spark, k, stretch):
     assert got == sorted((i, j, t[j : j + k]) for i, t in enumerate(texts) for j in range(len(t) - k + 1))
 
 
+@pytest.mark.parametrize("k,whole", [(1, 40), (5, 64), (31, 1 << 20), (32, 100), (33, 100)])
+def test_summaries_of_kmers(spark, k, whole):
+    """As their rows say, also of keys of several rows, null keys, long rows and letters that are none; settled rows exchange no k-mer."""
+    rnd = random.Random(k)
+    text = lambda n, letters="ACGT": "".join(rnd.choice(letters) for _ in range(n))
+    rows = [("f", i, text(rnd.randrange(1, 90))) for i in range(20)] + [("f", 3, text(80)), (None, 3, text(70)), (None, None, text(60)), (None, None, text(60)), ("g", 1, text(200)), ("g", 2, text(90, "ACGTN")), ("g", 3, "T" * 80), ("g", 4, None)]
+    found = K.kmer_summaries(spark.createDataFrame(rows, "file string, seq_no bigint, sequence string"), k, whole)
+    expected = {}
+    for file, seq_no, s in rows:
+        for i in range(len(s or "") - k + 1):
+            expected.setdefault((file, seq_no), []).append((i, s[i : i + k]))
+    expected = {key: (len(x), len({w for _, w in x}), min(w for _, w in x), max(w for _, w in x), sum(i for i, _ in x)) for key, x in expected.items()}
+    got = [tuple(r) for r in found.select("file", "seq_no", "kmers", "distinct_kmers", "least", "greatest", "offsets").collect()]
+    assert len(got) == len(expected) and {r[:2]: r[2:] for r in got} == expected
+    settled = K.kmer_summaries(frame(spark, [text(90) for _ in range(5)]), 31)
+    assert "Exchange" not in settled._jdf.queryExecution().executedPlan().toString()
+
+
 def test_long_rows_take_no_more_time_a_letter(spark):
     import time
 
