@@ -245,6 +245,24 @@ def test_partitioned_search_is_search(spark):
     assert sorted(map(tuple, search.absent(rows, built, k).collect()), key=repr) == sorted(map(tuple, K.kmers(rows, k).join(known, "kmer", "left_anti").select("file", "seq_no", "offset", "kmer").collect()), key=repr)
 
 
+@pytest.mark.parametrize("most", [4_000_000, 10])
+def test_totals_of_absent_kmers(spark, monkeypatch, most):
+    """As rows of absent k-mers say; beside a small index a row of a sequence, and not of a k-mer, is what the sum is made of."""
+    monkeypatch.setattr(search, "SMALL", most)
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    k, ref = 11, text(400)
+    built = X.build(frame(spark, [ref]), k).cache()
+    rows = frame(spark, [ref[:200], text(300), "", ref[50:90] + text(60), "T" * 40, text(5)]).union(frame(spark, [ref[10:300]], "known")).union(frame(spark, ["NN" + ref[:60] + "NaN" + ref[80:99], "ACGTNACGTAC"], "odd"))
+    rows = rows.union(spark.createDataFrame([(None, 1, text(90)), ("none", 1, None)], "file string, seq_no bigint, sequence string"))
+    got = search.absent_totals(rows, built, k)
+    expected = search.absent(rows, built, k).groupBy("file").agg(F.count("*"), F.min("kmer"), F.max("kmer"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+    assert {r["file"] for r in got.collect()} == {"f", "odd", None}
+    if most > 10:
+        assert "kmer" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_super_kmers_are_small(spark):
     """What travels is under three bytes a letter, though each letter is in 31 windows."""
     from kmerlake.operators import minimizers
