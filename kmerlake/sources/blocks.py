@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from kmerlake.functions import alphabet
 from kmerlake.operators.lineage import checkpointed
+from kmerlake.operators.windows import in_slices
 
 PLAIN, MARKER, EVEN = 0, 1, 2
 NONE, HEADER, PLUS = 0, 1, 2
@@ -158,7 +159,7 @@ def parts_of(blocks: DataFrame) -> DataFrame:
     """file, block, seq_no, part, whole of the records of files in blocks, what parsed() finds, clean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "value"):
             row, out = [], []
             columns = (batch.column(c).to_pylist() for c in ("value", "state", "base"))
             for i, (value, state, base) in enumerate(zip(*columns, strict=True)):

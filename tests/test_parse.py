@@ -206,3 +206,35 @@ def test_totals_match_kmers(spark):
     rows = spark.createDataFrame([("f", 1, "ACGTACGT"), ("f", 2, "AC")], "file string, seq_no bigint, sequence string")
     assert K.kmer_totals(rows, 3).first()["kmers"] == K.kmers(rows, 3).count() == 6
     assert K.kmers(rows, 3, stretch=2).orderBy("offset").agg(F.collect_list("kmer")).first()[0] == ["ACG", "CGT", "GTA", "TAC", "ACG", "CGT"]
+
+
+def test_blocks_of_a_large_batch_are_parsed_in_slices(spark, monkeypatch):
+    """What a task holds beside a batch follows the slice, however many bytes the engine puts in a batch."""
+    import pyarrow as pa
+
+    from kmerlake.operators.windows import in_slices
+
+    values = ["A" * n for n in (0, 10, 400, 90, 5, 5)] + [None]
+    batch = pa.record_batch({"value": pa.array(values, pa.string()), "i": pa.array(range(7))})
+    found = list(in_slices(iter([batch, batch.slice(0, 0)]), "value", 100))
+    assert [x.column("i").to_pylist() for x in found] == [[0, 1], [2], [3, 4, 5, 6]]
+    assert all(len(x) == 1 or sum(len(v or "") for v in x.column("value").to_pylist()) <= 100 for x in found)
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    rows = Rows()
+    monkeypatch.setattr(blocks, "block_maps", lambda b: b)
+    monkeypatch.setattr(blocks, "entries", lambda m: m)
+    blocks.parts_of(rows)
+    value = "@a\n" + ("ACGT" * 15 + "\n") * 17_000  # a megabyte
+    n = 24
+    columns = {"file": ["f"] * n, "block": range(n), "value": [value] * n, "state": [0] * n, "base": range(n)}
+    types = {"file": pa.string(), "block": pa.int64(), "value": pa.string(), "state": pa.int32(), "base": pa.int64()}
+    got = list(rows.run(iter([pa.record_batch({c: pa.array(x, types[c]) for c, x in columns.items()})])))
+    assert sum(len(x) for x in got) == n and max(x.nbytes for x in got) < 6 << 20
