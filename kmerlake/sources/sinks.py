@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from kmerlake.operators.windows import in_slices
+
 from .files import Parts, created
 
 
@@ -47,7 +49,7 @@ class LineWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Lines:
         said, now, file = Lines(), None, None
         try:
-            for batch in iterator:
+            for batch in in_slices(iterator, "line"):
                 numbers = batch.column("number").to_pylist()
                 at = 0
                 while at < len(batch):

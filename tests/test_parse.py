@@ -238,3 +238,24 @@ def test_blocks_of_a_large_batch_are_parsed_in_slices(spark, monkeypatch):
     types = {"file": pa.string(), "block": pa.int64(), "value": pa.string(), "state": pa.int32(), "base": pa.int64()}
     got = list(rows.run(iter([pa.record_batch({c: pa.array(x, types[c]) for c, x in columns.items()})])))
     assert sum(len(x) for x in got) == n and max(x.nbytes for x in got) < 6 << 20
+
+
+def test_lines_of_a_large_batch_are_written_in_slices(tmp_path):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from kmerlake.sources.sinks import LineWriter
+
+    n = 32
+    batch = pa.record_batch({"number": pa.array([0] * n, pa.int32()), "place": pa.array(range(n)), "line": pa.array(["ACGT" * 250_000] * n)})
+    writer = LineWriter([str(tmp_path / "lines.txt")])
+    tracemalloc.start()
+    try:
+        said = writer.write(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    writer.commit([said])
+    assert (tmp_path / "lines.txt").read_text() == ("ACGT" * 250_000 + "\n") * n
+    assert peak < 24_000_000, peak  # the batch has 32 MB
