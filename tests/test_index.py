@@ -263,6 +263,26 @@ def test_totals_of_absent_kmers(spark, monkeypatch, most):
         assert "kmer" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_windows_of_a_large_batch_are_routed_in_slices():
+    import pyarrow as pa
+
+    from kmerlake.operators import minimizers
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    codes = np.arange(1 << 22, dtype=np.uint64) * np.uint64(7) // np.uint64(3) % np.uint64(4)
+    body = minimizers.written(np.array([5]), np.array([0]), np.array([(1 << 22) - 30]), codes.astype(np.uint8))  # a megabyte
+    batch = pa.record_batch({"bucket": pa.array([1] * 32, pa.int32()), "file": pa.array(["f"] * 32), "body": pa.array([body] * 32, pa.binary())})
+    got = list(minimizers.routed_windows(Rows(), 31, {}, {1: 3})(iter([batch])))
+    assert sum(len(x) for x in got) == 32 and max(x.nbytes for x in got) < 6 << 20
+    assert [p for x in got for p in x.column("part").to_pylist()] == [i % 3 for i in range(1, 33)]
+
+
 def test_super_kmers_are_small(spark):
     """What travels is under three bytes a letter, though each letter is in 31 windows."""
     from kmerlake.operators import minimizers
