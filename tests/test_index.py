@@ -374,3 +374,59 @@ def test_streaming_over_letters_that_are_none(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     expected = K.kmers(queries, 3).join(search.entries(built), "kmer", "left").select("file", "seq_no", "offset", F.coalesce("pos", F.lit(-1)).alias("pos"))
     assert key(search.search(queries, built, 3)) == key(search.streaming_search(queries, built, 3)) == key(expected)
+
+
+def test_windows_are_summed_up_where_they_are_found(spark):
+    """Sums by sequence are those of the windows, on every route, for cut, repeated, short and odd rows; a stretch gives one row, not one a window."""
+    rnd = random.Random(21)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    base = text(400)
+    built = X.build(frame(spark, [base, text(60)]), 7).cache()
+    rows = frame(spark, [text(50) + base[40:300] + text(3000), base[:9] + "N" + base[5:90], "ACG", "", base])
+    rows = rows.union(rows.limit(2)).union(rows.limit(1).selectExpr("cast(null as string) file", "seq_no", "sequence")).union(rows.limit(1).selectExpr("file", "seq_no", "cast(null as string) sequence")).cache()
+    key = lambda df: sorted(map(tuple, df.collect()), key=str)
+    expected = key(search.totals(K.kmers(rows, 7).join(search.entries(built), "kmer", "left").select("file", "seq_no", F.coalesce("pos", F.lit(-1)).alias("pos"))))
+    assert any(r[3] > 1 for r in expected)
+    keys = built.where("pos % 7 = 0").select("pos")
+    found = search.search_to_keys(rows, built, keys, 7)
+    at = F.when(F.col("key") >= 0, F.col("key"))
+    by_key = key(found.groupBy("file", "seq_no").agg(F.count("*"), F.count(at), F.countDistinct(at), F.sum("key"), F.sum("pos")))
+    ends = key(search.totals(search.intervals(rows, built, 5), "l", "r"))
+    for most in (4_000_000, 3):
+        before, search.SMALL = search.SMALL, most
+        try:
+            assert key(search.search_totals(rows, built, 7)) == key(search.streaming_search(rows, built, 7, summed=True)) == expected
+            assert key(search.key_totals(rows, built, keys, 7)) == by_key
+            assert key(search.interval_totals(rows, built, 5)) == ends
+        finally:
+            search.SMALL = before
+    shared = search.Searcher(built, 7).shared
+    assert search.looked_up_totals(search.stretched(rows, 7), shared).count() <= rows.count() < search.looked_up(search.stretched(rows, 7), shared).count()
+
+
+def test_streams_begin_behind_long_texts():
+    """A stream that loses its match to under 20 letters goes on behind the next long text that occurs, not letter by letter."""
+    import numpy as np
+
+    rnd = random.Random(4)
+    k, word = 31, "".join(rnd.choice("ACGT") for _ in range(14))
+    refs = [word + "".join(rnd.choice("ACGT") for _ in range(40)) for _ in range(5)]
+    proper = {x[i : i + k] for x in refs for i in range(len(x) - k + 1)}
+    starts = {x for x in proper if not any(y.endswith(x[:-1]) for y in proper)}
+    every = sorted([(x[::-1], x) for x in proper | {x[:i].rjust(k, "$") for x in starts for i in range(k)}])
+    names = [x for _, x in every]
+    ends: dict[str, set[str]] = {}
+    for x in names:
+        ends.setdefault(x[:-1], set()).add(x[-1])
+    shared = lambda a, b: next((i for i in range(k) if a[k - 1 - i] != b[k - 1 - i] or a[k - 1 - i] == "$"), k)
+    lcs = np.array([0, *(shared(a, b) for a, b in zip(names, names[1:], strict=False))])
+    bits = np.array([0 if i and names[i - 1][1:] == x[1:] else sum(1 << "ACGT".index(y) for y in ends.get(x[1:], ()) if y != "$") for i, x in enumerate(names)])
+    query = "".join(word + rnd.choice("ACGT") for _ in range(60)) + refs[3] + word * 3
+    codes = np.array([["ACGT".index(x) for x in query]])
+    found, runs = {}, {}
+    for prefix in (12, None):
+        runs[prefix] = search.RankIndex(bits, lcs, k, *([prefix] if prefix else []))
+        found[prefix] = runs[prefix].stream(codes, np.array([len(query)]))[0].tolist()
+    place = {x: i for i, x in enumerate(names) if "$" not in x}
+    assert found[12] == found[None] == [place.get(query[i : i + k], -1) for i in range(len(query) - k + 1)] and max(found[12]) >= 0
+    assert runs[None].steps < len(query) / 4
