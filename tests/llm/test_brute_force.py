@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -525,6 +526,20 @@ def test_suffix_dedup(spark, monkeypatch, length, slice_, ranges):
     assert suffix_dedup.remove_repeats(docs.limit(0), length).count() == 0
 
 
+def test_marks_of_one_name_in_a_row_are_one(spark):
+    texts = [f"{i} begins " + "word " * 1_000 + f"ends {i}" for i in range(3)]
+    rows = suffix_dedup.keyed(frame(spark, texts).coalesce(1))
+    found = suffix_dedup.marks(rows, 400, suffix_dedup.gram_of(400)).collect()
+    plain = [suffix_dedup.marks_of(np.frombuffer(t.encode(), np.uint8), 400, suffix_dedup.gram_of(400)) for t in texts]
+    assert min(len(name) for name, _, _ in plain) > 900 and len(found) < 30 and sum(r["known"] for r in found) >= 3
+    for row, (name, low, high) in zip(rows.orderBy("doc_id").collect(), plain, strict=True):
+        starts = {(int(x), at) for x, a, b in zip(name.view(np.int64), low, high, strict=True) for at in range(a, b + 1)}
+        assert {(r["name"], at) for r in found if (r["k1"], r["k2"]) == (row["k1"], row["k2"]) for at in range(r["low"], r["high"] + 1)} == starts
+    pieces = pa.RecordBatch.from_pydict({"sid": list(range(3)), "body": [t.encode() for t in texts], "ats": [np.arange(4_500, dtype=np.int32).tobytes()] * 3, "deep": [b""] * 3})
+    names, sids, *_, still = (np.concatenate(x) for x in zip(*suffix_dedup.Cover(400).marks(pieces), strict=True))
+    assert set(sids.tolist()) == {0, 1, 2} and len(names) < 30 and still.all()
+
+
 def test_suffix_dedup_of_too_short_strings(spark):
     with pytest.raises(ValueError):
         suffix_dedup.without_repeats(frame(spark, ["a"]), suffix_dedup.LEAST - 1)
